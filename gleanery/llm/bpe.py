@@ -51,7 +51,7 @@ def encoding(ranks_file: str, pattern: str):
 def splitter(pattern: str):
     import regex
 
-    return regex.compile(pattern), Bounded(300_000)
+    return regex.compile(pattern), Bounded(150_000)
 
 
 def pre_tokens(pattern: str, texts: list[str]) -> list[list[tuple[str, ...]]]:
@@ -107,7 +107,8 @@ class Block:
         bucket = np.fromiter((xxh64_intdigest(w) % BUCKETS for w in words), np.int64, len(words))
         codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.uint32)
         seen = np.bincount(codes, minlength=len(words))
-        order = np.lexsort((np.arange(len(words)), -seen, bucket))  # by bucket, frequent ones first
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        order = order[np.argsort(bucket[order], kind="stable")]  # by bucket, then by spelling, which packs well
         by_count = np.lexsort((bucket[order], -seen[order]))  # positions name pre-tokens by falling frequency
         name, number = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         number[by_count] = np.arange(len(words))
@@ -121,7 +122,7 @@ class Block:
             if cuts[b] < cuts[b + 1]:
                 own = [words[i] for i in order[cuts[b] : cuts[b + 1]]]
                 sizes = packed([np.array([len(w) for w in own], np.uint32)])
-                out.append((block, b, len(own), len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=1).compress(b"".join(own))))
+                out.append((block, b, len(own), len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(own))))
         return out
 
 
@@ -151,7 +152,7 @@ def exploded(pattern: str):
 def encoded_once(ranks_file: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoding(ranks_file, pattern)._core_bpe.encode_single_piece
-        cache = Bounded(1_500_000)  # of this partition's share of all distinct pre-tokens
+        cache = Bounded(400_000)  # of this partition's share of all distinct pre-tokens
         for batch in batches:
             for i in range(batch.num_rows):
                 block, bucket, n, payload = (batch.column(c)[i].as_py() for c in range(4))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -65,11 +66,13 @@ def crc_part(doc_id: Column, parts: int) -> Column:
 
 
 class Bounded(dict):
-    """A cache that starts anew when it holds `most` entries, so that a worker's memory stays bounded."""
+    """A cache that drops its oldest half when it would hold more than `most` entries, so that a worker's memory stays
+    bounded."""
 
     def __init__(self, most: int):
         self.most = most
 
     def room(self, n: int) -> None:
         if len(self) + n > self.most:
-            self.clear()
+            for k in list(islice(self, len(self) // 2 if n < self.most // 2 else len(self))):
+                del self[k]

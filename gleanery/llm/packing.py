@@ -26,29 +26,64 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+#: A run that is one Latin word and then punctuation: two pre-tokens, and case is all that the normaliser changes.
+PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
+
+
 class WordEncoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, by a tokenizer that drops white space and never merges
-    across it: each white-space-free run is encoded once and kept in a bounded cache."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes, by a lower-casing tokenizer that drops white space and
+    never merges across it. Each run without white space is encoded once and kept; plain runs share the ids of their
+    lower-cased word, and new words are encoded many at a time, as each one's last token carries the end-of-word mark."""
 
-    def __init__(self, tokenizer_file: str, cache: int = 400_000):
+    def __init__(self, tokenizer_file: str, runs: int = 300_000, words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer_file)
-        one, two = (self.model.encode(x, add_special_tokens=False).ids for x in ("a b", "a\n  b"))
+        one, two = (self.model.encode(x, add_special_tokens=False).ids for x in ("D\xe9j\xe0, B?", "d\xe9j\xe0\n , b  ?"))
         if one != two:
-            raise ValueError("only tokenizers that drop white space are supported")
-        self.cache = Bounded(cache)
+            raise ValueError("only tokenizers that drop case and white space are supported")
+        mark = getattr(self.model.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        if mark:
+            self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith(mark)]] = True
+        self.marked = bool(mark)
+        self.runs, self.words = Bounded(runs), Bounded(words)
+
+    def learn(self, new: list[str]) -> None:
+        """Encode new words (each one pre-token), a thousand to a call."""
+        self.words.room(len(new))
+        for lo in range(0, len(new), 1000):
+            part = new[lo : lo + 1000]
+            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cut) != len(part):
+                raise ValueError("a word without an end-of-word mark")
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, cut.tolist(), strict=True):
+                self.words[w] = raw[start:end]
+                start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         runs = [re.findall(r"[^ \t\n\r\x0b\x0c]+", t) if SEPARATORS.search(t) else t.split() for t in texts]
         new = {w for ws in runs for w in ws}
-        self.cache.room(len(new))
-        new.difference_update(self.cache)
-        if new:
-            new = list(new)
-            for w, e in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
+        self.runs.room(len(new))
+        new.difference_update(self.runs)
+        plain, other = [], []
+        for w in new:
+            found = PLAIN.fullmatch(w) if self.marked else None
+            if found:
+                plain.append((w, found[1].lower(), found[2]))
+            else:
+                other.append(w)
+        if plain:
+            words = {x for p in plain for x in p[1:] if x}
+            self.words.room(len(words))
+            self.learn([w for w in words if w not in self.words])
+            get = self.words.__getitem__
+            self.runs.update((w, get(word) + get(rest) if rest else get(word)) for w, word, rest in plain)
+        for w, e in zip(other, self.model.encode_batch(other, add_special_tokens=False), strict=True):
+            self.runs[w] = np.array(e.ids, "<u4").tobytes()
+        get = self.runs.__getitem__
         return [b"".join(map(get, ws)) for ws in runs]
 
 
@@ -99,9 +134,10 @@ class Packer:
             loss = self.loss_of(start, size, total, lossy)
             score = size / self.limit[0] * left[0] / self.limit[0] + left[1] / self.limit[1] ** 2 + loss / self.limit[2] * left[2] / self.limit[2]
             fits = waits & (size <= left[0]) & (loss <= left[2])
-            i = int(np.argmax(np.where(fits if fits.any() else waits, score, -1.0)))
+            whole = bool(fits.any())
+            i = int(np.argmax(np.where(fits if whole else waits, score, -1.0)))
             take = int(min(size[i], left[0]))
-            if not fits.any():
+            if not whole:
                 lead = max(0, int(total[i] - lossy[i] - start[i]))  # tokens before its loss-bearing ones
                 take = min(take, lead + int(left[2]))
             if take > 0:

@@ -18,6 +18,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, held_out, predict
+
+    docs = table(spark, sf_dir, "documents")
+    fold = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return predict(docs, fit(docs.filter(~fold))).withColumn("held_out", fold)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -35,11 +43,38 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter("vec_id % 100 = 0"), k=10, tables=12, probes=12)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), width=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import count_tokens, over_limit
 
     return over_limit(count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")), 4096)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_bpe, op7_token_counts)}
+    own = (op1_language, op3_packing, op4_bpe, op5_nearest, op6_substring_dedup, op7_token_counts, op8_simhash, op10_embedding_dedup)
+    return {f.__name__: f for f in own}

@@ -1,11 +1,65 @@
-"""A corpus cleaning pipeline: each stage reads what the one before it kept."""
+"""A corpus cleaning pipeline: language identification, SimHash near-dedup, substring dedup, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame that is
+written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery.llm.common import written
+from gleanery.llm.langid import UNDETERMINED, fit, held_out, predict
+from gleanery.llm.packing import pack_documents
+from gleanery.llm.pii import sanitise
+from gleanery.llm.queries import vocabulary
+from gleanery.llm.simhash import near_duplicates
+from gleanery.llm.substring import remove_repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose language is undetermined: no text, or no letters in it."""
+    model = fit(docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
+    return predict(docs, model, keep=COLUMNS).filter(F.col("lang_pred") != UNDETERMINED).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: the one whose id names the group. Of rows that repeat that id one
+    stays, the first by its text; rows of groups without any id stay."""
+    found = near_duplicates(docs, width=3)
+    least = found.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages of 35 words or more that occur elsewhere as well; texts that change are rejoined by spaces."""
+    found = remove_repeats(docs, width=35, keep=COLUMNS)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data, and terms that give it away."""
+    return sanitise(docs, keep=COLUMNS).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of 4096 tokens: one row for each piece of a document."""
+    pieces = pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("substrings", substrings), ("personal_data", personal_data), ("packing", packing)]
+#: SQL has neither the language model nor the tokenizer; tests/llm hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

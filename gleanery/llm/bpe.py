@@ -60,8 +60,9 @@ def pre_tokens(pattern: str, texts: list[str]) -> list[list[tuple[str, ...]]]:
     runs = [RUNS.findall(t) for t in texts]
     new = {r for rs in runs for r in rs}
     cache.room(len(new))
-    for r in new.difference(cache):
-        cache[r] = tuple(find.findall(r))
+    for r in new:
+        if r not in cache:
+            cache[r] = tuple(find.findall(r))
     return [list(map(cache.__getitem__, rs)) for rs in runs]
 
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Bounded, steps, text_rows
 
@@ -159,21 +160,19 @@ def predict(docs: DataFrame, model: Model, *, penalty: float = 2.0, id_col: str
     empty one. `keep`: columns of the input to return in front instead of doc_id.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_grams rows
-    rows = text_rows(docs, id_col, text_col) if keep is None else docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    name = rows.columns[-1]
-    names = rows.columns[:-1]
+    names = ["doc_id"] if keep is None else keep
+    front = [F.col(f"`{id_col}`").cast("long").alias("c0")] if keep is None else [F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(names)]
+    rows = docs.select(*front, F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, penalty)
         for batch in batches:
-            for part in steps(batch, name):
-                langs, scores, mixed = zip(*map(scorer.of, part.column(len(names)).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(langs), pa.array(scores, pa.float64()), pa.array(mixed)], [*names, "lang_pred", "score", "mixture"])
-
-    schema = rows.drop(name).schema
-    for column, kind in (("lang_pred", "string"), ("score", "double"), ("mixture", "string")):
-        schema = type(schema)([*schema.fields]).add(column, kind)
-    return rows.mapInArrow(run, schema)
+            for part in steps(batch):
+                langs, scores, mixed = zip(*map(scorer.of, part.column(part.num_columns - 1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs), pa.array(scores, pa.float64()), pa.array(mixed)], [*part.schema.names[:-1], "lang_pred", "score", "mixture"])
+
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1]]).add("lang_pred", "string").add("score", "double").add("mixture", "string"))
+    return out.select(*[F.col(f"c{j}").alias(c) for j, c in enumerate(names)], "lang_pred", "score", "mixture")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -67,9 +67,10 @@ class WordEncoder:
         runs = [re.findall(r"[^ \t\n\r\x0b\x0c]+", t) if SEPARATORS.search(t) else t.split() for t in texts]
         new = {w for ws in runs for w in ws}
         self.runs.room(len(new))
-        new.difference_update(self.runs)
         plain, other = [], []
         for w in new:
+            if w in self.runs:
+                continue
             found = PLAIN.fullmatch(w) if self.marked else None
             if found:
                 plain.append((w, found[1].lower(), found[2]))

@@ -26,6 +26,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs.filter(~fold))).withColumn("held_out", fold)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, grade
+
+    docs = table(spark, sf_dir, "documents")
+    return grade(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -69,6 +76,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    found = report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_term")
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -76,5 +90,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language, op3_packing, op4_bpe, op5_nearest, op6_substring_dedup, op7_token_counts, op8_simhash, op10_embedding_dedup)
+    own = (op1_language, op2_toxicity, op3_packing, op4_bpe, op5_nearest, op6_substring_dedup, op7_token_counts, op8_simhash, op9_personal_data, op10_embedding_dedup)
     return {f.__name__: f for f in own}

@@ -69,9 +69,7 @@ class PieceCounter:
         held = [cut(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         new = {w for ws in held for w in ws}
         cache.room(len(new))
-        new.difference_update(cache)
-        if new:
-            new = list(new)
+        if new := [w for w in new if w not in cache]:
             for lo in range(0, len(new), 50_000):
                 part = new[lo : lo + 50_000]
                 cache.update(zip(part, self.merged([w.replace(" ", SPACE) for w in part]).tolist(), strict=True))

@@ -14,7 +14,7 @@ from gleanery.llm.langid import UNDETERMINED, fit, held_out, predict
 from gleanery.llm.packing import pack_documents
 from gleanery.llm.pii import sanitise
 from gleanery.llm.queries import vocabulary
-from gleanery.llm.simhash import near_duplicates
+from gleanery.llm.simhash import one_of_each
 from gleanery.llm.substring import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,12 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one whose id names the group. Of rows that repeat that id one
-    stays, the first by its text; rows of groups without any id stay."""
-    found = near_duplicates(docs, width=3)
-    least = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    """Keeps one document of each group of near copies, the one with the smallest id."""
+    return one_of_each(docs.select(*COLUMNS), width=3)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,17 +51,18 @@ def fingerprint_step(texts: list[bytes | None], width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (64 bits as a signed long) of each row's whole text: A-Z lower-cased, words are runs without ASCII
+    """doc_id, row_key (xxhash64 of id and text), fp (64 bits as a signed long) of each row's whole text: A-Z lower-cased, words are runs without ASCII
     white space, shingles of `width` words with repeats. Fewer words: the whole sequence; none, or null: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, most=1 << 20):
                 found = fingerprint_step(part.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found.view(np.int64))], ["doc_id", "row_key", "fp"])
 
-    rows = text_rows(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = text_rows(docs, id_col, text_col)
+    rows = rows.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("row_key"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def low(x, bits: int, shift: int = 0):
@@ -95,6 +96,16 @@ def near_pairs(distinct: DataFrame) -> DataFrame:
     return matched(equal, equal, True).unionByName(matched(probes, table, False))
 
 
+def grouped(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row_key, fp, root (the group's key, a fingerprint) and component_id of each row."""
+    rows = written(fingerprints(docs, width=width, id_col=id_col, text_col=text_col), "fingerprints")
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(near_pairs(classes.select("fp")), "a", "b").withColumnsRenamed({"node": "fp", "component": "root"})
+    classes = classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(classes.select("fp", "root").join(roots, "root"), "fp")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach, itself included).
 
@@ -102,10 +113,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id",
     and are no component's id unless it has no other (then null). Repeated rows give a row each; an empty table gives an
     empty one; further columns are not carried.
     """
-    rows = written(fingerprints(docs, width=width, id_col=id_col, text_col=text_col), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(near_pairs(classes.select("fp")), "a", "b").withColumnsRenamed({"node": "fp", "component": "root"})
-    classes = classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.select("fp", "root").join(roots, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = grouped(docs, width=width, id_col=id_col, text_col=text_col)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that stand for their group of near copies: one row a group, the one
+    with the smallest id (null ids last). Rows that share an id without being near copies are groups of their own."""
+    found = grouped(docs, width=width, id_col=id_col, text_col=text_col)
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("x")).select(F.col("x.row_key").alias("__row_key"))
+    key = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
+    return docs.withColumn("__row_key", key).join(chosen, "__row_key", "left_semi").dropDuplicates(["__row_key"]).drop("__row_key")

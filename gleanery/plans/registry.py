@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import retrieval  # noqa: F401
+from .shared import ORACLE, QUERIES
+
 FLAGSHIP = "d3_bm25_topk"
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -54,10 +55,19 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, where it would otherwise be repeated for each element of an array."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shingles(items: Column, width: int) -> Column:
     """The distinct runs of `width` items, joined by spaces; none if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(items) - width + 1), lambda i: F.array_join(F.slice(items, i, width), " "))
-    return F.when(F.size(items) >= width, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        joined = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
+        return F.when(F.size(w) >= width, F.array_distinct(joined)).otherwise(F.array().cast("array<string>"))
+
+    return let(items, runs)
 
 
 def lead_text(text: Column, most: int = 240) -> Column:

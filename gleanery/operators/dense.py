@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import let, tokenize
 from .lexical import DIGITS, top_k
 
 #: Vectors of queries that one task holds at a time.
@@ -22,7 +22,7 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Unit length in double precision; a zero vector stays as it is."""
-    return F.transform(v, lambda x: x.cast("double") / F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0)))
+    return let(F.struct(v.alias("v"), F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0)).alias("n")), lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"]))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,8 +37,7 @@ def cosine_from_l2(squared: Column) -> Column:
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """The default embedder: term counts in `dim` buckets by md5, unit length. Any SQL engine can repeat it."""
     buckets = F.transform(tokenize(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return normalise(counts)
+    return normalise(let(buckets, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double"))))
 
 
 def with_prefix(query: Column, model: Column) -> Column:

@@ -24,14 +24,13 @@ DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.cat
 DIGIT_VALUES = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
 
 
-@F.pandas_udf("string")
-def _nfc(s: pd.Series) -> pd.Series:
+def composed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition. Texts in ASCII pass without leaving the JVM."""
-    return F.when(text.rlike(r"[^\x00-\x7f]"), _nfc(text)).otherwise(text)
+    """Canonical composition; no built-in function does it."""
+    return F.pandas_udf(composed, "string")(text)
 
 
 def ascii_digits(text: Column) -> Column:

@@ -173,7 +173,7 @@ def h11_selftest_summary(spark, sf_dir):
 
 
 # Evaluation. Vectors are asked for their nearest ten others; those of the same label are relevant.
-HITS = f"{dense_ctes(11)}, hits AS (SELECT query_id, chunk_id AS unit, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM dense WHERE query_id <> chunk_id QUALIFY rank <= 10), lab AS (SELECT vec_id, label FROM embeddings), relevant AS (SELECT q.vec_id AS query_id, d.vec_id AS unit FROM lab q JOIN lab d USING (label) WHERE q.vec_id < 50 AND q.vec_id <> d.vec_id AND q.vec_id % 10 <> 0)"
+HITS = f"{dense_ctes(11)}, hits AS (SELECT query_id, unit, r AS rank FROM (SELECT query_id, chunk_id AS unit, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM dense WHERE query_id <> chunk_id) WHERE r <= 10), lab AS (SELECT vec_id, label FROM embeddings), relevant AS (SELECT q.vec_id AS query_id, d.vec_id AS unit FROM lab q JOIN lab d USING (label) WHERE q.vec_id < 50 AND q.vec_id <> d.vec_id AND q.vec_id % 10 <> 0)"
 
 
 def retrieval_run(spark, sf_dir):

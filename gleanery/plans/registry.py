@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import library, retrieval  # noqa: F401
+from . import index, ingest, library, logs, retrieval, runs, streams  # noqa: F401
 from .shared import ORACLE, QUERIES
 
 FLAGSHIP = "d3_bm25_topk"

@@ -9,7 +9,8 @@ from ..functions.dates import dates_in, passage_dates
 from ..operators import dense, fusion, lexical
 from .shared import DOC_CHUNKS, PASSAGES, UNIT, bm25_ctes, dense_ctes, passages, query, question_table, shingles, table, tokens, vector_tables, whole_documents, words
 
-TODAY = F.lit("1998-12-31").cast("date")
+def today():
+    return F.lit("1998-12-31").cast("date")
 
 
 @query(f"SELECT doc_id, array_to_string({tokens('text')}, ' ') AS terms FROM documents")
@@ -54,7 +55,7 @@ DATED = "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day, CASE WH
 
 @query(f"SELECT o_orderkey, array_to_string(list_transform(list_sort(list_filter(days, lambda d: d <= DATE '1998-12-31')), lambda d: CAST(d AS VARCHAR)), ',') AS dates FROM ({DATED})")
 def c6_dates_in(spark, sf_dir):
-    found = F.transform(dates_in(F.col("text"), TODAY), lambda d: d.cast("string"))
+    found = F.transform(dates_in(F.col("text"), today()), lambda d: d.cast("string"))
     return dated(spark, sf_dir).select("o_orderkey", F.array_join(found, ",").alias("dates"))
 
 
@@ -63,14 +64,14 @@ def c6_dates_in(spark, sf_dir):
 def c7_passage_dates(spark, sf_dir):
     said = F.concat(F.lit("dated "), F.date_format("o_orderdate", "dd.MM.yyyy"))
     text = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(said), "; ").alias("text"))
-    found = F.transform(passage_dates(dates_in(F.col("text"), TODAY)), lambda d: d.cast("string"))
+    found = F.transform(passage_dates(dates_in(F.col("text"), today())), lambda d: d.cast("string"))
     return text.select("o_custkey", F.array_join(found, ",").alias("dates"))
 
 
 @query(f"SELECT CAST(o_custkey AS VARCHAR) AS document_id, CAST(max(list_max(list_filter(days, lambda d: d <= DATE '1998-12-31'))) AS VARCHAR) AS newest FROM ({DATED}) GROUP BY 1")
 def c8_newest_date(spark, sf_dir):
     rows = dated(spark, sf_dir).select(F.col("o_custkey").cast("string").alias("document_id"), "text")
-    return fusion.newest_dates(rows, TODAY).select("document_id", F.col("newest").cast("string").alias("newest"))
+    return fusion.newest_dates(rows, today()).select("document_id", F.col("newest").cast("string").alias("newest"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN length(t) > 240 THEN rtrim(substr(t, 1, 240)) || '…' ELSE t END AS lead FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""")
@@ -247,7 +248,7 @@ def f8_diversify(spark, sf_dir):
 def f9_assemble_hits(spark, sf_dir):
     chunks = passages(spark, sf_dir)
     hits = lexical.bm25(question_table(spark, sf_dir), chunks, 5).withColumn("document_id", F.lit(None).cast("string"))
-    out = fusion.assemble(hits, chunks, TODAY)
+    out = fusion.assemble(hits, chunks, today())
     return out.select("query_id", "rank", "chunk_id", "document_id", "category", "chunk_index", "text")
 
 

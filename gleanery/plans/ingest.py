@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking
+from ..operators import captions, chunking
 from ..sources import files
 from ..sources.scratch import scratch
 from .shared import PASSAGES, passages, query, table
@@ -202,6 +202,15 @@ def b6_find_markdown_tables(spark, sf_dir):
     return chunking.markdown_tables(tabled(spark, sf_dir))
 
 
+@query("""SELECT r_name AS document_id, length('TABLE 1: the keys of all nations of this region.') + 1 + length('Nation Key') + 1 AS start, length('TABLE 1: the keys of all nations of this region.') + 1 + length('Nation Key') + sum(length(n_name || ' ' || n_nationkey) + 1) AS "end", 'TABLE 1: the keys of all nations of this region.' || chr(10) || 'Nation Key' AS context FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+def b7_find_caption_tables(spark, sf_dir):
+    """A document for each region with a captioned table of its nations in plain text."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rows = n.join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy("r_name").agg(F.array_sort(F.collect_list(F.concat("n_name", F.lit(" "), F.col("n_nationkey").cast("string")))).alias("p"))
+    docs = rows.select(F.col("r_name").alias("document_id"), F.concat(F.lit("TABLE 1: the keys of all nations of this region.\nNation Key\n"), F.array_join("p", "\n"), F.lit("\n\nAnd that is all there is to say.")).alias("text"))
+    return captions.find_caption_tables(docs)
+
+
 @query()
 def b5_chunk_table_rows(spark, sf_dir):
     docs = tabled(spark, sf_dir)

@@ -84,11 +84,10 @@ def c14_clip_turn(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.clip_turn(F.col("text")).alias("clipped"))
 
 
-@query()
+@query("SELECT item_id, '[1]' || text || '[2][3]' AS labelled FROM benchmark")
 def c16_insert_labels(spark, sf_dir):
-    labels = F.array(F.struct(F.lit(5).alias("at"), F.lit("[1]").alias("label")), F.struct(F.octet_length("text").alias("at"), F.lit("[2]").alias("label")), F.struct(F.lit(10_000_000).alias("at"), F.lit("[3]").alias("label")))
-    ascii_only = table(spark, sf_dir, "benchmark").filter(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return ascii_only.select("item_id", T.insert_labels(F.col("text"), labels).alias("labelled"))
+    labels = F.array(F.struct(F.lit(0).alias("at"), F.lit("[1]").alias("label")), F.struct(F.octet_length("text").alias("at"), F.lit("[2]").alias("label")), F.struct(F.lit(10_000_000).alias("at"), F.lit("[3]").alias("label")))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.insert_labels(F.col("text"), labels).alias("labelled"))
 
 
 @query(f"WITH {DOC_CHUNKS}, tok AS (SELECT chunk_id, {tokens('text')} AS ts FROM chunks) SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS term FROM tok) GROUP BY ALL")

@@ -58,6 +58,7 @@ def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES) -
         held += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # what a long batch took isn't held for the next ones
 
 
 def crc_part(doc_id: Column, parts: int) -> Column:

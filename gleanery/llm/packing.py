@@ -35,7 +35,7 @@ class WordEncoder:
     never merges across it. Each run without white space is encoded once and kept; plain runs share the ids of their
     lower-cased word, and new words are encoded many at a time, as each one's last token carries the end-of-word mark."""
 
-    def __init__(self, tokenizer_file: str, runs: int = 300_000, words: int = 800_000):
+    def __init__(self, tokenizer_file: str, runs: int = 150_000, words: int = 350_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer_file)
@@ -65,7 +65,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         runs = [re.findall(r"[^ \t\n\r\x0b\x0c]+", t) if SEPARATORS.search(t) else t.split() for t in texts]
-        new = {w for ws in runs for w in ws}
+        new = set().union(*runs)
         self.runs.room(len(new))
         plain, other = [], []
         for w in new:
@@ -89,8 +89,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(tokenizer_file: str) -> WordEncoder:
-    return WordEncoder(tokenizer_file)
+def encoder(tokenizer_file: str, runs: int = 150_000, words: int = 350_000) -> WordEncoder:
+    return WordEncoder(tokenizer_file, runs, words)
 
 
 class Packer:
@@ -123,36 +123,36 @@ class Packer:
     def fill(self, last: bool) -> Iterator[tuple]:
         """Fill bins until half the window is left, or all of it at the end."""
         start, total, lossy = (np.array(x, np.int64) for x in (self.start, self.total, self.lossy))
-        waits = np.ones(len(start), bool)
-        goal = 0 if last else len(start) // 2
+        size = total - start  # what waits of each item; 0 once it is placed
+        loss = self.loss_of(start, size, total, lossy)
+        waiting, goal = len(start), 0 if last else len(start) // 2
+        limit, left = self.limit.tolist(), self.limit.tolist()
         held: list[tuple] = []
-        left = self.limit.copy()
-        while True:
-            n = int(waits.sum())
-            if (n <= goal and not held) or not n:
-                break
-            size = total - start
-            loss = self.loss_of(start, size, total, lossy)
-            score = size / self.limit[0] * left[0] / self.limit[0] + left[1] / self.limit[1] ** 2 + loss / self.limit[2] * left[2] / self.limit[2]
-            fits = waits & (size <= left[0]) & (loss <= left[2])
-            whole = bool(fits.any())
-            i = int(np.argmax(np.where(fits if whole else waits, score, -1.0)))
-            take = int(min(size[i], left[0]))
-            if not whole:
+        while waiting and (waiting > goal or held):
+            a, b = left[0] / limit[0] ** 2, left[2] / limit[2] ** 2
+            score = size * a + loss * b + left[1] / limit[1] ** 2
+            fits = (size <= left[0]) & (loss <= left[2]) & (size > 0)
+            i = int(np.argmax(np.where(fits, score, -1.0)))
+            if fits[i]:
+                take = int(size[i])
+            else:  # none fits whole: the best is cut
+                i = int(np.argmax(np.where(size > 0, score, -1.0)))
                 lead = max(0, int(total[i] - lossy[i] - start[i]))  # tokens before its loss-bearing ones
-                take = min(take, lead + int(left[2]))
+                take = min(int(size[i]), left[0], lead + left[2])
             if take > 0:
                 bears = int(self.loss_of(start[i], take, total[i], lossy[i]))
                 held.append((i, int(start[i]), take, bears))
-                left -= (take, 1, bears)
+                left = [left[0] - take, left[1] - 1, left[2] - bears]
                 start[i] += take
-                waits[i] = start[i] < total[i]
-            if take <= 0 or not left.all():
+                size[i] -= take
+                loss[i] -= bears
+                waiting -= not size[i]
+            if take <= 0 or not all(left):
                 yield from self.close(held, total, lossy)
-                held, left = [], self.limit.copy()
+                held, left = [], self.limit.tolist()
         if held:
             yield from self.close(held, total, lossy)
-        rest = np.flatnonzero(waits)
+        rest = np.flatnonzero(size)
         self.key = [self.key[i] for i in rest]
         self.start, self.total, self.lossy = start[rest].tolist(), total[rest].tolist(), lossy[rest].tolist()
 
@@ -171,7 +171,7 @@ class Packer:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_file: str, *, end_id: int = 2, capacity: int = 4096, max_segments: int = 256, max_loss: int | None = None, window: int = 256, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_file: str, *, end_id: int = 2, capacity: int = 4096, max_segments: int = 256, max_loss: int | None = None, window: int = 256, cached_runs: int = 150_000, cached_words: int = 350_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Pieces of all documents, packed: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset, loss_tokens.
@@ -180,7 +180,8 @@ def pack_documents(
     id lies in exactly one piece; sequences hold at most `capacity` tokens, `max_segments` pieces and `max_loss`
     loss-bearing tokens; those that aren't full have a power of two as length. Null and repeated ids, ties and repeated
     rows are packed like any others; an empty table gives no pieces; further columns are not carried. A sequence's id
-    holds the partition's number, so it is the same when a lost task runs again.
+    holds the partition's number, so it is the same when a lost task runs again. `cached_runs` and `cached_words` bound
+    what each worker keeps of encodings, about 200 bytes an entry.
     """
     max_loss = capacity if max_loss is None else max_loss
     if min(capacity, max_segments, max_loss, window) < 1 or capacity & (capacity - 1):
@@ -188,7 +189,7 @@ def pack_documents(
     closing = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, packer = encoder(tokenizer_file), Packer(TaskContext.get().partitionId() << 36, capacity, max_segments, max_loss, window)
+        model, packer = encoder(tokenizer_file, cached_runs, cached_words), Packer(TaskContext.get().partitionId() << 36, capacity, max_segments, max_loss, window)
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:

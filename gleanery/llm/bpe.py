@@ -108,16 +108,17 @@ class Block:
         bucket = np.fromiter((xxh64_intdigest(w) % BUCKETS for w in words), np.int64, len(words))
         codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.uint32)
         seen = np.bincount(codes, minlength=len(words))
-        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-        order = order[np.argsort(bucket[order], kind="stable")]  # by bucket, then by spelling, which packs well
-        by_count = np.lexsort((bucket[order], -seen[order]))  # positions name pre-tokens by falling frequency
-        name, number = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        number[by_count] = np.arange(len(words))
-        name[order] = number
+        # positions name pre-tokens by falling frequency, then by first appearance: those seen once come last, in the order
+        # of the text, so that one mark stands for all of them
+        by_name = np.argsort(-seen, kind="stable")
+        name = np.empty(len(words), np.int64)
+        name[by_name] = np.arange(len(words))
+        once = int((seen > 1).sum())
+        order = by_name[np.argsort(bucket[by_name], kind="stable")]
         null = np.array([i is None for i in self.ids], np.uint32)
         ids = np.array([i or 0 for i in self.ids], np.int64).view(np.uint64)
         docs = [(ids & 0xFFFFFFFF).astype(np.uint32), (ids >> np.uint64(32)).astype(np.uint32), null, np.array(self.lengths, np.uint32)]
-        out = [(block, -1 - block % BUCKETS, len(self.ids), packed([*docs, number, name[codes]]))]
+        out = [(block, -1 - block % BUCKETS, len(self.ids), packed([*docs, bucket[by_name], np.minimum(name[codes], once)]))]
         cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
         for b in range(BUCKETS):
             if cuts[b] < cuts[b + 1]:
@@ -181,15 +182,18 @@ def assembled(table: pa.Table) -> pa.Table:
     docs = next((r for r in rows if r[0] < 0), None)
     if docs is None:
         raise ValueError("a block's positions are missing")
-    low, high, null, lengths, number, codes = unpacked(docs[2], 6)
+    low, high, null, lengths, bucket, codes = unpacked(docs[2], 6)
     parts = [unpacked(p, 2) for b, _, p in rows if b >= 0]
     sizes = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint32)]).astype(np.int64)
     ids = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.uint32)])
-    if len(sizes) != len(number):
+    if len(sizes) != len(bucket):
         raise ValueError("a block's pre-tokens are missing")
     starts = np.cumsum(sizes) - sizes
-    where = np.empty(len(number), np.int64)
-    where[number] = np.arange(len(number))
+    where = np.empty(len(bucket), np.int64)
+    where[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+    last = codes.max(initial=0)  # the mark of those seen once, if there are any
+    if last + np.count_nonzero(codes == last) == len(bucket):
+        codes[codes == last] = np.arange(last, len(bucket))
     code = where[codes]
     flat = ragged(ids, starts[code], sizes[code])
     ends = np.r_[0, np.cumsum(sizes[code])][np.cumsum(lengths.astype(np.int64))]

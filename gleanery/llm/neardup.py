@@ -1,9 +1,8 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
 Each tree splits recursively by random directions at medians; vectors within a margin of a split go both ways (spill), so
-that a close pair rarely parts. The upper levels are fitted on a bounded sample, whose size caps their depth; a leaf that
-is still large is split further, in the same way, where it is compared. Within a leaf all pairs are verified by exact
-cosine; the links of all trees are united. Equal vectors are one row until the end.
+that a close pair rarely parts. The upper levels are fitted on a bounded sample, whose size caps their depth. Within a leaf all
+pairs are verified by exact cosine; the links of all trees are united. Equal vectors are one row until the end.
 """
 
 from __future__ import annotations
@@ -78,53 +77,17 @@ def planted(cuts: list[np.ndarray], levels: int, margin: float, seed: int):
     return run
 
 
-def leaves(v: np.ndarray, at: np.ndarray, margin: float, rng: np.random.Generator) -> Iterator[np.ndarray]:
-    """Split rows on while that helps: a dense group, which would spill as a whole, stays together."""
-    if len(at) <= 2 * LEAF:
-        yield at
-        return
-    d = rng.standard_normal(v.shape[1])
-    shadow = v[at] @ (d / np.linalg.norm(d))
-    over = shadow - np.median(shadow)
-    left, right = at[over <= margin], at[over > -margin]
-    if max(len(left), len(right)) > 0.85 * len(at):
-        yield at
-        return
-    yield from leaves(v, left, margin, rng)
-    yield from leaves(v, right, margin, rng)
-
-
-def linked(cuts: list[np.ndarray], levels: int, least: float, margin: float, seed: int):
-    """A leaf's links. Pairs that met before (in a smaller leaf of this tree or in an earlier tree) are left out: which
-    leaves a row reaches is worked out again from its vector."""
+def linked(least: float):
+    """A leaf's links: all its pairs are compared, whatever other leaves hold them too."""
 
     def run(table: pa.Table) -> pa.Table:
         cls, v = table.column("cls").to_numpy(), unit(matrix(table.column("vec")))
-        tree, leaf = table.column("tree")[0].as_py(), table.column("leaf")[0].as_py()
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in leaves(v, np.arange(len(v)), 2 * margin, np.random.default_rng(seed)):
-            own = v[at]
-            for lo in range(0, len(at), 1000):
-                x, y = np.nonzero(np.triu(own[lo : lo + 1000] @ own[lo:].T >= least, 1))
-                a.append(at[lo + x])
-                b.append(at[lo + y])
-        x, y = np.concatenate(a), np.concatenate(b)
-        if len(x):
-            used = np.unique(np.r_[x, y])
-            where = np.zeros(len(v), np.int64)
-            where[used] = np.arange(len(used))
-            x, y = where[x], where[y]
-            met = np.zeros(len(x), bool)
-            for t in range(tree + 1):
-                row, reached = descend(v[used] @ directions(v.shape[1], levels, t, seed), cuts[t], levels, margin)
-                row, reached = (row, reached) if t < tree else (row[reached < leaf], reached[reached < leaf])
-                names, column = np.unique(reached, return_inverse=True)
-                for lo in range(0, len(names), 64):  # 64 leaves at a time, a bit each
-                    mask = np.zeros(len(used), np.uint64)
-                    pick = (column >= lo) & (column < lo + 64)
-                    np.bitwise_or.at(mask, row[pick], np.uint64(1) << (column[pick] - lo).astype(np.uint64))
-                    met |= (mask[x] & mask[y]) != 0
-            x, y = cls[used[x[~met]]], cls[used[y[~met]]]
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(v), 1000):
+            a, b = np.nonzero(np.triu(v[lo : lo + 1000] @ v[lo:].T >= least, 1))
+            x.append(cls[lo + a])
+            y.append(cls[lo + b])
+        x, y = np.concatenate(x), np.concatenate(y)
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
@@ -139,7 +102,7 @@ def links_between(classes: DataFrame, n: int, dim: int, *, least: float, trees:
     known = unit(matrix(picked.column("vec")))
     cuts = [fitted(known, levels, margin, t, seed) for t in range(trees)]
     rows = classes.select("cls", "vec").mapInArrow(planted(cuts, levels, margin, seed), "cls long, vec binary, tree int, leaf long")
-    return rows.groupBy("tree", "leaf").applyInArrow(linked(cuts, levels, least, margin, seed), "a long, b long").distinct()
+    return rows.groupBy("tree", "leaf").applyInArrow(linked(least), "a long, b long").distinct()
 
 
 def near_duplicates(table: DataFrame, *, least: float = 0.95, trees: int = 6, spill: float = 0.75, sample: int = 20_000, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

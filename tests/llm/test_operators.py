@@ -228,6 +228,20 @@ def test_embedding_links(spark, cloud):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903))
     assert neardup.near_duplicates(vectors(spark, [])).count() == 0
 
+def close_pairs(n, dim, wide, seed):
+    """Vectors around n / 40 centres, of which many are near 0.95 apart."""
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.standard_normal((-(-n // 40), dim)), 40, axis=0)[:n] + rng.standard_normal((n, dim)) * wide
+    x = x.astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    return x, (u @ u.T >= 0.95).sum(axis=1) - 1
+
+def test_embedding_links_of_a_leaf_are_all_found(spark):
+    """One leaf of 1200 rows, without spill: no pair may be parted and then taken for compared in a later tree."""
+    x, want = close_pairs(1200, 16, 0.22, 2)
+    got = {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(vectors(spark, [(i, v.tolist(), 1, 1) for i, v in enumerate(x)]), sample=8, spill=0.0).collect()}
+    assert want.sum() > 1000 and [got[i] for i in range(1200)] == want.tolist()
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from gleanery.llm.common import written

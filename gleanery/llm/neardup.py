@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
 Each tree splits recursively by random directions at medians; vectors within a margin of a split go both ways (spill), so
-that a close pair rarely parts. The upper levels are fitted on a bounded sample, whose size caps their depth. Within a leaf all
-pairs are verified by exact cosine; the links of all trees are united. Equal vectors are one row until the end.
+that a close pair rarely parts. The upper levels are fitted on a bounded sample; leaves that are still large are split on
+by passes over the table, a level a pass, while that helps. All pairs of a leaf are verified by exact cosine; a leaf that
+stays large (a dense group, which would spill as a whole) is dealt into blocks of bounded rows, compared block against
+block as groups of their own. The links of all trees are united. Equal vectors are one row until the end.
 """
 
 from __future__ import annotations
@@ -18,8 +20,12 @@ from .common import written
 from .graph import components
 from .vectors import dimension, matrix, raw, unusable, usable
 
-#: Rows that a leaf should hold, and the fewest sampled rows at a node that is split.
-LEAF, FEWEST = 256, 8
+#: Rows that a leaf should hold, the fewest sampled rows at a node that is split, and the rows of a block.
+LEAF, FEWEST, BLOCK_ROWS = 256, 8, 2048
+#: A node stays whole if a side of its split holds more than this share of it. Levels that a node's number can count.
+HELPS, DEEPEST = 0.85, 60
+#: For each level of a tree the nodes that are split, in order, and their thresholds.
+Splits = list[tuple[np.ndarray, np.ndarray]]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -27,85 +33,179 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def directions(dim: int, levels: int, tree: int, seed: int) -> np.ndarray:
-    """A random unit direction for each level of a tree, as columns."""
-    d = np.random.default_rng([seed, tree]).standard_normal((dim, max(1, levels)))
-    return d / np.linalg.norm(d, axis=0)
-
-
-def descend(shadow: np.ndarray, cuts: np.ndarray, levels: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of all leaves a row reaches. shadow: projections, a column a level; cuts: thresholds in heap order."""
-    row, node = np.arange(len(shadow)), np.ones(len(shadow), np.int64)
-    for level in range(levels):
-        over = shadow[row, level] - cuts[node]
-        left, right = over <= margin, over > -margin
-        row, node = np.r_[row[left], row[right]], np.r_[2 * node[left], 2 * node[right] + 1]
+def shadows(v: np.ndarray, levels: range, tree: int, seed: int) -> np.ndarray:
+    """Projections of unit vectors on a tree's random directions, a column a level. Both are rounded to multiples of
+    2**-24 and 2**-20, so that all sums are exact: a row's projections do not depend on the rows beside it."""
+    d = np.stack([np.random.default_rng([seed, tree, level]).standard_normal(v.shape[1]) for level in levels] or [np.zeros(v.shape[1])], axis=1)
+    d /= np.maximum(np.linalg.norm(d, axis=0), 1e-300)
+    return (np.rint(v * 2.0**24) @ np.rint(d * 2.0**20)) * 2.0**-44
+
+
+def descend(v: np.ndarray, splits: Splits, margin: float, tree: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of all leaves a row reaches. Nodes are numbered in heap order."""
+    shadow = shadows(v, range(len(splits)), tree, seed)
+    row, node = np.arange(len(v)), np.ones(len(v), np.int64)
+    for level, (ids, cuts) in enumerate(splits):
+        if not len(ids):
+            continue
+        at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
+        inner = ids[at] == node
+        over = shadow[row, level] - cuts[at]
+        left, right = inner & (over <= margin), inner & (over > -margin)
+        row, node = np.r_[row[~inner], row[left], row[right]], np.r_[node[~inner], 2 * node[left], 2 * node[right] + 1]
     return row, node
 
 
-def fitted(sample: np.ndarray, levels: int, margin: float, tree: int, seed: int) -> np.ndarray:
-    """Median thresholds of a tree's nodes, in heap order."""
-    shadow = sample @ directions(sample.shape[1], levels, tree, seed)
-    cuts = np.zeros(1 << max(1, levels))
+def fitted(sample: np.ndarray, levels: int, margin: float, tree: int, seed: int) -> Splits:
+    """Splits at the medians of a sample."""
+    shadow = shadows(sample, range(levels), tree, seed)
+    splits: Splits = []
     row, node = np.arange(len(sample)), np.ones(len(sample), np.int64)
     for level in range(levels):
         order = np.argsort(node, kind="stable")
         row, node = row[order], node[order]
         values = shadow[row, level]
         starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        ids, cuts = np.arange(1 << level, 2 << level), np.zeros(1 << level)
         for a, b in zip(starts, np.r_[starts[1:], len(node)], strict=True):
-            cuts[node[a]] = np.median(values[a:b])
-        over = values - cuts[node]
+            cuts[node[a] - (1 << level)] = np.median(values[a:b])
+        splits.append((ids, cuts))
+        over = values - cuts[node - (1 << level)]
         left, right = over <= margin, over > -margin
         row, node = np.r_[row[left], row[right]], np.r_[2 * node[left], 2 * node[right] + 1]
-    return cuts
+    return splits
 
 
-def planted(cuts: list[np.ndarray], levels: int, margin: float, seed: int):
-    """(cls, vec) to (cls, vec, tree, leaf)."""
+def measured(forest: list[Splits], level: int, margin: float, seed: int):
+    """(vec) to (tree, leaf, at): the leaves of one level, and where a row lies in the direction that would split them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                v = unit(matrix(whole.column(0).slice(lo, 2000)))
+                for tree, splits in enumerate(forest):
+                    row, leaf = descend(v, splits, margin, tree, seed)
+                    here = leaf >= 1 << level
+                    at = shadows(v, range(level, level + 1), tree, seed)[row[here], 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree, np.int32)), pa.array(leaf[here]), pa.array(at)], ["tree", "leaf", "at"])
+
+    return run
+
+
+def deepened(classes: DataFrame, forest: list[Splits], block_rows: int, margin: float, seed: int) -> tuple[list[Splits], dict[tuple[int, int], int]]:
+    """The forest with leaves of more than `block_rows` rows split on, and the rows of those that stay larger. The driver
+    sees the large leaves only, whose number is bounded by the placed rows over `block_rows`."""
+    forest, level = [list(s) for s in forest], len(forest[0])
+    large: dict[tuple[int, int], int] = {}
+    before: dict[tuple[int, int], int] = {}
+    while True:
+        rows = classes.select("vec").mapInArrow(measured(forest, level, margin, seed), "tree int, leaf long, at double")
+        found = rows.groupBy("tree", "leaf").agg(F.count("*").alias("n"), F.percentile_approx("at", 0.5, 200).alias("middle")).filter(F.col("n") > block_rows).toArrow()
+        now = {(t, x): (n, m) for t, x, n, m in zip(*(c.to_pylist() for c in found.columns), strict=True)}
+        stuck = {(t, x >> 1) for (t, x), (n, _) in now.items() if before and n > HELPS * before[t, x >> 1]}
+        for t, splits in enumerate(forest):
+            if back := [x for u, x in stuck if u == t]:
+                ids, cuts = splits[-1]
+                stays = ~np.isin(ids, back)
+                splits[-1] = ids[stays], cuts[stays]
+        large |= {k: before[k] for k in stuck}
+        still = {k: v for k, v in now.items() if (k[0], k[1] >> 1) not in stuck}
+        if not still or level == DEEPEST:
+            return forest, large | {k: n for k, (n, _) in still.items()}
+        for t, splits in enumerate(forest):
+            own = sorted((x, m) for (u, x), (_, m) in still.items() if u == t)
+            splits.append((np.array([x for x, _ in own], np.int64), np.array([m for _, m in own])))
+        before, level = {k: n for k, (n, _) in still.items()}, level + 1
+
+
+def planted(forest: list[Splits], large: dict[tuple[int, int], int], block_rows: int, margin: float, seed: int):
+    """(cls, vec) to (cls, vec, own, tree, leaf, p, q): a row goes to each pair (p <= q) of blocks of its leaf that has its
+    own block. Leaves that are not large are one block."""
+    blocks = []
+    for tree in range(len(forest)):
+        own = sorted((leaf, -(-n // block_rows)) for (t, leaf), n in large.items() if t == tree)
+        blocks.append((np.array([x for x, _ in own], np.int64), np.array([b for _, b in own], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
-                v = unit(matrix(batch.column(1)))
-                for tree, own in enumerate(cuts):
-                    row, leaf = descend(v @ directions(v.shape[1], levels, tree, seed), own, levels, margin)
-                    at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(row), tree, np.int32)), pa.array(leaf)], ["cls", "vec", "tree", "leaf"])
+                v, mixed = unit(matrix(batch.column(1))), batch.column(0).to_numpy().view(np.uint64) >> np.uint64(11)
+                for tree, splits in enumerate(forest):
+                    row, leaf = descend(v, splits, margin, tree, seed)
+                    ids, counts = blocks[tree]
+                    n = np.ones(len(row), np.int64)
+                    if len(ids):
+                        at = np.minimum(np.searchsorted(ids, leaf), len(ids) - 1)
+                        n = np.where(ids[at] == leaf, counts[at], 1)
+                    own = (mixed[row] % n.astype(np.uint64)).astype(np.int64)
+                    ends = np.cumsum(n)
+                    for a in range(0, int(n.sum()), 20_000):
+                        copy = np.arange(a, min(a + 20_000, ends[-1]))
+                        i = np.searchsorted(ends, copy, side="right")
+                        other = copy - (ends - n)[i]
+                        at = pa.array(row[i])
+                        cells = (own[i], np.full(len(i), tree), leaf[i], np.minimum(own[i], other), np.maximum(own[i], other))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, cells)], ["cls", "vec", "own", "tree", "leaf", "p", "q"])
 
     return run
 
 
-def linked(least: float):
-    """A leaf's links: all its pairs are compared, whatever other leaves hold them too."""
+def linked(forest: list[Splits], least: float, margin: float, seed: int):
+    """The links of a leaf, or between two blocks of one. Pairs that meet elsewhere too (in a smaller leaf of this tree or
+    in an earlier tree) are left to that leaf, which compares all its pairs: which leaves a row reaches is worked out again
+    from its vector, by exact sums."""
 
     def run(table: pa.Table) -> pa.Table:
-        cls, v = table.column("cls").to_numpy(), unit(matrix(table.column("vec")))
-        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(v), 1000):
-            a, b = np.nonzero(np.triu(v[lo : lo + 1000] @ v[lo:].T >= least, 1))
-            x.append(cls[lo + a])
-            y.append(cls[lo + b])
-        x, y = np.concatenate(x), np.concatenate(y)
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+        cls, v, own = table.column("cls").to_numpy(), unit(matrix(table.column("vec"))), table.column("own").to_numpy()
+        tree, leaf, p, q = (table.column(c)[0].as_py() for c in ("tree", "leaf", "p", "q"))
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(left), 500):
+            close = v[left[lo : lo + 500]] @ v[right].T >= least
+            x, y = np.nonzero(np.triu(close, lo + 1) if p == q else close)
+            a.append(left[lo + x])
+            b.append(right[y])
+        x, y = np.concatenate(a), np.concatenate(b)
+        if len(x):
+            used = np.unique(np.r_[x, y])
+            where = np.zeros(len(v), np.int64)
+            where[used] = np.arange(len(used))
+            x, y = where[x], where[y]
+            met = np.zeros(len(x), bool)
+            for t in range(tree + 1):
+                row, reached = descend(v[used], forest[t], margin, t, seed)
+                row, reached = (row, reached) if t < tree else (row[reached < leaf], reached[reached < leaf])
+                names, column = np.unique(reached, return_inverse=True)
+                for lo in range(0, len(names), 64):  # 64 leaves at a time, a bit each
+                    mask = np.zeros(len(used), np.uint64)
+                    pick = (column >= lo) & (column < lo + 64)
+                    np.bitwise_or.at(mask, row[pick], np.uint64(1) << (column[pick] - lo).astype(np.uint64))
+                    met |= (mask[x] & mask[y]) != 0
+            x, y = cls[used[x[~met]]], cls[used[y[~met]]]
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
 
     return run
 
 
-def links_between(classes: DataFrame, n: int, dim: int, *, least: float, trees: int, spill: float, sample: int, seed: int) -> DataFrame:
-    """a, b (a < b): linked pairs of distinct vectors, by class."""
+def placed(classes: DataFrame, n: int, dim: int, *, least: float, trees: int, spill: float, sample: int, block_rows: int, seed: int) -> tuple[DataFrame, list[Splits], float]:
+    """The rows as they are compared, in groups of (tree, leaf, p, q), the forest and its margin."""
     margin = spill * float(np.sqrt(2 * (1 - least) / dim))
     picked = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(sample).toArrow()
     levels = max(0, min(int(np.ceil(np.log2(max(1, n / LEAF)))), int(np.log2(max(1, picked.num_rows / FEWEST)))))
     known = unit(matrix(picked.column("vec")))
-    cuts = [fitted(known, levels, margin, t, seed) for t in range(trees)]
-    rows = classes.select("cls", "vec").mapInArrow(planted(cuts, levels, margin, seed), "cls long, vec binary, tree int, leaf long")
-    return rows.groupBy("tree", "leaf").applyInArrow(linked(least), "a long, b long").distinct()
+    forest = [fitted(known, levels, margin, t, seed) for t in range(trees)]
+    forest, large = deepened(classes, forest, block_rows, margin, seed)
+    return classes.select("cls", "vec").mapInArrow(planted(forest, large, block_rows, margin, seed), "cls long, vec binary, own long, tree long, leaf long, p long, q long"), forest, margin
+
+
+def links_between(classes: DataFrame, n: int, dim: int, *, least: float, seed: int, **settings) -> DataFrame:
+    """a, b (a < b): linked pairs of distinct vectors, by class."""
+    rows, forest, margin = placed(classes, n, dim, least=least, seed=seed, **settings)
+    return rows.groupBy("tree", "leaf", "p", "q").applyInArrow(linked(forest, least, margin, seed), "a long, b long").distinct()
 
 
-def near_duplicates(table: DataFrame, *, least: float = 0.95, trees: int = 6, spill: float = 0.75, sample: int = 20_000, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(table: DataFrame, *, least: float = 0.95, trees: int = 6, spill: float = 0.75, sample: int = 20_000, block_rows: int = BLOCK_ROWS, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links (other rows linked directly), component_id (the smallest vec_id that links reach, itself
     included), kept (vec_id = component_id) of each row.
 
@@ -122,7 +222,7 @@ def near_duplicates(table: DataFrame, *, least: float = 0.95, trees: int = 6, sp
     if not dim:
         return alone
     classes = written(classes, "classes")
-    links = written(links_between(classes, count, dim, least=least, trees=trees, spill=spill, sample=sample, seed=seed), "pairs")
+    links = written(links_between(classes, count, dim, least=least, trees=trees, spill=spill, sample=sample, block_rows=block_rows, seed=seed), "pairs")
     sized = classes.select("cls", "n", "first")
     both = links.select("a", F.col("b").alias("cls")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("cls")))
     degree = both.join(sized, "cls").groupBy("a").agg(F.sum("n").alias("more")).withColumnRenamed("a", "cls")

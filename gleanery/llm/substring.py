@@ -1,13 +1,14 @@
 """Repeated token windows across a corpus, found by Rabin-Karp hashes that Spark counts.
 
 1. Each document's words are hashed, and a rolling polynomial over 35 of them gives a hash for every window. A block of
-   documents sends its hashes, dealt by their leading bits, as packed rows (hash bits and positions).
+   documents sends its hashes, dealt by their leading bits, as packed rows: with its position each hash that occurs once
+   in the block, and once each that occurs more often there, whose positions are known to count and stay with the block.
 2. Shuffled by those bits, hashes that occur more than once are found, and each block gets their positions back.
 3. Shuffled by block, positions become document spans; windows that overlap or touch merge into maximal intervals.
 4. The documents are joined with their intervals, and the covered words go.
 
-Every occurrence weighs eight bytes and all of a bucket's rows are of even size, so no window is hot, however often it
-repeats. The number of buckets follows the size of the text.
+So a window weighs at most one entry a block in its bucket, however often it repeats. The number of buckets follows the
+size of the text.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BLOCK_BYTES = 8 << 20
 BUCKET_BYTES, FEWEST = 16 << 20, 64
 SPAN = T.StructType().add("start", "long").add("end", "long")
 KEPT = T.StructType().add("kept", "binary").add("n_words", "long").add("n_removed", "long").add("spans", T.ArrayType(SPAN))
+#: n of a bucket's row: its hashes with positions, plus MANY for each hash without.
+MANY = 1 << 32
 MOVED = "block long, bucket long, n long, payload binary"
 
 
@@ -88,13 +91,20 @@ def windows_out(width: int, bits: int):
             return []
         a, b = (np.array([keys[i][k] for i in some], np.int64).view(np.uint64) for k in (0, 1))
         out = [(block, -1 - block % (1 << bits), len(some), put([a, b, counts[some].astype(np.uint64)]))]
+        order = np.argsort(hashes, kind="stable")
+        starts = np.flatnonzero(np.r_[True, hashes[order[1:]] != hashes[order[:-1]]])
+        times = np.diff(np.r_[starts, len(order)])
+        if (times > 1).any():
+            at = np.sort(order[np.repeat(times > 1, times)])
+            out.append((block, -1 - (1 << bits) - block % (1 << bits), len(at), put([np.diff(at, prepend=0).astype(np.uint64)])))
+        once, often = np.sort(order[starts[times == 1]]), order[starts[times > 1]]
         bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+        once = once[np.argsort(bucket[once], kind="stable")]
+        a, b = (np.searchsorted(bucket[x], np.arange((1 << bits) + 1)) for x in (once, often))
         rest = hashes & np.uint64((1 << (64 - bits)) - 1)
-        for k in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[k] : cuts[k + 1]]
-            out.append((block, int(k), len(at), put([rest[at], np.diff(at, prepend=0).astype(np.uint64)])))
+        for k in np.flatnonzero(np.diff(a) + np.diff(b)):
+            at, more = once[a[k] : a[k + 1]], often[b[k] : b[k + 1]]
+            out.append((block, int(k), len(at) + MANY * len(more), put([rest[np.r_[at, more]], np.diff(at, prepend=0).astype(np.uint64)])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +130,10 @@ def windows_out(width: int, bits: int):
 
 
 def repeated(table: pa.Table) -> pa.Table:
-    """Of a bucket's rows: the positions of hashes that occur more than once. A block's document row passes."""
+    """Of a bucket's rows: the positions of hashes that occur more than once. A block's own rows pass."""
     rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "bucket", "n", "payload")), strict=True))
     if rows and rows[0][1] >= 0:
-        pairs = [got(p, [n, n]) for _, _, n, p in rows]
+        pairs = [got(p, [n % MANY + n // MANY, n % MANY]) for _, _, n, p in rows]
         hashes = np.concatenate([h for h, _ in pairs])
         order = np.argsort(hashes, kind="stable")
         same = hashes[order][1:] == hashes[order][:-1]
@@ -131,9 +141,9 @@ def repeated(table: pa.Table) -> pa.Table:
         again[order[1:][same]] = True
         again[order[:-1][same]] = True
         out, start = [], 0
-        for (block, bucket, n, _), (_, gaps) in zip(rows, pairs, strict=True):
-            at = np.cumsum(gaps)[again[start : start + n]]
-            start += n
+        for (block, bucket, _, _), (own, gaps) in zip(rows, pairs, strict=True):
+            at = np.cumsum(gaps)[again[start : start + len(gaps)]]
+            start += len(own)
             if len(at):
                 out.append((block, bucket, len(at), put([np.diff(at, prepend=np.uint64(0))])))
         rows = out
@@ -141,11 +151,11 @@ def repeated(table: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(v, k) for c, v, k in zip(("block", "bucket", "n", "payload"), cells, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
 
-def spans_of(width: int):
+def spans_of(width: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         docs, found = None, []
         for bucket, n, payload in zip(*(table.column(c).to_pylist() for c in ("bucket", "n", "payload")), strict=True):
-            if bucket < 0:
+            if -(1 << bits) <= bucket < 0:
                 docs = got(payload, [n, n, n])
             else:
                 found.append(np.cumsum(got(payload, [n])[0]).astype(np.int64))
@@ -206,7 +216,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 35, id_col: str = "doc_id",
     i, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     rows = docs.select(*front, F.coalesce(i, F.lit(-1)).alias("k1"), F.xxhash64(i, text).alias("k2"), text.cast("binary").alias("text"))  # equal rows share a key, and their intervals are equal
     found = rows.select("k1", "k2", "text").mapInArrow(windows_out(width, bits), MOVED).groupBy("bucket").applyInArrow(repeated, MOVED)
-    spans = found.groupBy("block").applyInArrow(spans_of(width), "k1 long, k2 long, starts array<long>, ends array<long>")
+    spans = found.groupBy("block").applyInArrow(spans_of(width, bits), "k1 long, k2 long, starts array<long>, ends array<long>")
     spans = spans.groupBy("k1", "k2").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
     joined = rows.join(spans, ["k1", "k2"], "left").drop("k1", "k2")
     head = joined.drop("text", "starts", "ends")

@@ -163,6 +163,11 @@ def test_substrings(docs, none):
     spans = {r["doc_id"]: r["spans"] for r in substring.remove_repeats(docs).filter("n_removed > 0").collect()}
     assert [tuple(s) for s in spans[6]] == [(2, 52)]
 
+def test_a_window_weighs_one_entry_a_block(spark):
+    docs = spark.createDataFrame([(i, 0, b"word " * 2000) for i in range(20)], "k1 long, k2 long, text binary").repartition(2)
+    sent = docs.mapInArrow(substring.windows_out(35, 6), substring.MOVED).filter("bucket >= 0").collect()
+    assert 0 < sum(r["n"] % (1 << 32) + r["n"] // (1 << 32) for r in sent) <= 2
+
 PII = ["", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "999.1.1.1 255.255.255.0", "+1 (389) 555-5010 and 4111 1111 1111 1111", "ö+49 (0)30 123456-78 ü a.b@c.d. z@@q.w.e", "a@b.c" * 5, None, "1.2.3.4+1 (2) 3456789"]
 
 def plain_spans(text):

@@ -1,13 +1,13 @@
 """Personal data by patterns, and the terms around it that give it away, with DataFrame functions only.
 
 Base kinds (email, ip, card, phone) are matched by regular expressions and checked. Each valid match is a mention of a
-protected entity. Terms near its mentions are weighed by pointwise mutual information over the corpus: a term t discloses
+protected entity. The terms of the documents that hold it are weighed by pointwise mutual information over the corpus: a term t discloses
 an entity e by PMI(e; t) / IC(e), the share of e's information that seeing t gives away, where
 IC(e) = -log2 p(e) and all probabilities are shares of documents. Terms at or above `generalise_at` are generalised, at or
-above `remove_at` removed.
+above `remove_at` removed, wherever they stand in a document that holds the entity.
 
 Positions come from splitting a text by a pattern: the lengths of gaps and matches add up, by a running sum over the few
-rows that matches make. Texts themselves are never shuffled for detection.
+rows that matches make. Only texts that may hold an entity are shuffled, to meet the entities that enough documents hold.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ WORD = r"\p{L}{3,}"
 
 
 def cut(text: Column, pattern: str, hint: str) -> Column:
-    """Array of (m, gap, after): each match of the pattern, the text before it (since the last match) and after it (up to
-    the next). Both passes over the text are made once."""
+    """Array of (m, g): each match of the pattern and the text before it, since the last match. Both passes over the text are made once."""
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
     return F.when(text.rlike(hint), found)
 
@@ -61,57 +60,66 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     return docs.select(i.alias("doc_id"), F.coalesce(i, F.lit(-1)).alias("k1"), F.xxhash64(i, text).alias("k2"), text.alias("text"), *more)
 
 
-def base_spans(rows: DataFrame, context: int) -> DataFrame:
-    """k1, k2, kind (position in KINDS), start, end, entity, and the characters before and after each valid match."""
+def base_spans(rows: DataFrame) -> DataFrame:
+    """k1, k2, kind (position in KINDS), start, end and entity of each valid match."""
 
     def of(kind: int) -> Column:
         name = KINDS[kind]
         pairs = cut(F.col("text"), PATTERNS[name], HINTS[name])
-        pairs = F.transform(pairs, lambda z: F.struct(z["m"].alias("m"), F.length(z["g"]).alias("gap"), F.right(z["g"], F.lit(context)).alias("before"), F.left(z["g"], F.lit(context)).alias("lead")))
-        return F.coalesce(F.transform(pairs, lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), z["m"].alias("m"), z["gap"].alias("gap"), z["before"].alias("before"), z["lead"].alias("lead"))), F.array())
+        pairs = F.transform(pairs, lambda z: F.struct(z["m"].alias("m"), F.length(z["g"]).alias("gap")))
+        return F.coalesce(F.transform(pairs, lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), z["m"].alias("m"), z["gap"].alias("gap"))), F.array())
 
     cells = rows.select("k1", "k2", F.explode(F.concat(*[of(k) for k in range(len(KINDS))])).alias("x")).select("k1", "k2", "x.*").distinct()
     run = Window.partitionBy("k1", "k2", "kind").orderBy("i")
     upto = F.sum(F.col("gap") + F.coalesce(F.length("m"), F.lit(0))).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = cells.withColumn("end", upto).withColumn("after", F.lead("lead").over(run)).filter("m is not null")
+    placed = cells.withColumn("end", upto).filter("m is not null")
     placed = placed.filter(valid(F.col("kind"), F.col("m")))
     same = F.when(F.col("kind") >= 2, digits(F.col("m"))).otherwise(F.lower("m"))
-    return placed.select("k1", "k2", "kind", (F.col("end") - F.length("m")).alias("start"), "end", F.concat_ws(":", F.col("kind").cast("string"), same).alias("entity"), "before", F.coalesce("after", F.lit("")).alias("after"))
+    return placed.select("k1", "k2", "kind", (F.col("end") - F.length("m")).alias("start"), "end", F.concat_ws(":", F.col("kind").cast("string"), same).alias("entity"))
 
 
-def context_terms(spans: DataFrame) -> DataFrame:
-    """k1, k2, entity, term, start, end of the words near each mention."""
+def terms_of(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
-    def of(side: Column, begin: Column) -> Column:
-        words, gaps = F.regexp_extract_all(side, F.lit(WORD), F.lit(0)), F.split(side, WORD, -1)
-        pairs = F.filter(F.arrays_zip(words.alias("w"), gaps.alias("g")), lambda z: z["w"].isNotNull())
-        # at most `context` characters: each word's place is the sum of what is before it
-        return F.aggregate(
-            pairs,
-            F.struct(begin.cast("long").alias("at"), F.array().cast("array<struct<term:string,start:bigint,end:bigint>>").alias("out")),
-            lambda a, z: F.struct(
-                (a["at"] + F.length(z["g"]) + F.length(z["w"])).alias("at"),
-                F.array_append(a["out"], F.struct(F.lower(z["w"]).alias("term"), (a["at"] + F.length(z["g"])).cast("long").alias("start"), (a["at"] + F.length(z["g"]) + F.length(z["w"])).cast("long").alias("end"))).alias("out"),
-            ),
-            lambda a: a["out"],
-        )
 
-    both = F.concat(of(F.col("before"), F.col("start") - F.length("before")), of(F.col("after"), F.col("end")))
-    return spans.select("k1", "k2", "entity", F.explode(both).alias("x")).select("k1", "k2", "entity", "x.*")
+def holders(rows: DataFrame, spans: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """k1, k2, text and entities of the documents that hold an entity of `support` documents or more, once each; and
+    entity, n_e of those."""
+    pairs = spans.select("k1", "k2", "entity").distinct()
+    entities = pairs.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
+    held = pairs.join(entities.select("entity"), "entity").groupBy("k1", "k2").agg(F.collect_list("entity").alias("entities"))
+    hinted = F.col("text").rlike("|".join(f"(?:{x})" for x in HINTS.values()))
+    return rows.select("k1", "k2", "text").filter(hinted).join(held, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("entities").alias("entities")), entities
+
+
+def placed(text: Column, marks: Column) -> Column:
+    """Spans (start, kind, end, label) of all words of a text that `marks` (array of term, action) names."""
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"), F.split(text, WORD, -1).alias("g"))
+    pairs = F.filter(pairs, lambda z: z["w"].isNotNull())
+    actions = F.map_from_entries(marks)
+
+    def step(a: Column, z: Column) -> Column:
+        begin = a["at"] + F.length(z["g"])
+        end = begin + F.length(z["w"])
+        action = F.try_element_at(actions, F.lower(z["w"]))
+        span = F.struct(begin.alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"), F.when(action == "remove", "").otherwise("[TERM]").alias("label"))
+        return F.struct(end.alias("at"), F.when(action.isNotNull(), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,label:string>>").alias("out"))
+    return F.aggregate(pairs, start, step, lambda a: a["out"])
 
 
 def document_frequencies(rows: DataFrame) -> DataFrame:
     """term, n_t: in how many rows each word occurs, over the whole table."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    return rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    return rows.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
-def disclosures(rows: DataFrame, spans: DataFrame, terms: DataFrame, *, support: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """entity, term, share, action of the terms that give an entity away. Terms near fewer than `support` documents'
-    mentions of the entity are left alone: one text says nothing about a pair."""
+def disclosures(rows: DataFrame, entities: DataFrame, terms: DataFrame, *, support: int, generalise_at: float, remove_at: float) -> DataFrame:
+    """entity, term, share, action of the terms that give an entity away. Terms in fewer than `support` documents that
+    hold the entity are left alone: one text says nothing about a pair."""
     total = rows.agg(F.count("*").alias("n"))
-    entities = spans.select("k1", "k2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
-    pairs = terms.select("k1", "k2", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
+    pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
     joined = pairs.join(entities, "entity").join(document_frequencies(rows), "term").crossJoin(F.broadcast(total))
     content = F.log2(F.col("n") / F.col("n_e"))
     mutual = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
@@ -120,18 +128,20 @@ def disclosures(rows: DataFrame, spans: DataFrame, terms: DataFrame, *, support:
     return found.withColumn("action", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise"))
 
 
-def detect(docs: DataFrame, *, context: int = 64, support: int = 3, generalise_at: float = 0.9, remove_at: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect(docs: DataFrame, *, support: int = 3, generalise_at: float = 0.9, remove_at: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k1, k2, base (start, kind, end) and spans (start, kind, end, label) of each row that holds personal data: sorted by
-    start and kind, code points, end exclusive. Added spans have kind len(KINDS) and never overlap base ones."""
+    start and kind, code points, end exclusive. Added spans have kind len(KINDS) and never overlap base ones: all words of
+    a text that give away an entity which it holds."""
     rows = keyed(docs, id_col, text_col)
-    spans = base_spans(rows, context)
-    terms = context_terms(spans)
-    given = disclosures(rows, spans, terms, support=support, generalise_at=generalise_at, remove_at=remove_at)
-    added = terms.join(given, ["entity", "term"]).groupBy("k1", "k2", "start", "end").agg(F.max("action").alias("action"))
+    spans = base_spans(rows)
+    held, entities = holders(rows, spans, support)
+    terms = held.select("k1", "k2", F.explode("entities").alias("entity"), terms_of(F.col("text")).alias("terms")).select("k1", "k2", "entity", F.explode("terms").alias("term"))
+    given = disclosures(rows, entities, terms, support=support, generalise_at=generalise_at, remove_at=remove_at)
+    marks = terms.join(given, ["entity", "term"]).groupBy("k1", "k2", "term").agg(F.max("action").alias("action"))
+    marks = marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("term", "action")).alias("marks"))
+    added = held.join(marks, ["k1", "k2"]).select("k1", "k2", F.explode(placed(F.col("text"), F.col("marks"))).alias("s"))
     labels = F.when(F.col("kind") == 0, "[EMAIL]").when(F.col("kind") == 1, "[IP]").when(F.col("kind") == 2, "[CARD]").otherwise("[PHONE]")
-    every = spans.select("k1", "k2", F.struct(F.col("start").cast("long").alias("start"), F.col("kind"), F.col("end").cast("long").alias("end"), labels.alias("label")).alias("s")).unionByName(
-        added.select("k1", "k2", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end", F.when(F.col("action") == "remove", "").otherwise("[TERM]").alias("label")).alias("s"))
-    )
+    every = spans.select("k1", "k2", F.struct(F.col("start").cast("long").alias("start"), F.col("kind"), F.col("end").cast("long").alias("end"), labels.alias("label")).alias("s")).unionByName(added)
     grouped = every.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("s")).alias("all"))
     base = F.filter("all", lambda s: s["kind"] < len(KINDS))
     grouped = grouped.withColumn("base", base)

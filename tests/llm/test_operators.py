@@ -195,6 +195,14 @@ def test_terms_that_give_an_entity_away(spark):
     assert found[0] == "term:12:19,email:23:30" or "term:12:19" in found[0] and "email:23:30" in found[0]
     assert all(found[i] == "" for i in range(4, 60))
 
+def test_terms_far_from_the_mention_give_it_away_too(spark):
+    far = " and the board met again" * 5
+    rows = [(i, f"Zorblax wrote{far} to z@x.org{far} for zorblax {i}") for i in range(4)] + [(i, f"the board met again and wrote to the one for item {i}") for i in range(4, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.report(docs).collect()}
+    assert [found[i]["n_term"] for i in (0, 3, 9)] == [2, 2, 0] and found[0]["spans"].startswith("term:0:7,email:")
+    assert "zorblax" not in pii.sanitise(docs, keep=["doc_id", "text"]).filter("doc_id = 1").first()["text"].lower()
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, id long, label int")
 

@@ -13,14 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Bounded, steps, text_rows
+from .common import Bounded, steps, text_rows, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
+#: Trigrams that each language may keep, however many languages share `max_grams`.
+LEAST_GRAMS = 300
 
 
 def grams(word: str) -> list[str]:
@@ -56,21 +58,25 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log-likelihoods of trigrams by language; a row more stands for trigrams that training didn't keep."""
+    """Log-likelihoods of trigrams by language; a row more stands for trigrams that training didn't keep. `totals`: a
+    language's count of all its trigrams, kept or not."""
 
-    def __init__(self, rows: list[tuple[str, str, int]], smoothing: float):
+    def __init__(self, rows: list[tuple[str, str, int]], smoothing: float, totals: dict[str, int] | None = None):
         self.langs = sorted({r[0] for r in rows})
         self.row = {g: i for i, g in enumerate(sorted({r[1] for r in rows}))}
         n = np.zeros((len(self.row) + 1, len(self.langs)))
         at = {x: i for i, x in enumerate(self.langs)}
         for lang, gram, count in rows:
             n[self.row[gram], at[lang]] = count
-        self.log = np.log((n + smoothing) / (n.sum(axis=0) + smoothing * len(n))) if self.langs else n
+        total = np.array([totals[x] for x in self.langs], float) if totals else n.sum(axis=0)
+        self.log = np.log((n + smoothing) / (total + smoothing * len(n))) if self.langs else n
 
 
 def fit(train: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", docs_per_language: int = 10_000, max_grams: int = 60_000, max_languages: int = 1000, smoothing: float = 0.5) -> Model:
     """Learn from labelled rows. Each language gives about `docs_per_language` documents, picked by a hash of the id;
-    the `max_grams` most frequent (language, trigram) counts reach the driver: both bounds hold at every size."""
+    its most frequent trigrams reach the driver, at most an even share of `max_grams` or LEAST_GRAMS if that is more, and
+    so do all its trigrams' total, by which it is normalised. The bounds hold at every size, and no language is crowded
+    out by others."""
     rows = train.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").alias("doc_id"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = rows.groupBy("lang").count().limit(max_languages + 1).collect()
@@ -81,8 +87,11 @@ def fit(train: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id_
     share = F.create_map([x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1 << 20, -(-docs_per_language << 20) // r["count"])))])
     rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")])
     found = rows.select("lang", "text").mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).collect()
-    return Model([(r["lang"], r["gram"], r["n"]) for r in top], smoothing)
+    found = written(found, "grams")
+    totals = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    each = max(LEAST_GRAMS, max_grams // max(1, len(totals)))
+    top = found.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= each).collect()
+    return Model([(r["lang"], r["gram"], r["n"]) for r in top], smoothing, totals)
 
 
 def mixture(log: np.ndarray, penalty: float, rounds: int = 30) -> dict[int, float]:
@@ -159,7 +168,7 @@ def predict(docs: DataFrame, model: Model, *, penalty: float = 2.0, id_col: str
     go to the language first in order. Null or repeated ids and repeated rows give a row each; an empty table gives an
     empty one. `keep`: columns of the input to return in front instead of doc_id.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_grams rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a bounded number of rows a language
     names = ["doc_id"] if keep is None else keep
     front = [F.col(f"`{id_col}`").cast("long").alias("c0")] if keep is None else [F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(names)]
     rows = docs.select(*front, F.col(f"`{text_col}`").cast("string").alias("text"))

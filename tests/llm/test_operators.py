@@ -95,6 +95,16 @@ def test_language(spark, none):
     assert langid.predict(none, model).count() == 0
     assert langid.predict(asked, langid.Model([], 0.5)).filter("lang_pred <> 'und'").count() == 0
 
+def test_language_with_little_text_keeps_its_trigrams(spark):
+    """A language's few counts are not crowded out by those of a large one."""
+    rng = np.random.default_rng(1)
+    big = [(i, "en", " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400))) for i in range(40)]
+    model = langid.fit(spark.createDataFrame([*big, (99, "eo", "kvin ruzo zorgo")], "doc_id long, lang string, text string"), max_grams=400)
+    assert model.langs == ["en", "eo"]
+    assert langid.predict(spark.createDataFrame([(1, "zorgo kvin ruzo")], "doc_id long, text string"), model).first()["lang_pred"] == "eo"
+    n = np.exp(model.log[:, 0])  # normalised by all trigrams of the language, not by those kept
+    assert n.sum() < 0.95
+
 def test_toxicity(spark, none):
     clean, bad = "sun moon river stone field cloud tree bird".split(), "idiot scum".split()
     rows = [(i, " ".join(clean[(i + k) % 8] for k in range(5)) + (f" {bad[i % 2]}" * (1 + i % 3) + (" scum" if i % 4 == 0 else "") if i % 3 == 0 else "")) for i in range(120)]

@@ -93,24 +93,22 @@ class PieceCounter:
         chars, inverse = np.unique(codes, return_inverse=True)
         ids = np.array([self.ids.get(chr(c), -1) for c in chars.tolist()], np.int64)
         wide = np.array([1 if i >= 0 and self.known[i] else len(chr(c).encode()) for c, i in zip(chars.tolist(), ids.tolist(), strict=True)], np.int64)
-        sym, seq = ids[inverse], word
-        out = np.bincount(word[sym < 0], wide[inverse][sym < 0], len(words)).astype(np.int64)
+        sym = ids[inverse]
+        known = sym >= 0
+        out = np.bincount(word[~known], wide[inverse][~known], len(words)).astype(np.int64)
+        # no pair spans two words or a character that the model lacks: a new sequence starts there
+        new = np.r_[True, (word[1:] != word[:-1]) | ~known[:-1]]
         if (lengths > LONG).any() and len(self.beside):
             pair = (codes[:-1] << 21) | codes[1:]
             at = np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)
-            new = np.r_[True, (self.beside[at] != pair) | (word[1:] != word[:-1])]
-            seq = np.cumsum(new) - 1
-            word = word[new]
-        else:
-            word = np.arange(len(words))
-        # sequences are numbered without gaps; `word` leads from a sequence to its word
-        keep = sym >= 0
-        sym, seq = sym[keep], seq[keep]
-        nearby = np.diff(np.flatnonzero(keep)) == 1
+            new[1:] |= self.beside[at] != pair
+        seq = np.cumsum(new) - 1
+        word = word[new]  # from a sequence to its word
+        sym, seq = sym[known], seq[known]
         rank, made = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
         if len(sym) > 1:
             rank[:-1], made[:-1] = self.look(sym[:-1], sym[1:])
-            rank[:-1][(seq[:-1] != seq[1:]) | ~nearby] = NONE
+            rank[:-1][seq[:-1] != seq[1:]] = NONE
         while len(sym):
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             low = np.minimum.reduceat(rank, starts)

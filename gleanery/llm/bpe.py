@@ -2,7 +2,7 @@
 
 1. Blocks of documents are exploded into pre-tokens with positions. A block's distinct pre-tokens leave it in one packed
    row for each hash bucket; their positions leave it in one packed row.
-2. Shuffled by bucket, every distinct pre-token is encoded once, and each block gets the ids of its own back.
+2. Shuffled and sorted by bucket, every distinct pre-token is encoded once, and each block gets the ids of its own back.
 3. Shuffled by block, ids and positions meet, and the documents are put together again.
 
 A frequent pre-token is one entry in a block's packed row, whatever its count, so no key is hot. Decoding joins the ids
@@ -12,6 +12,7 @@ with the token-byte table, whose size is the vocabulary's.
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,14 +26,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import Bounded, steps, text_rows
+from .common import Bounded, ragged, steps, text_rows
 
 #: The white space of Unicode; a pre-token never runs from another character into white space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-MOVED = "block long, bucket int, n long, payload binary"
-#: Text bytes in a block, and hash buckets that a block's pre-tokens are dealt to.
-BLOCK_BYTES, BUCKETS = 8 << 20, 256
+MOVED = "block long, bucket long, n long, payload binary"
+#: Text bytes in a block.
+BLOCK_BYTES = 8 << 20
+
+
+def bucket_count(size: int) -> int:
+    """Hash buckets for `size` bytes of text: 256 for a gigabyte and below, then growing with its square root (about
+    80,000 for 100 TB), so that both a bucket's share of the words and a block's rows stay moderate."""
+    return max(256, math.isqrt((size << 16) >> 30))
+
+
 
 
 def token_bytes(ranks_file: str) -> dict[bytes, int]:
@@ -41,10 +50,11 @@ def token_bytes(ranks_file: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def encoding(ranks_file: str, pattern: str):
+def piece_encoding(ranks_file: str):
+    """The library's encoder for strings that are one pre-token each."""
     import tiktoken
 
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=token_bytes(ranks_file), special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=token_bytes(ranks_file), special_tokens={})
 
 
 @lru_cache(maxsize=2)
@@ -81,7 +91,7 @@ def unpacked(blob: bytes, arrays: int) -> list[np.ndarray]:
 
 
 def moved(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "bucket", "n", "payload"])
 
 
@@ -102,10 +112,11 @@ class Block:
         self.ids += ids
         self.size += sum(map(len, texts))
 
-    def rows(self, block: int) -> list[tuple]:
-        """The block's documents and positions (bucket -1), then its distinct pre-tokens by bucket."""
+    def rows(self, block: int, buckets: int) -> list[tuple]:
+        """The block's documents and positions (under a negative number of its own), then its distinct pre-tokens by
+        bucket."""
         words = [t.encode() for t in self.tokens]
-        bucket = np.fromiter((xxh64_intdigest(w) % BUCKETS for w in words), np.int64, len(words))
+        bucket = np.fromiter((xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
         codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.uint32)
         seen = np.bincount(codes, minlength=len(words))
         # positions name pre-tokens by falling frequency, then by first appearance: those seen once come last, in the order
@@ -118,13 +129,12 @@ class Block:
         null = np.array([i is None for i in self.ids], np.uint32)
         ids = np.array([i or 0 for i in self.ids], np.int64).view(np.uint64)
         docs = [(ids & 0xFFFFFFFF).astype(np.uint32), (ids >> np.uint64(32)).astype(np.uint32), null, np.array(self.lengths, np.uint32)]
-        out = [(block, -1 - block % BUCKETS, len(self.ids), packed([*docs, bucket[by_name], np.minimum(name[codes], once)]))]
-        cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-        for b in range(BUCKETS):
-            if cuts[b] < cuts[b + 1]:
-                own = [words[i] for i in order[cuts[b] : cuts[b + 1]]]
-                sizes = packed([np.array([len(w) for w in own], np.uint32)])
-                out.append((block, b, len(own), len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(own))))
+        out = [(block, -1 - block, len(self.ids), packed([*docs, bucket[by_name], np.minimum(name[codes], once)]))]
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            own = [words[i] for i in order[cuts[b] : cuts[b + 1]]]
+            sizes = packed([np.array([len(w) for w in own], np.uint32)])
+            out.append((block, b, len(own), len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(own))))
         return out
 
 
@@ -136,47 +146,46 @@ def words_of(payload: bytes) -> list[bytes]:
     return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def exploded(pattern: str):
+def exploded(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n, block = TaskContext.get().partitionId() << 32, 0, Block()
         for batch in batches:
             for part in steps(batch, most=1 << 20):
                 block.add(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()], pattern)
                 if block.size >= BLOCK_BYTES:
-                    yield moved(block.rows(first + n))
+                    yield moved(block.rows(first + n, buckets))
                     block, n = Block(), n + 1
         if block.ids:
-            yield moved(block.rows(first + n))
+            yield moved(block.rows(first + n, buckets))
 
     return run
 
 
-def encoded_once(ranks_file: str, pattern: str):
+def encoded_once(ranks_file: str):
+    """Rows come sorted by bucket; what is known of a bucket's words is dropped at its end."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoding(ranks_file, pattern)._core_bpe.encode_single_piece
-        cache = Bounded(400_000)  # of this partition's share of all distinct pre-tokens
+        one = piece_encoding(ranks_file).encode_ordinary
+        known, of = Bounded(1_000_000), None
         for batch in batches:
             for i in range(batch.num_rows):
                 block, bucket, n, payload = (batch.column(c)[i].as_py() for c in range(4))
                 if bucket >= 0:
+                    if bucket != of:
+                        known.clear()
+                        of = bucket
                     words = words_of(payload)
-                    cache.room(len(words))
+                    known.room(len(words))
                     for w in words:
-                        if w not in cache:
-                            cache[w] = np.array(one(w), "<u4").tobytes()
-                    ids = [cache[w] for w in words]
+                        if w not in known:
+                            known[w] = np.array(one(w.decode()), "<u4").tobytes()
+                    ids = [known[w] for w in words]
                     payload = packed([np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4")])
                 yield moved([(block, bucket, n, payload)])
 
     return run
 
 
-def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs values[starts[i] : starts[i] + sizes[i]], one after another."""
-    ends = np.cumsum(sizes)
-    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
-
 def assembled(table: pa.Table) -> pa.Table:
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "n", "payload")), strict=True))
     docs = next((r for r in rows if r[0] < 0), None)
@@ -215,8 +224,10 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc
     A null text counts as empty: no ids. Null or repeated ids and repeated rows give a row each; an empty table gives an
     empty one; further columns are not carried.
     """
-    out = text_rows(docs, id_col, text_col).mapInArrow(exploded(pattern), MOVED)
-    out = out.repartition(F.col("bucket")).mapInArrow(encoded_once(ranks_file, pattern), MOVED)
+    rows = text_rows(docs, id_col, text_col)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    out = rows.mapInArrow(exploded(pattern, bucket_count(size)), MOVED)
+    out = out.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(encoded_once(ranks_file), MOVED)
     return out.groupBy("block").applyInArrow(assembled, "doc_id long, n_tokens long, ids binary")
 
 

@@ -9,33 +9,33 @@ need no padding. Packing runs inside each partition of the scan, so no text is s
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import Bounded, steps, text_rows
+from .common import ragged, steps, text_rows
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-#: Characters at which str.split() cuts though they are no white space to the tokenizer.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-
-
-#: A run that is one Latin word and then punctuation: two pre-tokens, and case is all that the normaliser changes.
-PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
+#: A run that is one Latin word and then ASCII punctuation without the apostrophe: two pre-tokens at most, and case is all
+#: that the normaliser changes.
+PLAIN = r"^(?P<word>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<rest>[!-&(-/:-@\[-`{-~]*)$"
 
 
 class WordEncoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, by a lower-casing tokenizer that drops white space and
-    never merges across it. Each run without white space is encoded once and kept; plain runs share the ids of their
-    lower-cased word, and new words are encoded many at a time, as each one's last token carries the end-of-word mark."""
+    """Token ids of texts by a lower-casing tokenizer that drops white space and never merges across it.
+
+    A step's texts are cut at ASCII white space; its distinct runs are split into a lower-cased word and its punctuation
+    where that is all they are. Each of these keys is encoded once and kept, and arrays of places put the texts together
+    again. Keys of one pre-token are encoded many at a time, as each one's last token carries the end-of-word mark.
+    """
 
-    def __init__(self, tokenizer_file: str, runs: int = 150_000, words: int = 350_000):
+    def __init__(self, tokenizer_file: str, keys: int):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer_file)
@@ -46,51 +46,73 @@ class WordEncoder:
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         if mark:
             self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith(mark)]] = True
-        self.marked = bool(mark)
-        self.runs, self.words = Bounded(runs), Bounded(words)
-
-    def learn(self, new: list[str]) -> None:
-        """Encode new words (each one pre-token), a thousand to a call."""
-        self.words.room(len(new))
-        for lo in range(0, len(new), 1000):
-            part = new[lo : lo + 1000]
-            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cut) != len(part):
-                raise ValueError("a word without an end-of-word mark")
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(part, cut.tolist(), strict=True):
-                self.words[w] = raw[start:end]
-                start = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [re.findall(r"[^ \t\n\r\x0b\x0c]+", t) if SEPARATORS.search(t) else t.split() for t in texts]
-        new = set().union(*runs)
-        self.runs.room(len(new))
-        plain, other = [], []
-        for w in new:
-            if w in self.runs:
-                continue
-            found = PLAIN.fullmatch(w) if self.marked else None
-            if found:
-                plain.append((w, found[1].lower(), found[2]))
+        self.marked, self.most = bool(mark), keys
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.sizes, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def each(self, keys: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(keys, add_special_tokens=False)]
+
+    def learn(self, single: list[str], other: list[str]) -> None:
+        """Encode new keys: those of one pre-token a hundred to a call, and others."""
+        sizes, ids = [], []
+        for lo in range(0, len(single), 100):
+            part = single[lo : lo + 100]
+            found = self.each([" ".join(part)])[0]
+            ends = np.flatnonzero(self.ends[found]) + 1
+            if len(ends) == len(part):
+                sizes.append(np.diff(ends, prepend=0))
+                ids.append(found)
             else:
-                other.append(w)
-        if plain:
-            words = {x for p in plain for x in p[1:] if x}
-            self.words.room(len(words))
-            self.learn([w for w in words if w not in self.words])
-            get = self.words.__getitem__
-            self.runs.update((w, get(word) + get(rest) if rest else get(word)) for w, word, rest in plain)
-        for w, e in zip(other, self.model.encode_batch(other, add_special_tokens=False), strict=True):
-            self.runs[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.runs.__getitem__
-        return [b"".join(map(get, ws)) for ws in runs]
+                apart = self.each(part)
+                sizes.append([len(x) for x in apart])
+                ids += apart
+        apart = self.each(other)
+        sizes.append([len(x) for x in apart])
+        self.keys = pa.concat_arrays([self.keys, pa.array(single, pa.string()), pa.array(other, pa.string())])
+        self.sizes, self.ids = np.concatenate([self.sizes, *sizes]).astype(np.int64), np.concatenate([self.ids, *ids, *apart])
+
+    def places(self, single: pa.Array, other: pa.Array) -> list[np.ndarray]:
+        """Where in `keys` these are; new ones are learned first."""
+
+        def unknown() -> list[pa.Array]:
+            return [pc.unique(x.filter(pc.is_null(pc.index_in(x, value_set=self.keys)))) for x in (single, other)]
+
+        new = unknown()
+        if any(map(len, new)):
+            if len(self.keys) + sum(map(len, new)) > self.most:
+                self.forget()
+                new = unknown()
+            self.learn(*(x.to_pylist() for x in new))
+        return [pc.index_in(x, value_set=self.keys).to_numpy(zero_copy_only=False) for x in (single, other)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text ends."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = cut.flatten().dictionary_encode()
+        runs, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        found = pc.extract_regex(runs, PLAIN) if self.marked else pa.nulls(len(runs), pa.struct([("word", pa.string()), ("rest", pa.string())]))
+        word, rest = pc.utf8_lower(pc.struct_field(found, "word")), pc.struct_field(found, "rest")
+        plain, ends = pc.is_valid(found), pc.fill_null(pc.not_equal(rest, ""), False)
+        own, tail = (x.to_numpy(zero_copy_only=False) for x in (plain, ends))
+        single, other = self.places(pa.concat_arrays([word.filter(plain), rest.filter(ends)]), runs.filter(pc.invert(plain)))
+        # each run is at most two keys; the place after the last key stands for none
+        pair = np.full((len(runs), 2), len(self.keys), np.int64)
+        pair[own, 0], pair[~own, 0], pair[tail, 1] = single[: int(own.sum())], other, single[int(own.sum()) :]
+        sizes = np.r_[self.sizes, 0]
+        of_key = sizes[pair.ravel()]
+        flat = ragged(self.ids, (np.cumsum(sizes) - sizes)[pair.ravel()], of_key)
+        of_run = of_key.reshape(-1, 2).sum(axis=1)
+        size = of_run[code]
+        ends_at = np.r_[0, np.cumsum(size)][np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))]
+        return ragged(flat, (np.cumsum(of_run) - of_run)[code], size), ends_at
 
 
 @lru_cache(maxsize=2)
-def encoder(tokenizer_file: str, runs: int = 150_000, words: int = 350_000) -> WordEncoder:
-    return WordEncoder(tokenizer_file, runs, words)
+def encoder(tokenizer_file: str, keys: int) -> WordEncoder:
+    return WordEncoder(tokenizer_file, keys)
 
 
 class Packer:
@@ -171,7 +193,7 @@ class Packer:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_file: str, *, end_id: int = 2, capacity: int = 4096, max_segments: int = 256, max_loss: int | None = None, window: int = 256, cached_runs: int = 150_000, cached_words: int = 350_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_file: str, *, end_id: int = 2, capacity: int = 4096, max_segments: int = 256, max_loss: int | None = None, window: int = 256, cached_keys: int = 400_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Pieces of all documents, packed: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset, loss_tokens.
@@ -180,8 +202,8 @@ def pack_documents(
     id lies in exactly one piece; sequences hold at most `capacity` tokens, `max_segments` pieces and `max_loss`
     loss-bearing tokens; those that aren't full have a power of two as length. Null and repeated ids, ties and repeated
     rows are packed like any others; an empty table gives no pieces; further columns are not carried. A sequence's id
-    holds the partition's number, so it is the same when a lost task runs again. `cached_runs` and `cached_words` bound
-    what each worker keeps of encodings, about 200 bytes an entry.
+    holds the partition's number, so it is the same when a lost task runs again. `cached_keys` bounds the words whose
+    encodings each worker keeps, about 40 bytes each.
     """
     max_loss = capacity if max_loss is None else max_loss
     if min(capacity, max_segments, max_loss, window) < 1 or capacity & (capacity - 1):
@@ -189,7 +211,7 @@ def pack_documents(
     closing = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, packer = encoder(tokenizer_file, cached_runs, cached_words), Packer(TaskContext.get().partitionId() << 36, capacity, max_segments, max_loss, window)
+        model, packer = encoder(tokenizer_file, cached_keys), Packer(TaskContext.get().partitionId() << 36, capacity, max_segments, max_loss, window)
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -199,10 +221,12 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
-            for part in steps(batch):
-                for doc, ids in zip(part.column(0).to_pylist(), model.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += closing
-                    rows.extend(packer.add((doc, ids), len(ids) // 4, len(ids) // 4))
+            for part in steps(batch, most=8 << 20):
+                flat, ends = model.encode(part.column(1))
+                raw = flat.astype("<u4").tobytes()
+                for doc, a, b in zip(part.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    ids = raw[4 * a : 4 * b] + closing
+                    rows.extend(packer.add((doc, ids), b - a + 1, b - a + 1))
                 if rows:
                     yield flush()
         rows.extend(packer.end())

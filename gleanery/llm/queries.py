@@ -36,7 +36,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    pieces = pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), cached_runs=400_000, cached_words=900_000)
+    pieces = pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -54,7 +54,7 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
     rows = table(spark, sf_dir, "embeddings")
-    return nearest(rows, rows.filter("vec_id % 100 = 0"), k=10, tables=12, probes=12)
+    return nearest(rows, rows.filter("vec_id % 100 = 0"), k=10, tables=12, probes=360)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

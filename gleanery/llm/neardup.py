@@ -4,7 +4,9 @@ Each tree splits recursively by random directions at medians; vectors within a m
 that a close pair rarely parts. The upper levels are fitted on a bounded sample; leaves that are still large are split on
 by passes over the table, a level a pass, while that helps. All pairs of a leaf are verified by exact cosine; a leaf that
 stays large (a dense group, which would spill as a whole) is dealt into blocks of bounded rows, compared block against
-block as groups of their own. The links of all trees are united. Equal vectors are one row until the end.
+block as groups of their own. Each linked pair counts in just one of the leaves where it meets. So a leaf returns no
+pairs, but for each row its links there and one row that they lead to, and the trees are united by sums and by connected
+components. Equal vectors are one row until the end.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from .vectors import dimension, matrix, raw, unusable, usable
 LEAF, FEWEST, BLOCK_ROWS = 256, 8, 2048
 #: A node stays whole if a side of its split holds more than this share of it. Levels that a node's number can count.
 HELPS, DEEPEST = 0.85, 60
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: For each level of a tree the nodes that are split, in order, and their thresholds.
 Splits = list[tuple[np.ndarray, np.ndarray]]
 
@@ -119,7 +122,7 @@ def deepened(classes: DataFrame, forest: list[Splits], block_rows: int, margin:
 
 
 def planted(forest: list[Splits], large: dict[tuple[int, int], int], block_rows: int, margin: float, seed: int):
-    """(cls, vec) to (cls, vec, own, tree, leaf, p, q): a row goes to each pair (p <= q) of blocks of its leaf that has its
+    """(cls, vec, n) to (cls, vec, n, own, tree, leaf, p, q): a row goes to each pair (p <= q) of blocks of its leaf that has its
     own block. Leaves that are not large are one block."""
     blocks = []
     for tree in range(len(forest)):
@@ -130,7 +133,7 @@ def planted(forest: list[Splits], large: dict[tuple[int, int], int], block_rows:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
-                v, mixed = unit(matrix(batch.column(1))), batch.column(0).to_numpy().view(np.uint64) >> np.uint64(11)
+                v, mixed = unit(matrix(batch.column(1))), (batch.column(0).to_numpy().view(np.uint64) * GOLDEN) >> np.uint64(33)
                 for tree, splits in enumerate(forest):
                     row, leaf = descend(v, splits, margin, tree, seed)
                     ids, counts = blocks[tree]
@@ -146,44 +149,65 @@ def planted(forest: list[Splits], large: dict[tuple[int, int], int], block_rows:
                         other = copy - (ends - n)[i]
                         at = pa.array(row[i])
                         cells = (own[i], np.full(len(i), tree), leaf[i], np.minimum(own[i], other), np.maximum(own[i], other))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, cells)], ["cls", "vec", "own", "tree", "leaf", "p", "q"])
+                        yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), *map(pa.array, cells)], ["cls", "vec", "n", "own", "tree", "leaf", "p", "q"])
 
     return run
 
 
+def joined(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest one that the links (x, y) lead to."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        np.minimum.at(low, x, low[y])
+        np.minimum.at(low, y, low[x])
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
 def linked(forest: list[Splits], least: float, margin: float, seed: int):
-    """The links of a leaf, or between two blocks of one. Pairs that meet elsewhere too (in a smaller leaf of this tree or
-    in an earlier tree) are left to that leaf, which compares all its pairs: which leaves a row reaches is worked out again
-    from its vector, by exact sums."""
+    """The links of a leaf, or between two blocks of one: for each linked row the rows it is linked to (copies counted),
+    and one row of its component here. Pairs that meet elsewhere too (in a smaller leaf of this tree or in an earlier
+    tree) are left to that leaf, which compares all its pairs: which leaves a row reaches is worked out again from its
+    vector, by exact sums."""
 
     def run(table: pa.Table) -> pa.Table:
-        cls, v, own = table.column("cls").to_numpy(), unit(matrix(table.column("vec"))), table.column("own").to_numpy()
+        cls, n, own = (table.column(c).to_numpy() for c in ("cls", "n", "own"))
+        v = unit(matrix(table.column("vec")))
         tree, leaf, p, q = (table.column(c)[0].as_py() for c in ("tree", "leaf", "p", "q"))
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for lo in range(0, len(left), 500):
             close = v[left[lo : lo + 500]] @ v[right].T >= least
             x, y = np.nonzero(np.triu(close, lo + 1) if p == q else close)
-            a.append(left[lo + x])
-            b.append(right[y])
+            a.append(left[lo + x].astype(np.int32))
+            b.append(right[y].astype(np.int32))
         x, y = np.concatenate(a), np.concatenate(b)
-        if len(x):
-            used = np.unique(np.r_[x, y])
-            where = np.zeros(len(v), np.int64)
-            where[used] = np.arange(len(used))
-            x, y = where[x], where[y]
-            met = np.zeros(len(x), bool)
-            for t in range(tree + 1):
-                row, reached = descend(v[used], forest[t], margin, t, seed)
-                row, reached = (row, reached) if t < tree else (row[reached < leaf], reached[reached < leaf])
-                names, column = np.unique(reached, return_inverse=True)
-                for lo in range(0, len(names), 64):  # 64 leaves at a time, a bit each
-                    mask = np.zeros(len(used), np.uint64)
-                    pick = (column >= lo) & (column < lo + 64)
-                    np.bitwise_or.at(mask, row[pick], np.uint64(1) << (column[pick] - lo).astype(np.uint64))
-                    met |= (mask[x] & mask[y]) != 0
-            x, y = cls[used[x[~met]]], cls[used[y[~met]]]
-        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+        used = np.unique(np.r_[x, y])
+        where = np.zeros(len(v), np.int32)
+        where[used] = np.arange(len(used))
+        x, y = where[x], where[y]
+        masks = []  # for 64 leaves at a time, a bit each: those that a row reaches
+        for t in range(tree + 1 if len(used) else 0):
+            row, reached = descend(v[used], forest[t], margin, t, seed)
+            row, reached = (row, reached) if t < tree else (row[reached < leaf], reached[reached < leaf])
+            names, column = np.unique(reached, return_inverse=True)
+            for lo in range(0, len(names), 64):
+                mask = np.zeros(len(used), np.uint64)
+                pick = (column >= lo) & (column < lo + 64)
+                np.bitwise_or.at(mask, row[pick], np.uint64(1) << (column[pick] - lo).astype(np.uint64))
+                masks.append(mask)
+        new = np.ones(len(x), bool)
+        for lo in range(0, len(x), 1 << 19):
+            i, j = x[lo : lo + (1 << 19)], y[lo : lo + (1 << 19)]
+            for mask in masks:
+                new[lo : lo + len(i)] &= (mask[i] & mask[j]) == 0
+        x, y = x[new], y[new]
+        times = n[used].astype(np.float64)
+        more = np.bincount(x, times[y], len(used)) + np.bincount(y, times[x], len(used))
+        some, low = np.flatnonzero(more), joined(x, y, len(used))
+        return pa.table({"cls": pa.array(cls[used[some]], pa.int64()), "more": pa.array(more[some].astype(np.int64)), "root": pa.array(cls[used[low[some]]], pa.int64())})
 
     return run
 
@@ -196,13 +220,13 @@ def placed(classes: DataFrame, n: int, dim: int, *, least: float, trees: int, sp
     known = unit(matrix(picked.column("vec")))
     forest = [fitted(known, levels, margin, t, seed) for t in range(trees)]
     forest, large = deepened(classes, forest, block_rows, margin, seed)
-    return classes.select("cls", "vec").mapInArrow(planted(forest, large, block_rows, margin, seed), "cls long, vec binary, own long, tree long, leaf long, p long, q long"), forest, margin
+    return classes.select("cls", "vec", "n").mapInArrow(planted(forest, large, block_rows, margin, seed), "cls long, vec binary, n long, own long, tree long, leaf long, p long, q long"), forest, margin
 
 
 def links_between(classes: DataFrame, n: int, dim: int, *, least: float, seed: int, **settings) -> DataFrame:
-    """a, b (a < b): linked pairs of distinct vectors, by class."""
+    """cls, more, root: what each leaf says of its linked rows. Sums of `more` are the rows linked to each class."""
     rows, forest, margin = placed(classes, n, dim, least=least, seed=seed, **settings)
-    return rows.groupBy("tree", "leaf", "p", "q").applyInArrow(linked(forest, least, margin, seed), "a long, b long").distinct()
+    return rows.groupBy("tree", "leaf", "p", "q").applyInArrow(linked(forest, least, margin, seed), "cls long, more long, root long")
 
 
 def near_duplicates(table: DataFrame, *, least: float = 0.95, trees: int = 6, spill: float = 0.75, sample: int = 20_000, block_rows: int = BLOCK_ROWS, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -214,21 +238,21 @@ def near_duplicates(table: DataFrame, *, least: float = 0.95, trees: int = 6, sp
     rows of their own. A row without id is no component's id (null if it has no other) and not kept. An empty table gives
     an empty one; further columns are not carried. Vectors of different lengths are an error.
     """
-    rows = written(raw(usable(table, id_col, vector_col)).withColumn("cls", F.xxhash64("vec")), "vectors")
-    classes = rows.groupBy("cls", "vec").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    count, dim = rows.agg(F.approx_count_distinct("cls")).first()[0], dimension(rows)
+    key = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2")]  # 128 bits that tell vectors apart
+    rows = written(raw(usable(table, id_col, vector_col)).select("id", "vec", *key), "vectors")
+    count, dim = rows.agg(F.approx_count_distinct("h1")).first()[0], dimension(rows)
     alone = unusable(table, id_col, vector_col)
     alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if not dim:
         return alone
-    classes = written(classes, "classes")
-    links = written(links_between(classes, count, dim, least=least, trees=trees, spill=spill, sample=sample, block_rows=block_rows, seed=seed), "pairs")
-    sized = classes.select("cls", "n", "first")
-    both = links.select("a", F.col("b").alias("cls")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("cls")))
-    degree = both.join(sized, "cls").groupBy("a").agg(F.sum("n").alias("more")).withColumnRenamed("a", "cls")
-    found = components(links, "a", "b").withColumnsRenamed({"node": "cls", "component": "root"})
-    named = sized.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(degree, "cls", "left")
+    classes = rows.groupBy("h1", "h2", "vec").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    links = written(links_between(classes, count, dim, least=least, trees=trees, spill=spill, sample=sample, block_rows=block_rows, seed=seed), "links")
+    degree = links.groupBy("cls").agg(F.sum("more").alias("more"))
+    found = components(links, "cls", "root").withColumnsRenamed({"node": "cls", "component": "root"})
+    named = classes.drop("vec").join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(degree, "cls", "left")
     least_id = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least_id, "root").select("cls", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("id", "cls").join(named, "cls").select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    named = named.join(least_id, "root").select("h1", "h2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.select("id", "h1", "h2").join(named, ["h1", "h2"])
+    out = out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
     return out.unionByName(alone)

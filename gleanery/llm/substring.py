@@ -8,7 +8,8 @@
 4. The documents are joined with their intervals, and the covered words go.
 
 So a window weighs at most one entry a block in its bucket, however often it repeats. The number of buckets follows the
-size of the text.
+size of the text, and so does the length of the hashes: two independent ones, of 64 to 128 bits together, so that the
+chance of any two different windows of the whole table being taken for one is below one in a million.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from xxhash import xxh64_intdigest
 
 from .common import steps, text_rows
 
-BASE = 0x9E3779B97F4A7C15 | 1
+BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 BLOCK_BYTES = 8 << 20
 #: Bytes of text for each bucket, and the fewest buckets.
 BUCKET_BYTES, FEWEST = 16 << 20, 64
@@ -44,25 +45,45 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def window_hashes(words: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
+
+
+def window_hashes(words: np.ndarray, sizes: np.ndarray, width: int, base: int) -> np.ndarray:
     """Hashes of all windows of `width` words within each run of `sizes` words, in order: a rolling polynomial modulo
     2**64 by prefix sums, then mixed so that the leading bits spread evenly."""
     n = len(words)
     if n < width:
         return np.zeros(0, np.uint64)
-    # sum of words[j] * BASE**-j over a window, times BASE**(its last j): the usual Rabin-Karp value
-    sums = np.r_[np.uint64(0), np.cumsum(words * powers(n, pow(BASE, -1, 1 << 64)), dtype=np.uint64)]
-    out = (sums[width:] - sums[:-width]) * powers(n, BASE)[width - 1 :]
+    # sum of words[j] * base**-j over a window, times base**(its last j): the usual Rabin-Karp value
+    sums = np.r_[np.uint64(0), np.cumsum(words * powers(n, pow(base, -1, 1 << 64)), dtype=np.uint64)]
+    out = (sums[width:] - sums[:-width]) * powers(n, base)[width - 1 :]
     ends = np.cumsum(sizes)
     inside = np.ones(n, bool)
     for back in range(1, width):  # no window starts among the last width - 1 words of a run
         at = (ends - back)[sizes >= back]
         inside[at] = False
-    out = out[inside[: len(out)]]
-    out ^= out >> np.uint64(33)
-    out *= np.uint64(0xFF51AFD7ED558CCD)
-    out ^= out >> np.uint64(33)
-    return out
+    return mixed(out[inside[: len(out)]])
+
+
+def second_bits(size: int) -> int:
+    """Bits of the second hash for `size` bytes of text, which hold at most size / 2 words: with the first one's 64 bits,
+    half the square of the number of windows is below 2 to the number of bits less 20."""
+    return min(64, max(0, 2 * max(1, size // 2).bit_length() + 20 - 1 - 64))
+
+
+def alike(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal windows stand together, and for each place but the first whether it equals the one before."""
+    order = np.argsort(one, kind="stable")
+    a, b = one[order], two[order]
+    same, other = a[1:] == a[:-1], b[1:] != b[:-1]
+    if (same & other).any():  # the first hash alone doesn't tell them apart
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+        same, other = a[1:] == a[:-1], b[1:] != b[:-1]
+    return order, same & ~other
 
 
 def put(arrays: list[np.ndarray]) -> bytes:
@@ -81,22 +102,24 @@ def moved(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "bucket", "n", "payload"])
 
 
-def windows_out(width: int, bits: int):
+def windows_out(width: int, bits: int, more_bits: int = 0):
     def rows_of(block: int, keys: list[tuple[int, int]], runs: list[np.ndarray]) -> list[tuple]:
         sizes = np.array([len(r) for r in runs], np.int64)
-        hashes = window_hashes(np.concatenate(runs), sizes, width)
+        words = np.concatenate(runs)
+        hashes, second = window_hashes(words, sizes, width, BASES[0]), window_hashes(mixed(words * np.uint64(BASES[1])), sizes, width, BASES[1])
+        second = second >> np.uint64(64 - more_bits) if more_bits else np.zeros_like(second)
         counts = np.maximum(0, sizes - width + 1)
         some = np.flatnonzero(counts)
         if not len(some):
             return []
         a, b = (np.array([keys[i][k] for i in some], np.int64).view(np.uint64) for k in (0, 1))
-        out = [(block, -1 - block % (1 << bits), len(some), put([a, b, counts[some].astype(np.uint64)]))]
-        order = np.argsort(hashes, kind="stable")
-        starts = np.flatnonzero(np.r_[True, hashes[order[1:]] != hashes[order[:-1]]])
+        out = [(block, -1 - 2 * block, len(some), put([a, b, counts[some].astype(np.uint64)]))]
+        order, same = alike(hashes, second)
+        starts = np.flatnonzero(np.r_[True, ~same])
         times = np.diff(np.r_[starts, len(order)])
         if (times > 1).any():
             at = np.sort(order[np.repeat(times > 1, times)])
-            out.append((block, -1 - (1 << bits) - block % (1 << bits), len(at), put([np.diff(at, prepend=0).astype(np.uint64)])))
+            out.append((block, -2 - 2 * block, len(at), put([np.diff(at, prepend=0).astype(np.uint64)])))
         once, often = np.sort(order[starts[times == 1]]), order[starts[times > 1]]
         bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
         once = once[np.argsort(bucket[once], kind="stable")]
@@ -104,7 +127,8 @@ def windows_out(width: int, bits: int):
         rest = hashes & np.uint64((1 << (64 - bits)) - 1)
         for k in np.flatnonzero(np.diff(a) + np.diff(b)):
             at, more = once[a[k] : a[k + 1]], often[b[k] : b[k + 1]]
-            out.append((block, int(k), len(at) + MANY * len(more), put([rest[np.r_[at, more]], np.diff(at, prepend=0).astype(np.uint64)])))
+            both = np.r_[at, more]
+            out.append((block, int(k), len(at) + MANY * len(more), put([rest[both], second[both], np.diff(at, prepend=0).astype(np.uint64)])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,18 +154,16 @@ def windows_out(width: int, bits: int):
 
 
 def repeated(table: pa.Table) -> pa.Table:
-    """Of a bucket's rows: the positions of hashes that occur more than once. A block's own rows pass."""
+    """Of a bucket's rows: the positions of windows that occur more than once. A block's own rows pass."""
     rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "bucket", "n", "payload")), strict=True))
     if rows and rows[0][1] >= 0:
-        pairs = [got(p, [n % MANY + n // MANY, n % MANY]) for _, _, n, p in rows]
-        hashes = np.concatenate([h for h, _ in pairs])
-        order = np.argsort(hashes, kind="stable")
-        same = hashes[order][1:] == hashes[order][:-1]
-        again = np.zeros(len(hashes), bool)
+        cells = [got(p, [n % MANY + n // MANY, n % MANY + n // MANY, n % MANY]) for _, _, n, p in rows]
+        order, same = alike(*(np.concatenate([x[j] for x in cells]) for j in (0, 1)))
+        again = np.zeros(len(order), bool)
         again[order[1:][same]] = True
         again[order[:-1][same]] = True
         out, start = [], 0
-        for (block, bucket, _, _), (own, gaps) in zip(rows, pairs, strict=True):
+        for (block, bucket, _, _), (own, _, gaps) in zip(rows, cells, strict=True):
             at = np.cumsum(gaps)[again[start : start + len(gaps)]]
             start += len(own)
             if len(at):
@@ -151,11 +173,11 @@ def repeated(table: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(v, k) for c, v, k in zip(("block", "bucket", "n", "payload"), cells, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
 
-def spans_of(width: int, bits: int):
+def spans_of(width: int):
     def run(table: pa.Table) -> pa.Table:
         docs, found = None, []
         for bucket, n, payload in zip(*(table.column(c).to_pylist() for c in ("bucket", "n", "payload")), strict=True):
-            if -(1 << bits) <= bucket < 0:
+            if bucket < 0 and bucket % 2:
                 docs = got(payload, [n, n, n])
             else:
                 found.append(np.cumsum(got(payload, [n])[0]).astype(np.int64))
@@ -215,8 +237,8 @@ def remove_repeats(docs: DataFrame, *, width: int = 35, id_col: str = "doc_id",
     bits = (max(FEWEST, -(-size // BUCKET_BYTES)) - 1).bit_length()
     i, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     rows = docs.select(*front, F.coalesce(i, F.lit(-1)).alias("k1"), F.xxhash64(i, text).alias("k2"), text.cast("binary").alias("text"))  # equal rows share a key, and their intervals are equal
-    found = rows.select("k1", "k2", "text").mapInArrow(windows_out(width, bits), MOVED).groupBy("bucket").applyInArrow(repeated, MOVED)
-    spans = found.groupBy("block").applyInArrow(spans_of(width, bits), "k1 long, k2 long, starts array<long>, ends array<long>")
+    found = rows.select("k1", "k2", "text").mapInArrow(windows_out(width, bits, second_bits(size)), MOVED).groupBy("bucket").applyInArrow(repeated, MOVED)
+    spans = found.groupBy("block").applyInArrow(spans_of(width), "k1 long, k2 long, starts array<long>, ends array<long>")
     spans = spans.groupBy("k1", "k2").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
     joined = rows.join(spans, ["k1", "k2"], "left").drop("k1", "k2")
     head = joined.drop("text", "starts", "ends")

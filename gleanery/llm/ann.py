@@ -195,14 +195,14 @@ def met(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return calls.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(compared(k), FOUND)
 
 
-def nearest(base: DataFrame, queries: DataFrame, *, k: int = 10, tables: int = 12, probes: int = 360, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, *, k: int = 10, tables: int = 12, probes: int = 19, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest rows of `base` other than its own id, by Euclidean
     distance in double precision on the original vectors, nearest first, ties to the smaller id.
 
     Rows with a null id, and vectors that are null, empty, zero or hold null or non-finite components, take no part.
     Equal vectors are compared once and stand for their k + 1 smallest ids, which are all that can be among k results.
-    Repeated ids of one vector count once; of different vectors, with the smallest distance. `probes` holds for tables of
-    two hashes; each further one takes eight times as many. Queries that meet fewer than k rows are compared with all rows,
+    Repeated ids of one vector count once; of different vectors, with the smallest distance. `probes` is for each
+    hash: a table of h hashes is probed at its likeliest probes ** h combinations. Queries that meet fewer than k rows are compared with all rows,
     in blocks; with fewer candidates than k, all are returned. An empty table gives an empty one; further columns are
     ignored. Vectors of different lengths are an error.
     """
@@ -217,7 +217,7 @@ def nearest(base: DataFrame, queries: DataFrame, *, k: int = 10, tables: int = 1
     hashes = hashes_for(count, dim)
     kept = classes.select("cls", "vec")
     points = kept.mapInArrow(filed(tables, hashes, seed), "cls long, vec binary, tab int, grp long, axis int")
-    wanted = calls.mapInArrow(asked(tables, hashes, probes * 8 ** (hashes - 2), seed), "id long, vec binary, tab int, grp long, axes array<int>")
+    wanted = calls.mapInArrow(asked(tables, hashes, probes**hashes, seed), "id long, vec binary, tab int, grp long, axes array<int>")
 
     def hits(found: DataFrame) -> DataFrame:
         """The k best rows of each query."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from itertools import islice
@@ -17,11 +18,15 @@ STEP_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables, which all executors share; set here only if the session has none (local runs)."""
+    """The folder for intermediate tables, which all executors share; set here only if a local session has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() or spark.sparkContext.setCheckpointDir("/tmp/gleanery-checkpoints")
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        context = spark.sparkContext._jsc.sc()
+        if not context.getCheckpointDir().isDefined():
+            if not context.isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleanery-"))
+        folder = context.getCheckpointDir().get()
     return folder.rstrip("/")
 
 

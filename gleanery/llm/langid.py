@@ -19,12 +19,20 @@ from pyspark.sql import types as T
 
 from .common import Bounded, steps, text_rows, written
 
-WORDS = re.compile(r"[^\W\d_]+")
+RUNS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Trigrams that each language may keep, however many languages share `max_grams`.
 LEAST_GRAMS = 300
 
 
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters, in lower case. Number signs that are no digits (superscripts, fractions) aren't letters."""
+    found = RUNS.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 def grams(word: str) -> list[str]:
     edged = f" {word} "
     return [edged[i : i + 3] for i in range(len(edged) - 2)]
@@ -49,7 +57,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in steps(batch):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(WORDS.findall((text or "").lower()))
+                words.setdefault(lang, Counter()).update(words_of(text))
             held = sum(map(len, words.values()))
             if held > 400_000:
                 yield flush()
@@ -154,7 +162,7 @@ class Scorer:
         return self.table[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
     def of(self, text: str | None) -> tuple[str, float, str]:
-        words = WORDS.findall((text or "").lower())
+        words = words_of(text)
         if not words or not self.model.langs:
             return UNDETERMINED, 0.0, ""
         found = sorted(((s, self.model.langs[m]) for m, s in mixture(self.rows_of(words), self.penalty).items()), key=lambda x: (-x[0], x[1]))

@@ -61,7 +61,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """k1, k2, kind (position in KINDS), start, end and entity of each valid match."""
+    """k1, k2, kind (position in KINDS), start, end and entity of each valid match, and times: how many equal rows hold it."""
 
     def of(kind: int) -> Column:
         name = KINDS[kind]
@@ -69,13 +69,13 @@ def base_spans(rows: DataFrame) -> DataFrame:
         pairs = F.transform(pairs, lambda z: F.struct(z["m"].alias("m"), F.length(z["g"]).alias("gap")))
         return F.coalesce(F.transform(pairs, lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), z["m"].alias("m"), z["gap"].alias("gap"))), F.array())
 
-    cells = rows.select("k1", "k2", F.explode(F.concat(*[of(k) for k in range(len(KINDS))])).alias("x")).select("k1", "k2", "x.*").distinct()
+    cells = rows.select("k1", "k2", F.explode(F.concat(*[of(k) for k in range(len(KINDS))])).alias("x")).select("k1", "k2", "x.*").groupBy("k1", "k2", "kind", "i", "m", "gap").agg(F.count("*").alias("times"))
     run = Window.partitionBy("k1", "k2", "kind").orderBy("i")
     upto = F.sum(F.col("gap") + F.coalesce(F.length("m"), F.lit(0))).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = cells.withColumn("end", upto).filter("m is not null")
     placed = placed.filter(valid(F.col("kind"), F.col("m")))
     same = F.when(F.col("kind") >= 2, digits(F.col("m"))).otherwise(F.lower("m"))
-    return placed.select("k1", "k2", "kind", (F.col("end") - F.length("m")).alias("start"), "end", F.concat_ws(":", F.col("kind").cast("string"), same).alias("entity"))
+    return placed.select("k1", "k2", "kind", (F.col("end") - F.length("m")).alias("start"), "end", F.concat_ws(":", F.col("kind").cast("string"), same).alias("entity"), "times")
 
 
 def terms_of(text: Column) -> Column:
@@ -84,30 +84,25 @@ def terms_of(text: Column) -> Column:
 
 
 def holders(rows: DataFrame, spans: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
-    """k1, k2, text and entities of the documents that hold an entity of `support` documents or more, once each; and
-    entity, n_e of those."""
-    pairs = spans.select("k1", "k2", "entity").distinct()
-    entities = pairs.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
-    held = pairs.join(entities.select("entity"), "entity").groupBy("k1", "k2").agg(F.collect_list("entity").alias("entities"))
+    """k1, k2, text, entities and times of the documents that hold an entity of `support` different documents or more,
+    equal rows once; and entity, n_e (rows) of those."""
+    pairs = spans.groupBy("k1", "k2", "entity").agg(F.max("times").alias("times"))
+    entities = pairs.groupBy("entity").agg(F.count("*").alias("d"), F.sum("times").alias("n_e")).filter(F.col("d") >= support).select("entity", "n_e")
+    held = pairs.join(entities.select("entity"), "entity").groupBy("k1", "k2").agg(F.collect_list("entity").alias("entities"), F.max("times").alias("times"))
     hinted = F.col("text").rlike("|".join(f"(?:{x})" for x in HINTS.values()))
-    return rows.select("k1", "k2", "text").filter(hinted).join(held, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("entities").alias("entities")), entities
+    joined = rows.select("k1", "k2", "text").filter(hinted).join(held, ["k1", "k2"])
+    return joined.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("entities").alias("entities"), F.first("times").alias("times")), entities
 
 
-def placed(text: Column, marks: Column) -> Column:
-    """Spans (start, kind, end, label) of all words of a text that `marks` (array of term, action) names."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"), F.split(text, WORD, -1).alias("g"))
-    pairs = F.filter(pairs, lambda z: z["w"].isNotNull())
-    actions = F.map_from_entries(marks)
-
-    def step(a: Column, z: Column) -> Column:
-        begin = a["at"] + F.length(z["g"])
-        end = begin + F.length(z["w"])
-        action = F.try_element_at(actions, F.lower(z["w"]))
-        span = F.struct(begin.alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"), F.when(action == "remove", "").otherwise("[TERM]").alias("label"))
-        return F.struct(end.alias("at"), F.when(action.isNotNull(), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,label:string>>").alias("out"))
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+def term_spans(held: DataFrame, marks: DataFrame) -> DataFrame:
+    """k1, k2, start, kind, end, label of all words of a text that `marks` (k1, k2, term, action) names."""
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"), F.split("text", WORD, -1).alias("g"))
+    cells = F.transform(pairs, lambda z: F.struct(F.lower(z["w"]).alias("term"), F.length(z["g"]).alias("gap"), F.length(z["w"]).alias("len")))
+    words = held.join(marks.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", F.posexplode(cells).alias("i", "x")).select("k1", "k2", "i", "x.*")
+    run = Window.partitionBy("k1", "k2").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = words.withColumn("end", F.sum(F.col("gap") + F.coalesce("len", F.lit(0))).over(run)).filter("len is not null")
+    label = F.when(F.col("action") == "remove", "").otherwise("[TERM]").alias("label")
+    return ended.join(marks, ["k1", "k2", "term"]).select("k1", "k2", (F.col("end") - F.col("len")).alias("start"), F.lit(len(KINDS)).alias("kind"), "end", label)
 
 
 def document_frequencies(rows: DataFrame) -> DataFrame:
@@ -116,10 +111,10 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
 
 
 def disclosures(rows: DataFrame, entities: DataFrame, terms: DataFrame, *, support: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """entity, term, share, action of the terms that give an entity away. Terms in fewer than `support` documents that
-    hold the entity are left alone: one text says nothing about a pair."""
+    """entity, term, share, action of the terms that give an entity away. Terms in fewer than `support` different
+    documents that hold the entity are left alone: one text says nothing about a pair. All shares are those of rows."""
     total = rows.agg(F.count("*").alias("n"))
-    pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
+    pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("d"), F.sum("times").alias("n_et")).filter(F.col("d") >= support)
     joined = pairs.join(entities, "entity").join(document_frequencies(rows), "term").crossJoin(F.broadcast(total))
     content = F.log2(F.col("n") / F.col("n_e"))
     mutual = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
@@ -129,24 +124,26 @@ def disclosures(rows: DataFrame, entities: DataFrame, terms: DataFrame, *, suppo
 
 
 def detect(docs: DataFrame, *, support: int = 3, generalise_at: float = 0.9, remove_at: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k1, k2, base (start, kind, end) and spans (start, kind, end, label) of each row that holds personal data: sorted by
-    start and kind, code points, end exclusive. Added spans have kind len(KINDS) and never overlap base ones: all words of
-    a text that give away an entity which it holds."""
+    """k1, k2, base and spans (arrays of start, kind, end, label, at) of each row that holds personal data: sorted by start
+    and kind, code points, end exclusive; at is the largest end of the spans before. Added spans have kind len(KINDS) and
+    never overlap base ones: all words of a text that give away an entity which it holds."""
     rows = keyed(docs, id_col, text_col)
     spans = base_spans(rows)
     held, entities = holders(rows, spans, support)
-    terms = held.select("k1", "k2", F.explode("entities").alias("entity"), terms_of(F.col("text")).alias("terms")).select("k1", "k2", "entity", F.explode("terms").alias("term"))
+    terms = held.select("k1", "k2", "times", F.explode("entities").alias("entity"), terms_of(F.col("text")).alias("terms")).select("k1", "k2", "times", "entity", F.explode("terms").alias("term"))
     given = disclosures(rows, entities, terms, support=support, generalise_at=generalise_at, remove_at=remove_at)
     marks = terms.join(given, ["entity", "term"]).groupBy("k1", "k2", "term").agg(F.max("action").alias("action"))
-    marks = marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("term", "action")).alias("marks"))
-    added = held.join(marks, ["k1", "k2"]).select("k1", "k2", F.explode(placed(F.col("text"), F.col("marks"))).alias("s"))
     labels = F.when(F.col("kind") == 0, "[EMAIL]").when(F.col("kind") == 1, "[IP]").when(F.col("kind") == 2, "[CARD]").otherwise("[PHONE]")
-    every = spans.select("k1", "k2", F.struct(F.col("start").cast("long").alias("start"), F.col("kind"), F.col("end").cast("long").alias("end"), labels.alias("label")).alias("s")).unionByName(added)
-    grouped = every.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("s")).alias("all"))
-    base = F.filter("all", lambda s: s["kind"] < len(KINDS))
-    grouped = grouped.withColumn("base", base)
-    free = F.filter("all", lambda s: (s["kind"] < len(KINDS)) | ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return grouped.select("k1", "k2", "base", free.alias("spans"))
+    own = spans.select("k1", "k2", F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end"), labels.alias("label"))
+    every = own.unionByName(term_spans(held, marks))
+    order, base = ("start", "kind", "end"), F.col("kind") < len(KINDS)
+    up = Window.partitionBy("k1", "k2").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("k1", "k2").orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("after", F.min(F.when(base, F.col("start"))).over(down)).withColumn("before", F.max(F.when(base, F.col("end"))).over(up))
+    met = F.coalesce(F.col("before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("after") < F.col("end"), F.lit(False))
+    free = every.filter(base | ~met).withColumn("at", F.coalesce(F.max("end").over(up), F.lit(0)))
+    grouped = free.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "label", "at"))).alias("spans"))
+    return grouped.select("k1", "k2", F.filter("spans", lambda s: s["kind"] < len(KINDS)).alias("base"), "spans")
 
 
 def written_out(spans: Column) -> Column:
@@ -159,7 +156,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     """doc_id, n_email, n_ip, n_card, n_phone, n_term, base and spans (as text) of each row.
 
     A null text counts as empty and holds nothing. Null or repeated ids and repeated rows give a row each (equal rows
-    count as one document in the statistics of mentions); an empty table gives an empty one; further columns are ignored.
+    count each in all shares, but as one towards `support`); an empty table gives an empty one; further columns are ignored.
     """
     rows = keyed(docs, id_col, text_col).select("doc_id", "k1", "k2")
     joined = rows.join(detect(docs, id_col=id_col, text_col=text_col, **settings), ["k1", "k2"], "left")
@@ -178,16 +175,15 @@ def sanitise(docs: DataFrame, *, keep: list[str], id_col: str = "doc_id", text_c
     rows = keyed(docs, id_col, text_col, *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)])
     found = detect(docs, id_col=id_col, text_col=text_col, **settings).select("k1", "k2", "spans")
     joined = rows.join(found, ["k1", "k2"], "left")
-    text = F.col("text")
 
-    def step(a: Column, s: Column) -> Column:
-        new = s["start"] >= a["at"]
-        piece = F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(new, F.concat(a["out"], F.array(piece, s["label"]))).otherwise(a["out"]).alias("out"))
+    def rewritten(chars: Column) -> Column:
+        """The text from its characters: what stands between spans, and their labels. Each character is taken once."""
+        pieces = F.transform("spans", lambda s: F.when(s["start"] >= s["at"], F.concat(F.array_join(F.slice(chars, (s["at"] + 1).cast("int"), (s["start"] - s["at"]).cast("int")), ""), s["label"])).otherwise(""))
+        end = F.array_max(F.transform("spans", lambda s: s["end"])).cast("int")
+        return F.concat(F.array_join(pieces, ""), F.array_join(F.slice(chars, end + 1, F.size(chars)), ""))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    clean = F.when(F.col("spans").isNull(), text).otherwise(clean)
+    clean = F.get(F.transform(F.array(F.split("text", "")), rewritten), 0)
+    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean)
     cells = []
     for c, n in zip(keep, names, strict=True):
         cells.append((F.when(F.col(n).isNotNull(), clean) if c == text_col else F.col(n)).alias(c))

@@ -121,6 +121,9 @@ def one_of_each(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text
     """The rows of `docs`, with all their columns, that stand for their group of near copies: one row a group, the one
     with the smallest id (null ids last). Rows that share an id without being near copies are groups of their own."""
     found = grouped(docs, width=width, id_col=id_col, text_col=text_col)
-    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("x")).select(F.col("x.row_key").alias("__row_key"))
-    key = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    return docs.withColumn("__row_key", key).join(chosen, "__row_key", "left_semi").dropDuplicates(["__row_key"]).drop("__row_key")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key"))
+    chosen = found.groupBy("root").agg(least.alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.row_key").alias("__row_key"))
+    own = F.col(f"`{id_col}`").cast("long")
+    keyed = docs.withColumn("__id", own).withColumn("__row_key", F.xxhash64(own, F.col(f"`{text_col}`").cast("string")))
+    same = F.col("d.__id").eqNullSafe(F.col("c.__id")) & (F.col("d.__row_key") == F.col("c.__row_key"))
+    return keyed.alias("d").join(chosen.alias("c"), same, "left_semi").dropDuplicates(["__id", "__row_key"]).drop("__id", "__row_key")

@@ -85,7 +85,8 @@ def regress(row: np.ndarray, column: np.ndarray, grade: np.ndarray, weight: np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, grades: int = 4, sample: int = 6000, most_features: int = 4096, least_z: float = 4.0, l1: float = 2e-4, l2: float = 1e-4, rounds: int = 300, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from at most `sample` labelled documents, half of them toxic at most, picked by a hash of the id.
+    """Learn from at most `sample` labelled documents, half of them toxic at most, picked by a hash of the id. An id that
+    several rows share gives one of its texts.
 
     Labels say toxic or not. The grades of the toxic ones come from how many distinct features they hold that stand out
     among toxic documents: grade 0 isn't toxic, and the others split the toxic ones evenly by that number.
@@ -95,7 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, grades: int = 4, sample: int = 60
     counts = {r["toxic"]: r["count"] for r in own.filter("toxic in (0, 1)").groupBy("toxic").count().collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     picked = own.filter("toxic = 1").orderBy(*order).limit(sample // 2).unionByName(own.filter("toxic = 0").orderBy(*order).limit(sample - sample // 2))
-    train = text_rows(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")  # at most `sample` rows
+    train = text_rows(docs, id_col, text_col).join(F.broadcast(picked), "doc_id")  # at most `sample` ids
+    train = train.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic")
     rows = train.mapInArrow(feature_rows, "toxic int, features binary").toArrow()
     toxic = np.array(rows.column("toxic").to_pylist(), bool)
     if toxic.all() or not toxic.any():

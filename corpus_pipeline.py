@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Documents whose text is null, empty or without letters are rejected by the first stage. A null id, and ids or rows that
+repeat, go through all stages like others, but that near_dedup keeps one row of each group of near copies, the smallest id
+(null last). An empty table gives an empty one at each stage. Columns other than those of documents are dropped by the
+first stage, whatever their names; a column of documents that is missing is an error.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import written
+from gleanery.llm.common import removed, written
 from gleanery.llm.langid import UNDETERMINED, fit, held_out, predict
 from gleanery.llm.packing import pack_documents
 from gleanery.llm.pii import sanitise
@@ -55,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            removed(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

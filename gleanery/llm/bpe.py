@@ -37,11 +37,9 @@ BLOCK_BYTES = 8 << 20
 
 
 def bucket_count(size: int) -> int:
-    """Hash buckets for `size` bytes of text: 256 for a gigabyte and below, then growing with its square root (about
-    80,000 for 100 TB), so that both a bucket's share of the words and a block's rows stay moderate."""
-    return max(256, math.isqrt((size << 16) >> 30))
-
-
+    """Hash buckets for `size` bytes of text: 256 for a gigabyte, growing with the square root (about 80,000 for 100 TB), so
+    that both a bucket's share of the words and a block's rows stay moderate; 64 at least."""
+    return max(64, math.isqrt((size << 16) >> 30))
 
 
 def token_bytes(ranks_file: str) -> dict[bytes, int]:
@@ -226,8 +224,10 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc
     """
     rows = text_rows(docs, id_col, text_col)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    out = rows.mapInArrow(exploded(pattern, bucket_count(size)), MOVED)
-    out = out.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(encoded_once(ranks_file), MOVED)
+    buckets = bucket_count(size)
+    out = rows.mapInArrow(exploded(pattern, buckets), MOVED)
+    place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("block"), F.lit(buckets))).otherwise(F.col("bucket"))
+    out = out.repartitionById(buckets, place.cast("int")).sortWithinPartitions("bucket").mapInArrow(encoded_once(ranks_file), MOVED)
     return out.groupBy("block").applyInArrow(assembled, "doc_id long, n_tokens long, ids binary")
 
 

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Possessive forms that match what the plain ones do, without backtracking: a run of address characters or digits that
@@ -128,8 +130,9 @@ def detect(docs: DataFrame, *, support: int = 3, generalise_at: float = 0.9, rem
     and kind, code points, end exclusive; at is the largest end of the spans before. Added spans have kind len(KINDS) and
     never overlap base ones: all words of a text that give away an entity which it holds."""
     rows = keyed(docs, id_col, text_col)
-    spans = base_spans(rows)
+    spans = written(base_spans(rows), "spans")  # a few columns of the rows that hold personal data; used twice
     held, entities = holders(rows, spans, support)
+    held = written(held, "held")
     terms = held.select("k1", "k2", "times", F.explode("entities").alias("entity"), terms_of(F.col("text")).alias("terms")).select("k1", "k2", "times", "entity", F.explode("terms").alias("term"))
     given = disclosures(rows, entities, terms, support=support, generalise_at=generalise_at, remove_at=remove_at)
     marks = terms.join(given, ["entity", "term"]).groupBy("k1", "k2", "term").agg(F.max("action").alias("action"))

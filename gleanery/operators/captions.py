@@ -1,99 +1,69 @@
-"""Tables in plain text that follow their caption."""
+"""Tables in plain text that follow their caption.
+
+Each line gets one letter that says what it looks like, and one pattern over the string of letters finds the tables.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# What starts a caption, another float or a section; marks of a row; how long the parts may be.
+# What starts a caption, another float or a section; what makes a row; how long the parts may be.
 CAPTION = re.compile(r"^(?:TABLE|Table)\s+\d+[:.]")
 FLOAT = re.compile(r"^(?:TABLE|Table|Fig\.|Figure|FIGURE)\s+\d+")
 SECTION = re.compile(r"^\d+(?:\.\d+)*\s+[A-Z][a-z]")
-CITED = re.compile(r"^\[\d+(?:[,–—-]\s?\d+)*\]$")
+CITED = re.compile(r"^\S+(?:\s+\S+){0,2}\s+\[\d+(?:[,–—-]\s?\d+)*\](?!\S)")
 ENDS = re.compile(r"[.!?]\s*$")
 ROW_MARK = re.compile(r"[\d+=×−→✓]")
 MARKS = ".,;:()[]{}\"'“”‘’"
 CAPTION_LINES, HEADER_LINES, LEAST_ROWS, MOST_ROWS, CONTEXT_CHARS = 12, 9, 2, 120, 240
+LONG_LINE, LONG_SHARE, SHORT_SHARE = 5, 0.5, 0.3
 SPANS = "document_id string, start int, end int, context string"
 
-
-@dataclass(frozen=True)
-class Line:
-    start: int
-    text: str
-
-    @property
-    def prose(self) -> bool:
-        """Running text: mostly lower-case words, unless a cited name makes it a row."""
-        w = self.text.split()
-        if not w or (len(w) > 1 and any(CITED.match(x) for x in w[1:4])):
-            return False
-        plain = [x.strip(MARKS) for x in w]
-        share = sum(x.isalpha() and x.islower() for x in plain) / len(w)
-        return share >= 0.5 if len(w) >= 5 else share >= 0.3 and bool(ENDS.search(self.text))
-
-    @property
-    def caption_goes_on(self) -> bool:
-        return self.prose or (len(self.text.split()) < 5 and bool(ENDS.search(self.text)))
-
-    @property
-    def is_row(self) -> bool:
-        t = self.text.strip()
-        return bool(t) and not (FLOAT.match(t) or SECTION.match(t) or Line(0, t).prose)
-
-
-def lines_of(text: str) -> list[Line]:
-    out, at = [], 0
-    for t in text.split("\n"):
-        out.append(Line(at, t))
-        at += len(t) + 1
-    return out
+# What a line looks like, as bits of its letter.
+BLANK, OPENS, FLOATS, HEADS, PROSE, CLOSES, MARKED = (1 << k for k in range(7))
+LETTERS = [chr(0x4E00 + bits) for bits in range(1 << 7)]
 
 
-def run_length(lines: list[Line], at: int, most: int, good) -> int:
-    n = 0
-    while at + n < len(lines) and n < most and good(lines[at + n], n):
-        n += 1
-    return n
+def letter(line: str) -> str:
+    """PROSE: mostly lower-case words, unless a cited name makes it a row; CLOSES: prose, or the short end of a sentence."""
+    text, words = line.strip(), line.split()
+    if not words:
+        return LETTERS[BLANK]
+    low = sum(w.islower() and w.isalpha() for w in (x.strip(MARKS) for x in words)) / len(words)
+    ended = ENDS.search(text) is not None
+    prose = not CITED.match(text) and (low >= LONG_SHARE if len(words) >= LONG_LINE else ended and low >= SHORT_SHARE)
+    signs = (OPENS, CAPTION.match(line)), (FLOATS, FLOAT.match(text)), (HEADS, SECTION.match(text)), (PROSE, prose), (CLOSES, prose or (ended and len(words) < LONG_LINE)), (MARKED, ROW_MARK.search(line))
+    return LETTERS[sum(bit for bit, holds in signs if holds)]
 
 
-def shortened(caption: str) -> str:
-    flat = " ".join(caption.split())
-    if len(flat) <= CONTEXT_CHARS:
-        return flat
-    cut = flat.rfind(" ", 0, CONTEXT_CHARS)
-    return flat[: cut if cut > 0 else CONTEXT_CHARS]
+def lines(has: int = 0, lacks: int = 0) -> str:
+    """The class of letters with all bits of `has` and none of `lacks`."""
+    return "[" + "".join(c for bits, c in enumerate(LETTERS) if bits & has == has and not bits & lacks) + "]"
 
 
-def table_at(lines: list[Line], first: int) -> tuple[dict, int] | None:
-    """The table whose caption starts at a line, and the line after its rows. The first line that doesn't read as caption
-    and is followed by rows is the header; others before it belong to the caption."""
-    caption, i = [lines[first].text.strip()], first + 1
-    while i < len(lines) and len(caption) < CAPTION_LINES and lines[i].text.strip():
-        here = Line(0, lines[i].text.strip())
-        if not here.caption_goes_on:
-            header = run_length(lines, i, HEADER_LINES, lambda x, k: bool(x.text.strip()) and not Line(0, x.text.strip()).prose and (k == 0 or not (ROW_MARK.search(x.text) or FLOAT.match(x.text.strip()))))
-            rows = run_length(lines, i + header, MOST_ROWS, lambda x, k: x.is_row)
-            if rows >= LEAST_ROWS:
-                last = lines[i + header + rows - 1]
-                head = " ".join(x.text.strip() for x in lines[i : i + header])
-                return {"start": lines[i + header].start, "end": last.start + len(last.text), "context": f"{shortened(' '.join(caption))}\n{head}"}, i + header + rows
-        caption.append(here.text)
-        i += 1
-    return None
+#: The caption is as short as a header and rows allow; the header and the rows run as far as they can.
+TABLE = re.compile(
+    f"(?P<caption>{lines(OPENS)}{lines(lacks=BLANK)}{{0,{CAPTION_LINES - 2}}}?)"
+    f"(?P<header>{lines(lacks=BLANK | CLOSES)}{lines(lacks=BLANK | PROSE | MARKED | FLOATS)}{{0,{HEADER_LINES - 1}}}+)"
+    f"(?P<rows>{lines(lacks=BLANK | FLOATS | HEADS | PROSE)}{{{LEAST_ROWS},{MOST_ROWS}}}+)"
+)
 
 
 def caption_tables(text: str) -> list[dict]:
-    lines, out, i = lines_of(text), [], 0
-    while i < len(lines):
-        found = table_at(lines, i) if CAPTION.match(lines[i].text) else None
-        if found:
-            out.append(found[0])
-        i = found[1] if found else i + 1
+    rows = text.split("\n")
+    starts = [0, *accumulate(len(r) + 1 for r in rows)]
+    out = []
+    for m in TABLE.finditer("".join(map(letter, rows))):
+        caption, header = (" ".join(" ".join(rows[slice(*m.span(part))]).split()) if part == "caption" else " ".join(r.strip() for r in rows[slice(*m.span(part))]) for part in ("caption", "header"))
+        if len(caption) > CONTEXT_CHARS:
+            caption = re.match(f".{{1,{CONTEXT_CHARS - 1}}}(?= )|.{{{CONTEXT_CHARS}}}", caption)[0]
+        first, last = m.span("rows")
+        out.append({"start": starts[first], "end": starts[last] - 1, "context": f"{caption}\n{header}"})
     return out
 
 

@@ -6,6 +6,8 @@ Searches take all queries at once: a join on the cell, a fold of each cell's cod
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,15 +23,21 @@ from .dense import dot, normalise
 from .lexical import DIGITS, top_k
 
 
+#: Codes of a cell that one group holds; larger cells are dealt into parts.
+PART_ROWS = 50_000
+
+
 @dataclass(frozen=True)
 class Index:
-    """cells (cell, centroid), codes (chunk_id, cell, codes) and books (m, ksub, dsub), whose size doesn't grow with the
-    data."""
+    """cells (cell, centroid; about the square root of the number of vectors), codes (chunk_id, cell, codes) and books (m,
+    ksub, dsub), whose size doesn't grow with the data."""
 
     cells: DataFrame
     codes: DataFrame
     books: np.ndarray
     vectors: DataFrame
+    nbits: int = 0
+    seconds: float = 0.0
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -48,7 +56,12 @@ def lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 25) -> np.ndarray:
     rng = np.random.default_rng(seed)
     if len(x) <= k:
         return np.concatenate([x, np.repeat(x[-1:], k - len(x), axis=0)])
-    c = x[rng.choice(len(x), k, replace=False)]
+    c = x[rng.integers(len(x))][None]
+    far = ((x - c) ** 2).sum(axis=1)
+    while len(c) < k:  # each next start is drawn by its squared distance from those there are
+        pick = rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))
+        c = np.concatenate([c, x[pick][None]])
+        far = np.minimum(far, ((x - x[pick]) ** 2).sum(axis=1))
     for _ in range(rounds):
         d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
         near = d.argmin(axis=1)
@@ -87,16 +100,24 @@ def encoded(books: np.ndarray):
     return run
 
 
-def build(vectors: DataFrame, nlist: int = 16, m: int = 8, nbits: int = 4, seed: int = 5) -> Index:
-    units = unit_vectors(vectors)
-    model, data = train_cells(units, nlist, seed)
+def build(vectors: DataFrame, nlist: int | None = None, m: int = 8, nbits: int = 4, seed: int = 5) -> Index:
+    """Without `nlist`, the square root of the number of vectors, so that cells and what they hold grow alike."""
+    began, units = time.time(), unit_vectors(vectors)
+    model, data = train_cells(units, nlist or max(1, math.isqrt(units.count())), seed)
     centers = np.array(model.clusterCenters())
     cells = vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cell int, centroid array<double>")
     placed = model.transform(data).select("chunk_id", F.col("prediction").alias("cell"), "v")
     residuals = placed.join(F.broadcast(cells), "cell").select("chunk_id", "cell", F.zip_with("v", "centroid", lambda a, b: a - b).alias("residual"))  # nlist rows
     books = train_books(residuals, centers.shape[1], m, nbits, seed)
     codes = residuals.select("chunk_id", "cell", "residual").mapInArrow(encoded(books), "chunk_id long, cell int, codes array<short>")
-    return Index(cells, codes, books, vectors)
+    return Index(cells, codes, books, vectors, nbits, round(time.time() - began, 3))
+
+
+def parted(codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """codes with the part of its cell that a row is dealt to, and cell, parts. As many rows as there are cells."""
+    parts = codes.groupBy("cell").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
+    dealt = codes.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts"))).drop("parts")
+    return dealt, parts
 
 
 def probes(index: Index, queries: DataFrame, nprobe: int) -> DataFrame:
@@ -124,8 +145,10 @@ def ivfpq_topk(index: Index, queries: DataFrame, k: int, nprobe: int = 4) -> Dat
                 out += [(r.query_id, names[i], min(1.0, max(-1.0, 1 - d[i] / 2))) for i in best]
         return pd.DataFrame(out, columns=["query_id", "chunk_id", "score"])
 
-    near = probes(index, queries, nprobe).select("cell", "query_id", "v", "centroid").groupBy("cell")
-    found = near.cogroup(index.codes.groupBy("cell")).applyInPandas(fold, "query_id long, chunk_id long, score double")
+    codes, parts = parted(index.codes)
+    near = probes(index, queries, nprobe).select("cell", "query_id", "v", "centroid").join(F.broadcast(parts), "cell")
+    near = near.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    found = near.groupBy("cell", "part").cogroup(codes.groupBy("cell", "part")).applyInPandas(fold, "query_id long, chunk_id long, score double")
     return top_k(found, k)
 
 
@@ -143,7 +166,8 @@ def oversampled(index: Index, queries: DataFrame, k: int, nprobe: int = 4, overs
 
 def graph(index: Index, degree: int = 16, near_cells: int = 3) -> DataFrame:
     """src, dst: each vector's diverse neighbours among those of its own cell and the cells next to it. A candidate is
-    kept if it is nearer to the vector than to any kept one; the nearest others fill the rest. Links hold both ways."""
+    kept if it is nearer to the vector than to any kept one; the nearest others fill the rest. Links hold both ways; of
+    those that come together at a vector, the nearest twice `degree` stay."""
     placed = index.codes.select("chunk_id", "cell").join(unit_vectors(index.vectors), "chunk_id")
     c = index.cells
     gap = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -163,16 +187,18 @@ def graph(index: Index, degree: int = 16, near_cells: int = 3) -> DataFrame:
                     if len(kept) < degree and all(sim[i] > v[i] @ v[j] for j in kept):
                         kept.append(i)
                 kept += [i for i in order if i not in kept][: degree - len(kept)]
-                out += [(own, names[i]) for i in kept]
-        return pd.DataFrame(out, columns=["src", "dst"])
+                out += [(own, names[i], round(float(sim[i]), 9)) for i in kept]
+        return pd.DataFrame(out, columns=["src", "dst", "sim"])
 
-    made = placed.select("cell", "chunk_id", "v").toDF("home", "chunk_id", "v").groupBy("home").cogroup(others.groupBy("home")).applyInPandas(fold, "src long, dst long")
-    return made.unionByName(made.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    made = placed.select("cell", "chunk_id", "v").toDF("home", "chunk_id", "v").groupBy("home").cogroup(others.groupBy("home")).applyInPandas(fold, "src long, dst long, sim double")
+    both = made.unionByName(made.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim")).groupBy("src", "dst").agg(F.max("sim").alias("sim"))
+    near = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))
+    return both.withColumn("r", near).filter(F.col("r") <= 2 * degree).select("src", "dst")
 
 
-def graph_topk(index: Index, edges: DataFrame, queries: DataFrame, k: int, ef: int = 32, rounds: int = 8, save=None) -> DataFrame:
+def graph_topk(index: Index, edges: DataFrame, queries: DataFrame, k: int, ef: int = 32, save=None) -> DataFrame:
     """Beams of all queries walk the graph together: each round the unexpanded members of every beam meet the edges, new
-    vectors are scored, and the best `ef` stay. Ends when no beam changes. `save` writes a round's beams and reads them
+    vectors are scored, and the best `ef` stay. Ends when no beam has an unexpanded member. `save` writes a round's beams and reads them
     back, which ends their lineage."""
     save = save or (lambda df: df.checkpoint())
     q = queries.select("query_id", normalise(F.col("vector")).alias("q"))
@@ -187,22 +213,20 @@ def graph_topk(index: Index, edges: DataFrame, queries: DataFrame, k: int, ef: i
         return rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max(ef, k)).drop("r")
 
     beam = save(best(scored(q.select("query_id").crossJoin(F.broadcast(entry)))).withColumn("open", F.lit(True)))  # one entry a cell
-    for _ in range(rounds):
+    while beam.filter("open").limit(1).count():
         ahead = beam.filter("open").join(edges, F.col("chunk_id") == F.col("src")).select("query_id", F.col("dst").alias("chunk_id")).distinct()
         fresh = scored(ahead.join(beam.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")).withColumn("open", F.lit(True))
         beam = save(best(beam.withColumn("open", F.lit(False)).unionByName(fresh)))
-        if not beam.filter("open").limit(1).count():
-            break
     return top_k(beam.select("query_id", "chunk_id", "score"), k)
 
 
 def index_stats(index: Index) -> DataFrame:
-    """One row: vectors, cells, code bytes, overhead bytes, bytes a vector."""
+    """One row: vectors, cells, code bytes, overhead bytes, bytes a vector, the parameters, and the seconds of training."""
     fixed = int(index.books.size * 4)
     out = index.codes.agg(F.count("*").alias("vectors"), F.sum(F.size("codes")).alias("code_bytes"))
     cells = index.cells.agg(F.count("*").alias("cells"), F.sum(F.size("centroid") * 4).alias("cell_bytes"))
     out = out.crossJoin(F.broadcast(cells)).withColumn("overhead_bytes", F.col("cell_bytes") + fixed)  # one row
-    return out.select("vectors", "cells", "code_bytes", "overhead_bytes", F.round((F.col("code_bytes") + F.col("overhead_bytes")) / F.col("vectors"), 4).alias("bytes_per_vector"))
+    return out.select("vectors", "cells", "code_bytes", "overhead_bytes", F.round((F.col("code_bytes") + F.col("overhead_bytes")) / F.col("vectors"), 4).alias("bytes_per_vector"), F.lit(index.books.shape[0]).alias("m"), F.lit(index.nbits).alias("nbits"), F.lit(index.books.shape[0] * index.books.shape[2]).alias("dim"), F.lit(index.seconds).alias("build_seconds"))
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import let, tokenize
 from .lexical import DIGITS, top_k
 
-#: Vectors of queries that one task holds at a time.
-QUERY_BLOCK = 2048
+#: Vectors of queries, and of the corpus, that one group holds.
+QUERY_BLOCK, BASE_BLOCK = 2048, 50_000
 
 
 def norm(v: Column) -> Column:
@@ -40,6 +41,32 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     return normalise(let(buckets, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double"))))
 
 
+def hashed_vectors(rows: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
+    """id_col and vector: the default embedder for a table of texts. Texts without terms have no vector."""
+    terms = rows.select(id_col, F.explode(tokenize(F.col(text_col))).alias("t")).select(id_col, (F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long") % dim).alias("b"))
+    counts = terms.groupBy(id_col, "b").agg(F.count("*").alias("n")).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("counts"))  # dim entries at most
+    cells = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("counts", i.cast("long")), F.lit(0)).cast("double"))
+    return counts.select(id_col, normalise(cells).alias("vector"))
+
+
+def embed(rows: DataFrame, model: Callable[[list[str]], np.ndarray], id_col: str, text_col: str, batch: int = 64) -> DataFrame:
+    """id_col and vector of each row by any model from texts to rows of a matrix, made unit length. Texts of like length
+    go through the model together, shortest first; a null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = [t or "" for t in rows.column(1).to_pylist()]
+            order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+            for lo in range(0, len(order), batch):
+                part = order[lo : lo + batch]
+                v = np.asarray(model([texts[i] for i in part]), np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(part)), pa.array(list(v), pa.list_(pa.float64()))], [id_col, "vector"])
+
+    picked = rows.select(id_col, F.col(text_col).cast("string").alias("__text"))
+    return picked.mapInArrow(run, T.StructType([picked.schema[0]]).add("vector", T.ArrayType(T.DoubleType())))
+
+
 def with_prefix(query: Column, model: Column) -> Column:
     """The instruction that some models were trained to see before a query."""
     # The models and their instruction.
@@ -47,54 +74,58 @@ def with_prefix(query: Column, model: Column) -> Column:
     return F.when(model.isin("BAAI/bge-small-en-v1.5", "BAAI/bge-base-en-v1.5"), F.concat(F.lit(bge), query)).otherwise(query)
 
 
-def _best(block: list, k: int):
-    """Each Arrow batch gives its k best for every query: one matrix product, and little to shuffle."""
-    ids = np.array([r[0] for r in block], np.int64)
-    q = np.array([r[1] for r in block], np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten(), np.float64).reshape(len(column), -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-            size = np.linalg.norm(flat, axis=1, keepdims=True)
-            cos = np.round(np.clip(q @ (flat / np.where(size == 0, 1, size)).T, -1, 1), 12)
-            names = np.asarray(batch.column(0))
-            for lo in range(0, len(ids), 256):
-                part = np.round(cos[lo : lo + 256], DIGITS)
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _best(k: int):
+    """A block of queries against a block of vectors: matrix products, and the k best of each query."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = {"query_id": pa.int64(), "chunk_id": pa.int64(), "score": pa.float64()}
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            ids, names = (t.column(c).to_numpy() for t, c in ((left, "query_id"), (right, "chunk_id")))
+            q, base = _unit(_rows(left.column("asked"))), _unit(_rows(right.column("vector")))
+            for lo in range(0, len(ids), 128):
+                cos = np.round(np.clip(q[lo : lo + 128] @ base.T, -1, 1), 12)
+                part = np.round(cos, DIGITS)
                 order = np.lexsort((np.broadcast_to(names, part.shape), -part), axis=1)[:, :k]
                 row = np.repeat(np.arange(len(part)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(names[order.ravel()]), pa.array(cos[lo + row, order.ravel()])], ["query_id", "chunk_id", "score"])
+                out.append((ids[lo + row], names[order.ravel()], cos[row, order.ravel()]))
+        return pa.table({c: pa.array(np.concatenate(v) if v else [], t) for (c, t), v in zip(kinds.items(), zip(*out, strict=True) if out else [(), (), ()], strict=True)})
 
     return run
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score (cosine), rank: exact search of a stated query set against all vectors, in blocks of
-    queries, each read back from the driver in turn so that no task holds more than one block. Columns: (query_id,
-    vector), (chunk_id, vector)."""
-    spark, out = vectors.sparkSession, None
-    rows: list = []
-    blocks = []
-    for r in queries.select(F.col("query_id").cast("long"), "vector").filter("vector is not null").toLocalIterator():
-        rows.append((r[0], r[1]))
-        if len(rows) == QUERY_BLOCK:
-            blocks.append(rows)
-            rows = []
-    if rows:
-        blocks.append(rows)
+    """query_id, chunk_id, score (cosine), rank: exact search of a stated query set against all vectors. Both sides are
+    dealt into blocks of bounded rows by a hash of the id; each block of queries meets each block of vectors as a group of
+    its own, of which k rows a query are left. The driver sees two counts. Columns: (query_id, vector), (chunk_id,
+    vector)."""
+    # columns of its own, as both sides may come from one table
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("asked")).filter("asked is not null")
     base = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector").filter("vector is not null")
-    for block in blocks:
-        found = base.mapInArrow(_best(block, k), "query_id long, chunk_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, chunk_id long, score double")
-    return top_k(out, k)
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    n, m = asked.count(), base.count()
+    q_blocks, blocks = -(-n // QUERY_BLOCK) or 1, max(-(-m // BASE_BLOCK), min(tasks, -(-m // 256))) or 1
+
+    def dealt(rows: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
+
+    left = dealt(asked, "query_id", "qb", q_blocks, "vb", blocks).groupBy("qb", "vb")
+    right = dealt(base, "chunk_id", "vb", blocks, "qb", q_blocks).groupBy("qb", "vb")
+    return top_k(left.cogroup(right).applyInArrow(_best(k), "query_id long, chunk_id long, score double"), k)
 
 
 def dense_topk_sql(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The same with built-in functions only: the queries are broadcast, which the planner refuses beyond 8 GB."""
+    """The same with built-in functions only, for at most QUERY_BLOCK queries, which are broadcast; more take the blocks."""
+    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        return dense_topk(queries, vectors, k)
     pairs = vectors.select("chunk_id", normalise(F.col("vector")).alias("v")).crossJoin(F.broadcast(queries.select("query_id", normalise(F.col("vector")).alias("q"))))
     cos = F.least(F.greatest(dot(F.col("q"), F.col("v")), F.lit(-1.0)), F.lit(1.0))
     return top_k(pairs.select("query_id", "chunk_id", cos.alias("score")), k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import dates_in, passage_dates
 from ..functions.ids import filled
 from ..functions.text import tokenize
-from .lexical import DIGITS, bm25
+from .lexical import DIGITS, bm25, effective_mode
 
 RRF_K, PER_RETRIEVER, CANDIDATES, FLOOR = 60, 30, 25, 0.01
 MODES = {"dense": "cosine", "lexical": "bm25", "rrf": "rrf", "rerank": "overlap"}
@@ -71,26 +72,34 @@ def floor_fallback(candidate_hits: DataFrame, kept: DataFrame) -> DataFrame:
     return lost.withColumn("score", F.col("cosine")).withColumn("key", F.col("cosine")).withColumn("scored_by", F.lit("cosine")).withColumn("below_floor", F.lit(True))
 
 
+def spread_out(documents: list, keys: list[float], limit: int, per_document: int, share: float) -> list[int]:
+    """The places of the chosen hits. One whose document is full is put off, for good, if the next one of a document that
+    isn't full has at least `share` of its key; those put off fill what is left, in their order."""
+    chosen, put_off, held = [], [], Counter()
+    for i, d in enumerate(documents):
+        if len(chosen) == limit:
+            break
+        if held[d] >= per_document:
+            other = next((keys[j] for j in range(i + 1, len(documents)) if held[documents[j]] < per_document), None)
+            if other is not None and other >= share * keys[i]:
+                put_off.append(i)
+                continue
+        held[d] += 1
+        chosen.append(i)
+    return [*chosen, *put_off][:limit]
+
+
 def diversify(hits: DataFrame, limit: int, per_document: int = 2, share: float = 0.5) -> DataFrame:
-    """At most `per_document` hits of a document while a later candidate of another, scoring at least `share` of the one
-    passed over, is there to take the place; passed-over ones fill what is left. Columns: query_id, rank, document_id,
-    score. A query's group is its candidate list, which the cut before this bounds."""
+    """`limit` hits of a query, at most `per_document` of a document while others compete (see spread_out), ranked anew.
+    Columns: query_id, rank, document_id and key, by which the hits are ordered (score where there is no key). No cap: 0.
+    A query's group is its candidate list, which the cut before this bounds."""
     schema = hits.select(*[c for c in hits.columns if c != "rank"], F.col("rank").cast("int").alias("rank")).schema
+    key = "key" if "key" in hits.columns else "score"
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", kind="stable").reset_index(drop=True)
-        if per_document <= 0:
-            chosen = list(pdf.index[:limit])
-        else:
-            waiting, chosen, used = list(pdf.index), [], {}
-            while waiting and len(chosen) < limit:
-                head = next((i for i in waiting if used.get(pdf.document_id[i], 0) < per_document), None)
-                first = waiting[0]
-                take = head if head is not None and (head == first or pdf.score[head] >= share * pdf.score[first]) else first
-                waiting.remove(take)
-                chosen.append(take)
-                used[pdf.document_id[take]] = used.get(pdf.document_id[take], 0) + 1
-        out = pdf.loc[chosen].reset_index(drop=True)
+        pdf = pdf.sort_values("rank", kind="stable")
+        chosen = spread_out(pdf.document_id.tolist(), pdf[key].tolist(), limit, per_document, share) if per_document > 0 else range(min(limit, len(pdf)))
+        out = pdf.iloc[list(chosen)].reset_index(drop=True)
         out["rank"] = range(1, len(out) + 1)
         return out[schema.names]
 
@@ -117,38 +126,54 @@ def assemble(hits: DataFrame, chunks: DataFrame, today: Column) -> DataFrame:
     return out.withColumn("score", F.round("score", 4)).withColumn("dates_in_passage", passage_dates(dates_in(F.col("text"), today)))
 
 
-def search(queries: DataFrame, chunks: DataFrame, dense: DataFrame, mode: str = "rerank", cfg: Settings | None = None, scorer: Callable[[Column, Column], Column] | None = overlap_score) -> DataFrame:
-    """query_id, rank, chunk_id, document_id, score, scored_by, below_floor for a table of queries.
+def floored(hits: DataFrame, min_score: float, fallback: bool) -> DataFrame:
+    """The floor and its fallback in one pass over each query's candidates: those at or above the floor, or where a query
+    has none, those with a positive cosine, scored by it."""
+    reranked = F.col("scored_by") == MODES["rerank"]
+    good = ~reranked | (F.col("score") >= min_score)
+    if not (fallback and min_score > 0):
+        return hits.filter(good)
+    any_good = F.max(good).over(Window.partitionBy("query_id"))
+    out = hits.withColumn("good", good).withColumn("lost", ~any_good).filter(F.col("good") | (F.col("lost") & (F.col("cosine") > 0)))
+    for c in ("score", "key"):
+        out = out.withColumn(c, F.when(F.col("lost"), F.col("cosine")).otherwise(F.col(c)))
+    return out.withColumn("scored_by", F.when(F.col("lost"), MODES["dense"]).otherwise(F.col("scored_by"))).withColumn("below_floor", F.col("lost")).drop("good", "lost")
+
 
-    `dense` is a ranking (query_id, chunk_id, score, rank) by any vector index. Without a pair scorer, `rerank` answers
-    with fusion scores and says so."""
+def search(queries: DataFrame, chunks: DataFrame, dense: DataFrame, mode: str = "rerank", cfg: Settings | None = None, scorer: Callable[[Column, Column], Column] | None = overlap_score, models_read: str = "english") -> DataFrame:
+    """query_id, rank, chunk_id, document_id, score, scored_by, cosine, below_floor, mode, min_score, total_found and note
+    for a table of queries; `assemble` adds the passages.
+
+    `dense` is a ranking (query_id, chunk_id, score, rank) by any vector index. Queries in a script that the models don't
+    read are answered by words alone, whatever the mode. Without a pair scorer, `rerank` answers with fusion scores and
+    says so."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     cfg = cfg or Settings()
+    routed = effective_mode(queries.select("query_id", F.col("text").alias("query")).withColumn("text", F.col("query")), mode, models_read).drop("text")
     by_words = bm25(queries, chunks, PER_RETRIEVER)
-    dense = dense.filter(F.col("rank") <= PER_RETRIEVER)
+    words_only = F.col("mode") == "lexical"
+    dense = dense.filter(F.col("rank") <= PER_RETRIEVER).join(routed.filter(F.col("mode_eff") != "lexical").select("query_id"), "query_id", "left_semi")
+    ranked = candidates(rrf(dense, by_words), CANDIDATES if mode in ("rrf", "rerank") else 2 * PER_RETRIEVER)
+    ranked = ranked.join(routed.withColumnRenamed("mode_eff", "mode"), "query_id")
+    scored_by = F.when(words_only, MODES["lexical"]).otherwise(MODES[mode] if mode != "rerank" or scorer else MODES["rrf"])
+    score = F.col("rrf_score")
     if mode == "dense":
-        ranked = dense.select("query_id", "chunk_id", "score", F.col("score").alias("cosine"))
-    elif mode == "lexical":
-        ranked = by_words.select("query_id", "chunk_id", "score", F.lit(None).cast("double").alias("cosine"))
-    else:
-        ranked = candidates(rrf(dense, by_words)).select("query_id", "chunk_id", F.col("rrf_score").alias("score"), "cosine")
-    scored_by = MODES[mode] if mode != "rerank" or scorer else "rrf"
-    if mode == "rerank" and scorer:
-        texts = chunks.select("chunk_id", "text")
-        pairs = ranked.join(texts, "chunk_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-        ranked = pairs.select("query_id", "chunk_id", scorer(F.col("query"), F.col("text")).alias("score"), "cosine")
-    hits = ranked.withColumn("scored_by", F.lit(scored_by)).withColumn("below_floor", F.lit(False))
-    reranked = scored_by == MODES["rerank"]
-    key = subfloor_key(F.col("score"), F.col("cosine")) if reranked and cfg.order_below_floor else F.col("score")
-    hits = hits.withColumn("key", key)
-    kept = score_floor(hits, cfg.min_score)
-    if reranked and cfg.fallback and cfg.min_score > 0:
-        kept = kept.unionByName(floor_fallback(hits, kept).select(*kept.columns))
+        ranked, score = ranked.filter(words_only | F.col("dense_rank").isNotNull()), F.col("cosine")
+    elif mode == "rerank" and scorer:
+        ranked = ranked.join(chunks.select("chunk_id", "text"), "chunk_id")
+        score = scorer(F.col("query"), F.col("text"))
+    score = F.when(words_only, F.col("bm25")).otherwise(score)
+    hits = ranked.select("query_id", "chunk_id", score.alias("score"), "cosine", scored_by.alias("scored_by"), F.lit(False).alias("below_floor"), "mode", "note")
+    reranked = F.col("scored_by") == MODES["rerank"]
+    key = F.when(reranked, subfloor_key(F.col("score"), F.col("cosine"))).otherwise(F.col("score")) if cfg.order_below_floor else F.col("score")
+    kept = floored(hits.withColumn("key", key), cfg.min_score, cfg.fallback)
     w = Window.partitionBy("query_id").orderBy(F.round("key", DIGITS).desc(), "chunk_id")
     kept = kept.withColumn("rank", F.row_number().over(w)).join(chunks.select("chunk_id", "document_id"), "chunk_id")
-    if scored_by in ("rrf", "bm25"):
+    spread = F.col("scored_by").isin(MODES["dense"], MODES["rerank"])
+    if mode in ("lexical", "rrf") or cfg.per_document <= 0 or (mode == "rerank" and not scorer):
         out = kept.filter(F.col("rank") <= cfg.limit)
     else:
-        out = diversify(kept, cfg.limit, cfg.per_document, cfg.backfill_share)
-    return out.select("query_id", "rank", "chunk_id", "document_id", "score", "scored_by", "below_floor")
+        out = diversify(kept.filter(spread), cfg.limit, cfg.per_document, cfg.backfill_share).unionByName(kept.filter(~spread & (F.col("rank") <= cfg.limit)).withColumn("rank", F.col("rank").cast("int")))
+    out = out.withColumn("total_found", F.count("*").over(Window.partitionBy("query_id"))).withColumn("min_score", F.lit(cfg.min_score))
+    return out.select("query_id", "rank", "chunk_id", "document_id", "score", "scored_by", "cosine", "below_floor", "mode", "min_score", "total_found", "note")

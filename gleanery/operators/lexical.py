@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import mostly_latin, tokenize
+from ..sources.scratch import scratch
 
 K1, B = 1.5, 0.75
 #: Scores are ranked at this precision, so that the order of a sum can't change a rank.
@@ -41,18 +44,42 @@ def top_k(scored: DataFrame, k: int, by: Column | None = None, id_col: str = "ch
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, limit: int = 30) -> DataFrame:
-    """query_id, chunk_id, score, rank of the best `limit` chunks for each query with a positive score.
+@dataclass(frozen=True)
+class Index:
+    """postings (term, chunk_id, tf, len) and stats (n, avgdl: one row), kept as tables below a folder."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+
+def build_index(chunks: DataFrame, folder: str | None = None) -> Index:
+    """Tokenises each chunk once and writes its postings with its length; the mean length follows from their sum, over
+    all chunks, those without terms too. Without a folder the tables go to a new one in the shared place."""
+    spark, folder = chunks.sparkSession, folder or scratch(chunks.sparkSession, "lexical")
+    terms = chunks.select("chunk_id", tokenize(F.col("text")).alias("terms")).filter(F.size("terms") > 0)
+    rows = terms.select("chunk_id", F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term")).groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
+    rows.write.parquet(f"{folder}/postings")
+    total = spark.read.parquet(f"{folder}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    stats = chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row each
+    stats.write.parquet(f"{folder}/stats")
+    return open_index(spark, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"))
+
+
+def bm25(queries: DataFrame, corpus: DataFrame | Index, limit: int = 30) -> DataFrame:
+    """query_id, chunk_id, score, rank of the best `limit` chunks for each query with a positive score. `corpus`: chunks
+    (chunk_id, text), or an index of them, which many batches of queries can share.
 
     The queries' distinct terms are what the postings meet, so postings of other terms are dropped before the join; their
     side is the small one, and Spark broadcasts it if it is small enough. A query's repeated term counts each time."""
+    index = corpus if isinstance(corpus, Index) else build_index(corpus)
     wanted = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    terms = wanted.select("term").distinct()
-    posts = postings(chunks).join(terms, "term", "left_semi")
-    lens = lengths(chunks)
-    stats = corpus_stats(lens)
-    idf = term_stats(posts, stats)
-    weighed = posts.join(lens, "chunk_id").crossJoin(F.broadcast(stats)).join(idf.select("term", "idf"), "term")
+    posts = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    idf = term_stats(posts, index.stats)
+    weighed = posts.crossJoin(F.broadcast(index.stats)).join(idf.select("term", "idf"), "term")  # one row
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     weighed = weighed.select("term", "chunk_id", part.alias("part"))
     scored = wanted.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qn") * F.col("part")).alias("score")).filter("score > 0")

@@ -49,7 +49,8 @@ def replay(turns: DataFrame) -> DataFrame:
     """conv_id, place, role, text: alternating questions and answers that end on an answer. Blank and unknown turns go; a
     question without answer gives way to the next; the last turns stay, and the oldest pairs go until the rest is short
     enough. A conversation is one group."""
-    clean = turns.filter(F.col("role").isin("user", "assistant") & (F.length(F.trim("text")) > 0)).select("conv_id", "turn", "role", clip_turn(F.col("text")).alias("text"))
+    bare = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    clean = turns.filter(F.col("role").isin("user", "assistant") & (F.length(bare) > 0)).select("conv_id", "turn", "role", clip_turn(bare).alias("text"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple[str, str]] = []
@@ -143,11 +144,24 @@ def usage_rollup(reports: DataFrame) -> DataFrame:
 
 
 def pair_tool_events(events: DataFrame) -> DataFrame:
-    """request, name, seq, call_id: each result with the latest call of its name before it in the request. Calls and
-    results of a name alternate."""
+    """request, name, seq, call_id: each result with the latest call of its name before it in the request that has no
+    result yet, or null. Calls open and results close, like brackets: a result's call is the last one on its level."""
     w = Window.partitionBy("request", "name").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    call = F.last(F.when(F.col("kind") == "call", F.col("seq")), ignorenulls=True).over(w)
-    return events.withColumn("call_id", call).filter("kind = 'result'").select("request", "name", "seq", "call_id")
+    is_call = F.col("kind") == "call"
+    level = events.filter(F.col("kind").isin("call", "result")).withColumn("sum", F.sum(F.when(is_call, 1).otherwise(-1)).over(w))
+    level = level.withColumn("least", F.least(F.lit(0), F.min("sum").over(w)))
+    level = level.withColumn("before", F.lag("least", 1, 0).over(Window.partitionBy("request", "name").orderBy("seq")))
+    # a result that takes the sum to a new minimum has no open call
+    level = level.withColumn("alone", ~is_call & (F.col("least") < F.col("before"))).withColumn("depth", F.col("sum") - F.col("least") + F.when(is_call, 0).otherwise(1))
+    own = Window.partitionBy("request", "name", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    call = F.when(~F.col("alone"), F.last(F.when(is_call, F.col("seq")), ignorenulls=True).over(own))
+    return level.withColumn("call_id", call).filter(~is_call).select("request", "name", "seq", "call_id")
+
+
+def tools_used(events: DataFrame) -> DataFrame:
+    """request, tools (distinct names, sorted) and sources (of the last result that has any) of each request."""
+    with_sources = F.when((F.col("kind") == "result") & F.col("sources").isNotNull(), F.col("seq"))
+    return events.groupBy("request").agg(F.array_sort(F.collect_set("name")).alias("tools"), F.max_by("sources", with_sources).alias("sources"))
 
 
 def tool_outcome(name: Column, is_error: Column, hits: Column, scored_by: Column, top: Column, below_floor: Column) -> Column:

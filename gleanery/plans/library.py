@@ -173,22 +173,22 @@ def h11_selftest_summary(spark, sf_dir):
 
 
 # Evaluation. Vectors are asked for their nearest ten others; those of the same label are relevant.
-HITS = f"{dense_ctes(11)}, hits AS (SELECT query_id, unit, r AS rank FROM (SELECT query_id, chunk_id AS unit, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM dense WHERE query_id <> chunk_id) WHERE r <= 10), lab AS (SELECT vec_id, label FROM embeddings), relevant AS (SELECT q.vec_id AS query_id, d.vec_id AS unit FROM lab q JOIN lab d USING (label) WHERE q.vec_id < 50 AND q.vec_id <> d.vec_id AND q.vec_id % 10 <> 0)"
+HITS = f"{dense_ctes(11)}, hits AS (SELECT query_id, unit, r AS rank FROM (SELECT query_id, chunk_id AS unit, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM dense WHERE query_id <> chunk_id) WHERE r <= 10), lab AS (SELECT vec_id, label FROM embeddings), relevant AS (SELECT q.vec_id AS query_id, d.vec_id AS unit FROM lab q JOIN lab d USING (label) WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id AND q.vec_id % 200 <> 0)"
 
 
 def retrieval_run(spark, sf_dir):
-    """(questions, hits, relevant): every tenth question has nothing relevant."""
+    """(questions, hits, relevant): every fourth question has nothing relevant."""
     asked, vectors = vector_tables(spark, sf_dir)
     near = dense.dense_topk(asked, vectors, 11).filter("query_id <> chunk_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     hits = near.select("query_id", F.col("chunk_id").alias("unit"), rank.alias("rank")).filter("rank <= 10")
     lab = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q = lab.filter("vec_id < 50 and vec_id % 10 <> 0").select(F.col("vec_id").alias("query_id"), "label")
+    q = lab.filter("vec_id % 50 = 0 and vec_id % 200 <> 0").select(F.col("vec_id").alias("query_id"), "label")
     relevant = q.join(lab.withColumnRenamed("vec_id", "unit"), "label").filter("query_id <> unit").select("query_id", "unit")
     return asked.select("query_id"), hits, relevant
 
 
-PER_QUESTION = f"""WITH {HITS}, questions AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 50), n AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY 1), r AS (SELECT query_id, min(rank) AS rank FROM hits SEMI JOIN relevant USING (query_id, unit) GROUP BY query_id, unit),
+PER_QUESTION = f"""WITH {HITS}, questions AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0), n AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY 1), r AS (SELECT query_id, min(rank) AS rank FROM hits SEMI JOIN relevant USING (query_id, unit) GROUP BY query_id, unit),
 g AS (SELECT query_id, min(rank) AS first, count(*) FILTER (WHERE rank <= 3) AS in_3, count(*) FILTER (WHERE rank <= 5) AS in_5, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= 3), 0) AS gain_3, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= 5), 0) AS gain_5 FROM r GROUP BY 1),
 m AS (SELECT query_id, CASE WHEN n IS NULL THEN 1.0 WHEN first = 1 THEN 1.0 ELSE 0.0 END AS hit_at_1, CASE WHEN n IS NULL THEN 1.0 ELSE coalesce(1 / first, 0) END AS mrr, CASE WHEN n IS NULL THEN 1.0 ELSE coalesce(in_3, 0) / n END AS recall_at_3, CASE WHEN n IS NULL THEN 1.0 ELSE coalesce(in_5, 0) / n END AS recall_at_5,
  CASE WHEN n IS NULL THEN 1.0 ELSE coalesce(gain_3, 0) / list_sum(list_transform(range(1, least(n, 3) + 1), lambda i: 1 / log2(i + 1))) END AS ndcg_at_3, CASE WHEN n IS NULL THEN 1.0 ELSE coalesce(gain_5, 0) / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))) END AS ndcg_at_5
@@ -212,7 +212,7 @@ metric("i4_ndcg_at_k", "ndcg_at_3", "ndcg_at_5")
 
 GRADES = f"""WITH {HITS}, docs AS (SELECT query_id, source AS document_id, min(rank) AS first FROM hits JOIN documents ON doc_id = unit GROUP BY ALL), ranked AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY first, document_id) AS rank FROM docs),
 qrels AS (SELECT query_id, source AS document_id, CAST(count(*) AS DOUBLE) AS grade FROM relevant JOIN documents ON doc_id = unit WHERE query_id % 7 <> 0 GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, document_id) AS pos FROM qrels),
-b AS (SELECT query_id, sum(grade / log2(pos + 1)) FILTER (WHERE pos <= 10) AS idcg, count(*) AS n FROM best GROUP BY 1), g AS (SELECT query_id, sum(grade / log2(rank + 1)) AS dcg, count(*) AS hit FROM ranked JOIN qrels USING (query_id, document_id) WHERE rank <= 10 GROUP BY 1), gr AS (SELECT q.query_id, coalesce(dcg / idcg, 0) AS ndcg, coalesce(hit / n, 0) AS recall FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 50) q LEFT JOIN b USING (query_id) LEFT JOIN g USING (query_id))"""
+b AS (SELECT query_id, sum(grade / log2(pos + 1)) FILTER (WHERE pos <= 10) AS idcg, count(*) AS n FROM best GROUP BY 1), g AS (SELECT query_id, sum(grade / log2(rank + 1)) AS dcg, count(*) AS hit FROM ranked JOIN qrels USING (query_id, document_id) WHERE rank <= 10 GROUP BY 1), gr AS (SELECT q.query_id, coalesce(dcg / idcg, 0) AS ndcg, coalesce(hit / n, 0) AS recall FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN b USING (query_id) LEFT JOIN g USING (query_id))"""
 
 
 def graded_run(spark, sf_dir):
@@ -355,7 +355,7 @@ def i22_overfetch_study(spark, sf_dir):
     return evaluate.overfetch(shared_ranking(spark, sf_dir), owned(spark, sf_dir))
 
 
-@query(f"WITH {OVER}, first AS (SELECT q.vec_id AS query_id, min(rank) AS first FROM (SELECT vec_id FROM embeddings WHERE vec_id < 50) q LEFT JOIN (SELECT * FROM ranked WHERE document_id IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings WHERE label = 3)) r ON r.query_id = q.vec_id GROUP BY 1), s AS (SELECT list_sort(list(first) FILTER (WHERE first IS NOT NULL)) AS r, count(*) FILTER (WHERE first IS NULL) AS never FROM first) SELECT r[CAST(floor(len(r) * 0.5) AS INT) + 1] AS median, r[CAST(floor(len(r) * 0.9) AS INT) + 1] AS p90, list_max(r) AS max, never FROM s")
+@query(f"WITH {OVER}, first AS (SELECT q.vec_id AS query_id, min(rank) AS first FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN (SELECT * FROM ranked WHERE document_id IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings WHERE label = 3)) r ON r.query_id = q.vec_id GROUP BY 1), s AS (SELECT list_sort(list(first) FILTER (WHERE first IS NOT NULL)) AS r, count(*) FILTER (WHERE first IS NULL) AS never FROM first) SELECT r[CAST(floor(len(r) * 0.5) AS INT) + 1] AS median, r[CAST(floor(len(r) * 0.9) AS INT) + 1] AS p90, list_max(r) AS max, never FROM s")
 def i23_first_relevant_rank(spark, sf_dir):
     q = vector_tables(spark, sf_dir)[0].select("query_id")
     relevant = q.crossJoin(owned(spark, sf_dir))

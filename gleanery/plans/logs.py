@@ -175,13 +175,23 @@ def j14_usage_rollup(spark, sf_dir):
 TOOLS = "tools AS (SELECT event_id AS seq, user_id AS request, event_type AS name, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) % 2 = 1 THEN 'call' ELSE 'result' END AS kind FROM events)"
 
 
-@query(f"WITH {TOOLS} SELECT r.request, r.name, r.seq, c.seq AS call_id FROM (SELECT * FROM tools WHERE kind = 'result') r ASOF LEFT JOIN (SELECT * FROM tools WHERE kind = 'call') c ON r.request = c.request AND r.name = c.name AND r.seq >= c.seq")
-def j15_pair_tool_events(spark, sf_dir):
+def tool_events(spark, sf_dir):
     from pyspark.sql import Window
 
     nth = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("request"), F.col("event_type").alias("name"), F.when(nth % 2 == 1, "call").otherwise("result").alias("kind"))
-    return usage.pair_tool_events(events)
+    e = table(spark, sf_dir, "events").withColumn("kind", F.when(nth % 2 == 1, "call").otherwise("result"))
+    sources = F.when((F.col("kind") == "result") & (F.col("event_id") % 3 > 0), F.col("event_id").cast("string"))
+    return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("request"), F.col("event_type").alias("name"), "kind", sources.alias("sources"))
+
+
+@query(f"WITH {TOOLS} SELECT r.request, r.name, r.seq, c.seq AS call_id FROM (SELECT * FROM tools WHERE kind = 'result') r ASOF LEFT JOIN (SELECT * FROM tools WHERE kind = 'call') c ON r.request = c.request AND r.name = c.name AND r.seq >= c.seq")
+def j15_pair_tool_events(spark, sf_dir):
+    return usage.pair_tool_events(tool_events(spark, sf_dir))
+
+
+@query(f"""WITH {TOOLS} SELECT request, array_to_string(list_sort(list(DISTINCT name)), ',') AS tools, arg_max(CASE WHEN kind = 'result' AND seq % 3 > 0 THEN CAST(seq AS VARCHAR) END, CASE WHEN kind = 'result' AND seq % 3 > 0 THEN seq END) AS sources FROM tools GROUP BY request""")
+def j15_tools_used(spark, sf_dir):
+    return usage.tools_used(tool_events(spark, sf_dir)).select("request", F.array_join("tools", ",").alias("tools"), "sources")
 
 
 @query("SELECT kind, set, count(*) AS questions, round(avg(hit), 4) AS hit_at_1, round(avg(searches), 4) AS searches, count(*) FILTER (WHERE searches > 1) AS twice, round(sum(cost), 2) AS cost FROM (SELECT event_type AS kind, user_id % 3 AS set, CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS hit, event_id % 4 AS searches, value AS cost FROM events) GROUP BY GROUPING SETS ((), (kind), (set))")

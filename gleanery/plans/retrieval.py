@@ -151,19 +151,22 @@ def e5_dense_topk_sql(spark, sf_dir):
 
 
 def both_rankings(spark, sf_dir):
-    """BM25 over the documents that have a vector, and exact vector search, for the questions with one."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vector"))
-    chunks = whole_documents(spark, sf_dir).join(e.select(F.col("vec_id").alias("chunk_id")), "chunk_id", "left_semi")
-    asked = question_table(spark, sf_dir).join(e.withColumnRenamed("vec_id", "query_id"), "query_id")
-    vectors = e.withColumnRenamed("vec_id", "chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-    return asked.select("query_id", "text"), chunks, dense.dense_topk(asked.select("query_id", "vector"), vectors, 30)
-
-
-FUSED = f"""{UNIT}, chunks AS (SELECT doc_id AS chunk_id, source AS document_id, text FROM documents SEMI JOIN embeddings ON doc_id = vec_id),
-questions AS (SELECT item_id AS query_id, text FROM benchmark SEMI JOIN embeddings ON item_id = vec_id), {bm25_ctes('chunks', 'questions', 30)},
-dense AS (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, least(greatest(list_dot_product(q.v, d.v), -1), 1) AS score,
- row_number() OVER (PARTITION BY q.vec_id ORDER BY round(least(greatest(list_dot_product(q.v, d.v), -1), 1), 6) DESC, d.vec_id) AS rank
- FROM unit q, unit d WHERE q.vec_id IN (SELECT query_id FROM questions) AND d.vec_id IN (SELECT chunk_id FROM chunks) QUALIFY rank <= 30),
+    """Every question, every document as one chunk, and exact vector search by the default embedder."""
+    chunks, asked = whole_documents(spark, sf_dir), question_table(spark, sf_dir)
+    near = dense.dense_topk(dense.hashed_vectors(asked, "query_id", "text"), dense.hashed_vectors(chunks, "chunk_id", "text"), 30)
+    return asked, chunks, near
+
+
+def embedded(table: str, id_col: str) -> str:
+    """SQL of dense.hashed_vectors: (id, v)."""
+    buckets = f"SELECT {id_col} AS id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS b, count(*) AS n FROM (SELECT {id_col}, unnest({tokens('text')}) AS t FROM {table}) GROUP BY ALL"
+    return f"(SELECT id, list_transform(range(0, 64), lambda i: coalesce(map_extract(m, i)[1], 0) / s) AS v FROM (SELECT id, map(list(b), list(n)) AS m, sqrt(sum(n * n)) AS s FROM ({buckets}) GROUP BY id))"
+
+
+FUSED = f"""{DOC_CHUNKS}, {bm25_ctes('chunks', 'questions', 30)},
+dense AS (SELECT q.id AS query_id, d.id AS chunk_id, least(greatest(list_dot_product(q.v, d.v), -1), 1) AS score,
+ row_number() OVER (PARTITION BY q.id ORDER BY round(least(greatest(list_dot_product(q.v, d.v), -1), 1), 6) DESC, d.id) AS rank
+ FROM {embedded('questions', 'query_id')} q, {embedded('chunks', 'chunk_id')} d QUALIFY rank <= 30),
 fused AS (SELECT query_id, chunk_id, coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + l.rank), 0) AS rrf_score, d.rank AS dense_rank, l.rank AS lexical_rank, d.score AS cosine
  FROM dense d FULL OUTER JOIN lexical l USING (query_id, chunk_id)),
 cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) AS fused_rank FROM fused QUALIFY fused_rank <= 25)"""
@@ -236,7 +239,19 @@ def f7_floor_fallback(spark, sf_dir):
     return lost.select("query_id", "chunk_id", F.round("score", 5).alias("score"), "scored_by", "below_floor")
 
 
-@query()
+def spread(ordered: str, limit: int, per_document: int = 2, share: float = 0.5) -> str:
+    """CTEs ending in `picked` (query_id, place, rank): the diversity rule as a walk down each query's list, over `ordered`
+    (query_id, place from 1, document_id, key)."""
+    full = "len(list_filter(chosen, lambda c: docs[c] = docs[{}])) >= " + str(per_document)
+    return f"""lists AS (SELECT query_id, list(document_id ORDER BY place) AS docs, list(key ORDER BY place) AS keys FROM {ordered} GROUP BY query_id),
+walk AS (SELECT query_id, docs, keys, 1 AS pos, CAST([] AS BIGINT[]) AS chosen, CAST([] AS BIGINT[]) AS put_off FROM lists
+ UNION ALL SELECT query_id, docs, keys, pos + 1, CASE WHEN later THEN chosen ELSE list_append(chosen, pos) END, CASE WHEN later THEN list_append(put_off, pos) ELSE put_off END
+ FROM (SELECT *, {full.format('pos')} AND coalesce(keys[list_filter(range(pos + 1, len(docs) + 1), lambda j: NOT {full.format('j')})[1]] >= {share} * keys[pos], false) AS later FROM walk WHERE pos <= len(docs) AND len(chosen) < {limit})),
+ended AS (SELECT query_id, list_concat(chosen, put_off)[1 : {limit}] AS l FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) = 1),
+picked AS (SELECT query_id, unnest(l) AS place, generate_subscripts(l, 1) AS rank FROM ended)"""
+
+
+@query(f"WITH RECURSIVE {FUSED}, listed AS (SELECT query_id, d.rank AS place, chunk_id, document_id, score AS key FROM dense d JOIN chunks USING (chunk_id)), {spread('listed', 10)} SELECT query_id, p.rank, chunk_id, document_id FROM picked p JOIN listed USING (query_id, place)")
 def f8_diversify(spark, sf_dir):
     asked, chunks, near = both_rankings(spark, sf_dir)
     hits = near.join(chunks.select("chunk_id", "document_id"), "chunk_id").select("query_id", "rank", "chunk_id", "document_id", "score")
@@ -251,7 +266,22 @@ def f9_assemble_hits(spark, sf_dir):
     return out.select("query_id", "rank", "chunk_id", "document_id", "category", "chunk_index", "text")
 
 
-@query()
+FLOORED = """floored AS (SELECT query_id, chunk_id, score >= 0.01 AS good, max(score >= 0.01) OVER (PARTITION BY query_id) AS any_good, cosine,
+ CASE WHEN any_good THEN score ELSE cosine END AS score, CASE WHEN any_good THEN key ELSE cosine END AS key FROM keyed QUALIFY good OR (NOT any_good AND cosine > 0)),
+listed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(key, 6) DESC, chunk_id) AS place FROM floored JOIN (SELECT chunk_id, document_id, text FROM chunks) USING (chunk_id))"""
+
+
+@query(f"""WITH RECURSIVE {KEYED}, {FLOORED}, {spread('listed', 5)} SELECT query_id, p.rank, chunk_id, document_id, round(score, 4) AS score, CASE WHEN any_good THEN 'overlap' ELSE 'cosine' END AS scored_by, NOT any_good AS below_floor,
+ 'rerank' AS mode, count(*) OVER (PARTITION BY query_id) AS total_found, text FROM picked p JOIN listed USING (query_id, place)""")
 def f10_search(spark, sf_dir):
     asked, chunks, near = both_rankings(spark, sf_dir)
-    return fusion.search(asked, chunks, near, "rerank").select("query_id", "rank", "chunk_id", "document_id", F.round("score", 4).alias("score"), "scored_by", "below_floor")
+    found = fusion.assemble(fusion.search(asked, chunks, near, "rerank"), chunks, today())
+    return found.select("query_id", "rank", "chunk_id", "document_id", F.round("score", 4).alias("score"), "scored_by", "below_floor", "mode", "total_found", "text")
+
+
+@query(f"""WITH {FUSED} SELECT query_id, rank, chunk_id, 'bm25' AS scored_by, 'lexical' AS mode, round(score, 4) AS score FROM lexical WHERE rank <= 5""")
+def f10_search_words_only(spark, sf_dir):
+    """Questions that hold a longer passage in another script are answered by words alone, whatever the mode."""
+    asked, chunks, near = both_rankings(spark, sf_dir)
+    odd = asked.withColumn("text", F.concat("text", F.lit(" "), F.repeat(F.lit("ж ш "), F.length("text"))))
+    return fusion.search(odd, chunks, near, "rerank").select("query_id", "rank", "chunk_id", "scored_by", "mode", F.round("score", 4).alias("score"))

@@ -81,11 +81,11 @@ lexical AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY qu
 
 
 DOC_CHUNKS = "chunks AS (SELECT doc_id AS chunk_id, source AS document_id, text FROM documents), questions AS (SELECT item_id AS query_id, text FROM benchmark)"
-#: Vectors of unit length, and the first fifty as queries.
+#: Vectors of unit length; every fiftieth is a query.
 UNIT = "unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / (CASE WHEN n = 0 THEN 1 ELSE n END)) AS v FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings))"
 
 
-def dense_ctes(k: int, where: str = "q.vec_id < 50") -> str:
+def dense_ctes(k: int, where: str = "q.vec_id % 50 = 0") -> str:
     return f"""{UNIT},
 dense AS (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, least(greatest(list_dot_product(q.v, d.v), -1), 1) AS score,
  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(least(greatest(list_dot_product(q.v, d.v), -1), 1), 6) DESC, d.vec_id) AS rank
@@ -94,4 +94,4 @@ dense AS (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, least(greatest(list
 
 def vector_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
-    return e.filter("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))

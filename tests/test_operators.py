@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import text
-from gleanery.operators import chunking, dense, fusion, usage
+from gleanery.operators import chunking, dense, fusion, lexical, usage
 from gleanery.sources import files
 
 
@@ -93,3 +93,50 @@ def test_model_stamp(spark):
     files.guard_model(spark.createDataFrame([("m",)], "model string"), "m", "d", chunks)
     with pytest.raises(ValueError):
         files.guard_model(spark.createDataFrame([], "model string"), "m", "d", chunks)
+
+
+def test_a_hit_put_off_stays_off():
+    assert fusion.spread_out(["a", "a", "a", "b", "c"], [1.0, 0.9, 0.8, 0.45, 0.1], 3, 1, 0.5) == [0, 3, 4]
+    assert fusion.spread_out(["a", "a", "b"], [1.0, 0.9, 0.1], 3, 1, 0.5) == [0, 1, 2]
+
+
+def test_results_close_the_latest_open_call(spark):
+    kinds = ["call", "call", "result", "result", "result", "call", "result"]
+    events = spark.createDataFrame([(1, "s", i, k) for i, k in enumerate(kinds)] + [(1, "t", 9, "result")], "request int, name string, seq int, kind string")
+    got = {r["seq"]: r["call_id"] for r in usage.pair_tool_events(events).collect()}
+    assert got == {2: 1, 3: 0, 4: None, 6: 5, 9: None}
+
+
+def test_turns_are_bare_before_they_count(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "\n q \t"), (1, 1, "assistant", "\n\n"), (1, 2, "assistant", " a ")], "conv_id long, turn int, role string, text string")
+    assert [(r["role"], r["text"]) for r in usage.replay(turns).orderBy("place").collect()] == [("user", "q"), ("assistant", "a")]
+
+
+def test_any_model_embeds(spark):
+    rows = spark.createDataFrame([(i, "x" * i if i else None) for i in range(5)], "id long, text string")
+    got = {r["id"]: r["vector"] for r in dense.embed(rows, lambda texts: [[len(t), 1.0] for t in texts], "id", "text", batch=2).collect()}
+    assert all(abs(got[i][0] - i / (i * i + 1) ** 0.5) < 1e-12 for i in range(5))
+
+
+def test_vectors_by_table_are_those_by_column(spark):
+    rows = spark.createDataFrame([(1, "kalman filter gain kalman"), (2, "hungarian assignment"), (3, "the")], "id long, text string")
+    one = {r["id"]: r["vector"] for r in dense.hashed_vectors(rows, "id", "text").collect()}
+    two = {r["id"]: r["v"] for r in rows.select("id", dense.hashed_embedding(F.col("text")).alias("v")).collect()}
+    assert set(one) == {1, 2} and all(max(abs(a - b) for a, b in zip(one[i], two[i], strict=True)) < 1e-12 for i in one)
+
+
+def test_questions_in_other_scripts_go_by_words(spark):
+    chunks = spark.createDataFrame([(i, "d", f"фильтр калмана номер{i}") for i in range(4)], "chunk_id long, document_id string, text string")
+    asked = spark.createDataFrame([(7, "фильтр номер2")], "query_id long, text string")
+    near = dense.dense_topk(dense.hashed_vectors(asked, "query_id", "text"), dense.hashed_vectors(chunks, "chunk_id", "text"), 5)
+    got = fusion.assemble(fusion.search(asked, chunks, near, cfg=fusion.Settings(limit=3)), chunks, F.lit("2026-01-01").cast("date")).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == [1, 2, 3] and got[0]["chunk_id"] == 2 and {r["scored_by"] for r in got} == {"bm25"} and {r["mode"] for r in got} == {"lexical"}
+    assert got[0]["total_found"] == 3 and got[0]["note"]
+
+
+def test_an_index_serves_many_batches(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "kalman filter gain"), (2, "hungarian assignment filter"), (3, "the")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(7, "kalman filter filter")], "query_id long, text string")
+    lexical.build_index(chunks, f"{tmp_path}/index")
+    again = lexical.bm25(asked, lexical.open_index(spark, f"{tmp_path}/index")).orderBy("rank").collect()
+    assert again == lexical.bm25(asked, chunks).orderBy("rank").collect() and [r["chunk_id"] for r in again] == [1, 2]

@@ -122,8 +122,7 @@ def one_of_each(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text
     with the smallest id (null ids last). Rows that share an id without being near copies are groups of their own."""
     found = grouped(docs, width=width, id_col=id_col, text_col=text_col)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key"))
-    chosen = found.groupBy("root").agg(least.alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.row_key").alias("__row_key"))
-    own = F.col(f"`{id_col}`").cast("long")
-    keyed = docs.withColumn("__id", own).withColumn("__row_key", F.xxhash64(own, F.col(f"`{text_col}`").cast("string")))
-    same = F.col("d.__id").eqNullSafe(F.col("c.__id")) & (F.col("d.__row_key") == F.col("c.__row_key"))
-    return keyed.alias("d").join(chosen.alias("c"), same, "left_semi").dropDuplicates(["__id", "__row_key"]).drop("__id", "__row_key")
+    chosen = found.groupBy("root").agg(least.alias("x")).select(F.coalesce("x.doc_id", F.lit(-1)).alias("__id"), F.col("x.row_key").alias("__row_key"))
+    own = F.col(f"`{id_col}`").cast("long")  # a null id has the hash of none, so that -1 is no clash
+    keyed = docs.withColumn("__id", F.coalesce(own, F.lit(-1))).withColumn("__row_key", F.xxhash64(own, F.col(f"`{text_col}`").cast("string")))
+    return keyed.join(chosen, ["__id", "__row_key"], "left_semi").dropDuplicates(["__id", "__row_key"]).drop("__id", "__row_key")

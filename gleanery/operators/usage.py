@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,28 +51,18 @@ def restore_labels(prior: DataFrame, seen: DataFrame) -> DataFrame:
 def replay(turns: DataFrame) -> DataFrame:
     """conv_id, place, role, text: alternating questions and answers that end on an answer. Blank and unknown turns go; a
     question without answer gives way to the next; the last turns stay, and the oldest pairs go until the rest is short
-    enough. A conversation is one group."""
+    enough. A pair is a question whose next turn is an answer, so windows over a conversation find all of them."""
     bare = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     clean = turns.filter(F.col("role").isin("user", "assistant") & (F.length(bare) > 0)).select("conv_id", "turn", "role", clip_turn(bare).alias("text"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, str]] = []
-        for role, text in pdf.sort_values("turn", kind="stable")[["role", "text"]].itertuples(index=False):
-            if role == "user":
-                if kept and kept[-1][0] == "user":
-                    kept.pop()
-                kept.append((role, text))
-            elif kept and kept[-1][0] == "user":
-                kept.append((role, text))
-        if kept and kept[-1][0] == "user":
-            kept.pop()
-        kept = kept[-LAST_TURNS:]
-        while sum(len(t) for _, t in kept) > MOST_CHARS:
-            kept = kept[2:]
-        cells = [(pdf.conv_id.iloc[0], i, role, text) for i, (role, text) in enumerate(kept)]
-        return pd.DataFrame(cells, columns=["conv_id", "place", "role", "text"], dtype=object)
-
-    return clean.groupBy("conv_id").applyInPandas(fold, "conv_id long, place int, role string, text string")
+    w = Window.partitionBy("conv_id").orderBy("turn", F.desc("role"), "text")
+    asked, answered = F.col("role") == "user", F.lead("role").over(w) == "assistant"
+    pairs = clean.withColumn("answer", F.when(asked & answered, F.lead("text").over(w))).filter("answer is not null")
+    back = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role", F.desc("text"))
+    size = F.sum(F.length("text") + F.length("answer")).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = pairs.withColumn("size", size).withColumn("r", F.row_number().over(back)).filter((F.col("r") <= LAST_TURNS // 2) & (F.col("size") <= MOST_CHARS))
+    kept = kept.withColumn("first", 2 * (F.max("r").over(Window.partitionBy("conv_id")) - F.col("r")))
+    both = F.array(*[F.struct((F.col("first") + i).alias("place"), F.lit(role).alias("role"), F.col(c).alias("text")) for i, role, c in ((0, "user", "text"), (1, "assistant", "answer"))])
+    return kept.select("conv_id", F.explode(both).alias("x")).select("conv_id", "x.*")
 
 
 def daily_spend(log: DataFrame) -> DataFrame:
@@ -88,40 +81,48 @@ def budget_admission(log: DataFrame, cap: float) -> DataFrame:
 
 def owner_share(log: DataFrame, cap: float, share: float) -> DataFrame:
     """id, admitted under two ceilings, the day's and the owner's share of it; refused queries cost nothing, so each
-    depends on those before it: a fold over a day."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, own, out = 0.0, {}, []
-        for owner, cost in pdf.sort_values(["ts", "id"], kind="stable")[["owner", "cost"]].itertuples(index=False):
-            ok = total < cap and own.get(owner, 0.0) < share * cap
-            out.append(ok)
-            if ok and cost > 0:
-                total, own[owner] = total + cost, own.get(owner, 0.0) + cost
-        done = pdf.sort_values(["ts", "id"], kind="stable")[["id"]].copy()
-        done["admitted"] = out
-        return done
-
-    days = log.select("id", "ts", "owner", "cost", F.col("ts").cast("date").alias("day"))
-    return days.groupBy("day").applyInPandas(fold, "id long, admitted boolean")
+    depends on those before it. Days are sorted within partitions and read batch by batch: what is held is a day's sum
+    for each owner."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        today, total, own = None, 0.0, {}
+        for pdf in batches:
+            out = []
+            for day, owner, cost in pdf[["day", "owner", "cost"]].itertuples(index=False):
+                if day != today:
+                    today, total, own = day, 0.0, {}
+                ok = total < cap and own.get(owner, 0.0) < share * cap
+                out.append(ok)
+                if ok and cost > 0:
+                    total, own[owner] = total + cost, own.get(owner, 0.0) + cost
+            yield pd.DataFrame({"id": pdf.id, "admitted": out})
+
+    days = log.select("id", "ts", "owner", "cost", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return days.repartition("day").sortWithinPartitions("day", "ts", "id").mapInPandas(fold, "id long, admitted boolean")
 
 
 def rate_limit(log: DataFrame, most: int = 20, window: float = 60.0) -> DataFrame:
     """id, admitted, retry_after: at most `most` admitted requests of a client within `window` seconds; refused ones don't
-    count. Whether one is admitted depends on those admitted before: a fold over a client."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[float] = []
-        out = []
-        for i, at in pdf.sort_values(["at", "id"], kind="stable")[["id", "at"]].itertuples(index=False):
-            held = [t for t in held if at - t < window]
-            ok = most <= 0 or len(held) < most
-            out.append((i, ok, None if ok else max(1, int(window - (at - held[0])))))
-            if ok:
-                held.append(at)
-        return pd.DataFrame(out, columns=["id", "admitted", "retry_after"]).astype({"retry_after": "Int32"})
+    count. Whether one is admitted depends on those admitted before. Clients are sorted within partitions and read batch
+    by batch: what is held is the times of the last `most` admitted requests."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, deque()
+        for pdf in batches:
+            out = []
+            for i, client, at in pdf[["id", "client", "at"]].itertuples(index=False):
+                if client != last:
+                    last, held = client, deque()
+                while held and at - held[0] >= window:
+                    held.popleft()
+                ok = most <= 0 or len(held) < most
+                out.append((i, ok, None if ok else max(1, int(window - (at - held[0])))))
+                if ok and most > 0:
+                    held.append(at)
+            yield pd.DataFrame(out, columns=["id", "admitted", "retry_after"]).astype({"retry_after": "Int32"})
 
     rows = log.select("id", "client", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us")).select("id", "client", (F.col("us") / 1e6).alias("at"))
-    return rows.groupBy("client").applyInPandas(fold, "id long, admitted boolean, retry_after int")
+    return rows.repartition("client").sortWithinPartitions("client", "at", "id").mapInPandas(fold, "id long, admitted boolean, retry_after int")
 
 
 def parse_log_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -119,7 +119,14 @@ def j5_restore_labels(spark, sf_dir):
     return usage.restore_labels(prior.unionByName(broken), rows)
 
 
-@query()
+REPLAYED = r"""bare AS (SELECT conv_id, turn, role, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM conversations WHERE role IN ('user', 'assistant')),
+clean AS (SELECT conv_id, turn, role, CASE WHEN length(t) > 4000 THEN '… ' || right(t, 4000) ELSE t END AS t FROM bare WHERE t <> ''),
+paired AS (SELECT conv_id, turn, role, t AS q, lead(role) OVER w AS next, lead(t) OVER w AS a FROM clean WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role DESC, t)),
+last AS (SELECT *, row_number() OVER w AS r, sum(length(q) + length(a)) OVER (w ROWS UNBOUNDED PRECEDING) AS size FROM paired WHERE role = 'user' AND next = 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC, q DESC)),
+fit AS (SELECT *, 2 * (max(r) OVER (PARTITION BY conv_id) - r) AS first FROM last WHERE r <= 6 AND size <= 24000)"""
+
+
+@query(f"WITH {REPLAYED} SELECT conv_id, CAST(first AS INTEGER) AS place, 'user' AS role, q AS text FROM fit UNION ALL SELECT conv_id, CAST(first + 1 AS INTEGER), 'assistant', a FROM fit")
 def j6_replay_transcript(spark, sf_dir):
     return usage.replay(table(spark, sf_dir, "conversations"))
 
@@ -141,12 +148,26 @@ def j8_budget_admission(spark, sf_dir):
     return usage.budget_admission(log(spark, sf_dir), 5000.0).select("id", "admitted")
 
 
-@query()
+#: The same decisions one by one: step i looks at each day's i-th query.
+SHARED_OUT = f"""{LOG}, turns AS MATERIALIZED (SELECT id, owner, cost, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, id) AS i FROM log),
+steps AS (SELECT day, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, false AS admitted, 0.0::DOUBLE AS total, MAP([]::VARCHAR[], []::DOUBLE[]) AS own FROM turns GROUP BY day
+ UNION ALL SELECT day, i, id, ok, CASE WHEN ok AND cost > 0 THEN total + cost ELSE total END, CASE WHEN ok AND cost > 0 THEN map_concat(own, MAP([owner], [coalesce(own[owner], 0) + cost])) ELSE own END
+ FROM (SELECT s.day, t.i, t.id, t.owner, t.cost, s.total, s.own, s.total < 5000 AND coalesce(s.own[t.owner], 0) < 0.1::DOUBLE * 5000 AS ok FROM steps s JOIN turns t ON t.day = s.day AND t.i = s.i + 1))"""
+
+
+@query(f"WITH RECURSIVE {SHARED_OUT} SELECT id, admitted FROM steps WHERE id IS NOT NULL")
 def j9_owner_share(spark, sf_dir):
     return usage.owner_share(log(spark, sf_dir), 5000.0, 0.1)
 
 
-@query()
+#: Times of admitted requests that a client still holds, request by request.
+LIMITED = """turns AS MATERIALIZED (SELECT event_id AS id, user_id % 7 AS client, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id) AS i FROM events),
+steps AS (SELECT client, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, false AS admitted, CAST(NULL AS DOUBLE) AS wait, CAST([] AS DOUBLE[]) AS held FROM turns GROUP BY client
+ UNION ALL SELECT client, i, id, len(left_over) < 20, CASE WHEN len(left_over) >= 20 THEN 3600 - (sec - left_over[1]) END, CASE WHEN len(left_over) < 20 THEN list_append(left_over, sec) ELSE left_over END
+ FROM (SELECT s.client, t.i, t.id, t.sec, list_filter(s.held, lambda x: t.sec - x < 3600) AS left_over FROM steps s JOIN turns t ON t.client = s.client AND t.i = s.i + 1))"""
+
+
+@query(f"WITH RECURSIVE {LIMITED} SELECT id, admitted, CASE WHEN NOT admitted THEN CAST(greatest(1, trunc(wait)) AS INTEGER) END AS retry_after FROM steps WHERE id IS NOT NULL")
 def j10_rate_limit(spark, sf_dir):
     clients = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", (F.col("user_id") % 7).cast("string").alias("client"))
     return usage.rate_limit(clients, 20, 3600.0)

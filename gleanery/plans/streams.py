@@ -8,6 +8,7 @@ from ..sources import files
 from ..sources.scratch import scratch
 from ..streaming import usage
 from .ingest import document_files
+from .logs import LIMITED
 from .shared import query, table
 
 
@@ -24,7 +25,7 @@ def j7_daily_spend_stream(spark, sf_dir):
     return out.select(F.col("day").cast("string").alias("day"), "owner", F.round("spent", 3).alias("spent"))
 
 
-@query()
+@query(f"WITH RECURSIVE {LIMITED} SELECT id, admitted FROM steps WHERE id IS NOT NULL")
 def j10_rate_limit_stream(spark, sf_dir):
     return usage.replayed(usage.rate_limit(arriving(spark, sf_dir), 20, 3600.0), "rate", scratch(spark, "state"))
 

@@ -37,6 +37,15 @@ def copied(question: Column, passage: Column, run: int = COPIED_RUN) -> Column:
     return F.arrays_overlap(shingles(words(question), run), shingles(words(passage), run))
 
 
+def copied_pairs(questions: DataFrame, passages: DataFrame, run: int = COPIED_RUN) -> DataFrame:
+    """query_id, chunk_id of all pairs in which the question repeats a run of the passage's words: a join on the runs, of
+    which passages keep those that some question has."""
+    runs = lambda df, key: df.select(key, F.explode(shingles(words(F.col("text")), run)).alias("run"))
+    asked = runs(questions, "query_id")
+    held = runs(passages, "chunk_id").join(asked.select("run").distinct(), "run", "left_semi")
+    return held.join(asked, "run").select("query_id", "chunk_id").distinct()
+
+
 def duplicates(chunks: DataFrame) -> DataFrame:
     """document_id, original: documents whose word sequence is an earlier id's. Summaries don't count, nor do empty ones."""
     ordered = F.array_sort(F.collect_list(F.struct("chunk_index", words(F.col("text")).alias("w"))))

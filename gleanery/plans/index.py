@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ann_index, dense
@@ -118,3 +119,94 @@ def e19_ann_compare(spark, sf_dir):
         row = both.groupBy("query_id").agg(F.count("found").alias("hits"), F.count(F.when(F.col("true") & F.col("found").isNull(), 1)).alias("missed")).withColumn("index", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# What holds of every index, whatever k-means found.
+
+
+@query("SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS most_cells, true AS bounded, max(len(embedding)) AS dim FROM embeddings")
+def e6_cells_hold(spark, sf_dir):
+    index = built(spark, sf_dir)[1]
+    most = F.floor(F.sqrt(F.lit(index.vectors.count()))).alias("most_cells")
+    return index.cells.agg(F.count("*").alias("n"), F.max(F.size("centroid")).cast("long").alias("dim")).select(most, (F.col("n") <= F.col("most_cells")).alias("bounded"), "dim")
+
+
+@query("SELECT vec_id AS chunk_id, true AS nearest FROM embeddings")
+def e7_cell_is_nearest(spark, sf_dir):
+    """No centroid is nearer to a vector than its own cell's."""
+    index = built(spark, sf_dir)[1]
+    best = ann_index.probes(index, index.vectors.withColumnRenamed("chunk_id", "query_id"), 1).select(F.col("query_id").alias("chunk_id"), "d")
+    own = index.codes.select("chunk_id", "cell").join(ann_index.unit_vectors(index.vectors), "chunk_id").join(F.broadcast(index.cells), "cell")  # as many rows as cells
+    d = F.aggregate(F.zip_with("v", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return own.withColumn("own", d).join(best, "chunk_id").select("chunk_id", (F.col("own") <= F.col("d") + 1e-9).alias("nearest"))
+
+
+@query("SELECT CAST(s AS INTEGER) AS s, CAST(code AS INTEGER) AS code, CAST(dim / 8 AS INTEGER) AS step FROM (SELECT max(len(embedding)) AS dim FROM embeddings), (SELECT unnest(range(8)) AS s), (SELECT unnest(range(16)) AS code)")
+def e8_books_hold(spark, sf_dir):
+    return e8_pq_train(spark, sf_dir).select("s", "code", F.size("centroid").alias("step"))
+
+
+@query("SELECT vec_id AS chunk_id, 8 AS m, true AS within FROM embeddings")
+def e9_codes_hold(spark, sf_dir):
+    codes = built(spark, sf_dir)[1].codes
+    return codes.select("chunk_id", F.size("codes").alias("m"), F.forall("codes", lambda c: (c >= 0) & (c < 16)).alias("within"))
+
+
+def hits_hold(found, asked, index):
+    """query_id, hits, exact (the scores are the pairs' cosines), of each query."""
+    unit = ann_index.unit_vectors(index.vectors)
+    q = asked.select("query_id", dense.normalise(F.col("vector")).alias("q"))
+    pairs = found.join(unit, "chunk_id").join(q, "query_id")
+    exact = F.every(F.abs(F.col("score") - dense.dot(F.col("q"), F.col("v"))) < 1e-6)
+    return pairs.groupBy("query_id").agg(F.count("*").alias("hits"), exact.alias("exact"), F.max("rank").cast("long").alias("last"))
+
+
+TEN = "FROM embeddings WHERE vec_id % 50 = 0"
+
+
+@query(f"SELECT vec_id AS query_id, CAST(10 AS BIGINT) AS hits, CAST(10 AS BIGINT) AS last, true AS falling {TEN}")
+def e10_hits_hold(spark, sf_dir):
+    asked, index = built(spark, sf_dir)
+    found = ann_index.ivfpq_topk(index, asked, 10, nprobe=8)
+    scores = F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: F.round(x["score"], 6))
+    falling = F.reverse(F.array_sort(scores)) == scores
+    return found.groupBy("query_id").agg(F.count("*").alias("hits"), F.max("rank").cast("long").alias("last"), falling.alias("falling"))
+
+
+@query(f"SELECT vec_id AS query_id, CAST(10 AS BIGINT) AS hits, true AS exact, CAST(10 AS BIGINT) AS last {TEN}")
+def e11_hits_hold(spark, sf_dir):
+    asked, index = built(spark, sf_dir)
+    return hits_hold(ann_index.oversampled(index, asked, 10, nprobe=8, oversample=8), asked, index)
+
+
+@query("SELECT vec_id AS src, true AS bounded, true AS others, true AS once FROM embeddings")
+def e12_links_hold(spark, sf_dir):
+    links = e12_graph_build(spark, sf_dir)
+    return links.groupBy("src").agg((F.count("*") <= 32).alias("bounded"), F.every(F.col("src") != F.col("dst")).alias("others"), (F.count("*") == F.count_distinct("dst")).alias("once"))
+
+
+@query(f"SELECT vec_id AS query_id, CAST(10 AS BIGINT) AS hits, true AS exact, CAST(10 AS BIGINT) AS last {TEN}")
+def e13_hits_hold(spark, sf_dir):
+    asked, index = built(spark, sf_dir)
+    save = saved(spark)
+    return hits_hold(ann_index.graph_topk(index, save(ann_index.graph(index)), asked, 10, save=save), asked, index)
+
+
+@query("SELECT count(*) AS vectors, count(*) * 8 AS code_bytes, 8 AS m, 4 AS nbits, CAST(max(len(embedding)) AS INTEGER) AS dim FROM embeddings")
+def e14_sizes_hold(spark, sf_dir):
+    return e14_index_stats(spark, sf_dir).select("vectors", F.col("code_bytes").cast("long").alias("code_bytes"), "m", "nbits", "dim")
+
+
+@query("SELECT nprobe, oversample, true AS share FROM (SELECT unnest([1, 4, 8]) AS nprobe), (SELECT unnest([1, 8]) AS oversample)")
+def e18_sweep_holds(spark, sf_dir):
+    """Recall is a share at every point of the grid, and re-scoring more candidates never lowers it."""
+    rows = e18_ann_sweep(spark, sf_dir)
+    more = F.lead("recall").over(Window.partitionBy("nprobe").orderBy("oversample"))
+    return rows.select("nprobe", "oversample", (F.col("recall").between(0, 1) & (F.coalesce(more, F.col("recall")) >= F.col("recall"))).alias("share"))
+
+
+@query(f"""SELECT vec_id AS query_id, name AS "index", true AS adds_up, name = 'flat' AS complete FROM (SELECT vec_id {TEN}), (SELECT unnest(['flat', 'ivfpq', 'reranked']) AS name)""")
+def e19_counts_hold(spark, sf_dir):
+    """Hits and misses make up the exact ten at least; the flat index misses nothing."""
+    rows = e19_ann_compare(spark, sf_dir)
+    return rows.select("query_id", "index", (F.col("hits") + F.col("missed") >= 10).alias("adds_up"), ((F.col("missed") == 0) & (F.col("index") == "flat")).alias("complete"))

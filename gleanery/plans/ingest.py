@@ -172,18 +172,73 @@ def a17_read_golden(spark, sf_dir):
     return by_page.unionByName(rows.filter("relevant_pages is null").select("doc_id", F.explode("relevant_docs").alias("unit")))
 
 
-@query()
+@query("""SELECT '{' || string_agg('"' || mode || '":{' || body || '}', ',' ORDER BY mode) || '}' AS modes FROM (SELECT mode, string_agg('"' || metric || '":' || value, ',' ORDER BY metric) AS body
+ FROM (SELECT o_orderpriority AS mode, o_orderstatus AS metric, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY ALL) GROUP BY mode)""")
 def a18_write_run(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("mode"), F.col("o_orderstatus").alias("metric")).agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
     return files.run_payload(rows)
 
 
+@query("SELECT source, coalesce(min(lang) FILTER (WHERE lang = 'de'), 'en') AS built, coalesce(min(lang) FILTER (WHERE lang = 'de'), 'en') = 'en' AS accepted FROM documents GROUP BY source")
+def a19_model_stamp_guard(spark, sf_dir):
+    """Each source as a store, stamped with a model if it has German documents, and opened with the default one."""
+    stores = table(spark, sf_dir, "documents").groupBy("source").agg(F.min(F.when(F.col("lang") == "de", F.col("lang"))).alias("stamp"), F.count("*").alias("n"))
+    built = files.built_with(F.col("stamp"), F.col("n"), F.lit("en"), "en")
+    return stores.select("source", built.alias("built"), (built == "en").alias("accepted"))
+
+
 @query("SELECT CAST(p_size AS VARCHAR) AS document_id, array_to_string(list_sort(list(p_partkey) FILTER (WHERE p_partkey % 4 = 0)), ',') AS lost FROM part GROUP BY 1 HAVING count(*) FILTER (WHERE p_partkey % 4 = 0) > 0")
 def a20_page_loss(spark, sf_dir):
     pages = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("document_id"), F.col("p_partkey").alias("page"), (F.col("p_partkey") % 4 != 0).alias("readable"))
     return files.page_loss(pages).select("document_id", F.array_join(F.col("lost").cast("array<string>"), ",").alias("lost"))
 
 
+def texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+
+
+BARE = r"regexp_replace(text, '[\s\p{Z}]+', '', 'g')"
+
+
+@query(rf"SELECT CAST(doc_id AS VARCHAR) AS document_id, md5({BARE}) AS digest, true AS fits FROM documents WHERE {BARE} <> ''")
+def b1_leaf_spans(spark, sf_dir):
+    """The parts hold all of a text but white space, once and in order, and only single words exceed the budget."""
+    parts = chunking.leaf_spans(texts(spark, sf_dir))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "")
+    fits = F.every((F.col("tokens") <= chunking.TARGET) | ~F.col("text").rlike(r"(?U)\s"))
+    return parts.groupBy("document_id").agg(F.md5(F.regexp_replace(whole, r"(?U)\s+", "")).alias("digest"), fits.alias("fits")).filter(F.col("digest") != F.md5(F.lit("")))
+
+
+def chunked(spark, sf_dir):
+    """Chunks of all documents with a small budget, so that most have several."""
+    return chunking.chunk_documents(texts(spark, sf_dir), chunking.Chunker(target=chunking.LEAST_TARGET))
+
+
+@query(rf"SELECT CAST(doc_id AS VARCHAR) AS document_id, true AS forward FROM documents WHERE {BARE} <> ''")
+def b2_overlap_tail(spark, sf_dir):
+    """A chunk starts within or after the one before it, and always brings something new."""
+    chunks = chunked(spark, sf_dir)
+    good = chunking.overlaps(chunks).groupBy("document_id").agg(F.every(F.col("fresh") > 0).alias("forward"))
+    return chunks.select("document_id").distinct().join(good, "document_id", "left").select("document_id", F.coalesce("forward", F.lit(True)).alias("forward"))
+
+
+@query(rf"SELECT CAST(doc_id AS VARCHAR) AS document_id, true AS long_enough FROM documents WHERE {BARE} <> ''")
+def b4_merge_runt(spark, sf_dir):
+    """No last chunk of several is shorter than the least."""
+    last = chunked(spark, sf_dir).groupBy("document_id").agg(F.count("*").alias("n"), F.max_by("tokens", "chunk_index").alias("tokens"))
+    return last.select("document_id", ((F.col("n") == 1) | (F.col("tokens") >= chunking.LEAST)).alias("long_enough"))
+
+
+@query(rf"SELECT CAST(doc_id AS VARCHAR) AS document_id, true AS gapless, true AS at_place, true AS fits FROM documents WHERE {BARE} <> ''")
+def b3_chunks_hold(spark, sf_dir):
+    """Chunks are numbered from 0, stand in the text where they say, and hold no more than a carried unit of half the
+    budget, a full one and a runt."""
+    c = chunking.chunk_documents(texts(spark, sf_dir)).join(texts(spark, sf_dir).withColumnRenamed("text", "whole"), "document_id")
+    at_place = F.every(F.col("text") == F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
+    fits = F.every((F.col("tokens") <= chunking.TARGET * 3 // 2 + chunking.LEAST) | ~F.col("text").rlike(r"(?U)\s"))
+    return c.groupBy("document_id").agg((F.max("chunk_index") + 1 == F.count_distinct("chunk_index")).alias("gapless"), at_place.alias("at_place"), fits.alias("fits"))
+
+
 @query()
 def b3_chunk_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
@@ -211,6 +266,15 @@ def b7_find_caption_tables(spark, sf_dir):
     return captions.find_caption_tables(docs)
 
 
+@query("SELECT r_name AS document_id, count(*) AS n_rows, count(DISTINCT n_nationkey) AS n_different, true AS under_context FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def b5_table_rows_hold(spark, sf_dir):
+    """Each row of a table stands in one chunk, below the table's context."""
+    rows = b5_chunk_table_rows(spark, sf_dir).filter("kind = 'row'").withColumn("lines", F.split("text", "\n"))
+    under = rows.groupBy("document_id").agg(F.every(F.get("lines", F.lit(0)) == "| Nation | Key |").alias("under_context"))
+    each = rows.select("document_id", F.explode(F.slice("lines", 2, 1_000_000)).alias("line"))
+    return each.groupBy("document_id").agg(F.count("*").alias("n_rows"), F.count_distinct("line").alias("n_different")).join(under, "document_id")
+
+
 @query()
 def b5_chunk_table_rows(spark, sf_dir):
     docs = tabled(spark, sf_dir)

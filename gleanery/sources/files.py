@@ -133,15 +133,21 @@ def page_loss(pages: DataFrame) -> DataFrame:
     return pages.groupBy("document_id").agg(lost.alias("lost")).filter(F.size("lost") > 0)
 
 
+def built_with(stamp: Column, n_chunks: Column, model: Column, default: str) -> Column:
+    """The embedding model that a store's vectors are of: one without a stamp counts as the default's, an empty one as any."""
+    return F.coalesce(stamp, F.when(F.coalesce(n_chunks, F.lit(0)) > 0, F.lit(default)).otherwise(model))
+
+
 def guard_model(stamp: DataFrame, model: str, default: str, chunks: DataFrame) -> None:
-    """Refuse a store that another embedding model built; one without a stamp counts as the default's."""
-    row = stamp.limit(1).collect()
-    built = row[0]["model"] if row else default if chunks.limit(1).count() else model
+    """Refuse a store that another embedding model built."""
+    one = chunks.limit(1).agg(F.count("*").alias("n")).join(stamp.limit(1).select("model"), how="left")  # one row each
+    built = one.select(built_with(F.col("model"), F.col("n"), F.lit(model), default).alias("built")).first()["built"]
     if built != model:
         raise ValueError(f"the store was built with {built}, not {model}")
 
 
 def run_payload(metrics: DataFrame) -> DataFrame:
-    """One row: the long metric table (mode, metric, value) as nested JSON."""
-    per = metrics.groupBy("mode").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("m"))
-    return per.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("mode", "m")))).alias("modes"))
+    """One row: the long metric table (mode, metric, value) as nested JSON, by name."""
+    per = metrics.groupBy("mode").agg(F.array_sort(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    modes = F.transform(F.array_sort(F.collect_list(F.struct("mode", "m"))), lambda x: F.struct(x["mode"], F.map_from_entries(x["m"])))
+    return per.agg(F.to_json(F.map_from_entries(modes)).alias("modes"))

@@ -8,6 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; one of this machine's only where the session names none (local runs)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gleanery-scratch"
+    """A new folder below spark.checkpoint.dir; one of this machine's only where a local session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "/tmp/gleanery-scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -89,6 +89,28 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", label), anchors=lambda i: i % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxsketch import build_index, search
+
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive, new_folder, page_records
+
+    path = new_folder(spark)
+    archive(table(spark, sf_dir, "pages"), path, least_bytes=0)
+    return page_records(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language, op2_toxicity, op3_packing, op4_bpe, op5_nearest, op6_substring_dedup, op7_token_counts, op8_simhash, op9_personal_data, op10_embedding_dedup)
+    own = (op1_language, op2_toxicity, op3_packing, op4_bpe, op5_nearest, op6_substring_dedup, op7_token_counts, op8_simhash, op9_personal_data, op10_embedding_dedup, op11_hard_negatives, op12_ranked_search, op13_warc)
     return {f.__name__: f for f in own}

@@ -85,22 +85,31 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
+def holder_class(*more: Column) -> list[Column]:
+    """Aggregates that are equal for equal sets of documents (k1, k2): 128 bits by two sums modulo 2, and `more`."""
+    return [F.bit_xor(F.xxhash64(F.lit(seed), "k1", "k2")).alias(f"h{seed}") for seed in (1, 2)] + list(more)
+
+
 def holders(rows: DataFrame, spans: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
-    """k1, k2, text, entities and times of the documents that hold an entity of `support` different documents or more,
-    equal rows once; and entity, n_e (rows) of those."""
+    """k1, k2, times, text and words (distinct, taken once) of the documents that hold an entity of `support` different
+    documents or more, equal rows once; and k1, k2, e, n_e, d: the classes of those entities that they hold. Entities that
+    the very same documents hold are one class, e: a list that recurs as a whole counts once."""
     pairs = spans.groupBy("k1", "k2", "entity").agg(F.max("times").alias("times"))
-    entities = pairs.groupBy("entity").agg(F.count("*").alias("d"), F.sum("times").alias("n_e")).filter(F.col("d") >= support).select("entity", "n_e")
-    held = pairs.join(entities.select("entity"), "entity").groupBy("k1", "k2").agg(F.collect_list("entity").alias("entities"), F.max("times").alias("times"))
+    entities = pairs.groupBy("entity").agg(*holder_class(F.count("*").alias("d"), F.sum("times").alias("n_e"))).filter(F.col("d") >= support)
+    classed = entities.select("entity", F.struct("h1", "h2").alias("e"), "n_e")
+    held = pairs.join(classed, "entity").groupBy("k1", "k2", "e").agg(F.max("times").alias("times"), F.max("n_e").alias("n_e"))
+    held = written(held, "held")
     hinted = F.col("text").rlike("|".join(f"(?:{x})" for x in HINTS.values()))
-    joined = rows.select("k1", "k2", "text").filter(hinted).join(held, ["k1", "k2"])
-    return joined.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("entities").alias("entities"), F.first("times").alias("times")), entities
+    joined = rows.select("k1", "k2", "text").filter(hinted).join(held.groupBy("k1", "k2").agg(F.max("times").alias("times")), ["k1", "k2"])
+    texts = joined.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("times").alias("times"))
+    return texts.select("k1", "k2", "times", "text", terms_of(F.col("text")).alias("words")), held
 
 
-def term_spans(held: DataFrame, marks: DataFrame) -> DataFrame:
+def term_spans(texts: DataFrame, marks: DataFrame) -> DataFrame:
     """k1, k2, start, kind, end, label of all words of a text that `marks` (k1, k2, term, action) names."""
     pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"), F.split("text", WORD, -1).alias("g"))
     cells = F.transform(pairs, lambda z: F.struct(F.lower(z["w"]).alias("term"), F.length(z["g"]).alias("gap"), F.length(z["w"]).alias("len")))
-    words = held.join(marks.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", F.posexplode(cells).alias("i", "x")).select("k1", "k2", "i", "x.*")
+    words = texts.join(marks.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", F.posexplode(cells).alias("i", "x")).select("k1", "k2", "i", "x.*")
     run = Window.partitionBy("k1", "k2").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ended = words.withColumn("end", F.sum(F.col("gap") + F.coalesce("len", F.lit(0))).over(run)).filter("len is not null")
     label = F.when(F.col("action") == "remove", "").otherwise("[TERM]").alias("label")
@@ -112,17 +121,31 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
-def disclosures(rows: DataFrame, entities: DataFrame, terms: DataFrame, *, support: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """entity, term, share, action of the terms that give an entity away. Terms in fewer than `support` different
-    documents that hold the entity are left alone: one text says nothing about a pair. All shares are those of rows."""
-    total = rows.agg(F.count("*").alias("n"))
-    pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("d"), F.sum("times").alias("n_et")).filter(F.col("d") >= support)
-    joined = pairs.join(entities, "entity").join(document_frequencies(rows), "term").crossJoin(F.broadcast(total))
+def disclosures(rows: DataFrame, texts: DataFrame, held: DataFrame, *, support: int, generalise_at: float, remove_at: float) -> DataFrame:
+    """k1, k2, term, action of the terms of a document that give away an entity which it holds. Terms in fewer than
+    `support` different documents that hold the entity are left alone: one text says nothing about a pair. All shares are
+    those of rows.
+
+    Terms are classed like entities, by the documents of `texts` that hold them, and by how many rows do; pairs are pairs of
+    classes. A term in more than n * (n_e / n) ** generalise_at rows can't reach that share, as it shares n_e at most:
+    such pairs are never made."""
+    total = F.broadcast(rows.agg(F.count("*").alias("n")))  # one row
+    words = texts.select("k1", "k2", "times", F.explode("words").alias("term"))
+    terms = words.groupBy("term").agg(*holder_class(F.count("*").alias("d"))).filter(F.col("d") >= support)
+    terms = terms.join(document_frequencies(rows), "term").select("term", F.struct("h1", "h2", "n_t").alias("t"), "n_t")
+    terms = written(terms, "terms")
+    having = words.join(terms, "term").groupBy("k1", "k2", "t").agg(F.max("times").alias("times"), F.max("n_t").alias("n_t"))
+    having = written(having, "having")
+    most = F.col("n") * F.pow(F.col("n_e") / F.col("n"), F.lit(generalise_at)) * (1 + 1e-9)
+    bounded = held.select("k1", "k2", "e", "n_e").crossJoin(total).withColumn("most", most)
+    pairs = bounded.join(having, ["k1", "k2"]).filter(F.col("n_t") <= F.col("most"))
+    pairs = pairs.groupBy("e", "t", "n_e", "n_t", "n").agg(F.count("*").alias("d"), F.sum("times").alias("n_et")).filter(F.col("d") >= support)
     content = F.log2(F.col("n") / F.col("n_e"))
     mutual = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
     share = F.when(content > 0, mutual / content).otherwise(F.lit(0.0))
-    found = joined.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise_at)
-    return found.withColumn("action", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise"))
+    given = pairs.withColumn("share", share).filter(F.col("share") >= generalise_at).select("e", "t", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action"))
+    marked = held.select("k1", "k2", "e").join(given, "e").join(having.select("k1", "k2", "t"), ["k1", "k2", "t"])
+    return marked.groupBy("k1", "k2", "t").agg(F.max("action").alias("action")).join(terms.select("term", "t"), "t").select("k1", "k2", "term", "action")
 
 
 def detect(docs: DataFrame, *, support: int = 3, generalise_at: float = 0.9, remove_at: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,14 +154,12 @@ def detect(docs: DataFrame, *, support: int = 3, generalise_at: float = 0.9, rem
     never overlap base ones: all words of a text that give away an entity which it holds."""
     rows = keyed(docs, id_col, text_col)
     spans = written(base_spans(rows), "spans")  # a few columns of the rows that hold personal data; used twice
-    held, entities = holders(rows, spans, support)
-    held = written(held, "held")
-    terms = held.select("k1", "k2", "times", F.explode("entities").alias("entity"), terms_of(F.col("text")).alias("terms")).select("k1", "k2", "times", "entity", F.explode("terms").alias("term"))
-    given = disclosures(rows, entities, terms, support=support, generalise_at=generalise_at, remove_at=remove_at)
-    marks = terms.join(given, ["entity", "term"]).groupBy("k1", "k2", "term").agg(F.max("action").alias("action"))
+    texts, held = holders(rows, spans, support)
+    texts = written(texts, "texts")
+    marks = written(disclosures(rows, texts, held, support=support, generalise_at=generalise_at, remove_at=remove_at), "marks")
     labels = F.when(F.col("kind") == 0, "[EMAIL]").when(F.col("kind") == 1, "[IP]").when(F.col("kind") == 2, "[CARD]").otherwise("[PHONE]")
     own = spans.select("k1", "k2", F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end"), labels.alias("label"))
-    every = own.unionByName(term_spans(held, marks))
+    every = own.unionByName(term_spans(texts, marks))
     order, base = ("start", "kind", "end"), F.col("kind") < len(KINDS)
     up = Window.partitionBy("k1", "k2").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("k1", "k2").orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, -1)

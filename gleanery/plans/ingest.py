@@ -96,12 +96,17 @@ def a8_dedupe_by_content(spark, sf_dir):
 @query(f"""WITH {FILES}, f AS (SELECT relative, relative <> min(relative) OVER (PARTITION BY sha256) AS copy, CAST(left(relative, 9) AS BIGINT) AS id FROM files)
 SELECT relative, CASE WHEN id % 11 = 5 THEN 'gone' WHEN copy THEN 'copy' WHEN id % 3 = 0 THEN 'new' WHEN id % 5 = 0 THEN 'changed' WHEN id % 7 = 0 THEN 'failed' WHEN id % 2 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM f WHERE NOT (id % 11 = 5 AND id % 3 = 0)""")
 def a9_incremental_pass(spark, sf_dir):
-    """Files of all documents but every eleventh, against a ledger that knows two thirds of them."""
+    return incremental(spark, sf_dir)[0]
+
+
+def incremental(spark, sf_dir):
+    """Files of all documents but every eleventh, against a ledger that knows two thirds of them: their status, and what
+    they are copies of."""
     doc = F.substring("relative", 1, 9).cast("long")
     all_of = document_files(spark, sf_dir).drop("content").join(files.dedupe_by_content(document_files(spark, sf_dir)).select("relative", "same_as"), "relative")
     ledger = document_files(spark, sf_dir).filter(doc % 3 != 0).select("relative", "mtime", F.when(doc % 5 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), (doc % 7 != 0).alias("is_stored"), F.col("relative").alias("document_id"))
     stored = ledger.filter(doc % 2 != 0).select("document_id")
-    return files.incremental_pass(all_of.filter(doc % 11 != 5), ledger, stored)
+    return files.incremental_pass(all_of.filter(doc % 11 != 5), ledger, stored), all_of.select("relative", "same_as")
 
 
 def fresh(spark, sf_dir):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,27 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     return named.filter(F.col("relative").rlike(READABLE) & ~F.col("relative").rlike(r"(^|/)\."))
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Each row (relative, content) as a file of that name below a folder that all executors share; a null content removes
+    the file. Writing a file again replaces it, so a task that is repeated does no harm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path = f"{root}/{name}"
+                if content is None:
+                    if system.get_file_info(path).type == fs.FileType.File:
+                        system.delete_file(path)
+                    continue
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows.select("relative", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
 def _literal(text: str) -> str:
     return "\\Q" + text + "\\E"
 
@@ -28,9 +53,14 @@ def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
 
 
+def decoded(content: Column) -> Column:
+    """The text of a file; broken UTF-8 is replaced."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def load_text(files: DataFrame) -> DataFrame:
     """document_id, title, text of whole text files; broken UTF-8 is replaced."""
-    return files.select(stem(F.col("relative")).alias("document_id"), stem(F.col("relative")).alias("title"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return files.select(stem(F.col("relative")).alias("document_id"), stem(F.col("relative")).alias("title"), decoded(F.col("content")).alias("text"))
 
 
 def route(files: DataFrame) -> DataFrame:

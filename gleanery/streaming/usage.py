@@ -49,25 +49,6 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     return usage.parse_log_lines(spark.readStream.text(folder))[0]
 
 
-def watch_folder(spark: SparkSession, folder: str, store: Callable[[DataFrame, int], None], checkpoint: str):
-    """New text files of a folder, one document each, handed to `store` with the batch's number; copies within a batch are
-    left out. The number makes a repeated write recognisable."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    arriving = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
-
-    def batch(rows: DataFrame, number: int) -> None:
-        found = rows.select(F.col("path").alias("relative"), "content").filter(F.col("path").rlike(files.READABLE))
-        first = files.dedupe_by_content(found).filter("same_as is null").select("relative")
-        store(files.load_text(found.join(first, "relative", "left_semi")), number)
-
-    return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def sync_status(statuses: DataFrame, most: int = 20) -> DataFrame:
-    """status, files, first of the files of an incremental pass."""
-    return statuses.groupBy("status").agg(F.count("*").alias("files"), F.slice(F.array_sort(F.collect_list("relative")), 1, most).alias("first"))
-
-
 def replayed(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """All that a stream gives for what is there now, as a table in `checkpoint`."""
     out = f"{checkpoint}/{name}-out"

@@ -40,8 +40,7 @@ def ascii_digits(text: Column) -> Column:
 def tokenize(text: Column, normalise: bool = False) -> Column:
     """Search terms in order: lower case, no function words, no single characters, digits folded to ASCII afterwards."""
     found = F.regexp_extract_all(F.lower(nfc(text) if normalise else text), F.lit(TERM), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.transform(F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t)), ascii_digits)
+    return F.transform(F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS)), ascii_digits)
 
 
 def mostly_latin(text: Column) -> Column:

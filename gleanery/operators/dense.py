@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import let, tokenize
-from .lexical import DIGITS, top_k
+from ..sources.scratch import spread
+from .lexical import DIGITS, Index, top_k
 
 #: Vectors of queries, and of the corpus, that one group holds.
 QUERY_BLOCK, BASE_BLOCK = 2048, 50_000
@@ -41,12 +42,27 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     return normalise(let(buckets, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double"))))
 
 
+def _filled(counts: DataFrame, id_col: str, dim: int) -> DataFrame:
+    """id_col and vector from id_col, b and n."""
+    held = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("counts"))  # dim entries at most
+    cells = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("counts", i.cast("long")), F.lit(0)).cast("double"))
+    return held.select(id_col, normalise(cells).alias("vector"))
+
+
+def _bucket(term: str, dim: int) -> Column:
+    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % dim).alias("b")
+
+
 def hashed_vectors(rows: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """id_col and vector: the default embedder for a table of texts. Texts without terms have no vector."""
-    terms = rows.select(id_col, F.explode(tokenize(F.col(text_col))).alias("t")).select(id_col, (F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long") % dim).alias("b"))
-    counts = terms.groupBy(id_col, "b").agg(F.count("*").alias("n")).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("counts"))  # dim entries at most
-    cells = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("counts", i.cast("long")), F.lit(0)).cast("double"))
-    return counts.select(id_col, normalise(cells).alias("vector"))
+    terms = spread(rows.select(id_col, text_col)).select(id_col, F.explode(tokenize(F.col(text_col))).alias("t")).select(id_col, _bucket("t", dim))
+    return _filled(terms.groupBy(id_col, "b").agg(F.count("*").alias("n")), id_col, dim)
+
+
+def indexed_vectors(index: Index, dim: int = 64) -> DataFrame:
+    """chunk_id and vector of the chunks of a lexical index, as hashed_vectors gives them, without reading a text again."""
+    terms = index.blocks.select(_bucket("term", dim), F.explode("entries").alias("e")).select("b", "e.chunk_id", "e.tf")
+    return _filled(terms.groupBy("chunk_id", "b").agg(F.sum("tf").alias("n")), "chunk_id", dim)
 
 
 def embed(rows: DataFrame, model: Callable[[list[str]], np.ndarray], id_col: str, text_col: str, batch: int = 64) -> DataFrame:
@@ -102,14 +118,40 @@ def _best(k: int):
     return run
 
 
+def _best_of_few(queries: list, k: int):
+    """All queries, one block of them, against a task's vectors: a batch at a time, with what is best so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.array([r["query_id"] for r in queries], np.int64)
+        q = _unit(np.array([r["asked"] for r in queries], np.float64))
+        names, part, cos = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0)), np.zeros((len(ids), 0))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                batch = whole.slice(lo, 4096)
+                own = np.round(np.clip(q @ _unit(_rows(pa.chunked_array([batch.column(1)]))).T, -1, 1), 12)
+                names = np.concatenate([names, np.broadcast_to(batch.column(0).to_numpy(), own.shape)], axis=1)
+                cos, part = np.concatenate([cos, own], axis=1), np.concatenate([part, np.round(own, DIGITS)], axis=1)
+                order = np.lexsort((names, -part), axis=1)[:, :k]
+                names, part, cos = (np.take_along_axis(x, order, axis=1) for x in (names, part, cos))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, names.shape[1])), pa.array(names.ravel()), pa.array(cos.ravel())], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score (cosine), rank: exact search of a stated query set against all vectors. Both sides are
-    dealt into blocks of bounded rows by a hash of the id; each block of queries meets each block of vectors as a group of
-    its own, of which k rows a query are left. The driver sees two counts. Columns: (query_id, vector), (chunk_id,
-    vector)."""
+    """query_id, chunk_id, score (cosine), rank: exact search of a stated query set against all vectors. Columns: (query_id,
+    vector), (chunk_id, vector).
+
+    Up to QUERY_BLOCK queries go to the tasks that read the vectors, which keep k each: one pass, no shuffle of vectors.
+    Of more, both sides are dealt into blocks of bounded rows by a hash of the id, and each block of queries meets each block
+    of vectors as a group of its own, of which k rows a query are left; the driver sees two counts."""
     # columns of its own, as both sides may come from one table
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("asked")).filter("asked is not null")
     base = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector").filter("vector is not null")
+    few = asked.limit(QUERY_BLOCK + 1).collect()  # bounded
+    if len(few) <= QUERY_BLOCK:
+        found = "query_id long, chunk_id long, score double"
+        return top_k(base.mapInArrow(_best_of_few(few, k), found) if few else queries.sparkSession.createDataFrame([], found), k)
     tasks = queries.sparkSession.sparkContext.defaultParallelism
     n, m = asked.count(), base.count()
     q_blocks, blocks = -(-n // QUERY_BLOCK) or 1, max(-(-m // BASE_BLOCK), min(tasks, -(-m // 256))) or 1

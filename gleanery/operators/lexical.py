@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import mostly_latin, tokenize
-from ..sources.scratch import scratch
+from ..functions.text import let, mostly_latin, tokenize
+from ..sources.scratch import scratch, spread
 
 K1, B = 1.5, 0.75
 #: Scores are ranked at this precision, so that the order of a sum can't change a rank.
@@ -46,44 +46,151 @@ def top_k(scored: DataFrame, k: int, by: Column | None = None, id_col: str = "ch
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, chunk_id, tf, len) and stats (n, avgdl: one row), kept as tables below a folder."""
-
-    postings: DataFrame
+    """Segments of chunks, as tables below a folder. blocks (term, block, entries, n): chunks are dealt into blocks of about
+    BLOCK by a hash of their id, and a row holds a term's postings (chunk_id, tf, len) in one block, sorted by term within
+    files. terms (term, df, max_tf, min_len): what bounds a term's part of any score, whatever the mean length becomes.
+    stats: n chunks, and total, their terms with repeats."""
+
+    folder: str
+    blocks: DataFrame
+    terms: DataFrame
     stats: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """term, chunk_id, tf, len."""
+        return entries(self.blocks)
+
+
+#: Chunks of a block. Postings that the first pass over a query's rarest terms may read, for each place of its list. Skipping
+#: takes three passes, and pays from about PRUNE postings on.
+BLOCK, FIRST, PRUNE = 128, 100, 50_000_000
+
+
+def entries(blocks: DataFrame) -> DataFrame:
+    """The postings of blocks, with all other columns."""
+    keep = [c for c in blocks.columns if c not in ("entries", "n")]
+    return blocks.select(*keep, F.explode("entries").alias("e")).select(*keep, "e.*")
+
+
+def counted_terms(text: Column) -> Column:
+    """len, and terms: array of (term, tf) of a text's distinct terms, without leaving its row: runs of its sorted terms."""
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.element_at(t, i) != F.element_at(t, F.greatest(i - 1, F.lit(1)))))
+        ends = let(F.array_append(starts, F.size(t) + 1), lambda s: F.transform(F.slice(s, 1, F.size(s) - 1), lambda i, j: F.struct(F.element_at(t, i).alias("term"), (F.element_at(s, j + 2) - i).alias("tf"))))
+        terms = F.when(F.size(t) > 0, ends).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+        return F.struct(F.size(t).cast("long").alias("len"), terms.alias("terms"))
+
+    return let(F.sort_array(tokenize(text)), runs)
+
+
+def write_segment(chunks: DataFrame, folder: str, number: int) -> None:
+    """One segment of chunks (chunk_id, text). Each text is tokenised once; one shuffle, by term and block, of which none is
+    larger than a block."""
+    spark, path = chunks.sparkSession, f"{folder}/segment={number}"
+    n = chunks.count()
+    # an array of one row keeps the terms from being worked out again for each column made of them
+    held = spread(chunks.select("chunk_id", "text")).select("chunk_id", F.explode(F.array(counted_terms(F.col("text")))).alias("t")).select("chunk_id", F.col("t.len").alias("len"), F.col("t.terms").alias("terms"))
+    block = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n // BLOCK))))
+    rows = held.select(block.alias("block"), "chunk_id", "len", F.explode("terms").alias("x")).select("x.term", "block", F.struct("chunk_id", "x.tf", "len").alias("e"))
+    blocks = rows.groupBy("term", "block").agg(F.collect_list("e").alias("entries"), F.count("*").alias("n"), F.max("e.tf").alias("max_tf"), F.min("e.len").alias("min_len"))
+    blocks.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    terms = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    used = entries(blocks.select("entries")).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    used.select(F.lit(n).cast("long").alias("n"), "total").write.mode("overwrite").parquet(f"{path}/stats")
+
 
 def build_index(chunks: DataFrame, folder: str | None = None) -> Index:
-    """Tokenises each chunk once and writes its postings with its length; the mean length follows from their sum, over
-    all chunks, those without terms too. Without a folder the tables go to a new one in the shared place."""
-    spark, folder = chunks.sparkSession, folder or scratch(chunks.sparkSession, "lexical")
-    terms = chunks.select("chunk_id", tokenize(F.col("text")).alias("terms")).filter(F.size("terms") > 0)
-    rows = terms.select("chunk_id", F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term")).groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
-    rows.write.parquet(f"{folder}/postings")
-    total = spark.read.parquet(f"{folder}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
-    stats = chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row each
-    stats.write.parquet(f"{folder}/stats")
-    return open_index(spark, folder)
+    """An index of one segment. Without a folder it goes to a new one in the shared place."""
+    folder = folder or scratch(chunks.sparkSession, "lexical")
+    write_segment(chunks, folder, 0)
+    return open_index(chunks.sparkSession, folder)
+
+
+def append(index: Index, chunks: DataFrame) -> Index:
+    """The index with one more segment, of chunks whose ids it doesn't hold; the others stay as they are."""
+    spark = chunks.sparkSession
+    write_segment(chunks, index.folder, 1 + index.stats.agg(F.max("segment")).first()[0])
+    return open_index(spark, index.folder)
 
 
 def open_index(spark: SparkSession, folder: str) -> Index:
-    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"))
+    def of(name: str) -> DataFrame:
+        return spark.read.option("basePath", folder).parquet(f"{folder}/segment=*/{name}")
 
+    return Index(folder, of("blocks"), of("terms"), of("stats"))
+
+
+def part(tf: Column, length: Column, avgdl: Column) -> Column:
+    """What an occurrence count adds to a score, before idf: it grows with the count and falls with the length."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avgdl))
 
-def bm25(queries: DataFrame, corpus: DataFrame | Index, limit: int = 30) -> DataFrame:
-    """query_id, chunk_id, score, rank of the best `limit` chunks for each query with a positive score. `corpus`: chunks
-    (chunk_id, text), or an index of them, which many batches of queries can share.
 
-    The queries' distinct terms are what the postings meet, so postings of other terms are dropped before the join; their
-    side is the small one, and Spark broadcasts it if it is small enough. A query's repeated term counts each time."""
+def weighed_terms(queries: DataFrame, index: Index) -> DataFrame:
+    """query_id, term, weight (idf times repeats), df, bound (the most that the term can add), avgdl of the queries' terms
+    that the index holds."""
+    wanted = queries.select("query_id", F.explode(F.array(tokenize(F.col("text")))).alias("t")).select("query_id", F.explode("t").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
+    stats = index.stats.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
+    known = index.terms.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+    rows = wanted.join(known, "term").crossJoin(F.broadcast(stats))  # one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rows = rows.withColumn("weight", F.col("qn") * idf)
+    return rows.select("query_id", "term", "weight", "df", (F.col("weight") * part(F.col("max_tf"), F.col("min_len"), F.col("avgdl"))).alias("bound"), "avgdl")
+
+
+def summed(terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """query_id, segment, block, chunk_id, score: the parts of these terms of queries, added up."""
+    posts = entries(blocks.join(terms.select("term").distinct(), "term", "left_semi").select("segment", "term", "block", "entries"))
+    scored = terms.join(posts, "term").select("query_id", "segment", "block", "chunk_id", (F.col("weight") * part(F.col("tf"), F.col("len"), F.col("avgdl"))).alias("score"))
+    return scored.groupBy("query_id", "segment", "block", "chunk_id").agg(F.sum("score").alias("score"))
+
+
+def bm25(queries: DataFrame, corpus: DataFrame | Index, limit: int = 30, prune: bool | None = None, read: dict | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank of the best `limit` chunks for each query with a positive score. `corpus`: chunks
+    (chunk_id, text), or an index of them, which many batches of queries can share. A query's repeated term counts each
+    time.
+
+    With `prune` (unless told, where the queries' terms have more than PRUNE postings), blocks that can't matter are skipped,
+    and rows are those of a full evaluation. A first pass over each query's rarest terms gives a score that `limit` chunks
+    reach at least. Terms that together can't add up to it needn't be searched: a second pass takes the others. Chunks which
+    could still reach the score are then looked up in the blocks of the remaining terms that hold them. `read`, if given,
+    gets how many postings the three passes and a full evaluation take."""
+    spark = queries.sparkSession
     index = corpus if isinstance(corpus, Index) else build_index(corpus)
-    wanted = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    posts = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    idf = term_stats(posts, index.stats)
-    weighed = posts.crossJoin(F.broadcast(index.stats)).join(idf.select("term", "idf"), "term")  # one row
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    weighed = weighed.select("term", "chunk_id", part.alias("part"))
-    scored = wanted.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qn") * F.col("part")).alias("score")).filter("score > 0")
-    return top_k(scored, limit)
+    folder = scratch(spark, "bm25")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    terms = kept(weighed_terms(queries, index), "terms")
+    if prune is None:
+        prune = (terms.agg(F.sum("df")).first()[0] or 0) > PRUNE
+    if not prune:
+        return top_k(summed(terms, index.blocks).select("query_id", "chunk_id", "score").filter("score > 0"), limit)
+    rarest = Window.partitionBy("query_id").orderBy("df", "term")
+    first = terms.withColumn("place", F.row_number().over(rarest)).withColumn("upto", F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = first.filter((F.col("place") == 1) | (F.col("upto") <= FIRST * limit))
+    reached = top_k(summed(first, index.blocks), limit).filter(F.col("rank") == limit).select("query_id", F.col("score").alias("least"))
+    weakest = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    split = terms.join(reached, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) * (1 - 1e-9) - 10.0**-DIGITS)
+    split = kept(split.withColumn("needed", F.sum("bound").over(weakest) >= F.col("least")), "split")
+    weak = split.groupBy("query_id").agg(F.max("least").alias("least"), F.coalesce(F.sum(F.when(~F.col("needed"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+    some = summed(split.filter("needed"), index.blocks).join(weak, "query_id").filter(F.col("score") + F.col("rest") >= F.col("least"))
+    some = kept(some.select("query_id", "segment", "block", "chunk_id", "score"), "some")
+    others = some.join(split.filter(~F.col("needed")).select("query_id", "term", "weight", "avgdl"), "query_id").drop("score")
+    held = index.blocks.join(others.select("segment", "block", "term").distinct(), ["segment", "block", "term"], "left_semi")
+    more = others.join(entries(held.select("segment", "term", "block", "entries")), ["segment", "block", "term", "chunk_id"])
+    more = more.select("query_id", "chunk_id", (F.col("weight") * part(F.col("tf"), F.col("len"), F.col("avgdl"))).alias("score"))
+    if read is not None:
+        read["all"] = terms.agg(F.sum("df")).first()[0]
+        read["first"], read["needed"] = first.agg(F.sum("df")).first()[0], split.filter("needed").agg(F.sum("df")).first()[0]
+        read["looked_up"] = more.count()
+    whole = some.select("query_id", "chunk_id", "score").unionByName(more).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
+    return top_k(whole.filter("score > 0"), limit)
 
 
 def effective_mode(queries: DataFrame, mode: str, models_read: str = "english") -> DataFrame:

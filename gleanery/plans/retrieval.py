@@ -107,6 +107,28 @@ def d3_bm25_topk(spark, sf_dir):
     return found.select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
+DATED = "chunks AS (SELECT doc_id AS chunk_id, text FROM documents), questions AS (SELECT item_id AS query_id, text FROM benchmark)"
+
+
+@query(f"WITH {DATED}, {bm25_ctes('chunks', 'questions', 10)} SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM lexical")
+def d3_bm25_segments(spark, sf_dir):
+    """An index of two thirds of the documents, a segment with the others added to it, and two batches of questions, with
+    blocks skipped: rows are those of one index and one full evaluation."""
+    chunks, asked = whole_documents(spark, sf_dir), question_table(spark, sf_dir)
+    index = lexical.append(lexical.build_index(chunks.filter("chunk_id % 3 <> 0")), chunks.filter("chunk_id % 3 = 0"))
+    found = [lexical.bm25(asked.filter(f"query_id % 2 = {i}"), index, 10, prune=True) for i in (0, 1)]
+    return found[0].unionByName(found[1]).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+
+
+@query("SELECT true AS some_skipped, true AS all_known")
+def d3_blocks_skipped_hold(spark, sf_dir):
+    """Postings that the passes take against those of all of the questions' terms, for the first place of each list."""
+    read: dict = {}
+    index = lexical.build_index(whole_documents(spark, sf_dir))
+    lexical.bm25(question_table(spark, sf_dir), index, 1, prune=True, read=read)
+    return spark.createDataFrame([(read["needed"] + read["looked_up"] < read["all"], read["first"] > 0)], "some_skipped boolean, all_known boolean")
+
+
 @query(r"""SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'lexical' ELSE 'rerank' END AS mode_eff, CASE WHEN item_id % 2 = 0 THEN 'matched by words alone' END AS note FROM benchmark""")
 def d4_words_only_route(spark, sf_dir):
     """Every second question in Greek letters."""
@@ -151,10 +173,12 @@ def e5_dense_topk_sql(spark, sf_dir):
 
 
 def both_rankings(spark, sf_dir):
-    """Every question, every document as one chunk, and exact vector search by the default embedder."""
+    """Every question; every document as one chunk, and a lexical index of them; and exact search by the default embedder,
+    whose vectors come from the index: the documents are tokenised once."""
     chunks, asked = whole_documents(spark, sf_dir), question_table(spark, sf_dir)
-    near = dense.dense_topk(dense.hashed_vectors(asked, "query_id", "text"), dense.hashed_vectors(chunks, "chunk_id", "text"), 30)
-    return asked, chunks, near
+    index = lexical.build_index(chunks)
+    near = dense.dense_topk(dense.hashed_vectors(asked, "query_id", "text"), dense.indexed_vectors(index), 30)
+    return asked, chunks, near, index
 
 
 def embedded(table: str, id_col: str) -> str:
@@ -174,21 +198,21 @@ cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_sc
 
 @query(f"WITH {FUSED} SELECT query_id, chunk_id, round(rrf_score, 8) AS rrf_score, dense_rank, lexical_rank, CASE WHEN dense_rank IS NULL THEN 'lexical' WHEN lexical_rank IS NULL THEN 'dense' ELSE 'dense,lexical' END AS matched FROM fused")
 def f1_rrf(spark, sf_dir):
-    asked, chunks, near = both_rankings(spark, sf_dir)
-    out = fusion.rrf(near, lexical.bm25(asked, chunks, 30))
+    asked, chunks, near, index = both_rankings(spark, sf_dir)
+    out = fusion.rrf(near, lexical.bm25(asked, index, 30))
     return out.select("query_id", "chunk_id", F.round("rrf_score", 8).alias("rrf_score"), "dense_rank", "lexical_rank", F.array_join("matched", ",").alias("matched"))
 
 
 @query(f"WITH {FUSED} SELECT query_id, chunk_id, fused_rank FROM cut")
 def f2_candidate_cut(spark, sf_dir):
-    asked, chunks, near = both_rankings(spark, sf_dir)
-    return fusion.candidates(fusion.rrf(near, lexical.bm25(asked, chunks, 30))).select("query_id", "chunk_id", "fused_rank")
+    asked, chunks, near, index = both_rankings(spark, sf_dir)
+    return fusion.candidates(fusion.rrf(near, lexical.bm25(asked, index, 30))).select("query_id", "chunk_id", "fused_rank")
 
 
 def moded(mode: str, sql: str):
     def run(spark, sf_dir):
-        asked, chunks, near = both_rankings(spark, sf_dir)
-        out = fusion.search(asked, chunks, near, mode, fusion.Settings(limit=5, per_document=0))
+        asked, chunks, near, index = both_rankings(spark, sf_dir)
+        out = fusion.search(asked, chunks, near, mode, fusion.Settings(limit=5, per_document=0), index=index)
         return out.select("query_id", "rank", "chunk_id", "scored_by", F.round("score", 4).alias("score"))
 
     run.__name__ = f"f3_mode_{mode}"
@@ -205,8 +229,8 @@ PAIRS = f"""pairs AS (SELECT c.query_id, c.chunk_id, cosine, 1 / (1 + exp(-(8 *
 
 @query(f"WITH {FUSED}, {PAIRS} SELECT query_id, chunk_id, round(score, 5) AS score FROM pairs")
 def f4_pair_score(spark, sf_dir):
-    asked, chunks, near = both_rankings(spark, sf_dir)
-    cut = fusion.candidates(fusion.rrf(near, lexical.bm25(asked, chunks, 30)))
+    asked, chunks, near, index = both_rankings(spark, sf_dir)
+    cut = fusion.candidates(fusion.rrf(near, lexical.bm25(asked, index, 30)))
     pairs = cut.join(chunks.select("chunk_id", "text"), "chunk_id").join(asked.withColumnRenamed("text", "query"), "query_id")
     return pairs.select("query_id", "chunk_id", F.round(fusion.overlap_score(F.col("query"), F.col("text")), 5).alias("score"))
 
@@ -215,8 +239,8 @@ KEYED = f"""{FUSED}, {PAIRS}, keyed AS (SELECT *, CASE WHEN score < 0.01 THEN 0.
 
 
 def scored_pairs(spark, sf_dir):
-    asked, chunks, near = both_rankings(spark, sf_dir)
-    cut = fusion.candidates(fusion.rrf(near, lexical.bm25(asked, chunks, 30)))
+    asked, chunks, near, index = both_rankings(spark, sf_dir)
+    cut = fusion.candidates(fusion.rrf(near, lexical.bm25(asked, index, 30)))
     pairs = cut.join(chunks.select("chunk_id", "text"), "chunk_id").join(asked.withColumnRenamed("text", "query"), "query_id")
     pairs = pairs.select("query_id", "chunk_id", fusion.overlap_score(F.col("query"), F.col("text")).alias("score"), "cosine")
     return pairs.withColumn("scored_by", F.lit("overlap")).withColumn("below_floor", F.lit(False)).withColumn("key", fusion.subfloor_key(F.col("score"), F.col("cosine"), 0.03))
@@ -253,7 +277,7 @@ picked AS (SELECT query_id, unnest(l) AS place, generate_subscripts(l, 1) AS ran
 
 @query(f"WITH RECURSIVE {FUSED}, listed AS (SELECT query_id, d.rank AS place, chunk_id, document_id, score AS key FROM dense d JOIN chunks USING (chunk_id)), {spread('listed', 10)} SELECT query_id, p.rank, chunk_id, document_id FROM picked p JOIN listed USING (query_id, place)")
 def f8_diversify(spark, sf_dir):
-    asked, chunks, near = both_rankings(spark, sf_dir)
+    asked, chunks, near, index = both_rankings(spark, sf_dir)
     hits = near.join(chunks.select("chunk_id", "document_id"), "chunk_id").select("query_id", "rank", "chunk_id", "document_id", "score")
     return fusion.diversify(hits, 10).select("query_id", "rank", "chunk_id", "document_id")
 
@@ -274,14 +298,14 @@ listed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(key
 @query(f"""WITH RECURSIVE {KEYED}, {FLOORED}, {spread('listed', 5)} SELECT query_id, p.rank, chunk_id, document_id, round(score, 4) AS score, CASE WHEN any_good THEN 'overlap' ELSE 'cosine' END AS scored_by, NOT any_good AS below_floor,
  'rerank' AS mode, count(*) OVER (PARTITION BY query_id) AS total_found, text FROM picked p JOIN listed USING (query_id, place)""")
 def f10_search(spark, sf_dir):
-    asked, chunks, near = both_rankings(spark, sf_dir)
-    found = fusion.assemble(fusion.search(asked, chunks, near, "rerank"), chunks, today())
+    asked, chunks, near, index = both_rankings(spark, sf_dir)
+    found = fusion.assemble(fusion.search(asked, chunks, near, "rerank", index=index), chunks, today())
     return found.select("query_id", "rank", "chunk_id", "document_id", F.round("score", 4).alias("score"), "scored_by", "below_floor", "mode", "total_found", "text")
 
 
 @query(f"""WITH {FUSED} SELECT query_id, rank, chunk_id, 'bm25' AS scored_by, 'lexical' AS mode, round(score, 4) AS score FROM lexical WHERE rank <= 5""")
 def f10_search_words_only(spark, sf_dir):
     """Questions that hold a longer passage in another script are answered by words alone, whatever the mode."""
-    asked, chunks, near = both_rankings(spark, sf_dir)
+    asked, chunks, near, index = both_rankings(spark, sf_dir)
     odd = asked.withColumn("text", F.concat("text", F.lit(" "), F.repeat(F.lit("ж ш "), F.length("text"))))
-    return fusion.search(odd, chunks, near, "rerank").select("query_id", "rank", "chunk_id", "scored_by", "mode", F.round("score", 4).alias("score"))
+    return fusion.search(odd, chunks, near, "rerank", index=index).select("query_id", "rank", "chunk_id", "scored_by", "mode", F.round("score", 4).alias("score"))

@@ -90,19 +90,18 @@ def holder_class(*more: Column) -> list[Column]:
     return [F.bit_xor(F.xxhash64(F.lit(seed), "k1", "k2")).alias(f"h{seed}") for seed in (1, 2)] + list(more)
 
 
-def holders(rows: DataFrame, spans: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
-    """k1, k2, times, text and words (distinct, taken once) of the documents that hold an entity of `support` different
-    documents or more, equal rows once; and k1, k2, e, n_e, d: the classes of those entities that they hold. Entities that
-    the very same documents hold are one class, e: a list that recurs as a whole counts once."""
+def holders(rows: DataFrame, spans: DataFrame, support: int) -> DataFrame:
+    """k1, k2, times, text, words (distinct, taken once) and es of the documents that hold an entity of `support` different
+    documents or more, equal rows once. es (e, n_e): the classes of those entities. Entities that the very same documents
+    hold are one class: a list that recurs as a whole counts once."""
     pairs = spans.groupBy("k1", "k2", "entity").agg(F.max("times").alias("times"))
     entities = pairs.groupBy("entity").agg(*holder_class(F.count("*").alias("d"), F.sum("times").alias("n_e"))).filter(F.col("d") >= support)
-    classed = entities.select("entity", F.struct("h1", "h2").alias("e"), "n_e")
-    held = pairs.join(classed, "entity").groupBy("k1", "k2", "e").agg(F.max("times").alias("times"), F.max("n_e").alias("n_e"))
-    held = written(held, "held")
+    classed = pairs.join(entities.select("entity", F.struct(F.struct("h1", "h2").alias("e"), "n_e").alias("x")), "entity")
+    held = classed.groupBy("k1", "k2").agg(F.max("times").alias("times"), F.collect_set("x").alias("es"))
     hinted = F.col("text").rlike("|".join(f"(?:{x})" for x in HINTS.values()))
-    joined = rows.select("k1", "k2", "text").filter(hinted).join(held.groupBy("k1", "k2").agg(F.max("times").alias("times")), ["k1", "k2"])
-    texts = joined.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("times").alias("times"))
-    return texts.select("k1", "k2", "times", "text", terms_of(F.col("text")).alias("words")), held
+    joined = rows.select("k1", "k2", "text").filter(hinted).join(held, ["k1", "k2"])
+    texts = joined.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("times").alias("times"), F.first("es").alias("es"))
+    return texts.select("k1", "k2", "times", "text", terms_of(F.col("text")).alias("words"), "es")
 
 
 def term_spans(texts: DataFrame, marks: DataFrame) -> DataFrame:
@@ -121,8 +120,8 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
-def disclosures(rows: DataFrame, texts: DataFrame, held: DataFrame, *, support: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """k1, k2, term, action of the terms of a document that give away an entity which it holds. Terms in fewer than
+def disclosures(rows: DataFrame, texts: DataFrame, *, support: int, generalise_at: float, remove_at: float) -> DataFrame:
+    """k1, k2, term, action: of each document the terms that give away an entity which it holds. Terms in fewer than
     `support` different documents that hold the entity are left alone: one text says nothing about a pair. All shares are
     those of rows.
 
@@ -133,19 +132,19 @@ def disclosures(rows: DataFrame, texts: DataFrame, held: DataFrame, *, support:
     words = texts.select("k1", "k2", "times", F.explode("words").alias("term"))
     terms = words.groupBy("term").agg(*holder_class(F.count("*").alias("d"))).filter(F.col("d") >= support)
     terms = terms.join(document_frequencies(rows), "term").select("term", F.struct("h1", "h2", "n_t").alias("t"), "n_t")
-    terms = written(terms, "terms")
-    having = words.join(terms, "term").groupBy("k1", "k2", "t").agg(F.max("times").alias("times"), F.max("n_t").alias("n_t"))
+    having = words.join(terms, "term").groupBy("k1", "k2", "t", "n_t").agg(F.max("times").alias("times"), F.collect_list("term").alias("terms"))
     having = written(having, "having")
+    held = texts.select("k1", "k2", F.explode("es").alias("x")).select("k1", "k2", "x.*")
     most = F.col("n") * F.pow(F.col("n_e") / F.col("n"), F.lit(generalise_at)) * (1 + 1e-9)
-    bounded = held.select("k1", "k2", "e", "n_e").crossJoin(total).withColumn("most", most)
-    pairs = bounded.join(having, ["k1", "k2"]).filter(F.col("n_t") <= F.col("most"))
+    pairs = held.crossJoin(total).withColumn("most", most).join(having.drop("terms"), ["k1", "k2"]).filter(F.col("n_t") <= F.col("most"))
     pairs = pairs.groupBy("e", "t", "n_e", "n_t", "n").agg(F.count("*").alias("d"), F.sum("times").alias("n_et")).filter(F.col("d") >= support)
     content = F.log2(F.col("n") / F.col("n_e"))
     mutual = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
     share = F.when(content > 0, mutual / content).otherwise(F.lit(0.0))
     given = pairs.withColumn("share", share).filter(F.col("share") >= generalise_at).select("e", "t", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action"))
-    marked = held.select("k1", "k2", "e").join(given, "e").join(having.select("k1", "k2", "t"), ["k1", "k2", "t"])
-    return marked.groupBy("k1", "k2", "t").agg(F.max("action").alias("action")).join(terms.select("term", "t"), "t").select("k1", "k2", "term", "action")
+    marked = held.select("k1", "k2", "e").join(given, "e").join(having.select("k1", "k2", "t", "terms"), ["k1", "k2", "t"])
+    marked = marked.groupBy("k1", "k2", "t").agg(F.max("action").alias("action"), F.first("terms").alias("terms"))
+    return marked.select("k1", "k2", F.explode("terms").alias("term"), "action")
 
 
 def detect(docs: DataFrame, *, support: int = 3, generalise_at: float = 0.9, remove_at: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,9 +153,8 @@ def detect(docs: DataFrame, *, support: int = 3, generalise_at: float = 0.9, rem
     never overlap base ones: all words of a text that give away an entity which it holds."""
     rows = keyed(docs, id_col, text_col)
     spans = written(base_spans(rows), "spans")  # a few columns of the rows that hold personal data; used twice
-    texts, held = holders(rows, spans, support)
-    texts = written(texts, "texts")
-    marks = written(disclosures(rows, texts, held, support=support, generalise_at=generalise_at, remove_at=remove_at), "marks")
+    texts = written(holders(rows, spans, support), "texts")
+    marks = written(disclosures(rows, texts, support=support, generalise_at=generalise_at, remove_at=remove_at), "marks")
     labels = F.when(F.col("kind") == 0, "[EMAIL]").when(F.col("kind") == 1, "[IP]").when(F.col("kind") == 2, "[CARD]").otherwise("[PHONE]")
     own = spans.select("k1", "k2", F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end"), labels.alias("label"))
     every = own.unionByName(term_spans(texts, marks))

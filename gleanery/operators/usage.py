@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import SHARED, estimate_cost, owner_of, visible_to
 from ..functions.text import clip_turn
+from ..sources.scratch import scratch
 
 LAST_TURNS, MOST_CHARS, LAST_LABELS = 12, 24_000, 60
 
@@ -72,11 +73,23 @@ def daily_spend(log: DataFrame) -> DataFrame:
 
 
 def budget_admission(log: DataFrame, cap: float) -> DataFrame:
-    """Whether each query may run: what was spent before it on its day is below the cap. The running sum adds decimals, so
-    that the order of additions can't tip it."""
-    w = Window.partitionBy(F.col("ts").cast("date")).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.greatest(F.col("cost"), F.lit(0.0)).cast("decimal(18,6)")).over(w), F.lit(0))
-    return log.withColumn("admitted", before < F.lit(cap).cast("decimal(18,6)"))
+    """The log with `admitted`: whether what was spent before a query on its day is below the cap. Sums are of decimals, so
+    that the order of additions can't tip them.
+
+    Two levels, so that a day of any size is the work of all tasks: the log is dealt out by ranges of time and id; within
+    a range, sums run over its own rows of a day; and the totals of a day's earlier ranges, one row each, come on top."""
+    scratched = f"{scratch(log.sparkSession, 'admission')}/ranges"
+    spent = F.greatest(F.coalesce("cost", F.lit(0.0)), F.lit(0.0)).cast("decimal(18,6)")
+    dealt = log.withColumn("__spent", spent).withColumn("__day", F.col("ts").cast("date")).repartitionByRange("ts", "id")
+    dealt.withColumn("__part", F.spark_partition_id()).write.parquet(scratched)  # a range keeps its number from here on
+    dealt = log.sparkSession.read.parquet(scratched)
+    earlier = Window.partitionBy("__day").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__day", "__part").agg(F.sum("__spent").alias("__total"))
+    totals = totals.select("__day", "__part", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__before"))
+    own = Window.partitionBy("__day", "__part").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    running = dealt.withColumn("__own", F.coalesce(F.sum("__spent").over(own), F.lit(0)))
+    before = F.col("__before") + F.col("__own")
+    return running.join(totals, ["__day", "__part"]).select(*log.columns, (before < F.lit(cap).cast("decimal(18,6)")).alias("admitted"))
 
 
 def owner_share(log: DataFrame, cap: float, share: float) -> DataFrame:

@@ -57,6 +57,25 @@ def mean_metrics(rows: DataFrame, by: str, digits: int = 4) -> DataFrame:
     return rows.groupBy(by).agg(*[F.round(F.avg(c), digits).alias(c) for c in rows.columns if c not in (by, "query_id")])
 
 
+def grade_modes(questions: DataFrame, hits: DataFrame, relevant: DataFrame, modes: list[str], shown: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(metrics, failures) of several modes in one pass. hits: mode, query_id, unit, rank. A row of metrics for each mode and
+    answerable question (one with relevant units), also where a mode found nothing. failures: mode, query_id, recall_at_5
+    below 1, expected (the relevant units, sorted) and got (the first `shown` different units)."""
+    tag = F.struct("mode", "query_id").alias("query_id")
+    every = F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode")
+    wanted = relevant.select("query_id", "unit").distinct()
+    asked = questions.join(wanted.select("query_id").distinct(), "query_id", "left_semi").select("query_id", every).select(tag)
+    tagged = hits.filter(F.col("mode").isin(modes)).select(tag, "unit", "rank")
+    rows = metrics(asked, tagged, wanted.select("query_id", "unit", every).select(tag, "unit")).withColumnRenamed("query_id", "tag")
+    rows = rows.select("tag.mode", "tag.query_id", *[c for c in rows.columns if c != "tag"])
+    expected = wanted.groupBy("query_id").agg(F.array_sort(F.collect_set("unit")).alias("expected"))  # judgements of one question
+    first = hits.groupBy("mode", "query_id", "unit").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("mode", "query_id").orderBy("rank", "unit"))
+    got = first.withColumn("place", place).filter(F.col("place") <= shown).groupBy("mode", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "unit"))), lambda x: x["unit"]).alias("got"))
+    failed = rows.filter("recall_at_5 < 1").select("mode", "query_id", "recall_at_5").join(expected, "query_id").join(got, ["mode", "query_id"], "left")
+    return rows, failed.select("mode", "query_id", "recall_at_5", "expected", F.coalesce("got", F.array().cast("array<string>")).alias("got"))
+
+
 def long_metrics(means: DataFrame, by: str) -> DataFrame:
     """mode, metric, value."""
     names = [c for c in means.columns if c != by]
@@ -149,6 +168,19 @@ def overfetch(ranked: DataFrame, owned: DataFrame, factors: tuple[int, ...] = (1
     return near.withColumn("new", F.row_number().over(w)).filter(F.col("new") <= k).select("factor", "query_id", "document_id", F.col("new").alias("rank"))
 
 
+def overfetch_study(shared: DataFrame, own: DataFrame, owned: DataFrame, questions: DataFrame, relevant: DataFrame, factors: tuple[int, ...] = (1, 2, 5, 10, 20), k: int = 10) -> DataFrame:
+    """arm, factor, questions, hit_at_1, recall_at_5: one store filtered after ranking, at each factor, against one that was
+    filtered before (`own`, a ranking of the tenant's documents alone; its factor is null). relevant: query_id, unit."""
+    after = overfetch(shared, owned, factors, k).select(F.lit("after").alias("arm"), "factor", "query_id", F.col("document_id").alias("unit"), "rank")
+    before = own.filter(F.col("rank") <= k).select(F.lit("before").alias("arm"), F.lit(None).cast("int").alias("factor"), "query_id", F.col("document_id").alias("unit"), "rank")
+    name = F.concat_ws(":", "arm", F.col("factor").cast("string"))
+    modes = ["before", *(f"after:{f}" for f in factors)]
+    rows, _ = grade_modes(questions, after.unionByName(before).select(name.alias("mode"), "query_id", "unit", "rank"), relevant, modes)
+    means = rows.groupBy("mode").agg(F.count("*").alias("questions"), F.round(F.avg("hit_at_1"), 4).alias("hit_at_1"), F.round(F.avg("recall_at_5"), 4).alias("recall_at_5"))
+    arm = F.split("mode", ":")
+    return means.select(arm[0].alias("arm"), F.get(arm, F.lit(1)).cast("int").alias("factor"), "questions", "hit_at_1", "recall_at_5")
+
+
 def first_relevant_rank(ranked: DataFrame, relevant: DataFrame, questions: DataFrame) -> DataFrame:
     """One row: median (the upper one), p90, max of the first relevant rank, and how many questions never see one."""
     first = ranked.join(relevant, ["query_id", "document_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first"))

@@ -140,19 +140,19 @@ def floored(hits: DataFrame, min_score: float, fallback: bool) -> DataFrame:
     return out.withColumn("scored_by", F.when(F.col("lost"), MODES["dense"]).otherwise(F.col("scored_by"))).withColumn("below_floor", F.col("lost")).drop("good", "lost")
 
 
-def search(queries: DataFrame, chunks: DataFrame, dense: DataFrame, mode: str = "rerank", cfg: Settings | None = None, scorer: Callable[[Column, Column], Column] | None = overlap_score, models_read: str = "english", index: Index | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, dense: DataFrame, mode: str = "rerank", cfg: Settings | None = None, scorer: Callable[[Column, Column], Column] | None = overlap_score, models_read: str = "english", index: Index | None = None, words: DataFrame | None = None) -> DataFrame:
     """query_id, rank, chunk_id, document_id, score, scored_by, cosine, below_floor, mode, min_score, total_found and note
     for a table of queries; `assemble` adds the passages.
 
-    `dense` is a ranking (query_id, chunk_id, score, rank) by any vector index, `index` a lexical one of the chunks, built
-    here if there is none. Queries in a script that the models don't
+    `dense` is a ranking (query_id, chunk_id, score, rank) by any vector index, `words` one by BM25 where it was made before;
+    or else `index` is a lexical index of the chunks, built here if there is none. Queries in a script that the models don't
     read are answered by words alone, whatever the mode. Without a pair scorer, `rerank` answers with fusion scores and
     says so."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     cfg = cfg or Settings()
     routed = effective_mode(queries.select("query_id", F.col("text").alias("query")).withColumn("text", F.col("query")), mode, models_read).drop("text")
-    by_words = bm25(queries, index or chunks, PER_RETRIEVER)
+    by_words = words.filter(F.col("rank") <= PER_RETRIEVER) if words is not None else bm25(queries, index or chunks, PER_RETRIEVER)
     words_only = F.col("mode") == "lexical"
     dense = dense.filter(F.col("rank") <= PER_RETRIEVER).join(routed.filter(F.col("mode_eff") != "lexical").select("query_id"), "query_id", "left_semi")
     ranked = candidates(rrf(dense, by_words), CANDIDATES if mode in ("rrf", "rerank") else 2 * PER_RETRIEVER)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .selftest import draw
@@ -54,3 +54,43 @@ def select_questions(golden: DataFrame, kinds: list[str], sample: int, seed: int
     yes = golden.filter("answerable")
     rest = yes.filter(~F.col("kind").isin(kinds)).orderBy(draw(seed, "id"), "id").limit(sample)
     return yes.filter(F.col("kind").isin(kinds)).unionByName(rest).unionByName(golden.filter("not answerable"))
+
+
+def _mean(value: Column, among: Column, digits: int = 4) -> Column:
+    """The mean of a part of the rows; null if the part is empty."""
+    return F.round(F.avg(F.when(among, value.cast("double"))), digits)
+
+
+def run_summary(records: DataFrame) -> DataFrame:
+    """kind, set (null: all), and what a run of an agent came to: over all records, by kind and by set.
+
+    records: kind, set, answerable (null: true), grade (hit_at_1, recall_first, recall_union, named, searches), turns,
+    truncated, usage (cost_usd), judge (faithfulness, relevance, declined; null where a record wasn't judged), citations
+    (valid, dangling). Retrieval is over answerable records, 0 without any; what the judge says is over judged ones, and
+    declining is kept apart for answerable and unanswerable records, null where there are none."""
+    yes = F.coalesce("answerable", F.lit(True))
+    judged = F.col("judge").isNotNull()
+
+    def retrieval(c: str) -> Column:
+        return F.coalesce(_mean(F.coalesce(F.col(f"grade.{c}"), F.lit(0.0)), yes), F.lit(0.0))
+
+    return records.groupingSets([[], ["kind"], ["set"]], "kind", "set").agg(
+        F.count("*").alias("questions"), *[retrieval(c).alias(c) for c in ("hit_at_1", "recall_first", "recall_union", "named")],
+        F.round(F.avg("grade.searches"), 2).alias("searches_per_question"), F.count(F.when(F.col("grade.searches") > 1, 1)).alias("searched_twice"), F.round(F.avg("turns"), 2).alias("turns_per_question"),
+        F.count(F.when(F.col("truncated"), 1)).alias("truncated"), F.round(F.sum(F.coalesce("usage.cost_usd", F.lit(0.0))), 4).alias("cost_usd"),
+        _mean(F.col("judge.faithfulness"), judged & yes).alias("faithfulness"), _mean(F.col("judge.relevance"), judged & yes).alias("relevance"),
+        _mean(F.col("judge.declined").cast("int"), judged & yes).alias("false_abstention"), _mean(F.col("judge.declined").cast("int"), judged & ~yes).alias("correct_abstention"),
+        _mean(F.col("citations.valid").cast("int"), judged).alias("citations_valid"),
+    )
+
+
+def judge_summary(records: DataFrame) -> DataFrame:
+    """One row on judged answers: graded, faithfulness and relevance (over answerable ones), false_abstention, correct_abstention,
+    citations_valid, dangling_citations, truncated, cost_usd. A mean of no records is null, a sum 0. records: answerable, judge,
+    citations, truncated, usage, as in run_summary."""
+    yes, every = F.col("answerable"), F.lit(True)
+    return records.agg(
+        F.count("*").alias("graded"), _mean(F.col("judge.faithfulness"), yes).alias("faithfulness"), _mean(F.col("judge.relevance"), yes).alias("relevance"),
+        _mean(F.col("judge.declined").cast("int"), yes).alias("false_abstention"), _mean(F.col("judge.declined").cast("int"), ~yes).alias("correct_abstention"), _mean(F.col("citations.valid").cast("int"), every).alias("citations_valid"),
+        F.coalesce(F.sum(F.size("citations.dangling")), F.lit(0)).alias("dangling_citations"), F.count(F.when(F.col("truncated"), 1)).alias("truncated"), F.round(F.coalesce(F.sum("usage.cost_usd"), F.lit(0.0)), 4).alias("cost_usd"),
+    )

@@ -170,11 +170,12 @@ def a16_read_corpus(spark, sf_dir):
 
 @query("SELECT doc_id, unit FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['d' || doc_id || '#p1', 'd' || doc_id || '#p2'] ELSE ['d' || doc_id] END AS units FROM labels), unnest(units) AS u(unit)")
 def a17_read_golden(spark, sf_dir):
-    """Label units of golden questions: pages where they are given, documents otherwise."""
-    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    rows = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.create_map(name, F.array(F.lit(1), F.lit(2)))).alias("relevant_pages"), F.array(name).alias("relevant_docs"))
-    by_page = rows.select("doc_id", F.explode("relevant_pages").alias("d", "pages")).select("doc_id", "d", F.explode("pages").alias("page")).select("doc_id", F.concat("d", F.lit("#p"), F.col("page").cast("string")).alias("unit"))
-    return by_page.unionByName(rows.filter("relevant_pages is null").select("doc_id", F.explode("relevant_docs").alias("unit")))
+    """Golden questions, one for each label, written as JSON lines: with pages, or with documents."""
+    folder, name = scratch(spark, "golden"), F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    pages = F.when(F.col("doc_id") % 2 == 0, F.create_map(name, F.array(F.lit(1), F.lit(2))))
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.lit("exact").alias("kind"), F.lit(True).alias("answerable"), F.lit("?").alias("question"), F.array(name).alias("relevant_docs"), pages.alias("relevant_pages"))
+    rows.write.json(folder)
+    return files.read_golden(spark, folder)[1].select(F.col("query_id").cast("long").alias("doc_id"), "unit")
 
 
 @query("""SELECT '{' || string_agg('"' || mode || '":{' || body || '}', ',' ORDER BY mode) || '}' AS modes FROM (SELECT mode, string_agg('"' || metric || '":' || value, ',' ORDER BY metric) AS body

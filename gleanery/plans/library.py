@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import catalog, dense, evaluate, lexical, selftest
+from ..operators import catalog, dense, evaluate, fusion, lexical, selftest
+from .retrieval import KEYED, both_rankings
 from .shared import DOC_CHUNKS, PASSAGES, bm25_ctes, dense_ctes, passages, query, question_table, shingles, table, vector_tables, words
 
 
@@ -253,9 +254,39 @@ def i10_mean_metrics(spark, sf_dir):
     return evaluate.mean_metrics(by_mode(spark, sf_dir).filter("mode = 'dense'"), "mode", 3)
 
 
-@query(f"{PER_QUESTION} SELECT query_id, 'dense' AS mode, round(recall_at_5, 6) AS recall_at_5 FROM m WHERE recall_at_5 < 1")
+FOUND = f"""{KEYED}, relevant AS (SELECT DISTINCT item_id AS query_id, doc_id AS unit FROM (SELECT item_id, unnest({shingles('w', 8)}) AS run FROM (SELECT item_id, {words('text')} AS w FROM benchmark)) JOIN (SELECT doc_id, unnest({shingles('w', 8)}) AS run FROM (SELECT doc_id, {words('text')} AS w FROM documents)) USING (run)),
+hits AS (SELECT 'dense' AS mode, query_id, chunk_id AS unit, rank FROM dense WHERE rank <= 10 UNION ALL SELECT 'lexical', query_id, chunk_id, rank FROM lexical WHERE rank <= 10
+ UNION ALL SELECT 'rrf', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 6) DESC, chunk_id) AS rank FROM cut QUALIFY rank <= 10
+ UNION ALL SELECT 'rerank', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(key, 6) DESC, chunk_id) AS rank FROM keyed QUALIFY rank <= 10),
+n AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY 1), asked AS (SELECT mode, query_id, n FROM n, (SELECT unnest(['dense', 'lexical', 'rrf', 'rerank']) AS mode)),
+g AS (SELECT mode, query_id, min(rank) AS first, count(*) FILTER (WHERE rank <= 3) AS in_3, count(*) FILTER (WHERE rank <= 5) AS in_5, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= 5), 0) AS gain_5 FROM hits SEMI JOIN relevant USING (query_id, unit) GROUP BY ALL),
+m AS (SELECT mode, query_id, CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END AS hit_at_1, coalesce(1 / first, 0) AS mrr, coalesce(in_3, 0) / n AS recall_at_3, coalesce(in_5, 0) / n AS recall_at_5, coalesce(gain_5, 0) / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))) AS ndcg_at_5 FROM asked LEFT JOIN g USING (mode, query_id))"""
+
+
+def real_modes(spark, sf_dir):
+    """(metrics, failures) of all four modes over all documents at no floor, ten deep. What answers a question are the
+    documents that copy its wording."""
+    asked, chunks, near, index = both_rankings(spark, sf_dir)
+    words = lexical.bm25(asked, index, 30)
+    relevant = selftest.copied_pairs(asked, chunks.select("chunk_id", "text")).select("query_id", F.col("chunk_id").alias("unit"))
+    cfg, hits = fusion.Settings(limit=10, min_score=0.0, per_document=0), None
+    for mode in fusion.MODES:
+        found = fusion.search(asked, chunks, near, mode, cfg, words=words).select(F.lit(mode).alias("mode"), "query_id", F.col("chunk_id").alias("unit"), "rank")
+        hits = found if hits is None else hits.unionByName(found)
+    return evaluate.grade_modes(asked, hits, relevant, list(fusion.MODES))
+
+
+@query(f"""WITH {FOUND} SELECT mode, query_id, round(recall_at_5, 6) AS recall_at_5, (SELECT string_agg(unit, ',' ORDER BY unit) FROM relevant WHERE relevant.query_id = m.query_id) AS expected,
+ coalesce((SELECT string_agg(unit, ',' ORDER BY rank) FROM hits WHERE hits.query_id = m.query_id AND hits.mode = m.mode AND rank <= 5), '') AS got FROM m WHERE recall_at_5 < 1""")
 def i8_grade_modes(spark, sf_dir):
-    return by_mode(spark, sf_dir).filter("mode = 'dense' and recall_at_5 < 1").select("query_id", "mode", F.round("recall_at_5", 6).alias("recall_at_5"))
+    rows = real_modes(spark, sf_dir)[1]
+    return rows.select("mode", "query_id", F.round("recall_at_5", 6).alias("recall_at_5"), *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("expected", "got")])
+
+
+@query(f"WITH {FOUND} SELECT mode, count(*) AS questions, round(avg(hit_at_1), 4) AS hit_at_1, round(avg(recall_at_3), 4) AS recall_at_3, round(avg(recall_at_5), 4) AS recall_at_5, round(avg(mrr), 4) AS mrr, round(avg(ndcg_at_5), 4) AS ndcg_at_5 FROM m GROUP BY mode")
+def i8_mode_means(spark, sf_dir):
+    rows = real_modes(spark, sf_dir)[0]
+    return rows.groupBy("mode").agg(F.count("*").alias("questions"), *[F.round(F.avg(c), 4).alias(c) for c in ("hit_at_1", "recall_at_3", "recall_at_5", "mrr", "ndcg_at_5")])
 
 
 @query(f"{GRADES} SELECT 'labels' AS set, round(avg(ndcg), 5) AS ndcg, round(avg(recall), 5) AS recall, count(*) AS questions FROM gr SEMI JOIN qrels USING (query_id)")
@@ -353,10 +384,28 @@ def owned(spark, sf_dir):
 
 
 @query(f"WITH {OVER} SELECT factor, query_id, document_id, row_number() OVER (PARTITION BY factor, query_id ORDER BY rank) AS rank FROM ranked JOIN cuts ON rank <= factor * 10 WHERE document_id IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings WHERE label = 3) QUALIFY row_number() OVER (PARTITION BY factor, query_id ORDER BY rank) <= 10")
-def i22_overfetch_study(spark, sf_dir):
+def i22_overfetch_hits(spark, sf_dir):
     return evaluate.overfetch(shared_ranking(spark, sf_dir), owned(spark, sf_dir))
 
 
+@query(f"""WITH {OVER}, own AS (SELECT CAST(vec_id AS VARCHAR) AS document_id FROM embeddings WHERE label = 3), golden AS (SELECT q.vec_id AS query_id, CAST(d.vec_id AS VARCHAR) AS unit FROM embeddings q JOIN embeddings d ON d.label = 3 AND q.vec_id % 50 = 0 AND d.vec_id % 10 = q.vec_id // 50 % 10),
+after AS (SELECT 'after' AS arm, factor, query_id, document_id AS unit, row_number() OVER (PARTITION BY factor, query_id ORDER BY rank) AS rank FROM ranked JOIN cuts ON rank <= factor * 10 SEMI JOIN own USING (document_id) QUALIFY row_number() OVER (PARTITION BY factor, query_id ORDER BY rank) <= 10),
+before AS (SELECT 'before' AS arm, NULL::INT AS factor, q.vec_id AS query_id, CAST(d.vec_id AS VARCHAR) AS unit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(least(greatest(list_dot_product(q.v, d.v), -1), 1), 6) DESC, d.vec_id) AS rank FROM unit q, unit d WHERE q.vec_id % 50 = 0 AND d.label = 3 QUALIFY rank <= 10),
+arms AS (SELECT 'after' AS arm, factor FROM cuts UNION ALL SELECT 'before', NULL), asked AS (SELECT query_id, count(*) AS n FROM golden GROUP BY 1),
+found AS (SELECT arm, factor, query_id, min(rank) AS first, count(*) FILTER (rank <= 5) AS in_5 FROM (SELECT * FROM after UNION ALL SELECT * FROM before) SEMI JOIN golden USING (query_id, unit) GROUP BY ALL)
+SELECT a.arm, a.factor, count(*) AS questions, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END), 4) AS hit_at_1, round(avg(coalesce(in_5, 0) / n), 4) AS recall_at_5 FROM arms a CROSS JOIN asked LEFT JOIN found f ON f.arm = a.arm AND f.factor IS NOT DISTINCT FROM a.factor AND f.query_id = asked.query_id GROUP BY ALL""")
+def i22_overfetch_study(spark, sf_dir):
+    """Both arms: every query's documents are filtered to a tenant's after the ranking, or the tenant's vectors alone are
+    ranked, the filter going before the blocks. A tenth of the tenant's documents answers each query."""
+    asked, vectors = vector_tables(spark, sf_dir)
+    mine = owned(spark, sf_dir)
+    kept = vectors.join(mine.select(F.col("document_id").cast("long").alias("chunk_id")), "chunk_id", "left_semi")
+    own = dense.dense_topk(asked, kept, 10).select("query_id", F.col("chunk_id").cast("string").alias("document_id"), "rank")
+    turn = F.floor(F.col("query_id") / 50) % 10
+    golden = asked.select("query_id", turn.alias("turn")).join(mine.select("document_id", (F.col("document_id").cast("long") % 10).alias("turn")), "turn").select("query_id", F.col("document_id").alias("unit"))
+    return evaluate.overfetch_study(shared_ranking(spark, sf_dir), own, mine, asked.select("query_id"), golden)
+
+
 @query(f"WITH {OVER}, first AS (SELECT q.vec_id AS query_id, min(rank) AS first FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN (SELECT * FROM ranked WHERE document_id IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings WHERE label = 3)) r ON r.query_id = q.vec_id GROUP BY 1), s AS (SELECT list_sort(list(first) FILTER (WHERE first IS NOT NULL)) AS r, count(*) FILTER (WHERE first IS NULL) AS never FROM first) SELECT r[CAST(floor(len(r) * 0.5) AS INT) + 1] AS median, r[CAST(floor(len(r) * 0.9) AS INT) + 1] AS p90, list_max(r) AS max, never FROM s")
 def i23_first_relevant_rank(spark, sf_dir):
     q = vector_tables(spark, sf_dir)[0].select("query_id")

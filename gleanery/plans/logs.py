@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.text import citations
-from ..operators import usage
+from ..operators import runs, usage
 from .shared import query, table
 
 UPLOADS = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'upload:' || source || ':' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS document_id FROM documents"
@@ -215,13 +215,30 @@ def j15_tools_used(spark, sf_dir):
     return usage.tools_used(tool_events(spark, sf_dir)).select("request", F.array_join("tools", ",").alias("tools"), "sources")
 
 
-@query("SELECT kind, set, count(*) AS questions, round(avg(hit), 4) AS hit_at_1, round(avg(searches), 4) AS searches, count(*) FILTER (WHERE searches > 1) AS twice, round(sum(cost), 2) AS cost FROM (SELECT event_type AS kind, user_id % 3 AS set, CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS hit, event_id % 4 AS searches, value AS cost FROM events) GROUP BY GROUPING SETS ((), (kind), (set))")
+RECORDS = """r AS (SELECT event_type AS kind, user_id % 3 AS set, event_id % 5 <> 0 AS answerable, (event_id % 3 = 0)::INT AS hit, event_id % 4 / 3 AS first, event_id % 5 / 4 AS whole, event_id % 2 AS named, event_id % 4 AS searches,
+ event_id % 6 AS turns, event_id % 17 = 0 AS truncated, value AS cost, event_id % 8 <> 0 AS judged, event_id % 11 / 10 AS faithful, event_id % 10 / 9 AS fitting, event_id % 7 = 0 AS declined, event_id % 9 <> 0 AS valid, event_id % 3 AS dangling FROM events)"""
+
+
+def records(spark, sf_dir):
+    """Events as records of an agent's run; every eighth wasn't judged."""
+    i = F.col("event_id")
+    judge = F.struct((i % 11 / 10).alias("faithfulness"), (i % 10 / 9).alias("relevance"), (i % 7 == 0).alias("declined"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("kind"), (F.col("user_id") % 3).alias("set"), (i % 5 != 0).alias("answerable"), (i % 6).alias("turns"), (i % 17 == 0).alias("truncated"), F.struct(F.col("value").alias("cost_usd")).alias("usage"),
+        F.struct((i % 3 == 0).cast("double").alias("hit_at_1"), (i % 4 / 3).alias("recall_first"), (i % 5 / 4).alias("recall_union"), (i % 2).cast("double").alias("named"), (i % 4).alias("searches")).alias("grade"),
+        F.when(i % 8 != 0, judge).alias("judge"), F.struct((i % 9 != 0).alias("valid"), F.array_repeat(F.lit(0), (i % 3).cast("int")).alias("dangling")).alias("citations"),
+    )
+
+
+@query(f"""WITH {RECORDS} SELECT kind, set, count(*) AS questions, round(avg(hit) FILTER (answerable), 4) AS hit_at_1, round(avg(first) FILTER (answerable), 4) AS recall_first, round(avg(whole) FILTER (answerable), 4) AS recall_union, round(avg(named) FILTER (answerable), 4) AS named,
+ round(avg(searches), 2) AS searches_per_question, count(*) FILTER (searches > 1) AS searched_twice, round(avg(turns), 2) AS turns_per_question, count(*) FILTER (truncated) AS truncated, round(sum(cost), 2) AS cost_usd,
+ round(avg(faithful) FILTER (judged AND answerable), 4) AS faithfulness, round(avg(fitting) FILTER (judged AND answerable), 4) AS relevance, round(avg(declined::INT) FILTER (judged AND answerable), 4) AS false_abstention,
+ round(avg(declined::INT) FILTER (judged AND NOT answerable), 4) AS correct_abstention, round(avg(valid::INT) FILTER (judged), 4) AS citations_valid FROM r GROUP BY GROUPING SETS ((), (kind), (set))""")
 def i29_run_summary(spark, sf_dir):
-    r = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), (F.col("user_id") % 3).alias("set"), (F.col("event_id") % 3 == 0).cast("double").alias("hit"), (F.col("event_id") % 4).alias("searches"), F.col("value").alias("cost"))
-    return r.groupingSets([[], ["kind"], ["set"]], "kind", "set").agg(F.count("*").alias("questions"), F.round(F.avg("hit"), 4).alias("hit_at_1"), F.round(F.avg("searches"), 4).alias("searches"), F.count(F.when(F.col("searches") > 1, 1)).alias("twice"), F.round(F.sum("cost"), 2).alias("cost"))
+    return runs.run_summary(records(spark, sf_dir)).withColumn("cost_usd", F.round("cost_usd", 2))
 
 
-@query("SELECT round(avg(value) FILTER (WHERE answerable), 3) AS faithfulness, count(*) FILTER (WHERE answerable AND abstained) AS false_abstention, count(*) FILTER (WHERE NOT answerable AND abstained) AS right_abstention, sum(event_id % 2) AS dangling FROM (SELECT *, event_id % 5 <> 0 AS answerable, event_id % 7 = 0 AS abstained FROM events)")
+@query(f"""WITH {RECORDS} SELECT count(*) AS graded, round(avg(faithful) FILTER (answerable), 4) AS faithfulness, round(avg(fitting) FILTER (answerable), 4) AS relevance, round(avg(declined::INT) FILTER (answerable), 4) AS false_abstention,
+ round(avg(declined::INT) FILTER (NOT answerable), 4) AS correct_abstention, round(avg(valid::INT), 4) AS citations_valid, sum(dangling)::BIGINT AS dangling_citations, count(*) FILTER (truncated) AS truncated, round(sum(cost), 2) AS cost_usd FROM r WHERE judged""")
 def i31_judge_summary(spark, sf_dir):
-    r = table(spark, sf_dir, "events").withColumn("answerable", F.col("event_id") % 5 != 0).withColumn("abstained", F.col("event_id") % 7 == 0)
-    return r.agg(F.round(F.avg(F.when(F.col("answerable"), F.col("value"))), 3).alias("faithfulness"), F.count(F.when(F.col("answerable") & F.col("abstained"), 1)).alias("false_abstention"), F.count(F.when(~F.col("answerable") & F.col("abstained"), 1)).alias("right_abstention"), F.sum(F.col("event_id") % 2).alias("dangling"))
+    return runs.judge_summary(records(spark, sf_dir).filter("judge is not null")).withColumn("cost_usd", F.round("cost_usd", 2))

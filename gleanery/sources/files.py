@@ -157,6 +157,19 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_id").alias("document_id"), text.alias("text")).filter("text <> ''")
 
 
+def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(questions, units) of a JSONL file of golden questions. questions: query_id, kind, answerable, text, expect. units:
+    query_id, unit: the documents that answer a question, or where it names pages, the pages of them (document#p1); none
+    of a question that says neither."""
+    schema = "id string, kind string, answerable boolean, question string, expect string, relevant_docs array<string>, relevant_pages map<string,array<int>>"
+    rows = spark.read.schema(schema).json(path)
+    questions = rows.select(F.col("id").alias("query_id"), "kind", "answerable", F.col("question").alias("text"), "expect")
+    by_page = rows.select(F.col("id").alias("query_id"), F.explode("relevant_pages").alias("document", "pages")).select("query_id", "document", F.explode("pages").alias("page"))
+    by_page = by_page.select("query_id", F.concat("document", F.lit("#p"), F.col("page").cast("string")).alias("unit"))
+    by_document = rows.filter("relevant_pages is null").select(F.col("id").alias("query_id"), F.explode("relevant_docs").alias("unit"))
+    return questions, by_page.unionByName(by_document).distinct()
+
+
 def page_loss(pages: DataFrame) -> DataFrame:
     """document_id, lost: the pages that could not be read, of documents that lost any."""
     lost = F.sort_array(F.collect_list(F.when(~F.col("readable"), F.col("page"))))

@@ -19,12 +19,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dense import dot, normalise
+from .dense import _rows, dot, normalise
 from .lexical import DIGITS, top_k
 
 
 #: Codes of a cell that one group holds; larger cells are dealt into parts.
 PART_ROWS = 50_000
+#: Vectors of a cell, and vectors near it, of one group that looks for neighbours.
+OWN_ROWS, NEAR_ROWS = 4096, 16_384
 
 
 @dataclass(frozen=True)
@@ -74,8 +76,8 @@ def lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 25) -> np.ndarray:
 
 def train_books(residuals: DataFrame, dim: int, m: int, nbits: int, seed: int, sample: int = 20_000) -> np.ndarray:
     """A codebook for each of m sub-spaces, from at most `sample` residuals picked by a hash of the id."""
-    if dim % m:
-        raise ValueError(f"m must divide {dim}: {', '.join(str(i) for i in range(1, dim + 1) if dim % i == 0)}")
+    if why := bad_m(dim, m):
+        raise ValueError(why)
     step, k = dim // m, 1 << nbits
     picked = residuals.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample)
     parts = picked.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("s"), "residual").select("s", F.slice("residual", F.col("s") * step + 1, step).alias("part"))
@@ -128,28 +130,36 @@ def probes(index: Index, queries: DataFrame, nprobe: int) -> DataFrame:
     return q.withColumn("d", squared).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= nprobe)
 
 
-def ivfpq_topk(index: Index, queries: DataFrame, k: int, nprobe: int = 4) -> DataFrame:
-    """query_id, chunk_id, score, rank by code distances: each probed cell gives its k best for a query."""
+def ivfpq_candidates(index: Index, queries: DataFrame, most: int, nprobe: int) -> DataFrame:
+    """query_id, chunk_id, score (by code distances), probe (1: the query's nearest cell): the `most` best of each part of a
+    probed cell. Of fewer probes, those with a smaller `probe` are what a search would meet."""
     books = index.books
     m, _, step = books.shape
+    kinds = {"query_id": pa.int64(), "chunk_id": pa.int64(), "score": pa.float64(), "probe": pa.int32()}
 
-    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def fold(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        if len(left) and len(right):
-            codes, names = np.stack(right.codes), right.chunk_id.to_numpy()
-            for r in left.itertuples(index=False):
-                rest = (np.asarray(r.v) - np.asarray(r.centroid)).reshape(m, step)
-                table = ((books - rest[:, None, :]) ** 2).sum(axis=2)
-                d = table[np.arange(m), codes].sum(axis=1)
-                best = np.lexsort((names, np.round(d, DIGITS)))[:k]
-                out += [(r.query_id, names[i], min(1.0, max(-1.0, 1 - d[i] / 2))) for i in best]
-        return pd.DataFrame(out, columns=["query_id", "chunk_id", "score"])
+        if left.num_rows and right.num_rows:
+            codes = np.asarray(right.column("codes").combine_chunks().flatten()).reshape(right.num_rows, m)
+            names, asked, probe = (t.column(c).to_numpy() for t, c in ((right, "chunk_id"), (left, "query_id"), (left, "r")))
+            rest = (_rows(left.column("v")) - _rows(left.column("centroid"))).reshape(-1, m, 1, step)
+            tables = ((books[None] - rest) ** 2).sum(axis=3)
+            for lo in range(0, len(asked), 64):
+                d = sum(tables[lo : lo + 64, j][:, codes[:, j]] for j in range(m))
+                order = np.lexsort((np.broadcast_to(names, d.shape), np.round(d, DIGITS)), axis=1)[:, :most]
+                row = np.repeat(np.arange(len(d)), order.shape[1])
+                out.append((asked[lo + row], names[order.ravel()], np.clip(1 - d[row, order.ravel()] / 2, -1, 1), probe[lo + row]))
+        return pa.table({c: pa.array(np.concatenate(v) if v else [], t) for (c, t), v in zip(kinds.items(), zip(*out, strict=True) if out else [()] * 4, strict=True)})
 
     codes, parts = parted(index.codes)
-    near = probes(index, queries, nprobe).select("cell", "query_id", "v", "centroid").join(F.broadcast(parts), "cell")
+    near = probes(index, queries, nprobe).select("cell", "query_id", "v", "centroid", F.col("r").cast("int").alias("r")).join(F.broadcast(parts), "cell")
     near = near.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    found = near.groupBy("cell", "part").cogroup(codes.groupBy("cell", "part")).applyInPandas(fold, "query_id long, chunk_id long, score double")
-    return top_k(found, k)
+    return near.groupBy("cell", "part").cogroup(codes.groupBy("cell", "part")).applyInArrow(fold, "query_id long, chunk_id long, score double, probe int")
+
+
+def ivfpq_topk(index: Index, queries: DataFrame, k: int, nprobe: int = 4) -> DataFrame:
+    """query_id, chunk_id, score, rank by code distances: each probed cell gives its k best for a query."""
+    return top_k(ivfpq_candidates(index, queries, k, nprobe).drop("probe"), k)
 
 
 def rerank(index: Index, queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -164,36 +174,69 @@ def oversampled(index: Index, queries: DataFrame, k: int, nprobe: int = 4, overs
     return rerank(index, queries, ivfpq_topk(index, queries, k * oversample, nprobe), k)
 
 
+def diverse(sims: np.ndarray, between: np.ndarray, degree: int) -> np.ndarray:
+    """Which candidates a vector keeps, for many vectors at once. sims: (rows, candidates), falling, -inf where there is none;
+    between: the candidates' similarities to each other. One is kept if it is nearer to the vector than to any kept one; the
+    nearest others fill the rest."""
+    kept = np.zeros(sims.shape, bool)
+    for j in range(sims.shape[1]):
+        rival = np.where(kept, between[:, j], -np.inf).max(axis=1)
+        kept[:, j] = (sims[:, j] > -np.inf) & (sims[:, j] > rival) & (kept.sum(axis=1) < degree)
+    others = ~kept & (sims > -np.inf)
+    return kept | (others & (np.cumsum(others, axis=1) <= degree - kept.sum(axis=1, keepdims=True)))
+
+
+def _linked(degree: int):
+    """A block of a cell's vectors against a block of vectors near it: the neighbours that each keeps."""
+
+    def fold(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            own, names, x, v = left.column("chunk_id").to_numpy(), right.column("other").to_numpy(), _rows(left.column("v")), _rows(right.column("w"))
+            for lo in range(0, len(own), 128):
+                sim = np.round(x[lo : lo + 128] @ v.T, 9)
+                sim[names[None, :] == own[lo : lo + 128, None]] = -np.inf
+                order = np.lexsort((np.broadcast_to(names, sim.shape), -sim), axis=1)[:, : 4 * degree]
+                near = np.take_along_axis(sim, order, axis=1)
+                keep = diverse(near, v[order] @ np.swapaxes(v[order], 1, 2), degree)
+                row, col = np.nonzero(keep)
+                out.append((own[lo + row], names[order[row, col]], near[row, col]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["src", "dst", "sim"])
+
+    return fold
+
+
 def graph(index: Index, degree: int = 16, near_cells: int = 3) -> DataFrame:
-    """src, dst: each vector's diverse neighbours among those of its own cell and the cells next to it. A candidate is
-    kept if it is nearer to the vector than to any kept one; the nearest others fill the rest. Links hold both ways; of
-    those that come together at a vector, the nearest twice `degree` stay."""
+    """src, dst: each vector's diverse neighbours among those of its own cell and the cells next to it. The vectors of a cell,
+    and those near it, are dealt into blocks of bounded rows; each block of the one meets each of the other and leaves
+    `degree` neighbours a vector, of which the nearest `degree` over all blocks stay. Links hold both ways; of those that
+    come together at a vector, the nearest twice `degree` stay."""
     placed = index.codes.select("chunk_id", "cell").join(unit_vectors(index.vectors), "chunk_id")
     c = index.cells
     gap = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = c.select(F.col("cell").alias("home"), F.col("centroid").alias("a")).crossJoin(c.select("cell", F.col("centroid").alias("b")))  # nlist squared, of cells only
+    pairs = c.select(F.col("cell").alias("home"), F.col("centroid").alias("a")).crossJoin(c.select("cell", F.col("centroid").alias("b")))  # of cells only
     pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("home").orderBy(gap, "cell"))).filter(F.col("r") <= near_cells).select("home", "cell")
-    others = placed.join(F.broadcast(pairs), "cell").select("home", F.col("chunk_id").alias("other"), F.col("v").alias("w")).toDF("home", "other", "w")
+    held = index.codes.groupBy("cell").agg(F.count("*").alias("n"))
+    sizes = pairs.join(held, "cell").groupBy("home").agg(F.ceil(F.sum("n") / NEAR_ROWS).alias("rights")).join(held.select(F.col("cell").alias("home"), F.ceil(F.col("n") / OWN_ROWS).alias("lefts")), "home")  # a row a cell
 
-    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            names, v = right.other.to_numpy(), np.stack(right.w)
-            for own, x in zip(left.chunk_id, left.v, strict=True):
-                sim = v @ np.asarray(x)
-                order = [i for i in np.lexsort((names, -np.round(sim, 9))) if names[i] != own][: 4 * degree]
-                kept: list[int] = []
-                for i in order:
-                    if len(kept) < degree and all(sim[i] > v[i] @ v[j] for j in kept):
-                        kept.append(i)
-                kept += [i for i in order if i not in kept][: degree - len(kept)]
-                out += [(own, names[i], round(float(sim[i]), 9)) for i in kept]
-        return pd.DataFrame(out, columns=["src", "dst", "sim"])
-
-    made = placed.select("cell", "chunk_id", "v").toDF("home", "chunk_id", "v").groupBy("home").cogroup(others.groupBy("home")).applyInPandas(fold, "src long, dst long, sim double")
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    def dealt(key: str, n: str):
+        return F.pmod(F.xxhash64(key), F.col(n))
+
+    left = placed.select(F.col("cell").alias("home"), "chunk_id", "v").join(F.broadcast(sizes), "home").withColumn("l", dealt("chunk_id", "lefts")).withColumn("r", every("rights")).select("home", "l", "r", "chunk_id", "v")
+    others = placed.toDF("other", "cell", "w").join(F.broadcast(pairs), "cell").join(F.broadcast(sizes), "home")
+    others = others.withColumn("r", dealt("other", "rights")).withColumn("l", every("lefts")).select("home", "l", "r", "other", "w")
+    made = left.groupBy("home", "l", "r").cogroup(others.groupBy("home", "l", "r")).applyInArrow(_linked(degree), "src long, dst long, sim double")
+
+    def nearest(rows: DataFrame, most: int) -> DataFrame:
+        near = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))
+        return rows.withColumn("r", near).filter(F.col("r") <= most).drop("r")
+
+    made = nearest(made, degree)
     both = made.unionByName(made.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim")).groupBy("src", "dst").agg(F.max("sim").alias("sim"))
-    near = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))
-    return both.withColumn("r", near).filter(F.col("r") <= 2 * degree).select("src", "dst")
+    return nearest(both, 2 * degree).select("src", "dst")
 
 
 def graph_topk(index: Index, edges: DataFrame, queries: DataFrame, k: int, ef: int = 32, save=None) -> DataFrame:
@@ -220,13 +263,70 @@ def graph_topk(index: Index, edges: DataFrame, queries: DataFrame, k: int, ef: i
     return top_k(beam.select("query_id", "chunk_id", "score"), k)
 
 
-def index_stats(index: Index) -> DataFrame:
-    """One row: vectors, cells, code bytes, overhead bytes, bytes a vector, the parameters, and the seconds of training."""
+def index_stats(index: Index, edges: DataFrame | None = None) -> DataFrame:
+    """One row: vectors, cells, code bytes, overhead bytes (centroids and books), bytes a vector with and without the overhead, vector_bytes (what
+    exact re-scoring reads, as floats), hot_bytes (what a search keeps at hand: codes and overhead), the graph's links and
+    their bytes (null without one), the parameters, and the seconds of training."""
     fixed = int(index.books.size * 4)
+    dim = index.books.shape[0] * index.books.shape[2]
     out = index.codes.agg(F.count("*").alias("vectors"), F.sum(F.size("codes")).alias("code_bytes"))
     cells = index.cells.agg(F.count("*").alias("cells"), F.sum(F.size("centroid") * 4).alias("cell_bytes"))
     out = out.crossJoin(F.broadcast(cells)).withColumn("overhead_bytes", F.col("cell_bytes") + fixed)  # one row
-    return out.select("vectors", "cells", "code_bytes", "overhead_bytes", F.round((F.col("code_bytes") + F.col("overhead_bytes")) / F.col("vectors"), 4).alias("bytes_per_vector"), F.lit(index.books.shape[0]).alias("m"), F.lit(index.nbits).alias("nbits"), F.lit(index.books.shape[0] * index.books.shape[2]).alias("dim"), F.lit(index.seconds).alias("build_seconds"))
+    links = (edges.agg(F.count("*").alias("links")) if edges is not None else index.cells.agg(F.lit(None).cast("long").alias("links"))).select("links", (F.col("links") * 8).alias("link_bytes"))
+    out = out.crossJoin(F.broadcast(links))  # one row
+    total = F.col("code_bytes") + F.col("overhead_bytes")
+    return out.select(
+        "vectors", "cells", "code_bytes", "overhead_bytes", F.round(total / F.col("vectors"), 4).alias("bytes_per_vector"), F.round(F.col("code_bytes") / F.col("vectors"), 4).alias("code_bytes_per_vector"),
+        (F.col("vectors") * dim * 4).alias("vector_bytes"), total.alias("hot_bytes"), "links", "link_bytes",
+        F.lit(index.books.shape[0]).alias("m"), F.lit(index.nbits).alias("nbits"), F.lit(dim).alias("dim"), F.lit(index.seconds).alias("build_seconds"),
+    )
+
+
+def sweep(index: Index, queries: DataFrame, truth: DataFrame, k: int, nprobes: tuple[int, ...], oversamples: tuple[int, ...]) -> DataFrame:
+    """index (ivfpq or reranked), nprobe, oversample (null for ivfpq), query_id, chunk_id, rank at every point of the grid, from one
+    search with the most probes. Each point is a cut of what that search met: cells by their place, candidates by code
+    distance; exact scores are worked out once."""
+    spark = queries.sparkSession
+    found = ivfpq_candidates(index, queries, k * max(oversamples), max(nprobes))
+    q = queries.select("query_id", normalise(F.col("vector")).alias("q"))
+    found = found.join(unit_vectors(index.vectors), "chunk_id").join(q, "query_id").select("query_id", "chunk_id", "score", "probe", dot(F.col("q"), F.col("v")).alias("exact"))
+    points = [("ivfpq", p, None) for p in nprobes] + [("reranked", p, o) for p in nprobes for o in oversamples]
+    grid = spark.createDataFrame(points, "index string, nprobe int, oversample int")
+    met = found.join(F.broadcast(grid), F.col("probe") <= F.col("nprobe"))  # the grid's points
+    point = ["index", "nprobe", "oversample", "query_id"]
+    by_code = Window.partitionBy(*point).orderBy(F.round("score", DIGITS).desc(), "chunk_id")
+    met = met.withColumn("r", F.row_number().over(by_code)).filter(F.col("r") <= k * F.coalesce("oversample", F.lit(1)))
+    by_score = Window.partitionBy(*point).orderBy(F.when(F.col("index") == "reranked", F.round("exact", DIGITS)).otherwise(F.round("score", DIGITS)).desc(), "chunk_id")
+    return met.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select(*point, "chunk_id", "rank")
+
+
+def swept(found: DataFrame, truth: DataFrame, *point: str) -> DataFrame:
+    """The recall of each point of a sweep: the mean, over the queries of the truth, of the share of true neighbours found."""
+    points = found.select(*point).distinct()
+    n = truth.groupBy("query_id").agg(F.count("*").alias("n"))
+    hit = found.join(truth.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").groupBy(*point, "query_id").agg(F.count("*").alias("hits"))
+    total = n.agg(F.count("*").alias("queries"))
+    shares = hit.join(n, "query_id").groupBy(*point).agg(F.sum(F.col("hits") / F.col("n")).alias("share"))
+    same = [points[c].eqNullSafe(shares[c]) for c in point]
+    return points.join(shares, same, "left").select(*[points[c] for c in point], F.coalesce("share", F.lit(0.0)).alias("share")).crossJoin(F.broadcast(total)).select(*point, (F.col("share") / F.col("queries")).alias("recall"))  # one row
+
+
+def bad_m(dim: int, m: int) -> str | None:
+    """Why vectors can't be cut into m parts; None if they can."""
+    return None if 0 < m <= dim and dim % m == 0 else f"m must divide {dim}: {', '.join(str(i) for i in range(1, dim + 1) if dim % i == 0)}"
+
+
+def compared(runs: dict[str, DataFrame], exact: DataFrame, passages: DataFrame, most: int = 200) -> DataFrame:
+    """index, query_id, chunk_id, found, rank, title, excerpt: what each index finds, and what it misses of the exact hits
+    (found false, rank that of the exact one), with the passage (chunk_id, title, text) behind each."""
+    rows = None
+    for name, found in runs.items():
+        hits = found.select(F.lit(name).alias("index"), "query_id", "chunk_id", F.lit(True).alias("found"), "rank")
+        lost = exact.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+        both = hits.unionByName(lost.select(F.lit(name).alias("index"), "query_id", "chunk_id", F.lit(False).alias("found"), "rank"))
+        rows = both if rows is None else rows.unionByName(both)
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    return rows.join(passages.select("chunk_id", "title", F.substring(flat, 1, most).alias("excerpt")), "chunk_id", "left")
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

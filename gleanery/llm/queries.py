@@ -54,7 +54,7 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
     rows = table(spark, sf_dir, "embeddings")
-    return nearest(rows, rows.filter("vec_id % 100 = 0"), k=10, tables=12, probes=19)
+    return nearest(rows, rows.filter("vec_id % 100 = 0"), k=10)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,21 +24,27 @@ DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.cat
 DIGIT_VALUES = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
 
 
+#: All characters below are composed already, and compose with nothing among themselves.
+COMPOSED = r"[^\x00-\x{2ff}]"
+
+
 def composed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition; no built-in function does it."""
-    return F.pandas_udf(composed, "string")(text)
+    """Canonical composition; no built-in function does it. Only texts with characters from the combining signs on go to
+    Python, in Arrow batches."""
+    return F.coalesce(F.pandas_udf(composed, "string")(F.when(text.rlike(COMPOSED), text)), text)
 
 
 def ascii_digits(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, "".join(DIGITS), DIGIT_VALUES)).otherwise(text)
 
 
-def tokenize(text: Column, normalise: bool = False) -> Column:
-    """Search terms in order: lower case, no function words, no single characters, digits folded to ASCII afterwards."""
+def tokenize(text: Column, normalise: bool = True) -> Column:
+    """Search terms in order: canonically composed (unless told that texts are), lower case, no function words, no single
+    characters, digits folded to ASCII afterwards."""
     found = F.regexp_extract_all(F.lower(nfc(text) if normalise else text), F.lit(TERM), F.lit(0))
     return F.transform(F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS)), ascii_digits)
 

@@ -18,6 +18,14 @@ def c1_tokenize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("terms"))
 
 
+@query(f"""SELECT doc_id, array_to_string({tokens("replace(text, 'e', 'e' || chr(769)) || ' Ma' || chr(776) || 'dchen'")}, ' ') AS terms, list_contains({tokens("replace(text, 'e', 'e' || chr(769)) || ' Ma' || chr(776) || 'dchen'")}, 'mädchen') AS whole FROM documents""")
+def c1_tokenize_decomposed(spark, sf_dir):
+    """Every e with an accent that stands as a character of its own."""
+    text = F.concat(F.replace("text", F.lit("e"), F.lit("e\u0301")), F.lit(" Ma\u0308dchen"))
+    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(T.tokenize(text))).alias("t"))
+    return terms.select("doc_id", F.array_join("t", " ").alias("terms"), F.array_contains("t", "m\u00e4dchen").alias("whole"))
+
+
 @query("SELECT o_orderkey, translate(translate(CAST(o_orderkey AS VARCHAR), '0123456789', '०१२३४५६७८९'), '०१२३४५६७८९', '0123456789') AS folded FROM orders")
 def c2_ascii_digits(spark, sf_dir):
     devanagari = F.translate(F.col("o_orderkey").cast("string"), "0123456789", "०१२३४५६७८९")

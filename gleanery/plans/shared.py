@@ -43,6 +43,7 @@ PASSAGES = """passages AS (SELECT doc_id * 100000 + i AS chunk_id, CAST(doc_id A
 
 def tokens(col: str) -> str:
     """The SQL of functions.text.tokenize."""
+    col = f"nfc_normalize({col})"
     stop = ", ".join("'" + w + "'" for w in STOPWORDS)
     term = r"[\p{L}\p{N}\x{0300}-\x{036f}\x{0900}-\x{0963}\x{0966}-\x{0dff}]+"
     folded = f"CASE WHEN regexp_matches({col}, '[\\x{{0660}}-\\x{{0669}}\\x{{0966}}-\\x{{096f}}]') THEN translate({col}, '{''.join(DIGITS)}', '{DIGIT_VALUES}') ELSE {col} END"

@@ -182,9 +182,17 @@ def overfetch_study(shared: DataFrame, own: DataFrame, owned: DataFrame, questio
 
 
 def first_relevant_rank(ranked: DataFrame, relevant: DataFrame, questions: DataFrame) -> DataFrame:
-    """One row: median (the upper one), p90, max of the first relevant rank, and how many questions never see one."""
+    """One row: median (the upper one), p90, max of the first relevant rank, and how many questions never see one. What is
+    ordered are the different ranks with their counts, as many rows as a ranking is deep at most."""
     first = ranked.join(relevant, ["query_id", "document_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first"))
-    all_of = questions.select("query_id").join(first, "query_id", "left").agg(F.array_sort(F.collect_list("first")).alias("r"), F.count(F.when(F.col("first").isNull(), 1)).alias("never"))
-    n = F.size("r")
-    at = lambda q: F.get("r", F.floor(n * q).cast("int"))
-    return all_of.select(at(0.5).alias("median"), at(0.9).alias("p90"), F.array_max("r").alias("max"), "never")
+    asked = questions.select("query_id").join(first, "query_id", "left")
+    counts = asked.filter("first is not null").groupBy("first").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("first"))
+    total = counts.agg(F.sum("n").alias("total"))
+    placed = counts.withColumn("upto", upto).crossJoin(F.broadcast(total))  # one row
+
+    def at(share: float) -> Column:
+        return F.min(F.when(F.col("upto") > F.floor(F.col("total") * share), F.col("first")))
+
+    never = asked.agg(F.count(F.when(F.col("first").isNull(), 1)).alias("never"))
+    return placed.agg(at(0.5).alias("median"), at(0.9).alias("p90"), F.max("first").alias("max")).crossJoin(F.broadcast(never))  # one row each

@@ -51,8 +51,9 @@ def duplicates(chunks: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("chunk_index", words(F.col("text")).alias("w"))))
     whole = chunks.filter(F.coalesce("kind", F.lit("text")) != "summary").groupBy("document_id").agg(F.flatten(F.transform(ordered, lambda x: x["w"])).alias("w"))
     hashed = whole.filter(F.size("w") > 0).select("document_id", F.sha2(F.array_join("w", " "), 256).alias("digest"))
-    first = F.min("document_id").over(Window.partitionBy("digest"))
-    return hashed.withColumn("original", first).filter("document_id <> original").select("document_id", "original")
+    # partial minima of those that repeat: however many copies a document has, no task gathers them
+    first = hashed.groupBy("digest").agg(F.min("document_id").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return hashed.join(first, "digest").filter("document_id <> original").select("document_id", "original")
 
 
 def cannot_search(not_indexed: DataFrame, copies: DataFrame) -> DataFrame:

@@ -131,9 +131,9 @@ def a11_forget_documents(spark, sf_dir):
     return files.forget(passages(spark, sf_dir), unwanted(spark, sf_dir))[1]
 
 
-@query(f"WITH {PASSAGES} SELECT b.item_id * 100000 AS chunk_id, document_id, p.text FROM benchmark b LEFT JOIN passages p ON p.chunk_id = b.item_id * 100000")
+@query(f"WITH {PASSAGES} SELECT b.item_id * 100000000 AS chunk_id, document_id, p.text FROM benchmark b LEFT JOIN passages p ON p.chunk_id = b.item_id * 100000000")
 def a12_get_chunk(spark, sf_dir):
-    ids = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 100000).alias("chunk_id"))
+    ids = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 100000000).alias("chunk_id"))
     return files.get_chunks(passages(spark, sf_dir), ids).select("chunk_id", "document_id", "text")
 
 

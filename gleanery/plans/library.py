@@ -409,5 +409,6 @@ def i22_overfetch_study(spark, sf_dir):
 @query(f"WITH {OVER}, first AS (SELECT q.vec_id AS query_id, min(rank) AS first FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN (SELECT * FROM ranked WHERE document_id IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings WHERE label = 3)) r ON r.query_id = q.vec_id GROUP BY 1), s AS (SELECT list_sort(list(first) FILTER (WHERE first IS NOT NULL)) AS r, count(*) FILTER (WHERE first IS NULL) AS never FROM first) SELECT r[CAST(floor(len(r) * 0.5) AS INT) + 1] AS median, r[CAST(floor(len(r) * 0.9) AS INT) + 1] AS p90, list_max(r) AS max, never FROM s")
 def i23_first_relevant_rank(spark, sf_dir):
     q = vector_tables(spark, sf_dir)[0].select("query_id")
-    relevant = q.crossJoin(owned(spark, sf_dir))
-    return evaluate.first_relevant_rank(shared_ranking(spark, sf_dir), relevant, q)
+    ranked = shared_ranking(spark, sf_dir)
+    relevant = ranked.join(owned(spark, sf_dir), "document_id", "left_semi").select("query_id", "document_id")  # the tenant's, for every query
+    return evaluate.first_relevant_rank(ranked, relevant, q)

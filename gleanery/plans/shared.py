@@ -33,11 +33,11 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The non-empty lines of all documents as chunks."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
     return rows.filter("text <> ''").select(
-        (F.col("doc_id") * 100000 + F.col("i")).alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("i").cast("long").alias("chunk_index"), "text", F.col("source"), F.col("lang").alias("category")
+        (F.col("doc_id") * 100000000 + F.col("i")).alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("i").cast("long").alias("chunk_index"), "text", F.col("source"), F.col("lang").alias("category")
     )
 
 
-PASSAGES = """passages AS (SELECT doc_id * 100000 + i AS chunk_id, CAST(doc_id AS VARCHAR) AS document_id, CAST(i AS BIGINT) AS chunk_index, text, source, lang AS category
+PASSAGES = """passages AS (SELECT doc_id * 100000000 + i AS chunk_id, CAST(doc_id AS VARCHAR) AS document_id, CAST(i AS BIGINT) AS chunk_index, text, source, lang AS category
  FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) WHERE text <> '')"""
 
 

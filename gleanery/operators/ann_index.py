@@ -301,14 +301,14 @@ def sweep(index: Index, queries: DataFrame, truth: DataFrame, k: int, nprobes: t
 
 
 def swept(found: DataFrame, truth: DataFrame, *point: str) -> DataFrame:
-    """The recall of each point of a sweep: the mean, over the queries of the truth, of the share of true neighbours found."""
-    points = found.select(*point).distinct()
+    """The recall of each point of a sweep that found anything: the mean, over the queries of the truth, of the share of true
+    neighbours found."""
     n = truth.groupBy("query_id").agg(F.count("*").alias("n"))
-    hit = found.join(truth.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").groupBy(*point, "query_id").agg(F.count("*").alias("hits"))
+    true = truth.select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    hits = found.select(*point, "query_id", "chunk_id").join(true, ["query_id", "chunk_id"], "left").groupBy(*point, "query_id").agg(F.count("hit").alias("hits"))
     total = n.agg(F.count("*").alias("queries"))
-    shares = hit.join(n, "query_id").groupBy(*point).agg(F.sum(F.col("hits") / F.col("n")).alias("share"))
-    same = [points[c].eqNullSafe(shares[c]) for c in point]
-    return points.join(shares, same, "left").select(*[points[c] for c in point], F.coalesce("share", F.lit(0.0)).alias("share")).crossJoin(F.broadcast(total)).select(*point, (F.col("share") / F.col("queries")).alias("recall"))  # one row
+    shares = hits.join(n, "query_id").groupBy(*point).agg(F.sum(F.col("hits") / F.col("n")).alias("share"))
+    return shares.crossJoin(F.broadcast(total)).select(*point, (F.col("share") / F.col("queries")).alias("recall"))  # one row
 
 
 def bad_m(dim: int, m: int) -> str | None:

@@ -23,9 +23,9 @@ from .vectors import dimension, matrix, raw, smallest_ids, usable
 BLOCK_ROWS = 20_000
 #: Axes of one hash that combinations are made of, and combinations that a step of the probing holds at most.
 AXES, HELD = 40, 4_000_000
-#: By the number of hashes of a table: how many tables there are, and how many combinations of each a query probes. On unit
-#: vectors without any structure, 2,000 of 64 dimensions, these find 0.95 of the ten nearest and more (tests/llm).
-PLANS = {2: (14, 361), 3: (24, 12_000)}
+#: By the number of hashes of a table: how many tables there are, and how many combinations of each a query probes. Of 2,000
+#: vectors of 64 dimensions with hardly any structure, these find 0.95 of the ten nearest and more (tests/llm).
+PLANS = {2: (12, 500), 3: (24, 12_000)}
 FOUND = "query_id long, cls long, score double"
 
 

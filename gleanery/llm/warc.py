@@ -222,7 +222,7 @@ class WarcReader(ds.DataSourceReader):
                 held = 0
             out[-1].paths.append((path, size))
             held += size
-        return out
+        return out or [Bundle([])]
 
     def read(self, partition: Bundle) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

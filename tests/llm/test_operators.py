@@ -228,7 +228,7 @@ def cloud():
 def test_nearest(spark, cloud):
     x, rows = cloud
     e = vectors(spark, rows)
-    got = ann.nearest(e, e.filter("vec_id % 20 = 0"), k=10, tables=12, probes=12).collect()
+    got = ann.nearest(e, e.filter("vec_id % 20 = 0"), k=10, tables=12, probes=144).collect()
     hit = 0
     for q in range(0, 400, 20):
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))

@@ -31,7 +31,7 @@ RECORD = (
     "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, content_type string, content_length long, "
     "headers map<string,string>, http_status int, http_headers map<string,string>, payload binary, file string, offset long"
 )
-#: Columns that a record's own headers give: filters on these are pushed down.
+#: Columns that a record's own headers give: filters on these, and on file and offset, are pushed down.
 OWN = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "content_type": "content-type", "content_length": "content-length"}
 HTTP = ("http_status", "http_headers", "payload")
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -182,7 +182,7 @@ TESTS = {
 def pushable(f: ds.Filter) -> bool:
     if isinstance(f, ds.Not):
         return pushable(f.child)
-    sound = isinstance(f, (ds.IsNull, ds.IsNotNull, ds.EqualNullSafe, *TESTS)) and len(f.attribute) == 1 and f.attribute[0] in OWN
+    sound = isinstance(f, (ds.IsNull, ds.IsNotNull, ds.EqualNullSafe, *TESTS)) and len(f.attribute) == 1 and f.attribute[0] in (*OWN, "file", "offset")
     return sound and not (isinstance(f, ds.In) and None in f.value)
 
 
@@ -216,7 +216,10 @@ class WarcReader(ds.DataSourceReader):
         inside = [(x.path, x.size) for x in found if x.type == files.FileType.File and not any(p[:1] in "_." for p in x.path.removeprefix(path).strip("/").split("/") if p)]
         out: list[Bundle] = []
         held = self.most
+        own = [f for f in self.filters if (f.child if isinstance(f, ds.Not) else f).attribute == ("file",)]
         for path, size in sorted(inside):
+            if not all(holds(f, {"file": path}) for f in own):
+                continue
             if held + size > self.most:
                 out.append(Bundle([]))
                 held = 0
@@ -250,10 +253,10 @@ class WarcReader(ds.DataSourceReader):
                 version, headers = lines_of(record.until_blank())
                 if not version.startswith("WARC/"):
                     raise ValueError(f"{path} at {at}: not a WARC record")
-                row = own_columns(headers)
+                row = own_columns(headers) | {"file": path, "offset": at}
                 left = row["content_length"]
                 if all(holds(f, row) for f in self.filters):
-                    row |= {"headers": headers, "file": path, "offset": at}
+                    row["headers"] = headers
                     if inner:
                         row |= http_of(record, row, left, "payload" in names)
                         left = row.pop("left")
@@ -385,9 +388,14 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, path: str, columns: str = RECORD) -> DataFrame:
     """The records under `path`, with those columns of RECORD that `columns` (a schema) names. Without http columns and the
-    payload, nothing but the records' headers is read."""
+    payload, nothing but the records' headers is read.
+
+    Each query on the result pushes at least one filter, one that always holds: without any, Spark 4.1 would plan it with
+    the filters that the query before it on the same DataFrame had pushed."""
     register(spark)
-    return spark.read.format("warc").schema(columns).load(path)
+    names = StructType.fromDDL(columns).names
+    wanted = columns if "file" in names else f"{columns}, file string"
+    return spark.read.format("warc").schema(wanted).load(path).filter("file is not null").select(*names)
 
 
 def base32(hexed: Column) -> Column:

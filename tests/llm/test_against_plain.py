@@ -169,8 +169,10 @@ def test_queries_match_their_sql(spark, tmp_path, name):
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     vecs = [(i, v.tolist(), 0) for i, v in enumerate(VECTORS)] + [(200, None, 0), (201, [0.0] * 8, 0), (202, [float("nan")] * 8, 0)]
     spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "the board met"), (2, ROWS[-1][1]), (3, None)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, "u", f"<p>{i % 3}") for i in range(9)] + [(10, "u", None), (11, "u", "")], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     found = c.execute(sql.oracle_sql()[name])
     names = [d[0] for d in found.description]

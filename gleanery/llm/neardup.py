@@ -1,20 +1,22 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
 Each tree splits recursively by random directions at medians; vectors within a margin of a split go both ways (spill), so
-that a close pair rarely parts. The upper levels are fitted on a bounded sample; leaves that are still large are split on
-by passes over the table, a level a pass, while that helps. All pairs of a leaf are verified by exact cosine; a leaf that
-stays large (a dense group, which would spill as a whole) is dealt into blocks of bounded rows, compared block against
-block as groups of their own. Each linked pair counts in just one of the leaves where it meets. So a leaf returns no
-pairs, but for each row its links there and one row that they lead to, and the trees are united by sums and by connected
-components. Equal vectors are one row until the end.
+that a close pair rarely parts. The upper levels are fitted on a bounded sample and travel with the tasks; below them the
+splits of a level are a table, and rows find their node's split by a join. All pairs of a leaf are verified by exact
+cosine; a leaf that stays large (a dense group, which would spill as a whole) is dealt into blocks of bounded rows,
+compared block against block as groups of their own. A row takes along the leaves it reaches, so each linked pair counts
+in the first leaf where it meets alone. So a leaf returns no pairs, but for each row its links there and one row that
+they lead to, and the trees are united by sums and by connected components. Equal vectors are one row until the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,13 @@ from .vectors import dimension, matrix, raw, unusable, usable
 
 #: Rows that a leaf should hold, the fewest sampled rows at a node that is split, and the rows of a block.
 LEAF, FEWEST, BLOCK_ROWS = 256, 8, 2048
-#: A node stays whole if a side of its split holds more than this share of it. Levels that a node's number can count.
-HELPS, DEEPEST = 0.85, 60
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: For each level of a tree the nodes that are split, in order, and their thresholds.
-Splits = list[tuple[np.ndarray, np.ndarray]]
+#: A node stays whole if a side of its split holds more than this share of it. Levels tried beyond those that N asks for.
+HELPS, FURTHER = 0.85, 8
+#: Bits of a leaf's number in its tree; the tree's number stands above them.
+LEAF_BITS = 48
+NODE = ["tree", "leaf"]
+#: For each sampled level of a tree the thresholds of its nodes, in order.
+Splits = list[np.ndarray]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -44,18 +48,13 @@ def shadows(v: np.ndarray, levels: range, tree: int, seed: int) -> np.ndarray:
     return (np.rint(v * 2.0**24) @ np.rint(d * 2.0**20)) * 2.0**-44
 
 
-def descend(v: np.ndarray, splits: Splits, margin: float, tree: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def descend(shadow: np.ndarray, splits: Splits, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) of all leaves a row reaches. Nodes are numbered in heap order."""
-    shadow = shadows(v, range(len(splits)), tree, seed)
-    row, node = np.arange(len(v)), np.ones(len(v), np.int64)
-    for level, (ids, cuts) in enumerate(splits):
-        if not len(ids):
-            continue
-        at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
-        inner = ids[at] == node
-        over = shadow[row, level] - cuts[at]
-        left, right = inner & (over <= margin), inner & (over > -margin)
-        row, node = np.r_[row[~inner], row[left], row[right]], np.r_[node[~inner], 2 * node[left], 2 * node[right] + 1]
+    row, node = np.arange(len(shadow)), np.ones(len(shadow), np.int64)
+    for level, cuts in enumerate(splits):
+        over = shadow[row, level] - cuts[node - (1 << level)]
+        left, right = over <= margin, over > -margin
+        row, node = np.r_[row[left], row[right]], np.r_[2 * node[left], 2 * node[right] + 1]
     return row, node
 
 
@@ -63,97 +62,91 @@ def fitted(sample: np.ndarray, levels: int, margin: float, tree: int, seed: int)
     """Splits at the medians of a sample."""
     shadow = shadows(sample, range(levels), tree, seed)
     splits: Splits = []
-    row, node = np.arange(len(sample)), np.ones(len(sample), np.int64)
     for level in range(levels):
+        row, node = descend(shadow, splits, margin)
         order = np.argsort(node, kind="stable")
         row, node = row[order], node[order]
-        values = shadow[row, level]
+        cuts = np.zeros(1 << level)
         starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        ids, cuts = np.arange(1 << level, 2 << level), np.zeros(1 << level)
         for a, b in zip(starts, np.r_[starts[1:], len(node)], strict=True):
-            cuts[node[a] - (1 << level)] = np.median(values[a:b])
-        splits.append((ids, cuts))
-        over = values - cuts[node - (1 << level)]
-        left, right = over <= margin, over > -margin
-        row, node = np.r_[row[left], row[right]], np.r_[2 * node[left], 2 * node[right] + 1]
+            cuts[node[a] - (1 << level)] = np.median(shadow[row[a:b], level])
+        splits.append(cuts)
     return splits
 
 
-def measured(forest: list[Splits], level: int, margin: float, seed: int):
-    """(vec) to (tree, leaf, at): the leaves of one level, and where a row lies in the direction that would split them."""
+def sampled_leaves(forest: list[Splits], margin: float, seed: int):
+    """(cls, vec) to (cls, tree, leaf): the leaves that a row reaches by the sampled levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
-                v = unit(matrix(whole.column(0).slice(lo, 2000)))
+                part = whole.slice(lo, 2000)
+                v, cls = unit(matrix(part.column(1))), part.column(0).to_numpy()
                 for tree, splits in enumerate(forest):
-                    row, leaf = descend(v, splits, margin, tree, seed)
-                    here = leaf >= 1 << level
-                    at = shadows(v, range(level, level + 1), tree, seed)[row[here], 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree, np.int32)), pa.array(leaf[here]), pa.array(at)], ["tree", "leaf", "at"])
+                    row, leaf = descend(shadows(v, range(len(splits)), tree, seed), splits, margin)
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[row]), pa.array(np.full(len(row), tree, np.int32)), pa.array(leaf)], ["cls", *NODE])
 
     return run
 
 
-def deepened(classes: DataFrame, forest: list[Splits], block_rows: int, margin: float, seed: int) -> tuple[list[Splits], dict[tuple[int, int], int]]:
-    """The forest with leaves of more than `block_rows` rows split on, and the rows of those that stay larger. The driver
-    sees the large leaves only, whose number is bounded by the placed rows over `block_rows`."""
-    forest, level = [list(s) for s in forest], len(forest[0])
-    large: dict[tuple[int, int], int] = {}
-    before: dict[tuple[int, int], int] = {}
-    while True:
-        rows = classes.select("vec").mapInArrow(measured(forest, level, margin, seed), "tree int, leaf long, at double")
-        found = rows.groupBy("tree", "leaf").agg(F.count("*").alias("n"), F.percentile_approx("at", 0.5, 200).alias("middle")).filter(F.col("n") > block_rows).toArrow()
-        now = {(t, x): (n, m) for t, x, n, m in zip(*(c.to_pylist() for c in found.columns), strict=True)}
-        stuck = {(t, x >> 1) for (t, x), (n, _) in now.items() if before and n > HELPS * before[t, x >> 1]}
-        for t, splits in enumerate(forest):
-            if back := [x for u, x in stuck if u == t]:
-                ids, cuts = splits[-1]
-                stays = ~np.isin(ids, back)
-                splits[-1] = ids[stays], cuts[stays]
-        large |= {k: before[k] for k in stuck}
-        still = {k: v for k, v in now.items() if (k[0], k[1] >> 1) not in stuck}
-        if not still or level == DEEPEST:
-            return forest, large | {k: n for k, (n, _) in still.items()}
-        for t, splits in enumerate(forest):
-            own = sorted((x, m) for (u, x), (_, m) in still.items() if u == t)
-            splits.append((np.array([x for x, _ in own], np.int64), np.array([m for _, m in own])))
-        before, level = {k: n for k, (n, _) in still.items()}, level + 1
-
-
-def planted(forest: list[Splits], large: dict[tuple[int, int], int], block_rows: int, margin: float, seed: int):
-    """(cls, vec, n) to (cls, vec, n, own, tree, leaf, p, q): a row goes to each pair (p <= q) of blocks of its leaf that has its
-    own block. Leaves that are not large are one block."""
-    blocks = []
-    for tree in range(len(forest)):
-        own = sorted((leaf, -(-n // block_rows)) for (t, leaf), n in large.items() if t == tree)
-        blocks.append((np.array([x for x, _ in own], np.int64), np.array([b for _, b in own], np.int64)))
+def ahead(levels: range, seed: int):
+    """(cls, tree, leaf, vec) to (cls, tree, leaf, at): where a row lies in the directions of its tree's next levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
-                batch = whole.slice(lo, 2000)
-                v, mixed = unit(matrix(batch.column(1))), (batch.column(0).to_numpy().view(np.uint64) * GOLDEN) >> np.uint64(33)
-                for tree, splits in enumerate(forest):
-                    row, leaf = descend(v, splits, margin, tree, seed)
-                    ids, counts = blocks[tree]
-                    n = np.ones(len(row), np.int64)
-                    if len(ids):
-                        at = np.minimum(np.searchsorted(ids, leaf), len(ids) - 1)
-                        n = np.where(ids[at] == leaf, counts[at], 1)
-                    own = (mixed[row] % n.astype(np.uint64)).astype(np.int64)
-                    ends = np.cumsum(n)
-                    for a in range(0, int(n.sum()), 20_000):
-                        copy = np.arange(a, min(a + 20_000, ends[-1]))
-                        i = np.searchsorted(ends, copy, side="right")
-                        other = copy - (ends - n)[i]
-                        at = pa.array(row[i])
-                        cells = (own[i], np.full(len(i), tree), leaf[i], np.minimum(own[i], other), np.maximum(own[i], other))
-                        yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), *map(pa.array, cells)], ["cls", "vec", "n", "own", "tree", "leaf", "p", "q"])
+                part = whole.slice(lo, 2000)
+                v, tree = unit(matrix(part.column(3))), part.column(1).to_numpy()
+                at = np.empty((len(v), len(levels)))
+                for t in np.unique(tree).tolist():
+                    at[tree == t] = shadows(v[tree == t], levels, t, seed)
+                ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * len(levels))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(ends, pa.array(at.ravel()))], ["cls", *NODE, "at"])
 
     return run
 
 
+def grown(classes: DataFrame, forest: list[Splits], further: int, block_rows: int, margin: float, seed: int) -> DataFrame:
+    """cls, tree, leaf, blocks: the leaves that each row reaches, and the blocks that a leaf of more than `block_rows` rows is
+    dealt into. Leaves that are still large below the sampled levels are split on, all nodes of a level by one join with
+    the table of its splits, at most `further` levels. The driver sees no split."""
+    leaves = written(classes.select("cls", "vec").mapInArrow(sampled_leaves(forest, margin, seed), "cls long, tree int, leaf long"), "leaves")
+    large = written(leaves.groupBy(*NODE).count().filter(F.col("count") > block_rows).select(*NODE), "large")
+    if large.isEmpty():
+        return leaves.withColumn("blocks", F.lit(1).cast("long"))
+    done = [leaves.join(large, NODE, "left_anti").select("cls", *NODE, F.lit(1).cast("long").alias("blocks"))]
+    levels = range(len(forest[0]), len(forest[0]) + further)
+    rows = leaves.join(large, NODE, "left_semi").join(classes.select("cls", "vec"), "cls").select("cls", *NODE, "vec")
+    rows = written(rows.mapInArrow(ahead(levels, seed), "cls long, tree int, leaf long, at array<double>"), "open")
+    for i in range(further):
+        over = F.col("at")[i] - F.col("cut")
+        left, right = over <= margin, over > -margin
+        nodes = rows.groupBy(*NODE).agg(F.count("*").alias("n"), F.percentile_approx(F.col("at")[i], 0.5, 200).alias("cut"))
+        sides = rows.join(nodes, NODE).groupBy(*NODE, "n", "cut").agg(F.greatest(F.count_if(left), F.count_if(right)).alias("side"))
+        stays = (F.col("n") <= block_rows) | (F.col("side") > HELPS * F.col("n")) | F.lit(i == further - 1)
+        nodes = written(sides.select(*NODE, "cut", F.when(stays, F.ceil(F.col("n") / block_rows)).alias("blocks")), "splits")
+        low, high = 2 * F.col("leaf"), 2 * F.col("leaf") + 1
+        to = F.when(F.col("blocks").isNotNull(), F.array("leaf")).when(left & right, F.array(low, high)).when(left, F.array(low)).otherwise(F.array(high))
+        rows = written(rows.join(nodes, NODE).select("cls", "tree", F.explode(to).alias("leaf"), "blocks", "at"), "open")
+        done.append(rows.filter("blocks is not null").select("cls", *NODE, "blocks"))
+        rows = rows.filter("blocks is null").drop("blocks")
+        if rows.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)
+
+
+def planted(classes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """cls, vec, n, earlier, own, leaf, p, q: a row goes to each pair (p <= q) of blocks of its leaf that has its own block,
+    and takes along the leaves that come before that one. Leaves that are not large are one block."""
+    number = F.shiftleft(F.col("tree").cast("long"), LEAF_BITS).bitwiseOR(F.col("leaf"))
+    reached = leaves.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct(number.alias("leaf"), "blocks"))).alias("reached"))  # trees times spill
+    rows = classes.select("cls", "vec", "n").join(reached, "cls").select("*", F.posexplode("reached").alias("i", "here"))
+    earlier = F.transform(F.slice("reached", F.lit(1), F.col("i")), lambda x: x["leaf"])
+    blocks = F.col("here.blocks")
+    rows = rows.select("cls", "vec", "n", earlier.alias("earlier"), F.col("here.leaf").alias("leaf"), F.pmod(F.xxhash64("cls"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    return rows.select("cls", "vec", "n", "earlier", "own", "leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+
 def joined(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     """For each of n nodes the smallest one that the links (x, y) lead to."""
     low = np.arange(n)
@@ -166,16 +159,29 @@ def joined(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
             return low
 
 
-def linked(forest: list[Splits], least: float, margin: float, seed: int):
+def masks_of(earlier: pa.ChunkedArray, used: np.ndarray) -> Iterator[np.ndarray]:
+    """For 64 earlier leaves at a time, a bit each: those that a used row reaches. Leaves of one row tell nothing."""
+    lists = earlier.take(pa.array(used)).combine_chunks()
+    row = np.repeat(np.arange(len(used)), pc.list_value_length(lists).to_numpy())
+    _, column, times = np.unique(pc.list_flatten(lists).to_numpy(), return_inverse=True, return_counts=True)
+    shared = times > 1
+    name = np.cumsum(shared) - 1
+    row, column = row[shared[column]], name[column[shared[column]]]
+    for lo in range(0, int(shared.sum()), 64):
+        mask, pick = np.zeros(len(used), np.uint64), (column >= lo) & (column < lo + 64)
+        np.bitwise_or.at(mask, row[pick], np.uint64(1) << (column[pick] - lo).astype(np.uint64))
+        yield mask
+
+
+def linked(least: float):
     """The links of a leaf, or between two blocks of one: for each linked row the rows it is linked to (copies counted),
-    and one row of its component here. Pairs that meet elsewhere too (in a smaller leaf of this tree or in an earlier
-    tree) are left to that leaf, which compares all its pairs: which leaves a row reaches is worked out again from its
-    vector, by exact sums."""
+    and one row of its component here. Pairs that meet in an earlier leaf too are left to that leaf, which compares all
+    its pairs."""
 
     def run(table: pa.Table) -> pa.Table:
         cls, n, own = (table.column(c).to_numpy() for c in ("cls", "n", "own"))
         v = unit(matrix(table.column("vec")))
-        tree, leaf, p, q = (table.column(c)[0].as_py() for c in ("tree", "leaf", "p", "q"))
+        p, q = (table.column(c)[0].as_py() for c in ("p", "q"))
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
         a, b = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for lo in range(0, len(left), 500):
@@ -188,20 +194,10 @@ def linked(forest: list[Splits], least: float, margin: float, seed: int):
         where = np.zeros(len(v), np.int32)
         where[used] = np.arange(len(used))
         x, y = where[x], where[y]
-        masks = []  # for 64 leaves at a time, a bit each: those that a row reaches
-        for t in range(tree + 1 if len(used) else 0):
-            row, reached = descend(v[used], forest[t], margin, t, seed)
-            row, reached = (row, reached) if t < tree else (row[reached < leaf], reached[reached < leaf])
-            names, column = np.unique(reached, return_inverse=True)
-            for lo in range(0, len(names), 64):
-                mask = np.zeros(len(used), np.uint64)
-                pick = (column >= lo) & (column < lo + 64)
-                np.bitwise_or.at(mask, row[pick], np.uint64(1) << (column[pick] - lo).astype(np.uint64))
-                masks.append(mask)
         new = np.ones(len(x), bool)
-        for lo in range(0, len(x), 1 << 19):
-            i, j = x[lo : lo + (1 << 19)], y[lo : lo + (1 << 19)]
-            for mask in masks:
+        for mask in masks_of(table.column("earlier"), used):
+            for lo in range(0, len(x), 1 << 19):
+                i, j = x[lo : lo + (1 << 19)], y[lo : lo + (1 << 19)]
                 new[lo : lo + len(i)] &= (mask[i] & mask[j]) == 0
         x, y = x[new], y[new]
         times = n[used].astype(np.float64)
@@ -212,21 +208,21 @@ def linked(forest: list[Splits], least: float, margin: float, seed: int):
     return run
 
 
-def placed(classes: DataFrame, n: int, dim: int, *, least: float, trees: int, spill: float, sample: int, block_rows: int, seed: int) -> tuple[DataFrame, list[Splits], float]:
-    """The rows as they are compared, in groups of (tree, leaf, p, q), the forest and its margin."""
+def placed(classes: DataFrame, n: int, dim: int, *, least: float, trees: int, spill: float, sample: int, block_rows: int, seed: int) -> DataFrame:
+    """The rows as they are compared, in groups of (leaf, p, q)."""
     margin = spill * float(np.sqrt(2 * (1 - least) / dim))
     picked = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(sample).toArrow()
-    levels = max(0, min(int(np.ceil(np.log2(max(1, n / LEAF)))), int(np.log2(max(1, picked.num_rows / FEWEST)))))
+    asked = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
+    levels = min(asked, int(np.log2(max(1, picked.num_rows / FEWEST))))
     known = unit(matrix(picked.column("vec")))
-    forest = [fitted(known, levels, margin, t, seed) for t in range(trees)]
-    forest, large = deepened(classes, forest, block_rows, margin, seed)
-    return classes.select("cls", "vec", "n").mapInArrow(planted(forest, large, block_rows, margin, seed), "cls long, vec binary, n long, own long, tree long, leaf long, p long, q long"), forest, margin
+    forest = [fitted(known, levels, margin, t, seed) for t in range(trees)]  # as many splits as the sample has rows, at most
+    return planted(classes, grown(classes, forest, asked - levels + FURTHER, block_rows, margin, seed))
 
 
-def links_between(classes: DataFrame, n: int, dim: int, *, least: float, seed: int, **settings) -> DataFrame:
+def links_between(classes: DataFrame, n: int, dim: int, *, least: float, **settings) -> DataFrame:
     """cls, more, root: what each leaf says of its linked rows. Sums of `more` are the rows linked to each class."""
-    rows, forest, margin = placed(classes, n, dim, least=least, seed=seed, **settings)
-    return rows.groupBy("tree", "leaf", "p", "q").applyInArrow(linked(forest, least, margin, seed), "cls long, more long, root long")
+    rows = placed(classes, n, dim, least=least, **settings)
+    return rows.groupBy("leaf", "p", "q").applyInArrow(linked(least), "cls long, more long, root long")
 
 
 def near_duplicates(table: DataFrame, *, least: float = 0.95, trees: int = 6, spill: float = 0.75, sample: int = 20_000, block_rows: int = BLOCK_ROWS, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -115,6 +115,18 @@ def build(vectors: DataFrame, nlist: int | None = None, m: int = 8, nbits: int =
     return Index(cells, codes, books, vectors, nbits, round(time.time() - began, 3))
 
 
+def code_errors(index: Index) -> DataFrame:
+    """chunk_id, s, code, part (the residual's cut in sub-space s), error (squared distance to the code's sub-centroid) and
+    least (to the nearest one): what quantising costs, worked out again from vectors, cells and books."""
+    m, _, step = index.books.shape
+    books = index.vectors.sparkSession.createDataFrame([(s, index.books[s].tolist()) for s in range(m)], "s int, book array<array<double>>")
+    residual = index.codes.join(unit_vectors(index.vectors), "chunk_id").join(F.broadcast(index.cells), "cell").select("chunk_id", "codes", F.zip_with("v", "centroid", lambda a, b: a - b).alias("residual"))  # nlist rows
+    parts = residual.select("chunk_id", F.posexplode("codes").alias("s", "code"), "residual").select("chunk_id", "s", "code", F.slice("residual", F.col("s") * step + 1, F.lit(step)).alias("part"))
+    squared = F.transform("book", lambda c: F.aggregate(F.zip_with("part", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
+    far = parts.join(F.broadcast(books), "s").withColumn("far", squared)  # m rows
+    return far.select("chunk_id", "s", F.col("code").cast("int").alias("code"), "part", F.get("far", F.col("code").cast("int")).alias("error"), F.array_min("far").alias("least"))
+
+
 def parted(codes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """codes with the part of its cell that a row is dealt to, and cell, parts. As many rows as there are cells."""
     parts = codes.groupBy("cell").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))

@@ -126,12 +126,12 @@ def lost_to_versions(graded: DataFrame, chunks: DataFrame, lost: DataFrame) -> D
     return out.filter((F.col("inside") >= VERSION_SHARE) & (F.col("common") >= VERSION_SHARE * F.least("size", "other"))).select("query_id")
 
 
-def suggestion(facts: DataFrame) -> DataFrame:
-    """The one fix to make first. facts: one row with costly_copies, versions, scanned, unreadable, copies (files) and the
-    questions that the first two cost."""
+def suggestion(facts: DataFrame, *by: str) -> DataFrame:
+    """The one fix to make first, in each group, and the files or questions it concerns; no row where nothing is amiss.
+    facts: a row a group with costly_copies, versions (questions lost), scanned, unreadable, copies (files); nulls are 0."""
     order = ("costly_copies", "versions", "scanned", "unreadable", "copies")
-    cells = F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(k).alias("fix"), F.col(k).cast("long").alias("files")) for i, k in enumerate(order)])
-    return facts.select(F.explode(cells).alias("x")).select("x.*").filter("files > 0").agg(F.min_by("fix", "priority").alias("fix"), F.min_by("files", "priority").alias("files")).filter("fix is not null")
+    first = F.coalesce(*[F.when(F.col(k) > 0, F.struct(F.lit(k).alias("fix"), F.col(k).cast("long").alias("files"))) for k in order])
+    return facts.select(*by, first.alias("x")).filter("x is not null").select(*by, "x.fix", "x.files")
 
 
 def summary(graded: DataFrame, copies: DataFrame, versions: DataFrame, most: int = 5) -> DataFrame:

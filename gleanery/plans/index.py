@@ -187,6 +187,25 @@ def e9_codes_hold(spark, sf_dir):
     return codes.select("chunk_id", F.size("codes").alias("m"), F.forall("codes", lambda c: (c >= 0) & (c < 16)).alias("within"))
 
 
+@query("SELECT vec_id AS chunk_id, true AS nearest FROM embeddings")
+def e9_code_is_nearest(spark, sf_dir):
+    """In every sub-space no sub-centroid is nearer to a vector's residual than its code's."""
+    index = built(spark, sf_dir)[1]
+    parts = ann_index.code_errors(index)
+    return parts.groupBy("chunk_id").agg(F.every(F.col("error") <= F.col("least") + 1e-9).alias("nearest"))
+
+
+@query("SELECT CAST(unnest(range(8)) AS INTEGER) AS s, true AS explained, true AS stationary FROM (SELECT 1)")
+def e8_books_fit(spark, sf_dir):
+    """In every sub-space the codes leave at most three quarters of the residuals' energy, and no book is improved by a
+    hundredth by moving its sub-centroids to the means of what they stand for."""
+    parts = ann_index.code_errors(built(spark, sf_dir)[1]).withColumn("energy", F.aggregate("part", F.lit(0.0), lambda a, x: a + x * x))
+    of_code = parts.groupBy("s", "code").agg(F.count("*").alias("n"), F.sum("error").alias("error"), F.sum("energy").alias("energy"), *[F.sum(F.get("part", F.lit(i))).alias(f"x{i}") for i in range(8)])
+    moved = F.col("energy") - sum((F.coalesce(F.col(f"x{i}"), F.lit(0.0)) ** 2 for i in range(8)), F.lit(0.0)) / F.col("n")  # the error about the means
+    sums = of_code.withColumn("moved", moved).groupBy("s").agg(F.sum("error").alias("error"), F.sum("energy").alias("energy"), F.sum("moved").alias("moved"))
+    return sums.select("s", (F.col("error") <= 0.75 * F.col("energy")).alias("explained"), (F.col("error") <= 1.01 * F.col("moved")).alias("stationary"))
+
+
 def hits_hold(found, asked, index):
     """query_id, hits, exact (the scores are the pairs' cosines), of each query."""
     unit = ann_index.unit_vectors(index.vectors)

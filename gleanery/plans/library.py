@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -130,14 +132,14 @@ def h7_unusable_documents(spark, sf_dir):
 def misses(spark, sf_dir):
     """A graded run in which every question is answered by the document that stands next in its duplicate group, or by the
     next document."""
-    docs = passages(spark, sf_dir).filter("chunk_index = 0")
+    docs = passages(spark, sf_dir)
     copies = selftest.duplicates(passages(spark, sf_dir).withColumn("kind", F.lit("text")))
     joined = docs.join(copies, "document_id", "left")
     other = F.coalesce("original", (F.col("document_id").cast("long") + 1).cast("string"))
     return copies, joined.select(F.col("chunk_id").alias("query_id"), F.col("chunk_id").alias("passage_id"), "document_id", F.lit(2).alias("rank"), other.alias("first_document"))
 
 
-MISSES = f"""{DUPES}, missed AS (SELECT chunk_id AS query_id, chunk_id AS passage_id, p.document_id, coalesce(original, CAST(CAST(p.document_id AS BIGINT) + 1 AS VARCHAR)) AS first_document FROM passages p LEFT JOIN dupes d USING (document_id) WHERE chunk_index = 0),
+MISSES = f"""{DUPES}, missed AS (SELECT chunk_id AS query_id, chunk_id AS passage_id, p.document_id, coalesce(original, CAST(CAST(p.document_id AS BIGINT) + 1 AS VARCHAR)) AS first_document FROM passages p LEFT JOIN dupes d USING (document_id)),
 grp AS (SELECT document_id, original AS g FROM dupes UNION SELECT original, original FROM dupes), copy_lost AS (SELECT query_id FROM missed m JOIN grp a USING (document_id) JOIN grp b ON b.document_id = first_document WHERE a.g = b.g AND m.document_id <> first_document)"""
 
 
@@ -160,12 +162,22 @@ def h9_lost_to_versions(spark, sf_dir):
     return selftest.lost_to_versions(graded, passages(spark, sf_dir), selftest.lost_to_copies(graded, copies))
 
 
-@query(f"WITH {MISSES} SELECT CASE WHEN (SELECT count(*) FROM copy_lost) > 0 THEN 'costly_copies' ELSE 'copies' END AS fix, CASE WHEN (SELECT count(*) FROM copy_lost) > 0 THEN (SELECT count(*) FROM copy_lost) ELSE (SELECT count(*) FROM dupes) END AS files")
+@query(rf"""WITH {MISSES}, {VERSIONS}, docs AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, source, lang AS category, text FROM documents),
+facts AS (SELECT source, category, 0 AS priority, 'costly_copies' AS fix FROM copy_lost JOIN missed USING (query_id) JOIN docs USING (document_id)
+ UNION ALL SELECT source, category, 1, 'versions' FROM version_lost JOIN missed USING (query_id) JOIN docs USING (document_id)
+ UNION ALL SELECT source, category, 2, 'scanned' FROM docs WHERE text IS NOT NULL AND NOT regexp_matches(text, '\p{{L}}') UNION ALL SELECT source, category, 3, 'unreadable' FROM docs WHERE text IS NULL
+ UNION ALL SELECT source, category, 4, 'copies' FROM dupes JOIN docs USING (document_id))
+SELECT source, category, fix, count(*) AS files FROM facts GROUP BY source, category, priority, fix QUALIFY row_number() OVER (PARTITION BY source, category ORDER BY priority) = 1""")
 def h10_suggestion(spark, sf_dir):
+    """The first fix for each source and language: lost questions count by their document's."""
     copies, graded = misses(spark, sf_dir)
-    lost = selftest.lost_to_copies(graded, copies).agg(F.count("*").alias("costly_copies"))
-    zero = [F.lit(0).alias(c) for c in ("versions", "scanned", "unreadable")]
-    return selftest.suggestion(lost.crossJoin(copies.agg(F.count("*").alias("copies"))).select("*", *zero))
+    lost = selftest.lost_to_copies(graded, copies)
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "source", F.col("lang").alias("category"), F.when(F.col("text").isNull(), "unreadable").when(~F.rlike("text", F.lit(r"\p{L}")), "scanned").alias("fix"))
+    asked = graded.select("query_id", "document_id")
+    kinds = [lost.join(asked, "query_id").select("document_id", F.lit("costly_copies").alias("fix")), selftest.lost_to_versions(graded, passages(spark, sf_dir), lost).join(asked, "query_id").select("document_id", F.lit("versions").alias("fix")), copies.select("document_id", F.lit("copies").alias("fix"))]
+    named = reduce(lambda a, b: a.unionByName(b), kinds).join(own.drop("fix"), "document_id").unionByName(own.filter("fix is not null").select("document_id", "fix", "source", "category"))
+    facts = named.groupBy("source", "category").pivot("fix", ["costly_copies", "versions", "scanned", "unreadable", "copies"]).count()
+    return selftest.suggestion(facts, "source", "category")
 
 
 @query(f"WITH {MISSES} SELECT query_id, row_number() OVER (ORDER BY known, query_id) AS place, CASE known WHEN 0 THEN 'another copy came first' ELSE 'ranked lower' END AS reason FROM (SELECT m.query_id, CASE WHEN c.query_id IS NULL THEN 2 ELSE 0 END AS known FROM missed m LEFT JOIN copy_lost c USING (query_id)) QUALIFY place <= 5")
@@ -321,35 +333,58 @@ def i13_separation(spark, sf_dir):
     return out.select("mode", *[F.round(c, 6).alias(c) for c in out.columns if c != "mode"])
 
 
-def means_by(spark, sf_dir, name: str, shift: float):
-    """Mean order values by priority as a metric table; `shift` moves one of them."""
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("mode")).agg((F.avg(F.col("o_totalprice") / 500000)).alias("value"))
-    return o.select("mode", F.lit(name).alias("metric"), F.when(F.col("mode") == "1-URGENT", F.col("value") + shift).otherwise(F.col("value")).alias("value"))
+def halves(spark, sf_dir, *keys):
+    """Mean order values of two runs, the even orders and the odd ones, as metric tables. The divisor is a prime, so that no
+    mean of prices in cents lies halfway between two rounded values."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("mode"), F.col("o_orderstatus").alias("set"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("metric"), "o_orderkey", "o_totalprice")
+    value = F.round(F.avg(F.col("o_totalprice") / 524287), 6).alias("value")
+    return [o.filter(F.col("o_orderkey") % 2 == odd).groupBy(*keys).agg(value, F.count("*").alias("questions")) for odd in (0, 1)]
 
 
-MEANS = "means AS (SELECT o_orderpriority AS mode, avg(o_totalprice / 500000) AS value FROM orders GROUP BY 1)"
+def sql_halves(keys: str) -> str:
+    each = "SELECT {keys}, round(avg(price / 524287), 6) AS value, count(*) AS questions FROM o WHERE k % 2 = {odd} GROUP BY ALL"
+    runs = ", ".join(f"{name} AS ({each.format(keys=keys, odd=odd)})" for name, odd in (("base", 0), ("now", 1)))
+    return f"o AS (SELECT o_orderpriority AS mode, o_orderstatus AS set, 'c' || o_custkey AS metric, o_orderkey AS k, o_totalprice AS price FROM orders), {runs}"
 
 
-@query(f"WITH {MEANS} SELECT mode, metric, CASE WHEN metric = 'b' THEN 'missing' WHEN metric = 'c' THEN 'new' WHEN mode = '1-URGENT' THEN 'dropped' ELSE 'ok' END AS verdict FROM means, (SELECT unnest(['a', 'b', 'c']) AS metric)")
+@query(f"""WITH {sql_halves('mode, metric')} SELECT mode, metric, n.value AS now, b.value AS base,
+ CASE WHEN b.value IS NULL THEN 'new' WHEN n.value IS NULL THEN 'missing' WHEN b.value - n.value > 0.02 + 1e-9 THEN 'dropped' ELSE 'ok' END AS verdict FROM now n FULL JOIN base b USING (mode, metric)""")
 def i14_regression_gate(spark, sf_dir):
-    base = means_by(spark, sf_dir, "a", 0.05).unionByName(means_by(spark, sf_dir, "b", 0.0))
-    now = means_by(spark, sf_dir, "a", 0.0).unionByName(means_by(spark, sf_dir, "c", 0.0))
-    return evaluate.regression_gate(now, base).select("mode", "metric", "verdict")
+    """Odd orders against even ones: every metric that either has."""
+    base, now = halves(spark, sf_dir, "mode", "metric")
+    return evaluate.regression_gate(now, base)
 
 
-@query(f"WITH {MEANS} SELECT mode, CASE mode WHEN '1-URGENT' THEN 'ndcg differs' WHEN '2-HIGH' THEN 'missing' WHEN '3-MEDIUM' THEN 'settings differ' ELSE 'reproduced' END AS verdict FROM means")
+@query(f"""WITH {sql_halves('metric')}, run AS (SELECT metric, value, questions, questions % 3 AS settings FROM now UNION ALL SELECT metric, value, questions, questions % 3 FROM base WHERE metric NOT IN (SELECT metric FROM now) AND metric LIKE '%1'),
+same AS (SELECT metric, value, questions, questions % 3 AS settings FROM base WHERE metric LIKE 'c5%'), rerun AS (SELECT * FROM run WHERE metric NOT LIKE 'c5%' UNION ALL SELECT * FROM same)
+SELECT b.metric AS mode, CASE WHEN r.metric IS NULL THEN 'missing' WHEN r.settings <> b.questions % 3 THEN 'settings differ' WHEN r.questions <> b.questions THEN 'question counts differ' WHEN abs(r.value - b.value) > 0.005 + 1e-12 THEN 'ndcg differs' ELSE 'reproduced' END AS verdict FROM base b LEFT JOIN rerun r USING (metric)""")
 def i15_reproduce_check(spark, sf_dir):
-    def run(shift, settings):
-        return means_by(spark, sf_dir, "n", shift).select("mode", F.col("value").alias("ndcg"), F.lit(10).alias("questions"), F.when(F.col("mode") == "3-MEDIUM", settings).otherwise("200").alias("settings"))
+    """Groups of customers as modes; a rerun is the odd orders, and for every mode in the fifties the committed rows again."""
+    base, now = (x.select(F.col("metric").alias("mode"), F.col("value").alias("ndcg"), "questions", (F.col("questions") % 3).cast("string").alias("settings")) for x in halves(spark, sf_dir, "metric"))
+    again = base.filter("mode like 'c5%'")
+    lone = base.filter("mode like '%1'").join(now.select("mode"), "mode", "left_anti").filter("mode not like 'c5%'")
+    return evaluate.reproduce_check(now.filter("mode not like 'c5%'").unionByName(again).unionByName(lone), base)
+
+
+#: Stages that must gain and stages that must not fall, of three proposals.
+PROPOSALS = {"fast": (["1-URGENT"], ["2-HIGH"]), "wide": (["1-URGENT", "2-HIGH", "3-MEDIUM"], []), "careful": (["5-LOW"], ["3-MEDIUM", "4-NOT SPECIFIED"])}
+
 
-    return evaluate.reproduce_check(run(0.01, "150").filter("mode <> '2-HIGH'"), run(0.0, "200"))
+def sql_proposals() -> str:
+    rows = [(p, m, kind) for p, lists in PROPOSALS.items() for kind, modes in zip(("gain", "guard"), lists, strict=True) for m in modes]
+    return ", ".join(f"('{p}', '{m}', '{kind}')" for p, m, kind in rows)
 
 
-@query(f"WITH {MEANS} SELECT 'adopted' AS verdict, string_agg('s' || i || ' 1-URGENT gains', '; ' ORDER BY i) AS reasons FROM means, (SELECT unnest([1, 2]) AS i) WHERE mode = '1-URGENT'")
+@query(f"""WITH {sql_halves('set, mode')}, d AS (SELECT set, mode, round(n.value - b.value, 9) AS delta FROM now n JOIN base b USING (set, mode)), r AS (SELECT * FROM (VALUES {sql_proposals()}) t(proposal, mode, kind)),
+p AS (SELECT DISTINCT proposal FROM r), e AS (SELECT proposal, set, d.mode, kind = 'guard' AND delta < -0.02 AS fell, kind = 'gain' AND delta >= 0.001 AS rose FROM d JOIN r USING (mode)),
+per AS (SELECT proposal, set, coalesce(bool_or(rose), false) AS rose FROM (SELECT DISTINCT proposal, set FROM p, d) LEFT JOIN e USING (proposal, set) GROUP BY ALL), a AS (SELECT proposal, bool_and(rose) AS all_rose FROM per GROUP BY 1)
+SELECT proposal, CASE WHEN coalesce(bool_or(fell), false) THEN 'rejected' WHEN any_value(all_rose) THEN 'adopted' ELSE 'undecided' END AS verdict,
+ coalesce(string_agg(CASE WHEN fell THEN set || ' ' || mode || ' drops' WHEN rose THEN set || ' ' || mode || ' gains' END, '; ' ORDER BY CASE WHEN fell THEN set || ' ' || mode || ' drops' WHEN rose THEN set || ' ' || mode || ' gains' END), '') AS reasons FROM a LEFT JOIN e USING (proposal) GROUP BY proposal""")
 def i16_adoption_rule(spark, sf_dir):
-    sets = spark.createDataFrame([("s1",), ("s2",)], "set string")
-    old, new = (means_by(spark, sf_dir, "n", s).crossJoin(F.broadcast(sets)).select("set", "mode", "value") for s in (0.0, 0.05))
-    return evaluate.adoption_rule(old, new, ["1-URGENT"], ["2-HIGH", "5-LOW"])
+    """Three proposals judged by the same two runs, on every order status as a set."""
+    base, now = (x.select("set", "mode", "value") for x in halves(spark, sf_dir, "set", "mode"))
+    found = [evaluate.adoption_rule(base, now, gains, guarded, gain=0.001).select(F.lit(p).alias("proposal"), "verdict", "reasons") for p, (gains, guarded) in PROPOSALS.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, quantile_disc(value, 0.95) AS p95, max(value) AS max FROM events GROUP BY 1")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import text
-from gleanery.operators import chunking, dense, fusion, lexical, usage
+from gleanery.operators import chunking, dense, evaluate, fusion, lexical, selftest, usage
 from gleanery.sources import files
 
 
@@ -140,3 +140,19 @@ def test_an_index_serves_many_batches(spark, tmp_path):
     lexical.build_index(chunks, f"{tmp_path}/index")
     again = lexical.bm25(asked, lexical.open_index(spark, f"{tmp_path}/index")).orderBy("rank").collect()
     assert again == lexical.bm25(asked, chunks).orderBy("rank").collect() and [r["chunk_id"] for r in again] == [1, 2]
+
+
+def test_first_fix_by_group(spark):
+    cols = ("costly_copies", "versions", "scanned", "unreadable", "copies")
+    facts = spark.createDataFrame([("a", 0, 3, 9, None, 2), ("b", None, None, None, 1, 5), ("c", 0, 0, 0, 0, None), ("d", 1, 8, 8, 8, 8)], "source string, " + ", ".join(f"{c} long" for c in cols))
+    assert sorted(map(tuple, selftest.suggestion(facts, "source").collect())) == [("a", "versions", 3), ("b", "unreadable", 1), ("d", "costly_copies", 1)]
+    assert selftest.suggestion(facts.drop("source").limit(0)).count() == 0
+
+
+def test_adoption_needs_a_gain_on_every_set_and_no_drop(spark):
+    def run(*values):
+        return spark.createDataFrame([(s, m, v) for (s, m), v in zip([(s, m) for s in ("s1", "s2") for m in ("full", "dense")], values, strict=True)], "set string, mode string, value double")
+
+    old = run(0.5, 0.5, 0.5, 0.5)
+    verdicts = [tuple(evaluate.adoption_rule(old, new, ["full"], ["dense"]).first()) for new in (run(0.53, 0.5, 0.6, 0.48), run(0.53, 0.5, 0.5, 0.5), run(0.6, 0.47, 0.6, 0.5))]
+    assert verdicts == [("adopted", "s1 full gains; s2 full gains"), ("undecided", "s1 full gains"), ("rejected", "s1 dense drops; s1 full gains; s2 full gains")]

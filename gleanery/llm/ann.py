@@ -178,7 +178,7 @@ def in_cells(points: DataFrame, queries: DataFrame, hot: DataFrame) -> tuple[Dat
     their queries; each part meets each part of the other side."""
 
     def side(rows: DataFrame, key: str, own: str, other: str, cell) -> DataFrame:
-        rows = rows.join(F.broadcast(hot), ["tab", "grp"], "left")
+        rows = rows.join(hot, ["tab", "grp"], "left")
         part = F.pmod(F.xxhash64(key, F.lit(1)), F.coalesce(own, F.lit(1)))
         return rows.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1), lambda j: cell(part, j, F.coalesce("qb", F.lit(1)))))).drop("pb", "qb")
 
@@ -190,10 +190,9 @@ def met(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     sizes = points.groupBy("tab", "grp").agg(F.count("*").alias("p")).filter(F.col("p") > BLOCK_ROWS)
     calls = queries.groupBy("tab", "grp").agg(F.count("*").alias("q")).filter(F.col("q") > BLOCK_ROWS)
     parts = [F.ceil(F.coalesce(c, F.lit(1)) / BLOCK_ROWS).cast("long").alias(n) for c, n in (("p", "pb"), ("q", "qb"))]
-    # groups with more rows than a cell: few, as a group holds fewer on average, and each stands for BLOCK_ROWS rows
-    hot = sizes.join(calls, ["tab", "grp"], "full").select("tab", "grp", *parts).collect()
-    spark = points.sparkSession
-    rows, calls = in_cells(points, queries, spark.createDataFrame(hot, "tab int, grp long, pb long, qb long"))
+    # a table of groups with more rows than a cell, whose size Spark knows when it picks the joins
+    hot = written(sizes.join(calls, ["tab", "grp"], "full").select("tab", "grp", *parts), "hot")
+    rows, calls = in_cells(points, queries, hot)
     key = ["tab", "grp", "cell"]
     return calls.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(compared(k), FOUND)
 

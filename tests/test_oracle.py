@@ -10,7 +10,7 @@ from gleanery.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["a3_load_markdown", "a8_dedupe_by_content", "a9_incremental_pass", "b6_find_markdown_tables", "b8_locate", "c1_tokenize", "c6_dates_in", "c15_estimate_cost", "d3_bm25_topk", "e5_dense_topk", "f2_candidate_cut", "f7_floor_fallback", "g1_list_documents", "h6_duplicates", "h9_lost_to_versions", "i4_ndcg_at_k", "i14_regression_gate", "i19_spearman", "i29_run_summary", "j4_source_numbering", "j8_budget_admission", "j15_pair_tool_events", "a18_write_run", "a19_model_stamp_guard", "b1_leaf_spans", "b2_overlap_tail", "b3_chunks_hold", "b4_merge_runt", "b5_table_rows_hold", "e7_cell_is_nearest", "e11_hits_hold", "e12_links_hold", "f8_diversify", "h3_copied_wording", "j6_replay_transcript", "j9_owner_share", "j10_rate_limit", "d3_bm25_segments", "j12_folder_stream", "j13_sync_status", "i22_overfetch_study", "i31_judge_summary", "c1_tokenize_decomposed", "e19_flat", "a17_read_golden", "h8_lost_to_copies", "h10_suggestion", "i15_reproduce_check", "i16_adoption_rule", "e8_books_fit", "e9_code_is_nearest"]
+NAMES = ["a3_load_markdown", "a8_dedupe_by_content", "a9_incremental_pass", "b6_find_markdown_tables", "b8_locate", "c1_tokenize", "c6_dates_in", "c15_estimate_cost", "d3_bm25_topk", "e5_dense_topk", "f2_candidate_cut", "f7_floor_fallback", "g1_list_documents", "h6_duplicates", "h9_lost_to_versions", "i4_ndcg_at_k", "i14_regression_gate", "i19_spearman", "i29_run_summary", "j4_source_numbering", "j8_budget_admission", "j15_pair_tool_events", "a18_write_run", "a19_model_stamp_guard", "b1_leaf_spans", "b2_overlap_tail", "b3_chunks_hold", "b4_merge_runt", "b5_table_rows_hold", "e7_cell_is_nearest", "e11_hits_hold", "e12_links_hold", "f8_diversify", "h3_copied_wording", "j6_replay_transcript", "j9_owner_share", "j10_rate_limit", "d3_bm25_segments", "j12_folder_stream", "j13_sync_status", "i22_overfetch_study", "i31_judge_summary", "c1_tokenize_decomposed", "e19_flat", "a17_read_golden", "h8_lost_to_copies", "h10_suggestion", "i15_reproduce_check", "i16_adoption_rule", "e8_books_fit", "e9_code_is_nearest", "e15_ann_recall"]
 
 
 def plain(x):

@@ -109,21 +109,23 @@ def lost_to_copies(graded: DataFrame, copies: DataFrame) -> DataFrame:
 
 def lost_to_versions(graded: DataFrame, chunks: DataFrame, lost: DataFrame) -> DataFrame:
     """query_id of the others whose first result's document holds half of the passage's five-word runs and shares half of
-    the smaller document's. Only the documents of missed questions are compared."""
+    the smaller document's. Documents are compared once a pair, however many questions it lost, and passages only where
+    their documents are alike."""
     missed = graded.filter("coalesce(rank, 0) <> 1 and document_id <> first_document").join(lost, "query_id", "left_anti")
-    runs = chunks.select("chunk_id", "document_id", F.explode(shingles(words(F.col("text")), VERSION_RUN)).alias("run"))
-    runs = runs.select("chunk_id", "document_id", F.xxhash64("run").alias("h"))
-    needed = missed.select("document_id").unionByName(missed.select(F.col("first_document").alias("document_id"))).distinct()
-    docs = runs.join(needed, "document_id", "left_semi").select("document_id", "h").distinct()
+    runs = shingles(words(F.col("text")), VERSION_RUN)
+    pairs = missed.select("document_id", "first_document").distinct()
+    needed = pairs.select("document_id").unionByName(pairs.select(F.col("first_document").alias("document_id"))).distinct()
+    docs = chunks.select("document_id", "text").join(needed, "document_id", "left_semi").select("document_id", F.explode(runs).alias("run")).select("document_id", F.xxhash64("run").alias("h")).distinct()
+    other = docs.withColumnRenamed("document_id", "first_document")
     sizes = docs.groupBy("document_id").agg(F.count("*").alias("size"))
-    passage = missed.join(runs.select(F.col("chunk_id").alias("passage_id"), "h").distinct(), "passage_id")
-    held = passage.join(docs.select(F.col("document_id").alias("first_document"), "h", F.lit(1).alias("there")), ["first_document", "h"], "left")
-    inside = held.groupBy("query_id").agg(F.avg(F.coalesce("there", F.lit(0))).alias("inside"))
-    pairs = missed.select("query_id", "document_id", "first_document")
-    common = pairs.join(docs, "document_id").join(docs.select(F.col("document_id").alias("first_document"), "h"), ["first_document", "h"]).groupBy("query_id").agg(F.count("*").alias("common"))
-    sized = pairs.join(sizes, "document_id").join(sizes.select(F.col("document_id").alias("first_document"), F.col("size").alias("other")), "first_document")
-    out = sized.join(common, "query_id").join(inside, "query_id")
-    return out.filter((F.col("inside") >= VERSION_SHARE) & (F.col("common") >= VERSION_SHARE * F.least("size", "other"))).select("query_id")
+    common = pairs.join(docs, "document_id").join(other, ["first_document", "h"]).groupBy("document_id", "first_document").agg(F.count("*").alias("common"))
+    sized = common.join(sizes, "document_id").join(sizes.select(F.col("document_id").alias("first_document"), F.col("size").alias("other")), "first_document")
+    alike = sized.filter(F.col("common") >= VERSION_SHARE * F.least("size", "other")).select("document_id", "first_document")
+    close = missed.join(alike, ["document_id", "first_document"]).select("query_id", "passage_id", "first_document")
+    passage = close.join(chunks.select(F.col("chunk_id").alias("passage_id"), "text"), "passage_id").select("query_id", "first_document", F.explode(runs).alias("run")).select("query_id", "first_document", F.xxhash64("run").alias("h"))
+    there = other.join(alike.select("first_document").distinct(), "first_document", "left_semi").withColumn("there", F.lit(1))
+    inside = passage.join(there, ["first_document", "h"], "left").groupBy("query_id").agg(F.avg(F.coalesce("there", F.lit(0))).alias("inside"))
+    return inside.filter(F.col("inside") >= VERSION_SHARE).select("query_id")
 
 
 def suggestion(facts: DataFrame, *by: str) -> DataFrame:

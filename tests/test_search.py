@@ -53,6 +53,19 @@ def test_segments_and_skipped_blocks(spark, monkeypatch):
     assert lexical.bm25(q, d.limit(0), 3).count() == 0 and lexical.bm25(q.limit(0), index, 3, prune=True).count() == 0
 
 
+def test_parts_send_only_their_best(spark, monkeypatch):
+    """Batches of queries meet parts of blocks; a part sends k rows a query, not a row for each chunk that holds a term."""
+    for name, value in {"BLOCK": 40, "PART_CHUNKS": 80, "QUERIES": 7, "CELLS": 200}.items():
+        monkeypatch.setattr(lexical, name, value)
+    chunks, queries = corpus(400, 5), [(q, t) for q, t in corpus(30, 6) if t]
+    d, q = spark.createDataFrame(chunks, "chunk_id long, text string"), spark.createDataFrame(queries, "query_id long, text string")
+    index = lexical.append(lexical.build_index(d.filter("chunk_id < 300")), d.filter("chunk_id >= 300"))
+    parts = lexical.best_of_parts(lexical.weighed_terms(q, index), index, 3).groupBy("query_id").count().collect()
+    assert max(r["count"] for r in parts) <= 3 * (4 + 2) < 100
+    assert ranked(lexical.bm25(q, index, 3)) == {k: v for k, v in plain_bm25(queries, chunks, 3).items() if v}
+    assert index.blocks.select("segment", "block").distinct().count() > 9
+
+
 def test_common_terms_are_skipped(spark):
     """A rare term decides: the postings of the common one are looked up for few chunks only."""
     rows = [(i, "common " * (1 + i % 3) + ("rare " * (1 + i % 4) if i % 40 == 0 else "other")) for i in range(2000)]

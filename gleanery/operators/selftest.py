@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shingles, words
+from ..sources.scratch import kept, scratch
 
 LEAST_WORDS, COPIED_RUN, VERSION_RUN, VERSION_SHARE = 25, 8, 5, 0.5
 
@@ -48,9 +49,10 @@ def copied_pairs(questions: DataFrame, passages: DataFrame, run: int = COPIED_RU
 
 def duplicates(chunks: DataFrame) -> DataFrame:
     """document_id, original: documents whose word sequence is an earlier id's. Summaries don't count, nor do empty ones."""
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", words(F.col("text")).alias("w"))))
-    whole = chunks.filter(F.coalesce("kind", F.lit("text")) != "summary").groupBy("document_id").agg(F.flatten(F.transform(ordered, lambda x: x["w"])).alias("w"))
-    hashed = whole.filter(F.size("w") > 0).select("document_id", F.sha2(F.array_join("w", " "), 256).alias("digest"))
+    texts = chunks.filter(F.coalesce("kind", F.lit("text")) != "summary").select("document_id", "chunk_index", F.array_join(words(F.col("text")), " ").alias("w")).filter("w <> ''")
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "w")))
+    hashed = texts.groupBy("document_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["w"]), " "), 256).alias("digest"))
+    hashed = kept(hashed, scratch(chunks.sparkSession, "digests"))  # read twice
     # partial minima of those that repeat: however many copies a document has, no task gathers them
     first = hashed.groupBy("digest").agg(F.min("document_id").alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return hashed.join(first, "digest").filter("document_id <> original").select("document_id", "original")
@@ -111,21 +113,24 @@ def lost_to_versions(graded: DataFrame, chunks: DataFrame, lost: DataFrame) -> D
     """query_id of the others whose first result's document holds half of the passage's five-word runs and shares half of
     the smaller document's. Documents are compared once a pair, however many questions it lost, and passages only where
     their documents are alike."""
+    folder = scratch(chunks.sparkSession, "versions")
     missed = graded.filter("coalesce(rank, 0) <> 1 and document_id <> first_document").join(lost, "query_id", "left_anti")
-    runs = shingles(words(F.col("text")), VERSION_RUN)
+    missed = kept(missed.select("query_id", "passage_id", "document_id", "first_document"), f"{folder}/missed")
+    runs = F.transform(shingles(words(F.col("text")), VERSION_RUN), lambda x: F.xxhash64(x))
     pairs = missed.select("document_id", "first_document").distinct()
     needed = pairs.select("document_id").unionByName(pairs.select(F.col("first_document").alias("document_id"))).distinct()
-    docs = chunks.select("document_id", "text").join(needed, "document_id", "left_semi").select("document_id", F.explode(runs).alias("run")).select("document_id", F.xxhash64("run").alias("h")).distinct()
-    other = docs.withColumnRenamed("document_id", "first_document")
-    sizes = docs.groupBy("document_id").agg(F.count("*").alias("size"))
-    common = pairs.join(docs, "document_id").join(other, ["first_document", "h"]).groupBy("document_id", "first_document").agg(F.count("*").alias("common"))
-    sized = common.join(sizes, "document_id").join(sizes.select(F.col("document_id").alias("first_document"), F.col("size").alias("other")), "first_document")
-    alike = sized.filter(F.col("common") >= VERSION_SHARE * F.least("size", "other")).select("document_id", "first_document")
-    close = missed.join(alike, ["document_id", "first_document"]).select("query_id", "passage_id", "first_document")
-    passage = close.join(chunks.select(F.col("chunk_id").alias("passage_id"), "text"), "passage_id").select("query_id", "first_document", F.explode(runs).alias("run")).select("query_id", "first_document", F.xxhash64("run").alias("h"))
-    there = other.join(alike.select("first_document").distinct(), "first_document", "left_semi").withColumn("there", F.lit(1))
-    inside = passage.join(there, ["first_document", "h"], "left").groupBy("query_id").agg(F.avg(F.coalesce("there", F.lit(0))).alias("inside"))
-    return inside.filter(F.col("inside") >= VERSION_SHARE).select("query_id")
+    # texts move once, by document, where a row holds a document's different runs as numbers; these move once more, to the other
+    docs = chunks.select("document_id", "text").join(needed, "document_id", "left_semi").select("document_id", runs.alias("own"))
+    docs = docs.groupBy("document_id").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own")).filter(F.size("own") > 0)
+    both = pairs.join(docs, "document_id").join(docs.select(F.col("document_id").alias("first_document"), F.col("own").alias("other")), "first_document")
+    common = F.size(F.array_intersect("own", "other"))
+    # at least one in common, here and below, as none have half of nothing; said of both sides, so that it stays behind the join
+    enough = common >= F.greatest(VERSION_SHARE * F.least(F.size("own"), F.size("other")), F.lit(1.0))
+    alike = kept(both.filter(enough).select("document_id", "first_document", "other"), f"{folder}/alike")
+    close = kept(missed.join(alike.drop("other"), ["document_id", "first_document"]), f"{folder}/close")
+    passage = close.join(chunks.select(F.col("chunk_id").alias("passage_id"), "text"), "passage_id")
+    held = passage.join(alike, ["document_id", "first_document"]).select("query_id", runs.alias("own"), "other")
+    return held.filter(common >= F.greatest(VERSION_SHARE * F.size("own"), F.lit(1.0))).select("query_id")
 
 
 def suggestion(facts: DataFrame, *by: str) -> DataFrame:

@@ -6,27 +6,27 @@ from pyspark.sql import functions as F
 
 from ..operators import captions, chunking
 from ..sources import files
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, spread
 from .shared import PASSAGES, passages, query, table
 
 
 def page_files(spark, sf_dir) -> str:
-    """Each web page as a text file in a folder of its own."""
+    """Each web page as a text file, in folders of a thousand ids, written by all tasks."""
     folder = scratch(spark, "pages")
-    table(spark, sf_dir, "pages").select("page_id", "html").repartition(4, "page_id").write.partitionBy("page_id").text(folder)
+    name = F.concat((F.col("page_id") / 1000).cast("long").cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit(".txt"))
+    files.write_files(spread(table(spark, sf_dir, "pages").select(name.alias("relative"), F.concat(F.coalesce("html", F.lit("")), F.lit("\n")).alias("content"))), folder)
     return folder
 
 
 @query("SELECT page_id, octet_length(encode(html)) + 1 AS size FROM pages")
 def a1_scan_folder(spark, sf_dir):
     found = files.scan_folder(spark, page_files(spark, sf_dir))
-    return found.select(F.regexp_extract("relative", r"page_id=([0-9]+)/", 1).cast("long").alias("page_id"), "size")
+    return found.select(files.stem(F.col("relative")).cast("long").alias("page_id"), "size")
 
 
 @query("SELECT page_id, md5(html || chr(10)) AS digest FROM pages")
 def a2_load_text(spark, sf_dir):
-    found = files.scan_folder(spark, page_files(spark, sf_dir))
-    text = files.load_text(found.withColumn("relative", F.concat(F.regexp_extract("relative", r"page_id=([0-9]+)/", 1), F.lit(".txt"))))
+    text = files.load_text(files.scan_folder(spark, page_files(spark, sf_dir)))
     return text.select(F.col("document_id").cast("long").alias("page_id"), F.md5("text").alias("digest"))
 
 

@@ -169,3 +169,20 @@ def test_versions_move_documents_once(spark):
     assert "Generate explode" not in found._jdf.queryExecution().executedPlan().toString()
     copies = selftest.duplicates(chunks.filter("chunk_id <> 13 and chunk_id < 3 or chunk_id between 10 and 12").withColumn("kind", F.lit("text")))
     assert [tuple(r) for r in copies.collect()] == [("b", "a")]
+
+
+def test_label_metrics_are_those_of_pairs(spark):
+    units = spark.createDataFrame([(i, None if i == 9 else i % 3) for i in range(12)] + [(20, 7)], "unit long, label int")
+    asked = units.filter("unit in (0, 4, 9, 20)").withColumnRenamed("unit", "query_id")
+    hits = spark.createDataFrame([(q, u, r + 1) for q in (0, 4, 5, 9, 20) for r, u in enumerate((3, 1, 3, q, 7, 6))], "query_id long, unit long, rank int")
+    questions = hits.select("query_id").distinct()
+    relevant = asked.join(units, "label").filter("query_id <> unit").select("query_id", "unit")
+    rows = [sorted(map(tuple, x.collect())) for x in (evaluate.label_metrics(questions, hits, asked, units), evaluate.metrics(questions, hits, relevant))]
+    assert rows[0] == rows[1] and len(rows[0]) == 5
+
+
+def test_pages_share_folders(spark):
+    from gleanery.plans import ingest
+
+    found = files.scan_folder(spark, ingest.page_files(spark, "/root/testdata/sf0.001")).select("relative").collect()
+    assert len(found) == 50 and len({r.relative.split("/")[0] for r in found}) == 1

@@ -42,7 +42,7 @@ def copied_pairs(questions: DataFrame, passages: DataFrame, run: int = COPIED_RU
     """query_id, chunk_id of all pairs in which the question repeats a run of the passage's words: a join on the runs, of
     which passages keep those that some question has."""
     runs = lambda df, key: df.select(key, F.explode(shingles(words(F.col("text")), run)).alias("run"))
-    asked = runs(questions, "query_id")
+    asked = kept(runs(questions, "query_id"), scratch(questions.sparkSession, "runs"))  # of known size, so that few questions go to the passages
     held = runs(passages, "chunk_id").join(asked.select("run").distinct(), "run", "left_semi")
     return held.join(asked, "run").select("query_id", "chunk_id").distinct()
 

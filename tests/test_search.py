@@ -66,6 +66,30 @@ def test_parts_send_only_their_best(spark, monkeypatch):
     assert index.blocks.select("segment", "block").distinct().count() > 9
 
 
+def shuffled(spark, job):
+    """Bytes that a job's stages write to shuffles."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    job()
+    return sum(v for k, v in stages().items() if k not in before)
+
+
+def test_postings_move_once_for_all_queries(spark):
+    """Eight times as many queries of the same terms: the postings are not dealt out again for each batch of them."""
+    rnd = random.Random(3)
+    texts = spark.createDataFrame([(i, " ".join(f"w{rnd.randrange(400)}" for _ in range(60))) for i in range(3000)], "chunk_id long, text string")
+    index = lexical.build_index(texts)
+    asked = lambda n: lexical.weighed_terms(spark.createDataFrame([(i, f"w{i % 400}") for i in range(n)], "query_id long, text string"), index).localCheckpoint()
+    few, many = (shuffled(spark, lambda t=t: lexical.best_of_parts(t, index, 1).write.format("noop").mode("overwrite").save()) for t in (asked(800), asked(6400)))
+    assert 0 < many < 2 * few
+
+
 def test_common_terms_are_skipped(spark):
     """A rare term decides: the postings of the common one are looked up for few chunks only."""
     rows = [(i, "common " * (1 + i % 3) + ("rare " * (1 + i % 4) if i % 40 == 0 else "other")) for i in range(2000)]

@@ -116,6 +116,15 @@ def test_few_and_many_queries(spark, monkeypatch):
     assert dense.dense_topk(q.limit(0), d, 5).count() == 0 == dense.dense_topk(q, d.limit(0), 5).count()
 
 
+def test_vectors_move_once_for_all_queries(spark, monkeypatch):
+    """Eight times as many queries: the vectors are not dealt out again for each block of them."""
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 8)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(2).standard_normal((2000, 32)))], "chunk_id long, vector array<double>").localCheckpoint()
+    asked = lambda n: d.filter(f"chunk_id < {n}").toDF("query_id", "vector")
+    few, many = (shuffled(spark, lambda n=n: dense.dense_topk(asked(n), d, 1).write.format("noop").mode("overwrite").save()) for n in (16, 128))
+    assert 0 < many < 2 * few
+
+
 def vectors(spark, n=400, dim=16):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((12, dim))[rng.integers(12, size=n)] + 0.35 * rng.standard_normal((n, dim))

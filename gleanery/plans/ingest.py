@@ -20,7 +20,7 @@ def page_files(spark, sf_dir) -> str:
 
 @query("SELECT page_id, octet_length(encode(html)) + 1 AS size FROM pages")
 def a1_scan_folder(spark, sf_dir):
-    found = files.scan_folder(spark, page_files(spark, sf_dir))
+    found = files.list_folder(spark, page_files(spark, sf_dir))
     return found.select(files.stem(F.col("relative")).cast("long").alias("page_id"), "size")
 
 

@@ -2,26 +2,150 @@
 
 from __future__ import annotations
 
+import errno
+import os
+import stat
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ids import filled, upload_name
+from .scratch import scratch
 
 SUFFIXES = ("pdf", "md", "markdown", "txt", "text", "rst", "log")
 MOST_BYTES = 25_000_000
 READABLE = rf"(?i)\.({'|'.join(SUFFIXES)})$"
 
 
+#: Names that Spark's readers leave out, of files and folders.
+HIDDEN = r"(^|/)(\.[^/]*|_[^/=]*)$|\._COPYING_$"
+ENTRY = "relative string, size long, mtime long"
+#: Rows of a listing, and bytes of files, that a task holds at a time; one file is held whole.
+LISTED, HELD_BYTES = 10_000, 8_000_000
+#: Files that Spark's reader reads by name, where pyarrow doesn't find the folder; if more are wanted, it reads all of it.
+BY_NAME = 5_000
+
+
+def _reached(spark: SparkSession, folder: str) -> tuple[str, str | None]:
+    """A folder's full name as Spark's readers give it, and its URI if pyarrow finds it there too."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where)
+    name, uri = where.toString().rstrip("/"), where.toUri().toString()
+    try:
+        system, root = fs.FileSystem.from_uri(uri)
+        return name, uri if system.get_file_info(root).type == fs.FileType.Directory else None
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return name, None
+
+
+def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, int | None, int]]:
+    """name, size (None: a folder) and time in microseconds of what lies in a folder; a local one's names pass by one by one."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for entry in found:
+                try:
+                    s = entry.stat()
+                except OSError as e:
+                    if e.errno in (errno.ENOENT, errno.ELOOP):  # gone meanwhile, or a link to nothing
+                        continue
+                    raise
+                if stat.S_ISDIR(s.st_mode) or stat.S_ISREG(s.st_mode):
+                    yield entry.name, None if stat.S_ISDIR(s.st_mode) else s.st_size, s.st_mtime_ns // 1_000_000 * 1000
+        return
+    for i in system.get_file_info(fs.FileSelector(folder)):
+        if i.type in (fs.FileType.Directory, fs.FileType.File):
+            yield i.base_name, None if i.type == fs.FileType.Directory else i.size, (i.mtime_ns or 0) // 1_000_000 * 1000
+
+
+def _dealt(names: DataFrame) -> DataFrame:
+    """Rows with `relative` for all tasks. Names are few bytes, by which Spark would give them all to one; what is done for each
+    is not. The hash of a hash stays apart from the exchange of a join by name, which Spark may coalesce."""
+    spark = names.sparkSession
+    return names.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("relative"))
+
+
+def list_folder(spark: SparkSession, folder: str, work: str | None = None) -> DataFrame:
+    """path, relative, size, modified of supported files anywhere below, hidden ones left out. Tasks list the folders, level
+    by level, into tables below `work`, so the driver holds no names; where pyarrow doesn't find the folder, Spark's reader
+    lists the files, in the driver and without empty ones."""
+    name, uri = _reached(spark, folder)
+    if uri is None:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        rows = rows.select(F.expr(f"substring(path, {len(name) + 2})").alias("relative"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+        return rows.filter(F.col("relative").rlike(READABLE)).select(F.concat(F.lit(f"{name}/"), "relative").alias("path"), "relative", "size", "modified")
+    work = work or scratch(spark, "listing")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                found = _entries(system, f"{root}/{at}")
+                try:
+                    while part := list(islice(found, LISTED)):
+                        names, sizes, times = zip(*part, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{at}{n}" for n in names], pa.string()), pa.array(sizes, pa.int64()), pa.array(times, pa.int64())], ["relative", "size", "mtime"])
+                except FileNotFoundError:
+                    if not at:
+                        raise
+
+    levels: list[str] = []
+    todo = spark.createDataFrame([("",)], "relative string")
+    while not levels or not todo.isEmpty():
+        levels.append(f"{work}/level={len(levels)}")
+        found = todo.mapInArrow(run, ENTRY).filter(~F.col("relative").rlike(HIDDEN) & (F.col("size").isNull() | F.col("relative").rlike(READABLE)))
+        _dealt(found).write.mode("overwrite").parquet(levels[-1])  # one folder may hold all files
+        todo = _dealt(spark.read.schema(ENTRY).parquet(levels[-1]).filter("size is null").select(F.concat("relative", F.lit("/")).alias("relative")))
+    rows = spark.read.schema(ENTRY).parquet(*levels).filter("size is not null")
+    return rows.select(F.concat(F.lit(f"{name}/"), "relative").alias("path"), "relative", "size", F.timestamp_micros("mtime").alias("modified"))
+
+
+def read_files(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """Rows (path, relative and any others) of files below a folder, with their content. All tasks read, each a few megabytes
+    at a time; a file that has gone meanwhile is left out."""
+    _, uri = _reached(spark, folder)
+    if uri is None:
+        few = wanted.select("path").limit(BY_NAME + 1).collect()
+        reader = spark.read.format("binaryFile")
+        if few:
+            read = reader.load([r.path for r in few]) if len(few) <= BY_NAME else reader.option("recursiveFileLookup", "true").load(folder)
+            return wanted.join(read.select("path", "content"), "path").select(*wanted.columns, "content")
+        return wanted.withColumn("content", F.lit(None).cast("binary")).limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(uri)
+
+        def taken(batch: pa.RecordBatch, at: list[int], held: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*batch.take(pa.array(at, pa.int64())).columns, pa.array(held, pa.binary())], [*batch.schema.names, "content"])
+
+        for batch in batches:
+            at, held, size = [], [], 0
+            for i, name in enumerate(batch.column("relative").to_pylist()):
+                try:
+                    with system.open_input_stream(f"{root}/{name}") as f:
+                        content = f.read()
+                except FileNotFoundError:
+                    continue
+                if held and size + len(content) > HELD_BYTES:
+                    yield taken(batch, at, held)
+                    at, held, size = [], [], 0
+                at.append(i)
+                held.append(content)
+                size += len(content)
+            if held:
+                yield taken(batch, at, held)
+
+    schema = T.StructType([*wanted.schema.fields, T.StructField("content", T.BinaryType())])
+    return _dealt(wanted).mapInArrow(run, schema)
+
+
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """path, relative, size, modified, content of supported files anywhere below, hidden ones left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    relative = F.regexp_replace("path", r"^.*?" + _literal(folder.rstrip("/").split("/")[-1]) + "/", "")
-    named = files.select("path", relative.alias("relative"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
-    return named.filter(F.col("relative").rlike(READABLE) & ~F.col("relative").rlike(r"(^|/)\."))
+    """path, relative, size, modified, content of the files that list_folder finds."""
+    return read_files(spark, folder, list_folder(spark, folder))
 
 
 def write_files(rows: DataFrame, folder: str) -> None:
@@ -45,10 +169,6 @@ def write_files(rows: DataFrame, folder: str) -> None:
     rows.select("relative", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
-def _literal(text: str) -> str:
-    return "\\Q" + text + "\\E"
-
-
 def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
 

@@ -6,8 +6,8 @@ changes its row, and chunk files are only ever added. A pass writes its chunks,
 the latter is what makes the pass count. A pass that failed half-way writes the same places again, and one that counts
 already is left alone.
 
-A pass lists the folder, without reading it; only files that are new or whose time or size changed are read. Passes are the
-micro-batches of any stream, such as the arrivals in the folder or a clock.
+A pass lists the folder, without reading it; only files that are new or whose time or size changed are read. Tasks list and
+read, and the driver holds no names. Passes are the micro-batches of any stream, such as the arrivals in the folder or a clock.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from ..sources import files
 LEDGER = (
     "relative string, path string, mtime long, size long, sha256 string, status string, stored boolean, document_id string, same_as string, reason string, kind string, batch long"
 )
-#: Files that a pass reads by name; if more are to be read, the folder is read in one go.
-BY_NAME = 5_000
 SHOWN = 20
 
 
@@ -63,18 +61,6 @@ def current_chunks(spark: SparkSession, root: str) -> DataFrame:
     return every.join(now, ["document_id", "batch"], "left_semi").drop("batch")
 
 
-def contents(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """relative and content of some files of a folder (relative, path)."""
-    few = wanted.select("path").limit(BY_NAME + 1).collect()
-    if len(few) > BY_NAME:
-        read = files.scan_folder(spark, folder).select("path", "content")
-    elif few:
-        read = spark.read.format("binaryFile").load([r.path for r in few]).select("path", "content")
-    else:
-        return spark.createDataFrame([], "relative string, content binary")
-    return wanted.select("relative", "path").join(read, "path").select("relative", "content")
-
-
 def signed(listing: DataFrame, old: DataFrame) -> DataFrame:
     """The files of a listing with what the ledger knows of them (was_...) and `same`: neither time nor size changed."""
     was = old.select("relative", *[F.col(c).alias(f"was_{c}") for c in ("mtime", "size", "sha256", "stored", "same_as", "reason", "kind", "batch")])
@@ -101,14 +87,14 @@ def sync(spark: SparkSession, folder: str, root: str, number: int, *, stored: Da
     if known and known[-1] >= number:
         return False
     old = ledger(spark, root).filter("status <> 'gone'")
-    listing = files.scan_folder(spark, folder).select("relative", "path", "size", F.unix_micros("modified").alias("mtime"))
+    scratch = f"{root}/passes/{number}"
+    listing = files.list_folder(spark, folder, f"{scratch}/listing").select("relative", "path", "size", F.unix_micros("modified").alias("mtime"))
     found = signed(listing, old)
     if stored is None:
         found = found.withColumn("kept", F.coalesce("was_stored", F.lit(False)))
     else:
         there = stored.select(F.col("document_id").alias("relative"), F.lit(True).alias("there")).distinct()
         found = found.join(there, "relative", "left").withColumn("kept", F.coalesce(F.col("was_stored") & F.col("there"), F.lit(False))).drop("there")
-    scratch = f"{root}/passes/{number}"
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{scratch}/{name}")
@@ -116,7 +102,7 @@ def sync(spark: SparkSession, folder: str, root: str, number: int, *, stored: Da
 
     failed = F.col("same") & F.col("was_kind").isNotNull() & F.col("was_sha256").isNotNull()
     unread = found.filter(F.col("was_sha256").isNull() | ~(F.col("same") & (F.col("kept") | F.col("was_same_as").isNotNull() | failed))).select("relative", "path")
-    read = contents(spark, folder, unread).select("relative", F.sha2("content", 256).alias("now_sha256"), files.decoded(F.col("content")).alias("text"))
+    read = files.read_files(spark, folder, unread).select("relative", F.sha2("content", 256).alias("now_sha256"), files.decoded(F.col("content")).alias("text"))
     read = written(read, "read")  # each file is read once
     found = found.join(read.select("relative", "now_sha256"), "relative", "left").withColumn("sha256", F.coalesce("now_sha256", "was_sha256"))
     first = found.groupBy("sha256").agg(F.min("relative").alias("first"))  # partial minima: copies are not hot
@@ -128,7 +114,7 @@ def sync(spark: SparkSession, folder: str, root: str, number: int, *, stored: Da
     found = written(found.withColumn("status", status), "files")
     # a copy whose first file has gone is read again, as it is stored now
     todo = found.filter(F.col("status").isin("new", "changed")).select("relative", "path", "size", F.col("now_sha256").isNull().alias("unread"))
-    late = contents(spark, folder, todo.filter("unread")).select("relative", files.decoded(F.col("content")).alias("text"))
+    late = files.read_files(spark, folder, todo.filter("unread").select("relative", "path")).select("relative", files.decoded(F.col("content")).alias("text"))
     loaded = todo.join(read.select("relative", "text").unionByName(late), "relative")
     reason, kind = refusal(F.col("size"), F.col("loader"), F.col("text"))
     tried = written(files.route(loaded).select("relative", "text", reason.alias("now_reason"), kind.alias("now_kind")), "tried")

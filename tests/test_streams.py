@@ -80,6 +80,44 @@ def test_write_files_again_and_away(spark, tmp_path):
     assert {p.name: p.read_bytes() for p in tmp_path.rglob("*.txt")} == {"b.txt": b"3"}
 
 
+def test_tasks_list_and_read_folders(spark, tmp_path):
+    """The driver's index names no file; a folder's name may come again in its path, and tasks share what a join has found."""
+    top = tmp_path / "in" / "x" / "in"
+    texts = {"a.txt": b"1", "b.MD": b"", "in/\u00e9 %20#.txt": b"22", "_k=1/in/c.log": b"3", **{f"many/{i}.txt": b"%d" % i for i in range(40)}, **{f"large/{i}.txt": b"%d" % i * 5_000_000 for i in range(3)}}
+    for name, content in {**texts, ".h.txt": b"4", ".h/a.txt": b"4", "_t/a.txt": b"4", "a.exe": b"4"}.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(content)
+    (top / "none.txt").symlink_to(top / "nothing")
+    (top / "self.txt").symlink_to(top / "self.txt")
+    listing = files.list_folder(spark, str(top))
+    found = files.scan_folder(spark, str(top))
+    assert not [f for f in [*listing.inputFiles(), *found.inputFiles()] if str(top) in f]
+    assert {r.relative: (r.path, r.size, bytes(r.content)) for r in found.collect()} == {n: (f"file:{top}/{n}", len(c), c) for n, c in texts.items()}
+    at = {r.relative: r.modified for r in listing.withColumn("modified", F.unix_micros("modified")).collect()}
+    assert at == {n: (top / n).stat().st_mtime_ns // 1_000_000 * 1000 for n in texts}
+    wanted = listing.join(listing.select("relative").withColumn("x", F.lit(1)).hint("merge"), "relative")
+    (top / "a.txt").unlink()
+    read = files.read_files(spark, str(top), wanted).select("relative", F.spark_partition_id().alias("p")).collect()
+    assert {r.relative for r in read} == texts.keys() - {"a.txt"} and len({r.p for r in read}) > 1
+
+
+def test_folders_that_only_spark_reads(spark, tmp_path):
+    put(tmp_path / "at", a_txt="1", b__c_md="two")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.gleanery.link./in", f"file://{tmp_path}")
+    folder = "viewfs://gleanery/in/at"
+    assert sorted((r.path, r.relative, r.size, bytes(r.content)) for r in files.scan_folder(spark, folder).collect()) == [(f"{folder}/a.txt", "a.txt", 1, b"1"), (f"{folder}/b/c.md", "b/c.md", 3, b"two")]
+    assert files.read_files(spark, folder, files.list_folder(spark, folder).limit(0)).count() == 0
+
+
+def test_empty_file_is_reported(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "root")
+    put(folder, a_md="", b__c_txt="text")
+    assert folders.sync(spark, str(folder), root, 0)
+    assert state(spark, root) == {"a.md": ("failed", False, None, "no_text", None), "b/c.txt": ("new", True, None, None, 0)}
+    put(folder, a_md="filled")
+    assert folders.sync(spark, str(folder), root, 1) and state(spark, root)["a.md"] == ("changed", True, None, None, 1)
+
+
 def test_admission_over_ranges(spark):
     """One day has nearly all rows, with ties in time, refunds and missing costs."""
     rnd = random.Random(4)
